@@ -127,9 +127,6 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT p.timestamp_ms - max(q.timestamp_ms) FROM liq q WHERE "
             "q.candidate_id = p.candidate_id AND q.timestamp_ms < p.timestamp_ms)"),
             coarse, **_FEATURES)
-    out["price_timeseries_wide"] = _with(
-        "SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count "
-        "FROM price").replace("FROM swaps ", "FROM swaps_wide ")
     out["price_timeseries_wide"] = _with(
         "SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count "
         "FROM wprice", wprice=_base()["price"].replace("FROM swaps ", "FROM swaps_wide "))
@@ -169,19 +166,18 @@ def oracle_sql() -> dict[str, str]:
     FROM {} GROUP BY candidate_id"""
     out["token_lifecycle"] = _with(life.format("price"))
     out["token_lifecycle_liquidity"] = _with(life.format("liq"))
-    probes = f"probes AS (SELECT candidate_id, discovered_at + k * {DAY} AS at FROM token_candidates, "
-    probe_sql = (f"SELECT candidate_id, discovered_at + k * {DAY} AS at FROM token_candidates, "
+    probe_sql = (f"SELECT candidate_id, discovered_at + k * {DAY} AS at_ms FROM token_candidates, "
                  "range(-6, 30) r(k)")
     out["price_at"] = _with("""
-    SELECT candidate_id, at, coalesce(
+    SELECT candidate_id, at_ms, coalesce(
       (SELECT arg_max(price, timestamp_ms) FROM price x
-        WHERE x.candidate_id = p.candidate_id AND x.timestamp_ms <= p.at),
+        WHERE x.candidate_id = p.candidate_id AND x.timestamp_ms <= p.at_ms),
       (SELECT arg_min(price, timestamp_ms) FROM price x WHERE x.candidate_id = p.candidate_id))
       AS price_at FROM probes p""", probes=probe_sql)
     out["liquidity_at"] = _with("""
-    SELECT candidate_id, at,
+    SELECT candidate_id, at_ms,
       (SELECT arg_max(liquidity, timestamp_ms) FROM liq x
-        WHERE x.candidate_id = p.candidate_id AND x.timestamp_ms <= p.at) AS liquidity_at,
+        WHERE x.candidate_id = p.candidate_id AND x.timestamp_ms <= p.at_ms) AS liquidity_at,
       EXISTS (SELECT 1 FROM liq x WHERE x.candidate_id = p.candidate_id) AS has_liquidity
     FROM probes p""", probes=probe_sql)
     out["previous_liquidity_event"] = _with("""
@@ -192,4 +188,267 @@ def oracle_sql() -> dict[str, str]:
     out["price_liquidity_exact"] = _with("""
     SELECT p.candidate_id, p.timestamp_ms, p.price, l.liquidity, l.liquidity_token, l.liquidity_quote
     FROM price p LEFT JOIN liq l USING (candidate_id, timestamp_ms)""", True)
+    out.update(_discovery())
+    out.update(_exits())
     return out
+
+
+EVAL_AT = 1704067200000 + 20 * DAY
+
+
+def _cid(source: str, pool: str = "pool", mint: str = "mint") -> str:
+    return (f"sha256({mint} || '|' || coalesce({pool}, '') || '|' || {source} || '|' || "
+            "tx_signature || '|' || CAST(event_index AS VARCHAR) || '|' || CAST(slot AS VARCHAR))")
+
+
+_CAND = "source, mint, pool, tx_signature, event_index, slot, timestamp AS discovered_at"
+
+
+def _new(where: str) -> str:
+    return f"""
+    SELECT {_cid("'NEW_TOKEN'")} AS candidate_id, {_CAND} FROM (
+      SELECT *, 'NEW_TOKEN' AS source, row_number() OVER (
+        PARTITION BY mint ORDER BY slot, tx_signature, event_index) AS rn
+      FROM swap_events WHERE {where}) WHERE rn = 1"""
+
+
+SEED = "SELECT mint FROM token_candidates WHERE source = 'ACTIVE_TOKEN'"
+UNSEEN = f"mint NOT IN ({SEED})"
+
+
+def _window(table: str, amount: str, where: str) -> str:
+    return f"""
+    SELECT mint, sum({amount}) AS v24, sum({amount}) FILTER (timestamp >= {EVAL_AT - HOUR}) AS v1,
+           count(*) AS n24, count(*) FILTER (timestamp >= {EVAL_AT - HOUR}) AS n1,
+           CASE WHEN {EVAL_AT} - min(timestamp) >= {HOUR}
+                THEN ({EVAL_AT} - min(timestamp)) / CAST({HOUR} AS DOUBLE) END AS hours
+    FROM {table} WHERE timestamp >= {EVAL_AT - DAY} AND timestamp < {EVAL_AT} AND {where}
+    GROUP BY mint"""
+
+
+def _last(table: str) -> str:
+    return f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mint
+        ORDER BY timestamp DESC, slot, tx_signature, event_index) AS rn
+      FROM {table} WHERE timestamp >= {EVAL_AT - HOUR} AND timestamp < {EVAL_AT}) WHERE rn = 1"""
+
+
+def _discovery() -> dict[str, str]:
+    out = {
+        "new_token": _with(_new("true")),
+        "new_token_unseen": _with(_new(UNSEEN)),
+    }
+    spike = "(v1 > 3.0 * (v24 / hours) OR n1 > 5.0 * (n24 / hours))"
+    out["active_token_at"] = _with(f"""
+    SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
+    FROM win JOIN last USING (mint) WHERE {spike}""",
+        win=_window("swap_events", "amount_out", UNSEEN), last=_last("swap_events"))
+    out["liquidity_spike"] = _with(f"""
+    SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
+    FROM (SELECT w.mint, l.pool, l.tx_signature, l.event_index, l.slot, l.timestamp
+          FROM win w JOIN last l USING (mint) WHERE {spike}
+          UNION ALL
+          SELECT q.mint, '' AS pool, l.tx_signature, l.event_index, l.slot, l.timestamp
+          FROM qwin q JOIN qlast l USING (mint) JOIN win w USING (mint)
+          WHERE q.v1 > 2.0 * (q.v24 / q.hours)
+            AND NOT coalesce((w.v1 > 3.0 * (w.v24 / w.hours) OR w.n1 > 5.0 * (w.n24 / w.hours)), false))""",
+        win=_window("swap_events", "amount_out", "true"), last=_last("swap_events"),
+        qwin=_window("liquidity_events", "abs(amount_quote)", "true"),
+        qlast=_last("liquidity_events"))
+    meta = "SELECT candidate_id, 'm' || mint AS mint FROM token_candidates"
+    spikes = f"""
+    SELECT {_cid("'ACTIVE_TOKEN'", "NULL")} AS candidate_id, 'ACTIVE_TOKEN' AS source, mint,
+           CAST(NULL AS VARCHAR) AS pool, tx_signature, event_index, slot, timestamp,
+           round(volume_1h, 6) AS volume_1h, swaps_1h, round(volume_24h_avg, 6) AS volume_24h_avg,
+           round(swaps_24h_avg, 6) AS swaps_24h_avg,
+           volume_1h > 3.0 * volume_24h_avg AS volume_spike,
+           swaps_1h > 5.0 * swaps_24h_avg AS swaps_spike
+    FROM (SELECT mint, sum(amount_out) AS volume_1h, count(*) AS swaps_1h,
+                 arg_max(tx_signature, (timestamp, event_index)) AS tx_signature,
+                 arg_max(event_index, (timestamp, event_index)) AS event_index,
+                 arg_max(slot, (timestamp, event_index)) AS slot, max(timestamp) AS timestamp
+          FROM swaps JOIN meta USING (candidate_id)
+          WHERE timestamp >= (SELECT max(timestamp) FROM swaps) - {HOUR}
+            AND timestamp < (SELECT max(timestamp) FROM swaps) GROUP BY mint) h
+    JOIN (SELECT mint, sum(amount_out) / CAST(24 AS DOUBLE) AS volume_24h_avg,
+                 count(*) / CAST(24 AS DOUBLE) AS swaps_24h_avg
+          FROM swaps JOIN meta USING (candidate_id)
+          WHERE timestamp >= (SELECT max(timestamp) FROM swaps) - {DAY}
+            AND timestamp < (SELECT max(timestamp) FROM swaps) GROUP BY mint) d USING (mint)
+    WHERE volume_1h > 3.0 * volume_24h_avg OR swaps_1h > 5.0 * swaps_24h_avg"""
+    out["active_token_sql"] = _with("SELECT * FROM spikes", meta=meta, spikes=spikes)
+    cols = "candidate_id, source, mint, pool, tx_signature, event_index, slot, timestamp"
+    out["all_discovery"] = _with(f"""
+    SELECT {_cid("'NEW_TOKEN'", "NULL")} AS candidate_id, 'NEW_TOKEN' AS source, mint,
+           CAST(NULL AS VARCHAR) AS pool, tx_signature, event_index, slot, timestamp FROM (
+      SELECT *, row_number() OVER (PARTITION BY mint ORDER BY slot, tx_signature, event_index) AS rn
+      FROM swaps JOIN meta USING (candidate_id)) WHERE rn = 1
+    UNION ALL
+    SELECT {cols} FROM spikes WHERE mint NOT IN (
+      SELECT m.mint FROM token_candidates c JOIN meta m USING (candidate_id)
+      WHERE c.source = 'ACTIVE_TOKEN')""", meta=meta, spikes=spikes)
+    out["discovery_validation"] = _with(f"""
+    SELECT *, stored_id = computed_id AS id_matches FROM (
+      SELECT stored_id, source, mint, pool, tx_signature, event_index, slot,
+             {_cid("source")} AS computed_id
+      FROM (SELECT c.candidate_id AS stored_id, c.source, m.mint, c.pool, f.tx_signature,
+                   f.event_index, c.slot
+            FROM token_candidates c JOIN meta m USING (candidate_id) LEFT JOIN (
+              SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id
+                ORDER BY slot, tx_signature, event_index) AS rn FROM swaps) WHERE rn = 1) f
+            ON f.candidate_id = c.candidate_id))""", meta=meta)
+    windows = f"""
+    SELECT a.mint, a.timestamp,
+           coalesce(sum(b.amount_out) FILTER (b.timestamp >= a.timestamp - {HOUR}), 0) AS volume_1h,
+           count(b.timestamp) FILTER (b.timestamp >= a.timestamp - {HOUR}) AS swaps_1h,
+           coalesce(sum(b.amount_out), 0) AS volume_24h, count(b.timestamp) AS swaps_24h,
+           min(b.timestamp) AS first_24h
+    FROM swap_events a LEFT JOIN swap_events b
+      ON a.mint = b.mint AND b.timestamp >= a.timestamp - {DAY} AND b.timestamp < a.timestamp
+    GROUP BY a.mint, a.timestamp"""
+    out["trailing_windows"] = _with("""
+    SELECT mint, timestamp, round(volume_1h, 6) AS volume_1h, swaps_1h,
+           round(volume_24h, 6) AS volume_24h, swaps_24h, first_24h FROM windows""",
+        windows=windows)
+    per_event = f"""
+    SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]} FROM (
+      SELECT s.*, row_number() OVER (PARTITION BY s.mint
+          ORDER BY s.timestamp DESC, s.slot, s.tx_signature, s.event_index) AS rn
+      FROM (SELECT mint, min(timestamp) AS eval FROM windows,
+              LATERAL (SELECT (timestamp - first_24h) / CAST({HOUR} AS DOUBLE) AS hours)
+            WHERE timestamp - first_24h >= {HOUR} AND swaps_1h > 0
+              AND (volume_1h > 3.0 * (volume_24h / hours) OR swaps_1h > 5.0 * (swaps_24h / hours))
+            GROUP BY mint) h
+      JOIN swap_events s ON s.mint = h.mint AND s.timestamp < h.eval AND s.timestamp >= h.eval - {HOUR})
+    WHERE rn = 1"""
+    out["active_token_per_event"] = _with(
+        f"SELECT * FROM ({per_event}) WHERE {UNSEEN}", windows=windows)
+    out["replay_discovery"] = _with(_new(f"{UNSEEN} AND timestamp < {EVAL_AT}"))
+    out["candidate_reconcile"] = _with("""
+    SELECT candidate_id, a.source AS replayed_source, b.source AS stored_source
+    FROM a FULL JOIN b USING (candidate_id) WHERE a.source IS NULL OR b.source IS NULL""",
+        a=_new("true"), b=_new(f"timestamp >= {EVAL_AT}"))
+    return out
+
+
+def _at(alias: str, t: str) -> str:
+    """Price at or before a time, else the first price."""
+    return f"""coalesce(
+      (SELECT arg_max(price, timestamp_ms) FROM price x
+        WHERE x.candidate_id = {alias}.candidate_id AND x.timestamp_ms <= {t}),
+      (SELECT arg_min(price, timestamp_ms) FROM price x WHERE x.candidate_id = {alias}.candidate_id))"""
+
+
+def _entry(days: int = 0) -> str:
+    e = f"(c.discovered_at - {days * DAY})"
+    return f"""
+    SELECT c.candidate_id, c.source, {e} AS entry_signal_time, {_at('c', e)} AS entry_signal_price,
+      (SELECT arg_max(liquidity, timestamp_ms) FROM liq x WHERE x.candidate_id = c.candidate_id
+         AND x.timestamp_ms <= {e}) AS entry_liquidity
+    FROM token_candidates c WHERE EXISTS (SELECT 1 FROM liq x WHERE x.candidate_id = c.candidate_id)
+      AND EXISTS (SELECT 1 FROM price x WHERE x.candidate_id = c.candidate_id)"""
+
+
+_ENTRY_COLS = "candidate_id, entry_signal_time, entry_signal_price, entry_liquidity"
+
+TIME_EXIT = f"""
+    SELECT {_ENTRY_COLS}, 'TIME_EXIT_' || source || '_{5 * DAY}ms' AS strategy_id,
+           entry_signal_time + {5 * DAY} AS exit_signal_time,
+           {_at('e', f'e.entry_signal_time + {5 * DAY}')} AS exit_signal_price,
+           'TIME_EXIT' AS exit_reason, source FROM entry e"""
+
+TRAILING = f"""
+    SELECT e.candidate_id, e.entry_signal_time, e.entry_signal_price, e.entry_liquidity,
+           'TRAILING_STOP_' || e.source || '_trail90_stop95_{5 * DAY}ms' AS strategy_id,
+           coalesce(h.ts, e.entry_signal_time + {5 * DAY}) AS exit_signal_time,
+           coalesce(h.price, {_at('e', f'e.entry_signal_time + {5 * DAY}')}) AS exit_signal_price,
+           coalesce(h.reason, 'MAX_DURATION') AS exit_reason,
+           coalesce(h.peak, greatest(e.entry_signal_price, a.top)) AS peak_price, e.source
+    FROM entry e
+    LEFT JOIN (SELECT candidate_id, max(peak) AS top FROM trail GROUP BY 1) a USING (candidate_id)
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY ts) AS rn FROM trail
+               WHERE reason IS NOT NULL) h ON h.candidate_id = e.candidate_id AND h.rn = 1"""
+
+TRAIL_ROWS = f"""
+    SELECT *, CASE WHEN price <= entry_price * (1 - CAST(0.95 AS DOUBLE)) THEN 'INITIAL_STOP'
+                   WHEN price <= peak * (1 - CAST(0.90 AS DOUBLE)) THEN 'TRAILING_STOP'
+                   WHEN ts - entry_time >= {5 * DAY} THEN 'MAX_DURATION' END AS reason
+    FROM (SELECT p.candidate_id, p.timestamp_ms AS ts, p.price, e.entry_signal_price AS entry_price,
+                 e.entry_signal_time AS entry_time,
+                 greatest(e.entry_signal_price, max(p.price) OVER (
+                   PARTITION BY p.candidate_id ORDER BY p.timestamp_ms)) AS peak
+          FROM price p JOIN entry e USING (candidate_id) WHERE p.timestamp_ms > e.entry_signal_time)"""
+
+GUARD_ROWS = f"""
+    SELECT *, min(liquidity) OVER (PARTITION BY candidate_id ORDER BY ts) AS low,
+           CASE WHEN liquidity < entry_liquidity * (1 - CAST(0.80 AS DOUBLE)) THEN 'LIQUIDITY_DROP'
+                WHEN ts - entry_time >= {3 * DAY} THEN 'MAX_DURATION' END AS reason
+    FROM (SELECT t.candidate_id, t.ts, e.entry_signal_time AS entry_time, e.entry_liquidity,
+                 (SELECT arg_max(x.liquidity, x.timestamp_ms) FROM liq x
+                   WHERE x.candidate_id = t.candidate_id AND x.timestamp_ms <= t.ts) AS liquidity
+          FROM (SELECT candidate_id, timestamp_ms AS ts FROM price
+                UNION SELECT candidate_id, timestamp_ms FROM liq) t
+          JOIN entry e USING (candidate_id) WHERE t.ts > e.entry_signal_time)"""
+
+GUARD = f"""
+    SELECT e.candidate_id, e.entry_signal_time, e.entry_signal_price, e.entry_liquidity,
+           'LIQUIDITY_GUARD_' || e.source || '_drop80_{3 * DAY}ms' AS strategy_id,
+           coalesce(h.ts, e.entry_signal_time + {3 * DAY}) AS exit_signal_time,
+           {_at('e', f'coalesce(h.ts, e.entry_signal_time + {3 * DAY})')} AS exit_signal_price,
+           coalesce(h.reason, 'MAX_DURATION') AS exit_reason,
+           least(e.entry_liquidity, coalesce(h.low, a.low)) AS min_liquidity, e.source
+    FROM entry e
+    LEFT JOIN (SELECT candidate_id, min(liquidity) AS low FROM guard_rows GROUP BY 1) a
+      USING (candidate_id)
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY ts) AS rn
+               FROM guard_rows WHERE reason IS NOT NULL) h
+      ON h.candidate_id = e.candidate_id AND h.rn = 1
+    WHERE e.entry_liquidity IS NOT NULL"""
+
+SCENARIOS = """
+    SELECT scenario_id, CAST(d AS BIGINT) AS delay_ms, CAST(s AS DOUBLE) AS slip,
+           CAST(f AS DOUBLE) AS fee, CAST(p AS DOUBLE) AS prio, CAST(m AS DOUBLE) AS mev
+    FROM (VALUES ('optimistic', 100, 0.5, 0.000005, 0.0, 0.0),
+                 ('realistic', 500, 2.0, 0.00001, 0.0001, 1.0),
+                 ('pessimistic', 2000, 5.0, 0.0001, 0.001, 3.0),
+                 ('degraded', 5000, 10.0, 0.001, 0.01, 5.0)) v(scenario_id, d, s, f, p, m)"""
+
+TRADES = """
+    SELECT sha256(candidate_id || '|' || strategy_id || '|' || scenario_id || '|' ||
+                  CAST(entry_signal_time AS VARCHAR)) AS trade_id,
+           candidate_id, strategy_id, scenario_id, entry_signal_time, entry_signal_price,
+           entry_actual_time, entry_actual_price, entry_liquidity, CAST(1 AS DOUBLE) AS position_size,
+           position_value, exit_signal_time, exit_signal_price, exit_actual_time, exit_actual_price,
+           exit_reason, entry_cost_sol, exit_cost_sol, mev_cost_sol, total_cost_sol, total_cost_pct,
+           gross_return, gross_return - total_cost_pct AS outcome,
+           CASE WHEN gross_return - total_cost_pct > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome_class,
+           exit_actual_time - entry_actual_time AS hold_duration_ms, peak_price, min_liquidity
+    FROM (SELECT *, entry_cost_sol + exit_cost_sol + mev_cost_sol AS total_cost_sol,
+                 (entry_cost_sol + exit_cost_sol + mev_cost_sol) / position_value AS total_cost_pct,
+                 (exit_actual_price - entry_actual_price) / entry_actual_price AS gross_return
+          FROM (SELECT *, entry_signal_time + delay_ms AS entry_actual_time,
+                       entry_signal_price * (1 + slip / 200) AS entry_actual_price,
+                       entry_signal_price * (1 + slip / 200) AS position_value,
+                       exit_signal_time + delay_ms AS exit_actual_time,
+                       exit_signal_price * (1 - slip / 200) AS exit_actual_price,
+                       fee + prio AS entry_cost_sol, fee + prio AS exit_cost_sol,
+                       entry_signal_price * (1 + slip / 200) * (mev / 100) AS mev_cost_sol
+                FROM (SELECT *, NULL::DOUBLE AS peak_price, NULL::DOUBLE AS min_liquidity FROM time_exit
+                      UNION ALL BY NAME SELECT *, NULL::DOUBLE AS min_liquidity FROM trailing_exit_exit
+                      UNION ALL BY NAME SELECT *, NULL::DOUBLE AS peak_price FROM guard), scenarios))"""
+
+_EXITS = dict(entry=_entry(), time_exit=TIME_EXIT, trail=TRAIL_ROWS, trailing_exit=TRAILING,
+              guard_rows=GUARD_ROWS, guard=GUARD, scenarios=SCENARIOS, trades=TRADES)
+
+
+def _exits() -> dict[str, str]:
+    return {
+        "time_exit": _with("SELECT * EXCLUDE (source) FROM time_exit", **_EXITS),
+        "trailing_stop": _with("SELECT * EXCLUDE (source) FROM trailing_exit", **_EXITS),
+        "liquidity_guard": _with("SELECT * EXCLUDE (source) FROM guard", **_EXITS),
+        "trade_records": _with("SELECT * FROM trades", **_EXITS),
+        "rejected_jobs": _with(f"""
+    SELECT candidate_id, source, 'LIQUIDITY_GUARD_' || source || '_drop80_{3 * DAY}ms' AS strategy_id,
+           'entry liquidity cannot be determined' AS reason
+    FROM entry WHERE entry_liquidity IS NULL""", entry=_entry(5)),
+    }

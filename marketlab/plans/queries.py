@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlab.functions import ids
 from marketlab.functions.timecols import DAY_MS
-from marketlab.operators import asof, features, series
+from marketlab.operators import asof, discovery, exits, features, series
 from marketlab.sources.adapters import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,17 +134,17 @@ def probes_of(d: Dataset) -> DataFrame:
     return d.token_candidates().select(
         "candidate_id",
         F.explode(F.transform(F.sequence(F.lit(-6), F.lit(29)),
-                              lambda k: F.col("discovered_at") + k.cast("long") * F.lit(DAY_MS))).alias("at"))
+                              lambda k: F.col("discovered_at") + k.cast("long") * F.lit(DAY_MS))).alias("at_ms"))
 
 
 @query("price_at")
 def q_price_at(d):
-    return asof.price_at(probes_of(d), price_of(d), "at")
+    return asof.price_at(probes_of(d), price_of(d), "at_ms")
 
 
 @query("liquidity_at")
 def q_liquidity_at(d):
-    return asof.liquidity_at(probes_of(d), liquidity_of(d), "at")
+    return asof.liquidity_at(probes_of(d), liquidity_of(d), "at_ms")
 
 
 @query("previous_liquidity_event")
@@ -156,3 +157,127 @@ def q_previous_liquidity(d):
 def q_exact(d):
     return asof.exact_time(price_of(d, True).select("candidate_id", "timestamp_ms", "price"),
                            liquidity_of(d, True))
+
+
+# --- discovery ----------------------------------------------------------------------------
+
+EVAL_AT = 1704067200000 + 20 * DAY_MS  # day 20 of the data
+
+
+def meta_of(d: Dataset) -> DataFrame:
+    """One metadata row per candidate; the mint is the candidate's own name."""
+    return d.token_candidates().select("candidate_id", F.concat(F.lit("m"), "mint").alias("mint"))
+
+
+def stored_of(d: Dataset) -> DataFrame:
+    """Stored candidates: the active ones only, so that some mints stay undiscovered."""
+    return d.token_candidates().where(F.col("source") == "ACTIVE_TOKEN")
+
+
+@query("new_token")
+def q_new(d):
+    return discovery.new_tokens(d.swap_events())
+
+
+@query("new_token_unseen")
+def q_new_unseen(d):
+    return discovery.new_tokens(d.swap_events(), stored_of(d))
+
+
+@query("active_token_at")
+def q_active_at(d):
+    return discovery.active_tokens(d.swap_events(), EVAL_AT, stored_of(d))
+
+
+@query("liquidity_spike")
+def q_liquidity_spike(d):
+    return discovery.active_tokens(d.swap_events(), EVAL_AT, None, d.liquidity_events())
+
+
+@query("active_token_sql")
+def q_active_sql(d):
+    return rounded(discovery.spike_report(d.swaps(), meta_of(d)), 6,
+                   "volume_1h", "volume_24h_avg", "swaps_24h_avg")
+
+
+@query("all_discovery")
+def q_all_discovery(d):
+    return discovery.all_discovery(d.swaps(), meta_of(d), stored_of(d))
+
+
+@query("discovery_validation")
+def q_validation(d):
+    return discovery.discovery_validation(d.token_candidates(), meta_of(d), d.swaps())
+
+
+@query("trailing_windows")
+def q_windows(d):
+    return rounded(discovery.trailing_windows(d.swap_events()), 6, "volume_1h", "volume_24h")
+
+
+@query("active_token_per_event")
+def q_per_event(d):
+    return discovery.first_spikes(d.swap_events(), stored_of(d))
+
+
+@query("replay_discovery")
+def q_replay_discovery(d):
+    return discovery.replay_discovery(d.swap_events(), None, EVAL_AT, stored_of(d))
+
+
+@query("candidate_reconcile")
+def q_reconcile(d):
+    replayed = discovery.new_tokens(d.swap_events())
+    return discovery.reconcile(replayed, discovery.new_tokens(
+        d.swap_events().where(F.col("timestamp") >= EVAL_AT)))
+
+
+# --- exit rules ---------------------------------------------------------------------------
+
+def demo_rules() -> list[tuple]:
+    """Holding periods of days: the test events are about eleven hours apart."""
+    return [r for e in ("NEW_TOKEN", "ACTIVE_TOKEN") for r in (
+        exits.rule(ids.TIME_EXIT, e, hold=5 * DAY_MS),
+        exits.rule(ids.TRAILING_STOP, e, trail=0.90, stop=0.95, max_hold=5 * DAY_MS),
+        exits.rule(ids.LIQUIDITY_GUARD, e, drop=0.80, max_hold=3 * DAY_MS))]
+
+
+def grid_of(d: Dataset) -> DataFrame:
+    return exits.evaluate(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules())
+
+
+def family_exits(d: Dataset, family: str) -> DataFrame:
+    run = exits.exit_rule(family)
+    return run(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules()).drop(
+        "rule_no", "strategy_type", "source")
+
+
+@query("time_exit")
+def q_time_exit(d):
+    return family_exits(d, ids.TIME_EXIT).drop("peak_price", "min_liquidity")
+
+
+@query("trailing_stop")
+def q_trailing(d):
+    return family_exits(d, ids.TRAILING_STOP).drop("min_liquidity")
+
+
+@query("liquidity_guard")
+def q_guard(d):
+    return family_exits(d, ids.LIQUIDITY_GUARD).drop("peak_price")
+
+
+def trades_of(d: Dataset) -> DataFrame:
+    return exits.trade_records(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules())
+
+
+@query("trade_records")
+def q_trades(d):
+    return trades_of(d)
+
+
+@query("rejected_jobs")
+def q_rejected(d):
+    """Entries before the first liquidity event: the guard has nothing to guard."""
+    early = d.token_candidates().withColumn("discovered_at", F.col("discovered_at") - 5 * DAY_MS)
+    return exits.rejected(exits.evaluate(early, price_of(d), liquidity_of(d), demo_rules()))

@@ -4,46 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
-SWAP_EVENTS = StructType.fromDDL(
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(),
+          "double": DoubleType(), "array<string>": ArrayType(StringType())}
+
+
+def _struct(ddl: str) -> StructType:
+    """Schema from "name type" pairs, usable before a session exists."""
+    pairs = [p.split() for p in ddl.split(",")]
+    return StructType([StructField(name, _TYPES[kind], True) for name, kind in pairs])
+
+
+SWAP_EVENTS = _struct(
     "mint string, pool string, tx_signature string, event_index int, slot long, "
     "timestamp long, amount_out double"
 )
-SWAPS = StructType.fromDDL(
+SWAPS = _struct(
     "candidate_id string, tx_signature string, event_index int, slot long, timestamp long, "
     "side string, amount_in double, amount_out double, price double"
 )
-LIQUIDITY_EVENTS = StructType.fromDDL(
+LIQUIDITY_EVENTS = _struct(
     "candidate_id string, pool string, mint string, tx_signature string, event_index int, "
     "slot long, timestamp long, event_type string, amount_token double, amount_quote double, "
     "liquidity_after double"
 )
-TOKEN_CANDIDATES = StructType.fromDDL(
+TOKEN_CANDIDATES = _struct(
     "candidate_id string, source string, mint string, pool string, tx_signature string, "
     "event_index int, slot long, discovered_at long"
 )
-TOKEN_METADATA = StructType.fromDDL(
+TOKEN_METADATA = _struct(
     "candidate_id string, mint string, name string, symbol string, decimals int, "
     "supply double, fetched_at long"
 )
-PRICE_TIMESERIES = StructType.fromDDL(
+PRICE_TIMESERIES = _struct(
     "candidate_id string, timestamp_ms long, slot long, price double, volume double, swap_count long"
 )
-LIQUIDITY_TIMESERIES = StructType.fromDDL(
+LIQUIDITY_TIMESERIES = _struct(
     "candidate_id string, timestamp_ms long, slot long, liquidity double, "
     "liquidity_token double, liquidity_quote double"
 )
-VOLUME_TIMESERIES = StructType.fromDDL(
+VOLUME_TIMESERIES = _struct(
     "candidate_id string, timestamp_ms long, interval_seconds int, volume double, "
     "swap_count long, buy_volume double, sell_volume double"
 )
-DERIVED_FEATURES = StructType.fromDDL(
+DERIVED_FEATURES = _struct(
     "candidate_id string, timestamp_ms long, price_delta double, price_velocity double, "
     "price_acceleration double, liquidity_delta double, liquidity_velocity double, "
     "token_lifetime_ms long, last_swap_interval_ms long, last_liq_event_interval_ms long"
 )
-TRADE_RECORDS = StructType.fromDDL(
+TRADE_RECORDS = _struct(
     "trade_id string, candidate_id string, strategy_id string, scenario_id string, "
     "entry_signal_time long, entry_signal_price double, entry_actual_time long, "
     "entry_actual_price double, entry_liquidity double, position_size double, "
@@ -53,7 +64,7 @@ TRADE_RECORDS = StructType.fromDDL(
     "total_cost_pct double, gross_return double, outcome double, outcome_class string, "
     "hold_duration_ms long, peak_price double, min_liquidity double"
 )
-STRATEGY_AGGREGATES = StructType.fromDDL(
+STRATEGY_AGGREGATES = _struct(
     "strategy_id string, scenario_id string, entry_event_type string, total_trades long, "
     "total_tokens long, wins long, losses long, win_rate double, token_win_rate double, "
     "outcome_mean double, outcome_median double, outcome_p10 double, outcome_p25 double, "
@@ -61,11 +72,11 @@ STRATEGY_AGGREGATES = StructType.fromDDL(
     "outcome_stddev double, max_drawdown double, max_consecutive_losses long, "
     "outcome_realistic double, outcome_pessimistic double, outcome_degraded double"
 )
-TX_LOGS = StructType.fromDDL(
+TX_LOGS = _struct(
     "tx_signature string, slot long, block_time_s long, err string, logs array<string>, "
     "account_keys array<string>"
 )
-ACCOUNTS = StructType.fromDDL("pubkey string, data string, fetched_at long")
+ACCOUNTS = _struct("pubkey string, data string, fetched_at long")
 
 # Unique key of every table; a key part may be an expression.
 UNIQUE_KEYS = {
