@@ -32,7 +32,7 @@ def asof(probes: DataFrame, series: DataFrame, values: list[str], at: str,
     asked = probes.select(
         key, F.col(at).alias(TS), F.lit(probe_kind).alias("_kind"),
         F.struct(*[c for c in probes.columns]).alias("_probe"))
-    merged = add_slice(points.unionByName(asked, allowMissingColumns=True), TS)
+    merged = add_slice(points.unionByName(asked, allowMissingColumns=True), keys, TS)
 
     w = slice_window(keys, TS, "_kind")
     rows = merged.withColumn("_prev", last_known("_point", upto(w)))
@@ -41,9 +41,11 @@ def asof(probes: DataFrame, series: DataFrame, values: list[str], at: str,
         back = slice_window(keys, F.col(TS).desc(),
                             F.col("_kind").asc() if not strict else F.col("_kind").desc())
         rows = rows.withColumn("_next", last_known("_point", upto(back)))
-    order = F.when(F.col("_point").isNotNull(), F.col(TS))
-    edges = merged.groupBy(key, SLICE).agg(
-        F.max_by("_point", order).alias("_hi"), F.min_by("_point", order).alias("_lo"))
+    # Edge rows come from the windowed rows and touch every column, so that both branches
+    # read one and the same shuffle.
+    edges = rows.groupBy(key, SLICE).agg(
+        F.max("_prev").alias("_hi"), F.min("_point").alias("_lo"),
+        F.count("_probe").alias("_asked")).where("_asked > 0 or _hi is not null")
     e, later = earlier_slices(keys), later_slices(keys)
     carried = edges.select(
         key, SLICE,

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions import costs, ids
 from marketlab.functions.timecols import HOUR_MS
 from marketlab.operators.asof import asof
-from marketlab.operators.slices import SLICE, attach, earlier_slices, slice_window, upto
+from marketlab.operators.slices import before, upto
 from marketlab.schemas import ACTIVE_TOKEN, NEW_TOKEN
+from marketlab.session import materialize
 
 RULE_COLUMNS = {
     "strategy_type": "string", "entry_event_type": "string", "hold_duration_ms": "bigint",
@@ -97,105 +98,121 @@ def jobs_of(candidates: DataFrame, rules: DataFrame) -> DataFrame:
         *[c for c in candidates.columns if c != "discovered_at"],
         F.col("discovered_at").alias("entry_signal_time"),
         *[c for c in r.columns],
-        # the first time at which the holding period counts as over
         (F.col("discovered_at") + F.coalesce("hold_duration_ms", "max_hold_duration_ms"))
-        .alias("end_time"))
+        .alias("end_time"),
+        # points at the entry time itself never count
+        (F.col("discovered_at") + F.greatest(F.col("max_hold_duration_ms"), F.lit(1)))
+        .alias("over_time"))
 
 
-def _probe(jobs: DataFrame, name: str, at: str | Column) -> DataFrame:
-    return jobs.select(*JOB, F.lit(name).alias("probe"),
-                       (F.col(at) if isinstance(at, str) else at).alias("at"))
+def _ask(jobs: DataFrame, series: DataFrame, value: str, times: dict[str, Column]) -> DataFrame:
+    """Look up the series at several named times of every job, in one as-of pass.
 
+    Adds ``<name>_known`` (value at or before the time), ``<name>_next`` and
+    ``<name>_next_ts`` (at or after it), ``first_known`` and ``series_start``.
+    """
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), t.cast("long").alias("at"))
+                      for n, t in times.items()])
+    probes = jobs.select("*", F.explode(asked).alias("_ask")).select(
+        *jobs.columns, F.col("_ask.name").alias("_name"), F.col("_ask.at").alias("_time")
+    ).where("_time is not null")
+    found = asof(probes, series, [value], "_time", forward=True)
+
+    def pick(name: str, col: str) -> Column:
+        return F.max(F.when(F.col("_name") == name, F.col(col)))
 
-def _pick(name: str, col: str | Column) -> Column:
-    return F.max(F.when(F.col("probe") == name, F.col(col) if isinstance(col, str) else col))
+    return found.groupBy(*jobs.columns).agg(
+        F.max(f"first_{value}").alias("first_known"), F.max("first_ts").alias("series_start"),
+        *[pick(n, f"prev_{value}").alias(f"{n}_known") for n in times],
+        *[pick(n, f"next_{value}").alias(f"{n}_next") for n in times],
+        *[pick(n, "next_ts").alias(f"{n}_next_ts") for n in times])
 
 
-def _after_entry() -> Column:
-    return F.greatest(F.col("end_time"), F.col("entry_signal_time") + 1)
+def _of(family: str) -> Column:
+    return F.col("strategy_type") == family
 
 
 def with_entry_liquidity(jobs: DataFrame, liquidity: DataFrame) -> DataFrame:
     """Liquidity known at entry, and around the end of the holding period."""
-    probes = _probe(jobs, "entry", "entry_signal_time").unionByName(
-        _probe(jobs.where(F.col("strategy_type") == ids.LIQUIDITY_GUARD), "end", _after_entry()))
-    found = asof(probes, liquidity, ["liquidity"], "at", forward=True).groupBy(*JOB).agg(
-        F.max(F.col("first_ts").isNotNull()).alias("has_liquidity"),
-        _pick("entry", "prev_liquidity").alias("entry_liquidity"),
-        _pick("end", "prev_liquidity").alias("end_liquidity"),
-        _pick("end", "next_ts").alias("next_liq_ts"),
-        _pick("end", "next_liquidity").alias("next_liquidity"))
-    return jobs.join(found, JOB)
+    found = _ask(jobs, liquidity, "liquidity", {
+        "entry": F.col("entry_signal_time"),
+        "end": F.when(_of(ids.LIQUIDITY_GUARD), F.col("over_time"))})
+    return found.select(
+        *jobs.columns, F.col("series_start").isNotNull().alias("has_liquidity"),
+        F.col("entry_known").alias("entry_liquidity"),
+        F.col("end_known").alias("end_liquidity"), F.col("end_next_ts").alias("next_liq_ts"),
+        F.col("end_next").alias("next_liquidity"))
 
 
 def with_prices(jobs: DataFrame, price: DataFrame) -> DataFrame:
     """Price at entry, at the end of the period, right after it, and at a liquidity drop."""
-    probes = (
-        _probe(jobs, "entry", "entry_signal_time")
-        .unionByName(_probe(jobs, "end", F.when(F.col("strategy_type") == ids.TIME_EXIT,
-                                                F.col("end_time")).otherwise(_after_entry())))
-        .unionByName(_probe(jobs, "drop", "drop_ts").where("at is not null"))
-    )
-    known = F.coalesce("prev_price", "first_price")
-    found = asof(probes, price, ["price"], "at", forward=True).groupBy(*JOB).agg(
-        _pick("entry", known).alias("entry_signal_price"),
-        _pick("end", known).alias("end_price"),
-        _pick("end", "next_ts").alias("next_price_ts"),
-        _pick("end", "next_price").alias("next_price"),
-        _pick("drop", known).alias("drop_price"))
-    return jobs.join(found, JOB)
+    found = _ask(jobs, price, "price", {
+        "entry": F.col("entry_signal_time"),
+        "end": F.when(_of(ids.TIME_EXIT), F.col("end_time")).otherwise(F.col("over_time")),
+        "drop": F.col("drop_ts")})
+
+    def known(name: str) -> Column:
+        return F.coalesce(f"{name}_known", "first_known")
 
+    return found.select(
+        *jobs.columns, known("entry").alias("entry_signal_price"), known("end").alias("end_price"),
+        F.col("end_next_ts").alias("next_price_ts"), F.col("end_next").alias("next_price"),
+        known("drop").alias("drop_price"))
 
-def held_points(jobs: DataFrame, series: DataFrame, horizon_ms: int) -> DataFrame:
-    """Points strictly inside the holding period of every job.
+
+def _held(jobs: DataFrame, applies: Column, series: DataFrame, value: str,
+          horizon_ms: int) -> DataFrame:
+    """Jobs with the points strictly inside their holding period (one NULL point if none).
 
     A job is repeated once per slice of its holding period (at most ten) and the series
     joined on (candidate, slice), so a hot candidate is spread over its slices.
     """
     width = max(HOUR_MS, horizon_ms // 8)
-    spans = jobs.withColumn(SLICE, F.explode(F.sequence(
-        F.expr(f"entry_signal_time div {width}"), F.expr(f"end_time div {width}"))))
-    points = series.withColumn(SLICE, F.expr(f"timestamp_ms div {width}"))
-    t = F.col("timestamp_ms")
-    return points.join(spans, ["candidate_id", SLICE]).where(
-        (t > F.col("entry_signal_time")) & (t < F.col("end_time")))
+    spans = F.sequence(F.expr(f"entry_signal_time div {width}"), F.expr(f"end_time div {width}"))
+    # slice -1 keeps the jobs that the rule does not concern and never matches
+    spread = jobs.where("candidate_id is not null").withColumn("_span", F.explode(
+        F.when(applies, spans).otherwise(F.array(F.lit(-1).cast("long")))))
+    points = series.select(F.col("candidate_id").alias("_cand"), F.col("timestamp_ms").alias("_t"),
+                           F.col(value).alias("_x"),
+                           F.expr(f"timestamp_ms div {width}").alias("_point_span"))
+    return spread.join(
+        points,
+        (F.col("candidate_id") == F.col("_cand")) & (F.col("_span") == F.col("_point_span"))
+        & (F.col("_t") > F.col("entry_signal_time")) & (F.col("_t") < F.col("end_time")),
+        "left")
+
+
+def with_guard_hits(jobs: DataFrame, liquidity: DataFrame, horizon_ms: int) -> DataFrame:
+    """First drop below the threshold inside the period, and the lowest liquidity there."""
+    held = _held(jobs, _of(ids.LIQUIDITY_GUARD) & F.col("entry_liquidity").isNotNull(),
+                 liquidity, "liquidity", horizon_ms)
+    threshold = F.col("entry_liquidity") * (1 - F.col("liquidity_drop_pct"))
+    at = F.when(F.col("_x") < threshold, F.col("_t"))
+    return held.groupBy(*jobs.columns).agg(
+        F.min(at).alias("drop_ts"), F.min_by("_x", at).alias("drop_liquidity"),
+        F.min("_x").alias("min_held"))
 
 
-def guard_hits(jobs: DataFrame, liquidity: DataFrame, horizon_ms: int) -> DataFrame:
-    """First drop below the threshold inside the period, and the lowest liquidity there."""
-    guard = jobs.where(
-        (F.col("strategy_type") == ids.LIQUIDITY_GUARD) & F.col("entry_liquidity").isNotNull()
-    ).select(*JOB, "entry_signal_time", "end_time",
-             (F.col("entry_liquidity") * (1 - F.col("liquidity_drop_pct"))).alias("threshold"))
-    held = held_points(guard, liquidity.select("candidate_id", "timestamp_ms", "liquidity"),
-                       horizon_ms)
-    x = F.col("liquidity")
-    at = F.when(x < F.col("threshold"), F.col("timestamp_ms"))
-    return held.groupBy(*JOB).agg(
-        F.min(at).alias("drop_ts"), F.min_by(x, at).alias("drop_liquidity"),
-        F.min(x).alias("min_held"))
-
-
-def trailing_hits(jobs: DataFrame, price: DataFrame, horizon_ms: int) -> DataFrame:
+def with_trailing_hits(jobs: DataFrame, price: DataFrame, horizon_ms: int) -> DataFrame:
     """First stop inside the period with its price and peak, and the highest price there."""
-    trail = jobs.where(
-        (F.col("strategy_type") == ids.TRAILING_STOP) & F.col("entry_signal_price").isNotNull()
-    ).select(*JOB, "entry_signal_time", "end_time", "entry_signal_price", "trail_pct",
-             "initial_stop_pct")
-    held = held_points(trail, price.select("candidate_id", "timestamp_ms", "price"), horizon_ms)
-    x, entry = F.col("price"), F.col("entry_signal_price")
-    carried = held.groupBy(*JOB, SLICE).agg(F.max(x).alias("top")).select(
-        *JOB, SLICE, F.max("top").over(earlier_slices(JOB)).alias("carried_top"))
-    rows = held.withColumn("own_top", F.max(x).over(upto(slice_window(JOB, "timestamp_ms"))))
-    peak = F.greatest(entry, F.col("own_top"), F.col("carried_top"))
+    held = _held(jobs, _of(ids.TRAILING_STOP) & F.col("entry_signal_price").isNotNull(),
+                 price, "price", horizon_ms)
+    x, entry = F.col("_x"), F.col("entry_signal_price")
+    rows = held.withColumn("_own_top", F.max(x).over(upto(
+        Window.partitionBy(*JOB, "_span").orderBy("_t"))))
+    # reads every job column, so both branches share one shuffle
+    edges = rows.groupBy(*JOB, "_span").agg(F.max("_own_top").alias("_top"))
+    carried = edges.select(
+        *JOB, "_span",
+        F.max("_top").over(before(Window.partitionBy(*JOB).orderBy("_span"))).alias("_carried"))
+    joined = rows.join(carried, [*JOB, "_span"], "left")
+    peak = F.greatest(entry, F.col("_own_top"), F.col("_carried"))
     stopped = (x <= entry * (1 - F.col("initial_stop_pct"))) | (
-        x <= F.col("peak") * (1 - F.col("trail_pct")))
-    at = F.when(stopped, F.col("timestamp_ms"))
-    return (
-        attach(rows, carried, JOB).withColumn("peak", peak).groupBy(*JOB)
-        .agg(F.min(at).alias("stop_ts"), F.min_by(x, at).alias("stop_price"),
-             F.min_by("peak", at).alias("stop_peak"), F.max(x).alias("max_held"))
-    )
+        x <= F.col("_peak") * (1 - F.col("trail_pct")))
+    at = F.when(stopped, F.col("_t"))
+    return joined.withColumn("_peak", peak).groupBy(*jobs.columns).agg(
+        F.min(at).alias("stop_ts"), F.min_by(x, at).alias("stop_price"),
+        F.min_by("_peak", at).alias("stop_peak"), F.max(x).alias("max_held"))
 
 
 def _rejection() -> Column:
@@ -211,9 +228,17 @@ def _rejection() -> Column:
     )
 
 
+def _nulls(df: DataFrame, **columns: str) -> DataFrame:
+    return df.withColumns({n: F.lit(None).cast(t) for n, t in columns.items()})
+
+
 def evaluate(candidates: DataFrame, price: DataFrame, liquidity: DataFrame,
-             rules: list[tuple] | None = None) -> DataFrame:
-    """One row per (candidate, rule): the exit, or the reason why there is none."""
+             rules: list[tuple] | None = None, stage=materialize) -> DataFrame:
+    """One row per (candidate, rule): the exit, or the reason why there is none.
+
+    The narrow job table is staged between the passes over the series, so that no pass is
+    planned or run twice; ``stage`` can be replaced, e.g. by a function that does nothing.
+    """
     spark = candidates.sparkSession
     rules = default_rules() if rules is None else rules
     families = {r[0] for r in rules}
@@ -225,17 +250,15 @@ def evaluate(candidates: DataFrame, price: DataFrame, liquidity: DataFrame,
                    rule_table(spark, rules))
     jobs = with_entry_liquidity(jobs, liquidity)
     if ids.LIQUIDITY_GUARD in families:
-        jobs = jobs.join(guard_hits(jobs, liquidity, horizon(ids.LIQUIDITY_GUARD)), JOB, "left")
+        jobs = stage(with_guard_hits(jobs, liquidity, horizon(ids.LIQUIDITY_GUARD)), "jobs-guard")
     else:
-        jobs = jobs.selectExpr("*", "cast(null as long) drop_ts",
-                               "cast(null as double) drop_liquidity",
-                               "cast(null as double) min_held")
+        jobs = _nulls(jobs, drop_ts="long", drop_liquidity="double", min_held="double")
     jobs = with_prices(jobs, price)
     if ids.TRAILING_STOP in families:
-        jobs = jobs.join(trailing_hits(jobs, price, horizon(ids.TRAILING_STOP)), JOB, "left")
+        jobs = with_trailing_hits(stage(jobs, "jobs-price"), price, horizon(ids.TRAILING_STOP))
     else:
-        jobs = jobs.selectExpr("*", "cast(null as long) stop_ts", "cast(null as double) stop_price",
-                               "cast(null as double) stop_peak", "cast(null as double) max_held")
+        jobs = _nulls(jobs, stop_ts="long", stop_price="double", stop_peak="double",
+                      max_held="double")
     return _decide(jobs)
 
 

@@ -29,7 +29,7 @@ def derivatives(series: DataFrame, value: str, carry_gaps: bool = False) -> Data
     x, t = F.col(value), F.col("timestamp_ms")
     w = slice_window(KEY, "timestamp_ms")
     rows = (
-        add_slice(series)
+        add_slice(series, KEY)
         .withColumn("_pt", F.lag(t).over(w)).withColumn("_px", F.lag(x).over(w))
         .withColumn("_v", _rate(x, F.col("_px"), t, F.col("_pt")))
         .withColumn("_pv", last_known("_v", before(w)) if carry_gaps else F.lag("_v").over(w))
@@ -141,7 +141,7 @@ def derived_features(price: DataFrame, liquidity: DataFrame,
     w = slice_window(KEY, "timestamp_ms", "kind")
     b = before(w)
     rows = (
-        add_slice(p.unionByName(q))
+        add_slice(p.unionByName(q), KEY)
         .withColumn("pt", last_known(F.when(is_p, t), b))
         .withColumn("px", last_known(F.when(is_p, x), b))
         .withColumn("qt", last_known(F.when(is_q, t), b))

@@ -74,7 +74,7 @@ def _with(body: str, coarse: bool = False, **extra: str) -> str:
     def need(text: str) -> None:
         import re
         for name in parts:
-            if name not in used and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
+            if name not in used and re.search(rf"(\b(FROM|JOIN)|,)\s+{name}\b", text):
                 need(parts[name])
                 if name not in used:
                     used.append(name)
@@ -434,7 +434,7 @@ TRADES = """
                        fee + prio AS entry_cost_sol, fee + prio AS exit_cost_sol,
                        entry_signal_price * (1 + slip / 200) * (mev / 100) AS mev_cost_sol
                 FROM (SELECT *, NULL::DOUBLE AS peak_price, NULL::DOUBLE AS min_liquidity FROM time_exit
-                      UNION ALL BY NAME SELECT *, NULL::DOUBLE AS min_liquidity FROM trailing_exit_exit
+                      UNION ALL BY NAME SELECT *, NULL::DOUBLE AS min_liquidity FROM trailing_exit
                       UNION ALL BY NAME SELECT *, NULL::DOUBLE AS peak_price FROM guard), scenarios))"""
 
 _EXITS = dict(entry=_entry(), time_exit=TIME_EXIT, trail=TRAIL_ROWS, trailing_exit=TRAILING,

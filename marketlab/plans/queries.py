@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketlab.functions import ids
 from marketlab.functions.timecols import DAY_MS
 from marketlab.operators import asof, discovery, exits, features, series
+from marketlab.session import materialize
 from marketlab.sources.adapters import Dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,13 +243,20 @@ def demo_rules() -> list[tuple]:
         exits.rule(ids.LIQUIDITY_GUARD, e, drop=0.80, max_hold=3 * DAY_MS))]
 
 
+def stored_series(d: Dataset) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates and both series as stored tables, the way the rules find them."""
+    return (materialize(d.token_candidates(), "token_candidates"),
+            materialize(price_of(d), "price_timeseries"),
+            materialize(liquidity_of(d), "liquidity_timeseries"))
+
+
 def grid_of(d: Dataset) -> DataFrame:
-    return exits.evaluate(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules())
+    return exits.evaluate(*stored_series(d), demo_rules())
 
 
 def family_exits(d: Dataset, family: str) -> DataFrame:
     run = exits.exit_rule(family)
-    return run(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules()).drop(
+    return run(*stored_series(d), demo_rules()).drop(
         "rule_no", "strategy_type", "source")
 
 
@@ -268,7 +276,7 @@ def q_guard(d):
 
 
 def trades_of(d: Dataset) -> DataFrame:
-    return exits.trade_records(d.token_candidates(), price_of(d), liquidity_of(d), demo_rules())
+    return exits.trade_records(*stored_series(d), demo_rules())
 
 
 @query("trade_records")
@@ -279,5 +287,6 @@ def q_trades(d):
 @query("rejected_jobs")
 def q_rejected(d):
     """Entries before the first liquidity event: the guard has nothing to guard."""
-    early = d.token_candidates().withColumn("discovered_at", F.col("discovered_at") - 5 * DAY_MS)
-    return exits.rejected(exits.evaluate(early, price_of(d), liquidity_of(d), demo_rules()))
+    candidates, price, liquidity = stored_series(d)
+    early = candidates.withColumn("discovered_at", F.col("discovered_at") - 5 * DAY_MS)
+    return exits.rejected(exits.evaluate(early, price, liquidity, demo_rules()))
