@@ -110,19 +110,24 @@ def spike_report(swaps: DataFrame, metadata: DataFrame, rule: SpikeRule = SpikeR
     now = swaps.agg(F.max("timestamp").alias("now_ms"))  # exactly one row
     t = F.col("timestamp")
     recent = t >= F.col("now_ms") - HOUR_MS
-    last = F.max_by(F.struct("tx_signature", "event_index", "slot"),
-                    F.when(recent, F.struct("timestamp", "event_index", "slot", "tx_signature")))
-    stats = (
+    # reduced to one row per candidate before the join with the metadata
+    per_candidate = (
         swaps.crossJoin(F.broadcast(now))
         .where((t >= F.col("now_ms") - DAY_MS) & (t < F.col("now_ms")))
-        .join(metadata.select("candidate_id", "mint"), "candidate_id")
+        .groupBy("candidate_id")
+        .agg(
+            F.sum(F.when(recent, F.col("amount_out"))).alias("v1"), F.count_if(recent).alias("n1"),
+            F.sum("amount_out").alias("v24"), F.count(F.lit(1)).alias("n24"),
+            F.max(F.when(recent, F.struct("timestamp", "event_index", "slot", "tx_signature")))
+            .alias("e"))
+    )
+    stats = (
+        per_candidate.join(metadata.select("candidate_id", "mint"), "candidate_id")
         .groupBy("mint")
         .agg(
-            F.sum(F.when(recent, F.col("amount_out"))).alias("volume_1h"),
-            F.count_if(recent).alias("swaps_1h"),
-            (F.sum("amount_out") / 24.0).alias("volume_24h_avg"),
-            (F.count(F.lit(1)) / 24.0).alias("swaps_24h_avg"),
-            last.alias("e"), F.max(F.when(recent, t)).alias("timestamp"))
+            F.sum("v1").alias("volume_1h"), F.sum("n1").alias("swaps_1h"),
+            (F.sum("v24") / 24.0).alias("volume_24h_avg"),
+            (F.sum("n24") / 24.0).alias("swaps_24h_avg"), F.max("e").alias("e"))
         .withColumn("volume_spike", F.col("volume_1h") > rule.volume * F.col("volume_24h_avg"))
         .withColumn("swaps_spike", F.col("swaps_1h") > rule.swaps * F.col("swaps_24h_avg"))
         .where("volume_spike or swaps_spike")
