@@ -9,28 +9,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marketlab.functions.timecols import HOUR_MS
 from marketlab.schemas import EVENT_ORDER
 
 ReplayFn = Callable[[str, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
-                 start: int | None = None, end: int | None = None) -> DataFrame:
-    """Feed every candidate's events, in event order, to ``fn``; its rows are the result.
+                 slice_ms: int | None = HOUR_MS, start: int | None = None,
+                 end: int | None = None) -> DataFrame:
+    """Feed ordered events to ``fn``; its rows are the result.
 
     ``fn(candidate_id, batches)`` is a generator: it receives the events of one candidate
-    as consecutive Arrow-sized batches and may keep state between them.  Events are range
-    partitioned and sorted by (candidate, order), so a partition streams through one batch
-    at a time and no group is ever held in memory.  All events of a candidate are replayed
-    in one task because the function is sequential by contract.
+    and one time slice, in event order, as consecutive Arrow-sized batches.  A partition
+    streams through one batch at a time, so no group is held in memory, and a hot candidate
+    is spread over its slices.  Results that span slices are folded with ordinary
+    aggregates afterwards.
+
+    With ``slice_ms=None`` a function that must see a whole candidate in sequence gets it in
+    one task; use it only where candidates are known to be small.
     """
     t = F.col("timestamp")
     if start is not None:
         merged = merged.where(t >= start)
     if end is not None:
         merged = merged.where(t < end)
-    ordered = merged.repartition("candidate_id").sortWithinPartitions(
-        "candidate_id", *EVENT_ORDER, "tie")
+    part = F.lit(0).cast("long") if slice_ms is None else F.expr(f"timestamp div {slice_ms}")
+    ordered = (
+        merged.withColumn("_slice", part).repartition("candidate_id", "_slice")
+        .sortWithinPartitions("candidate_id", "_slice", *EVENT_ORDER, "tie")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = _Groups(batches)
@@ -41,12 +49,12 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
 
 
 class _Groups:
-    """Cuts sorted batches at the change of candidate without holding more than one batch."""
+    """Cuts sorted batches at the change of group without holding more than one batch."""
 
     def __init__(self, batches: Iterator[pd.DataFrame]):
         self._batches = batches
         self._rest: pd.DataFrame | None = None
-        self._current: str | None = None
+        self._current: tuple | None = None
 
     def _next(self) -> bool:
         while self._rest is None or self._rest.empty:
@@ -57,22 +65,23 @@ class _Groups:
 
     def __iter__(self) -> Iterator[str]:
         while self._next():
-            first = self._rest["candidate_id"].iloc[0]
+            first = (self._rest["candidate_id"].iloc[0], self._rest["_slice"].iloc[0])
             if first == self._current:  # left over by a function that stopped early
                 for _ in self.batches():
                     pass
                 continue
             self._current = first
-            yield first
+            yield first[0]
 
     def batches(self) -> Iterator[pd.DataFrame]:
         while self._next():
-            mine = (self._rest["candidate_id"] == self._current).to_numpy()
+            mine = ((self._rest["candidate_id"] == self._current[0])
+                    & (self._rest["_slice"] == self._current[1])).to_numpy()
             if not mine[0]:
                 return
             cut = len(mine) if mine.all() else int((~mine).argmax())
             part, self._rest = self._rest.iloc[:cut], self._rest.iloc[cut:]
-            yield part.reset_index(drop=True)
+            yield part.drop(columns="_slice").reset_index(drop=True)
 
 
 COUNTS = "candidate_id string, events long, swaps long, liquidity_events long, first_ts long, last_ts long"
@@ -93,6 +102,14 @@ def count_events(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd
                                 "first_ts", "last_ts"])
 
 
+def replay_statistics(merged: DataFrame) -> DataFrame:
+    """Events by kind and time range per candidate, counted by the replay itself."""
+    parts = replay_apply(merged, count_events, COUNTS)
+    return parts.groupBy("candidate_id").agg(
+        *[F.sum(c).alias(c) for c in ("events", "swaps", "liquidity_events")],
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
 SIGNALS = "candidate_id string, reason string, timestamp long, position long"
 
 

@@ -190,6 +190,9 @@ def oracle_sql() -> dict[str, str]:
     FROM price p LEFT JOIN liq l USING (candidate_id, timestamp_ms)""", True)
     out.update(_discovery())
     out.update(_exits())
+    out.update(_metrics())
+    out.update(_quality())
+    out.update(_tables())
     return out
 
 
@@ -452,3 +455,400 @@ def _exits() -> dict[str, str]:
            'entry liquidity cannot be determined' AS reason
     FROM entry WHERE entry_liquidity IS NULL""", entry=_entry(5)),
     }
+
+
+# --- metrics and reports ------------------------------------------------------------------
+
+WTRADES = f"""
+    SELECT sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)) AS trade_id,
+           CAST(l_partkey AS VARCHAR) AS candidate_id,
+           ['TIME_EXIT', 'TRAILING_STOP', 'LIQUIDITY_GUARD'][l_suppkey % 3 + 1] || '_X' AS strategy_id,
+           ['optimistic', 'realistic', 'pessimistic', 'degraded'][l_orderkey % 4 + 1] AS scenario_id,
+           (epoch_us(l_shipdate) // 1000 // {DAY}) * {DAY} AS entry_signal_time, outcome,
+           CASE WHEN outcome > 0 THEN 'WIN' ELSE 'LOSS' END AS outcome_class
+    FROM (SELECT *, (l_extendedprice / l_quantity - CAST(1400 AS DOUBLE)) / CAST(1400 AS DOUBLE)
+            AS outcome FROM lineitem)"""
+
+WCAND = """
+    SELECT CAST(p_partkey AS VARCHAR) AS candidate_id,
+           CASE WHEN p_partkey % 3 = 0 THEN 'ACTIVE_TOKEN' ELSE 'NEW_TOKEN' END AS source
+    FROM part WHERE p_partkey % 7 <> 0"""
+
+CANON = """CASE WHEN strategy_id LIKE 'TIME_EXIT%' THEN 'TIME_EXIT'
+      WHEN strategy_id LIKE 'TRAILING_STOP%' THEN 'TRAILING_STOP'
+      WHEN strategy_id LIKE 'LIQUIDITY_GUARD%' THEN 'LIQUIDITY_GUARD' ELSE strategy_id END"""
+
+
+def _grouped(trades: str, candidates: str) -> str:
+    return f"""
+    SELECT t.* REPLACE ({CANON.replace("strategy_id", "t.strategy_id")} AS strategy_id),
+           c.source AS entry_event_type
+    FROM {trades} t JOIN {candidates} c USING (candidate_id)"""
+
+
+K = "strategy_id, scenario_id, entry_event_type"
+
+STEPS = f"""
+    SELECT *, sum(outcome) OVER w AS cum,
+           sum(CASE WHEN outcome > 0 THEN 1 ELSE 0 END) OVER w AS island
+    FROM grouped WINDOW w AS (PARTITION BY {K} ORDER BY entry_signal_time, trade_id)"""
+
+FALLS = f"""
+    SELECT {K}, max(greatest(0, peak) - cum) AS dd FROM (
+      SELECT *, max(cum) OVER (PARTITION BY {K} ORDER BY entry_signal_time, trade_id) AS peak
+      FROM steps) GROUP BY {K}"""
+
+STREAKS = f"""
+    SELECT {K}, max(n) AS streak FROM (
+      SELECT {K}, island, count(*) FILTER (outcome <= 0) AS n FROM steps GROUP BY {K}, island)
+    GROUP BY {K}"""
+
+TOKENS = f"""
+    SELECT {K}, count(*) AS total_tokens, count(*) FILTER (m > 0) / CAST(count(*) AS DOUBLE) AS token_win_rate
+    FROM (SELECT {K}, candidate_id, avg(outcome) AS m FROM grouped GROUP BY {K}, candidate_id)
+    GROUP BY {K}"""
+
+
+def _q(p: str) -> str:
+    return f"round(quantile_cont(outcome, CAST({p} AS DOUBLE)), 6)"
+
+
+def _own(s: str) -> str:
+    return f"CASE WHEN scenario_id = '{s}' THEN round(avg(outcome), 6) END"
+
+
+AGG = f"""
+    SELECT {K}, count(*) AS total_trades, any_value(total_tokens) AS total_tokens,
+           count(*) FILTER (outcome_class = 'WIN') AS wins,
+           count(*) FILTER (outcome_class <> 'WIN') AS losses,
+           round(count(*) FILTER (outcome_class = 'WIN') / CAST(count(*) AS DOUBLE), 6) AS win_rate,
+           round(any_value(token_win_rate), 6) AS token_win_rate,
+           round(avg(outcome), 6) AS outcome_mean, {_q('0.5')} AS outcome_median,
+           {_q('0.1')} AS outcome_p10, {_q('0.25')} AS outcome_p25, {_q('0.75')} AS outcome_p75,
+           {_q('0.9')} AS outcome_p90, round(min(outcome), 6) AS outcome_min,
+           round(max(outcome), 6) AS outcome_max,
+           round(coalesce(stddev_samp(outcome), 0), 6) AS outcome_stddev,
+           round(any_value(dd), 6) AS max_drawdown, any_value(streak) AS max_consecutive_losses,
+           {_own('realistic')} AS outcome_realistic, {_own('pessimistic')} AS outcome_pessimistic,
+           {_own('degraded')} AS outcome_degraded
+    FROM grouped JOIN falls USING ({K}) JOIN streaks USING ({K}) JOIN tokens USING ({K})
+    GROUP BY {K}"""
+
+_WIDE = dict(wtrades=WTRADES, wcand=WCAND, grouped=_grouped("wtrades", "wcand"), steps=STEPS,
+             falls=FALLS, streaks=STREAKS, tokens=TOKENS, agg=AGG)
+
+DECIDED = """
+    SELECT *, CASE WHEN pessimistic_median IS NULL THEN 'INSUFFICIENT_DATA'
+                   WHEN go_positive AND go_median AND go_stable AND go_not_outliers
+                     AND go_implementable AND NOT (nogo_low_positive OR nogo_median
+                       OR nogo_edge_gone OR nogo_not_implementable) THEN 'GO'
+                   ELSE 'NO-GO' END AS verdict
+    FROM (SELECT *, positive_outcome_pct >= 5 AS go_positive, realistic_median > 0 AS go_median,
+                 coalesce(realistic_median > 0 AND pessimistic_median > 0
+                   AND pessimistic_median / realistic_median >= CAST(0.5 AS DOUBLE), false) AS go_stable,
+                 outcome_p25 > 0 AS go_not_outliers, implementable AS go_implementable,
+                 positive_outcome_pct < 5 AS nogo_low_positive, realistic_median <= 0 AS nogo_median,
+                 coalesce(realistic_median > 0 AND pessimistic_median <= 0, false) AS nogo_edge_gone,
+                 NOT implementable AS nogo_not_implementable
+          FROM (SELECT r.strategy_id, r.entry_event_type,
+                       round(r.token_win_rate * 100, 4) AS positive_outcome_pct,
+                       r.outcome_mean AS realistic_mean, r.outcome_median AS realistic_median,
+                       p.outcome_mean AS pessimistic_mean, p.outcome_median AS pessimistic_median,
+                       coalesce(d.outcome_mean, 0) AS degraded_mean, r.outcome_p10, r.outcome_p25,
+                       r.outcome_p75, r.outcome_p90, true AS implementable
+                FROM (SELECT * FROM agg WHERE scenario_id = 'realistic') r
+                LEFT JOIN (SELECT * FROM agg WHERE scenario_id = 'pessimistic') p
+                  USING (strategy_id, entry_event_type)
+                LEFT JOIN (SELECT * FROM agg WHERE scenario_id = 'degraded') d
+                  USING (strategy_id, entry_event_type)))"""
+
+SUMMARY = f"""
+    SELECT count(*) AS total_candidates,
+           count(*) FILTER (source = 'NEW_TOKEN') AS new_token_candidates,
+           count(*) FILTER (source = 'ACTIVE_TOKEN') AS active_token_candidates,
+           min(discovered_at) AS date_range_start, max(discovered_at) AS date_range_end,
+           (SELECT count(DISTINCT trade_id) FROM wtrades) AS total_trades
+    FROM token_candidates"""
+
+
+def _metrics() -> dict[str, str]:
+    ex = {**_EXITS, "grouped": _grouped("trades", "token_candidates"), "steps": STEPS,
+          "falls": FALLS, "streaks": STREAKS, "tokens": TOKENS, "agg": AGG}
+    out = {
+        "strategy_aggregates": _with("SELECT * FROM agg", **_WIDE),
+        "strategy_aggregates_exits": _with("SELECT * FROM agg", **ex),
+        "missing_candidates": _with("""
+    SELECT candidate_id, count(*) AS trades FROM wtrades
+    WHERE candidate_id NOT IN (SELECT candidate_id FROM wcand) GROUP BY 1""", **_WIDE),
+        "grouping_levels": _with(f"""
+    SELECT strategy_id, scenario_id, entry_event_type,
+           CAST(grouping(strategy_id, scenario_id, entry_event_type) AS INTEGER) AS level,
+           count(*) AS total_trades,
+           round(count(*) FILTER (outcome_class = 'WIN') / CAST(count(*) AS DOUBLE), 6) AS win_rate,
+           round(avg(outcome), 6) AS outcome_mean
+    FROM grouped GROUP BY GROUPING SETS
+      ((strategy_id, scenario_id, entry_event_type), (strategy_id, scenario_id), (strategy_id))""",
+            **_WIDE),
+        "trade_metrics": _with(f"""
+    SELECT strategy_id, scenario_id, count(*) AS trades,
+           round(count(*) FILTER (outcome_class = 'WIN') / CAST(count(*) AS DOUBLE), 6) AS win_rate,
+           round(avg(outcome), 6) AS outcome_mean, {_q('0.25')} AS p25, {_q('0.5')} AS p50,
+           {_q('0.75')} AS p75 FROM wtrades GROUP BY 1, 2""", **_WIDE),
+    }
+    med = {s: f"coalesce(max(outcome_median) FILTER (scenario_id = '{s}'), 0)"
+           for s in ("optimistic", "realistic", "pessimistic", "degraded")}
+    out["scenario_pivot"] = _with(f"""
+    SELECT *, CASE WHEN realistic_median <> 0 THEN
+             round((realistic_median - pessimistic_median) / realistic_median * 100, 4)
+             ELSE CAST(0 AS DOUBLE) END AS degradation_pct
+    FROM (SELECT strategy_id, entry_event_type,
+                 {', '.join(f'{e} AS {s}_median' for s, e in med.items())}
+          FROM agg GROUP BY 1, 2)""", **_WIDE)
+
+    def src(t: str, c: str) -> str:
+        return f"coalesce(max({c}) FILTER (entry_event_type = '{t}'), 0)"
+
+    out["source_comparison"] = _with(f"""
+    SELECT *, round(new_token_win_rate - active_token_win_rate, 6) AS delta_win_rate,
+           round(new_token_median - active_token_median, 6) AS delta_median
+    FROM (SELECT strategy_id, scenario_id,
+                 {src('NEW_TOKEN', 'win_rate')} AS new_token_win_rate,
+                 {src('ACTIVE_TOKEN', 'win_rate')} AS active_token_win_rate,
+                 {src('NEW_TOKEN', 'outcome_median')} AS new_token_median,
+                 {src('ACTIVE_TOKEN', 'outcome_median')} AS active_token_median
+          FROM agg WHERE scenario_id = 'realistic' GROUP BY 1, 2)""", **_WIDE)
+    cells = ", ".join(f"max(value) FILTER (scenario_id = '{s}') AS {s}"
+                      for s in ("optimistic", "realistic", "pessimistic", "degraded"))
+    rows = " UNION ALL ".join(f"SELECT {K}, '{m}' AS metric, {m} AS value FROM agg"
+                              for m in ("win_rate", "outcome_mean", "outcome_median", "max_drawdown"))
+    out["metric_matrix"] = _with(f"""
+    SELECT strategy_id, entry_event_type, metric, {cells} FROM ({rows}) GROUP BY 1, 2, 3""", **_WIDE)
+    out["strategy_rank"] = _with("""
+    SELECT entry_event_type, CAST(row_number() OVER (PARTITION BY entry_event_type
+             ORDER BY outcome_median DESC, win_rate DESC, max_drawdown, strategy_id) AS INTEGER) AS rank,
+           strategy_id, outcome_median, win_rate, max_drawdown
+    FROM agg WHERE scenario_id = 'realistic'""", **_WIDE)
+    out["best_strategies"] = _with("""
+    SELECT strategy_id, entry_event_type, outcome_median, win_rate FROM agg
+    WHERE scenario_id = 'realistic'
+    ORDER BY outcome_median DESC, strategy_id, entry_event_type LIMIT 10""", **_WIDE)
+    out["scenario_gap"] = _with("""
+    SELECT r.strategy_id, r.entry_event_type, r.outcome_mean AS realistic_mean,
+           r.outcome_median AS realistic_median, p.outcome_mean AS pessimistic_mean,
+           p.outcome_median AS pessimistic_median
+    FROM agg r JOIN agg p USING (strategy_id, entry_event_type)
+    WHERE r.scenario_id = 'realistic' AND p.scenario_id = 'pessimistic'""", **_WIDE)
+    out["strategy_counts"] = _with("""
+    SELECT count(DISTINCT strategy_id) AS strategies, count(DISTINCT scenario_id) AS scenarios
+    FROM agg""", **_WIDE)
+    out["replay_references"] = _with(f"""
+    SELECT DISTINCT {CANON} AS strategy_id, scenario_id, candidate_id FROM wtrades
+    WHERE ({CANON}, scenario_id) IN (SELECT (strategy_id, scenario_id) FROM agg)""", **_WIDE)
+    out["data_summary"] = _with("SELECT * FROM summary", summary=SUMMARY, **_WIDE)
+    out["drawdown_and_streak"] = _with(f"""
+    SELECT strategy_id, scenario_id, round(max(greatest(0, peak) - cum), 6) AS max_drawdown,
+           any_value(streak) AS max_consecutive_losses
+    FROM (SELECT *, max(cum) OVER w AS peak
+          FROM (SELECT *, sum(outcome) OVER w AS cum FROM wtrades
+                WINDOW w AS (PARTITION BY strategy_id, scenario_id ORDER BY entry_signal_time, trade_id))
+          WINDOW w AS (PARTITION BY strategy_id, scenario_id ORDER BY entry_signal_time, trade_id))
+    JOIN (SELECT strategy_id, scenario_id, max(n) AS streak FROM (
+            SELECT strategy_id, scenario_id, island, count(*) FILTER (outcome <= 0) AS n
+            FROM (SELECT *, sum(CASE WHEN outcome > 0 THEN 1 ELSE 0 END) OVER (
+                    PARTITION BY strategy_id, scenario_id ORDER BY entry_signal_time, trade_id) AS island
+                  FROM wtrades) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (strategy_id, scenario_id)
+    GROUP BY 1, 2""", **_WIDE)
+    return out
+
+
+RUNS = """
+    SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS days
+    FROM (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM days) GROUP BY island"""
+
+CHECKS = f"""
+    SELECT 1 AS check_no, 'Unique NEW_TOKEN candidates' AS name, '>= 300' AS threshold,
+           CAST(count(*) AS DOUBLE) AS actual, count(*) >= 300 AS pass
+    FROM token_candidates WHERE source = 'NEW_TOKEN'
+    UNION ALL
+    SELECT 2, 'Discovery uptime', '>= 7 days (continuous)', CAST(max(days) AS DOUBLE), max(days) >= 7
+    FROM day_runs
+    UNION ALL
+    SELECT 3, 'Backtest data coverage', '>= 14 days',
+           round((max(timestamp_ms) - min(timestamp_ms)) / CAST({DAY} AS DOUBLE), 6),
+           max(timestamp_ms) - min(timestamp_ms) >= 14 * {DAY}
+    FROM (SELECT timestamp_ms FROM price UNION ALL SELECT timestamp_ms FROM liq)
+    UNION ALL
+    SELECT 4, 'Duplicate candidate_id count', '= 0', CAST(count(*) AS DOUBLE), count(*) = 0
+    FROM (SELECT candidate_id FROM token_candidates GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL
+    SELECT 5, 'Missing events count', '= 0', CAST(a + b AS DOUBLE), a + b = 0
+    FROM (SELECT (SELECT count(*) FROM token_candidates WHERE candidate_id NOT IN
+                    (SELECT candidate_id FROM swaps)) AS a,
+                 (SELECT count(*) FROM token_candidates WHERE candidate_id NOT IN
+                    (SELECT candidate_id FROM liquidity_events)) AS b)
+    UNION ALL
+    SELECT 6, 'Replayable tokens', '= 100%',
+           round((count(*) - count(*) FILTER (candidate_id NOT IN (SELECT candidate_id FROM price)))
+                 / CAST(count(*) AS DOUBLE) * 100, 6),
+           count(*) FILTER (candidate_id NOT IN (SELECT candidate_id FROM price)) = 0
+    FROM token_candidates"""
+
+
+def _digest(name: str, line: str, table: str) -> str:
+    part = ", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS UBIGINT)), 0)"
+                     f" AS VARCHAR) AS s{i}" for i in range(4))
+    return f"""
+    SELECT '{name}' AS table_name, n AS rows,
+           sha256(CAST(n AS VARCHAR) || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) AS digest
+    FROM (SELECT count(*) AS n, {part} FROM (SELECT sha256({line}) AS h FROM {table}))"""
+
+
+def _line(*cols: str) -> str:
+    return " || '|' || ".join(f"coalesce({c}, '')" for c in cols)
+
+
+def _quality() -> dict[str, str]:
+    checks = dict(day_runs=RUNS, checks=CHECKS,
+                  days=f"SELECT DISTINCT discovered_at // {DAY} AS day FROM token_candidates")
+    decided = {**_WIDE, "decided": DECIDED}
+    out = {
+        "sufficiency": _with("SELECT * FROM checks", **checks),
+        "day_runs": _with("SELECT * FROM runs", runs=RUNS,
+                          days=f"SELECT DISTINCT timestamp // {DAY} AS day FROM ev WHERE value > 100"),
+        "integrity_errors": _with(f"""
+    SELECT candidate_id, 'no swaps' AS error FROM token_candidates WHERE candidate_id NOT IN (
+      SELECT candidate_id FROM swaps WHERE timestamp >= {EVAL_AT})
+    UNION ALL
+    SELECT candidate_id, 'no liquidity' FROM token_candidates WHERE candidate_id NOT IN (
+      SELECT candidate_id FROM liquidity_events WHERE timestamp >= {EVAL_AT})
+    UNION ALL
+    SELECT candidate_id, 'not replayable' FROM token_candidates WHERE candidate_id NOT IN (
+      SELECT candidate_id FROM price)"""),
+        "decision": _with("SELECT * FROM decided", **decided),
+        "decision_criteria": _with("""
+    SELECT strategy_id, entry_event_type, criterion,
+           CASE WHEN criterion LIKE 'nogo_%' THEN NOT flag ELSE flag END AS pass
+    FROM (UNPIVOT (SELECT strategy_id, entry_event_type, COLUMNS('^(go|nogo)_.*') FROM decided)
+          ON COLUMNS('^(go|nogo)_.*') INTO NAME criterion VALUE flag)""", **decided),
+        "executive_summary": _with("""
+    SELECT s.*, c.all_pass, c.failed, b.strategy_id, b.entry_event_type, b.outcome_median, b.win_rate,
+           b.verdict, CASE WHEN NOT all_pass OR verdict IS NULL THEN 'INSUFFICIENT_DATA'
+                           ELSE verdict END AS overall
+    FROM summary s, (SELECT bool_and(pass) AS all_pass, count(*) FILTER (NOT pass) AS failed FROM checks) c,
+         (SELECT a.strategy_id, a.entry_event_type, a.outcome_median, a.win_rate, d.verdict
+          FROM agg a JOIN decided d USING (strategy_id, entry_event_type)
+          WHERE a.scenario_id = 'realistic'
+          ORDER BY a.outcome_median DESC, a.strategy_id, a.entry_event_type LIMIT 1) b""",
+            summary=SUMMARY, **checks, **decided),
+    }
+    t = "CAST({} AS VARCHAR)".format
+    f = "printf('%.8f', {})".format
+    each = " UNION ALL ".join([
+        _digest("candidates", _line("candidate_id", "source", "mint", "pool", "tx_signature",
+                                    t("event_index"), t("slot"), t("discovered_at")), "token_candidates"),
+        _digest("liquidity", _line("candidate_id", t("timestamp_ms"), t("slot"), f("liquidity"),
+                                   f("liquidity_token"), f("liquidity_quote")), "liq"),
+        _digest("price", _line("candidate_id", t("timestamp_ms"), t("slot"), f("price"),
+                               t("swap_count")), "price")])
+    out["dataset_fingerprint"] = _with("""
+    SELECT table_name, rows, digest FROM each
+    UNION ALL
+    SELECT 'ALL', CAST(sum(rows) AS BIGINT), sha256(string_agg(digest, '|' ORDER BY table_name))
+    FROM each""", each=each)
+    return out
+
+
+def _tables() -> dict[str, str]:
+    base = "candidate_id, slot, tx_signature, event_index, timestamp"
+    stats = """
+    SELECT candidate_id, count(*) AS events, count(*) FILTER (kind = 'swap') AS swaps,
+           count(*) FILTER (kind = 'liquidity') AS liquidity_events, min(timestamp) AS first_ts,
+           max(timestamp) AS last_ts FROM merged GROUP BY 1"""
+    merged = f"""
+    SELECT {base}, 'swap' AS kind, 1 AS tie, price, CAST(NULL AS DOUBLE) AS liquidity_after FROM swaps
+    UNION ALL
+    SELECT {base}, 'liquidity', 0, NULL, liquidity_after FROM liquidity_events"""
+    diff = """
+    SELECT trade_id, unnest(list_filter([
+             CASE WHEN n % 5 = 0 THEN 'outcome' END,
+             CASE WHEN n % 7 = 0 AND peak_price IS NOT NULL THEN 'peak_price' END,
+             CASE WHEN n % 11 = 0 THEN 'exit_reason' END], x -> x IS NOT NULL)) AS field
+    FROM (SELECT *, CAST(candidate_id AS BIGINT) AS n FROM trades)"""
+    out = {
+        "merged_events": _with("SELECT * FROM merged", merged=merged),
+        "event_statistics": _with(stats, merged=merged),
+        "replay_apply": _with(stats, merged=merged),
+        "ordering_check": _with(f"""
+    SELECT candidate_id, line, prev_slot, slot FROM (
+      SELECT candidate_id, line, slot, tx_signature, event_index, lag(slot) OVER w AS prev_slot,
+             lag(tx_signature) OVER w AS prev_tx, lag(event_index) OVER w AS prev_index
+      FROM (SELECT candidate_id, tx_signature, event_index, slot * 10 + event_index AS line,
+                   timestamp // {DAY} AS slot FROM swaps_wide)
+      WINDOW w AS (PARTITION BY candidate_id ORDER BY line))
+    WHERE prev_slot IS NOT NULL
+      AND NOT ((prev_slot, prev_tx, prev_index) < (slot, tx_signature, event_index))"""),
+        "trade_diff": _with(diff, **_EXITS),
+        "verification_summary": _with("""
+    SELECT count(*) AS total_trades, count(*) FILTER (NOT bad) AS matched_trades,
+           count(*) FILTER (bad) AS divergent_trades
+    FROM (SELECT n % 5 = 0 OR n % 11 = 0 OR n % 13 = 0 OR (n % 7 = 0 AND peak_price IS NOT NULL) AS bad
+          FROM (SELECT *, CAST(candidate_id AS BIGINT) AS n FROM trades))""", **_EXITS),
+        "append_unique_skip": _with(f"SELECT * FROM swap_events WHERE timestamp >= {EVAL_AT}"),
+        "repeated_keys": _with("""
+    SELECT candidate_id, timestamp, count(*) AS n FROM swaps_wide GROUP BY 1, 2 HAVING count(*) > 1"""),
+        "active_mints": _with(f"""
+    SELECT DISTINCT mint FROM swap_events
+    WHERE timestamp >= {EVAL_AT - DAY} AND timestamp < {EVAL_AT}"""),
+        "time_range": _with("SELECT min(timestamp_ms) AS min_ts, max(timestamp_ms) AS max_ts FROM price"),
+        "range_scans": _with(f"""
+    SELECT count(*) FILTER (timestamp BETWEEN {EVAL_AT - 2 * DAY} AND {EVAL_AT}) AS closed,
+           count(*) FILTER (timestamp >= {EVAL_AT - 2 * DAY} AND timestamp < {EVAL_AT}) AS half_open
+    FROM swaps""", True),
+        "resolve_candidates": _with("""
+    SELECT CASE WHEN slot % 2 = 0 THEN candidate_id WHEN CAST(mint AS BIGINT) % 3 = 0 THEN 'c' || mint
+                END AS candidate_id, mint, tx_signature, event_index, slot FROM liquidity_events"""),
+        "latest_metadata": f"""
+    SELECT candidate_id, mint, name, symbol, decimals, supply, fetched_at FROM (
+      SELECT CAST(user_id AS VARCHAR) || '-' || CAST(day AS VARCHAR) AS candidate_id,
+             CAST(user_id AS VARCHAR) AS mint, 'Token ' || user_id AS name, 'T' || user_id AS symbol,
+             CAST(count(*) AS INTEGER) AS decimals, max(value) AS supply, day AS fetched_at,
+             row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn
+      FROM (SELECT *, (epoch_us(ts) // 1000 // {DAY}) * {DAY} AS day FROM events) GROUP BY user_id, day)
+    WHERE rn = 1""",
+        "decode_swaps": _with(f"""
+    SELECT mint, 'P' || mint AS pool, tx_signature, 1 AS event_index, slot,
+           (timestamp // 1000) * 1000 AS timestamp, CAST(0 AS DOUBLE) AS amount_out
+    FROM swap_events WHERE slot % 7 <> 0 AND timestamp // 1000 < {EVAL_AT} // 1000"""),
+        "decode_liquidity": _with("""
+    SELECT 'short' AS pool, rpad('M' || mint, 32, '1') AS mint,
+           CASE slot % 3 WHEN 0 THEN 'add' ELSE 'remove' END AS event_type,
+           CAST(slot AS DOUBLE) AS amount_token, CAST(slot AS DOUBLE) AS amount_quote, tx_signature,
+           2 AS event_index, slot, (timestamp // 1000) * 1000 AS timestamp
+    FROM swap_events WHERE slot % 7 <> 0 AND slot % 3 < 2"""),
+        "stream_new_token": _with(_new("true")),
+        "stream_volume": _with(f"""
+    SELECT candidate_id, (timestamp // {HOUR}) * {HOUR} AS timestamp_ms, 3600 AS interval_seconds,
+           round(sum(amount_out), 6) AS volume, count(*) AS swap_count,
+           round(coalesce(sum(amount_out) FILTER (side = 'buy'), 0), 6) AS buy_volume,
+           round(coalesce(sum(amount_out) FILTER (side = 'sell'), 0), 6) AS sell_volume
+    FROM swaps GROUP BY 1, 2
+    HAVING (timestamp // {HOUR}) * {HOUR} + {HOUR} <= (SELECT max(timestamp) FROM swaps) - 600000"""),
+        "stream_slot_buffer": _with(
+            "SELECT * FROM swap_events WHERE slot <= (SELECT max(slot) FROM swap_events) - 5"),
+        "stream_enriched": _with("""
+    SELECT CASE WHEN CAST(mint AS BIGINT) % 3 = 0 THEN 'c' || mint END AS candidate_id, mint,
+           tx_signature FROM liquidity_events"""),
+        "backfill": _with(f"""
+    SELECT candidate_id, mint, tx_signature, event_index, slot, timestamp, event_type, amount_quote
+    FROM liquidity_events WHERE timestamp < {EVAL_AT + 3 * DAY}"""),
+    }
+    d6 = "printf('%.6f', {})".format
+    names = ["win_rate", "outcome_mean", "outcome_median", "outcome_p10", "outcome_p25",
+             "outcome_p75", "outcome_p90", "outcome_min", "outcome_max", "outcome_stddev",
+             "max_drawdown"]
+    quoted = ", ".join(f"'\"' || {c} || '\"' AS {c}" for c in K.split(", "))
+    whole = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in
+                      ("total_trades", "wins", "losses", "max_consecutive_losses"))
+    out["csv_text"] = _with(
+        f"SELECT {quoted}, {whole}, {', '.join(f'{d6(c)} AS {c}' for c in names)} FROM agg", **_WIDE)
+    return out

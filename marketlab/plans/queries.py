@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 
 from marketlab.functions import ids
 from marketlab.functions.timecols import DAY_MS
-from marketlab.operators import asof, discovery, exits, features, series
-from marketlab.session import materialize
+from marketlab.operators import (
+    asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
+    verify)
+from marketlab.session import materialize, shared_dir
+from marketlab.sources import decode, tables
 from marketlab.sources.adapters import Dataset
+from marketlab.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -290,3 +296,408 @@ def q_rejected(d):
     candidates, price, liquidity = stored_series(d)
     early = candidates.withColumn("discovered_at", F.col("discovered_at") - 5 * DAY_MS)
     return exits.rejected(exits.evaluate(early, price, liquidity, demo_rules()))
+
+
+# --- metrics and reports ------------------------------------------------------------------
+
+METRICS = ["win_rate", "token_win_rate", "outcome_mean", "outcome_median", "outcome_p10",
+           "outcome_p25", "outcome_p75", "outcome_p90", "outcome_min", "outcome_max",
+           "outcome_stddev", "max_drawdown", "outcome_realistic", "outcome_pessimistic",
+           "outcome_degraded"]
+
+
+def wide_trades(d: Dataset) -> DataFrame:
+    """One synthetic trade per line item: large groups for the outcome metrics.
+
+    The outcome is the relative deviation of the line's unit price from a fixed level.
+    """
+    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    outcome = (unit - 1400.0) / 1400.0
+    return d.table("lineitem").select(
+        F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"),
+                           F.col("l_linenumber").cast("string")), 256).alias("trade_id"),
+        F.col("l_partkey").cast("string").alias("candidate_id"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in ids.RULE_TYPES]),
+                              (F.col("l_suppkey") % 3 + 1).cast("int")), F.lit("_X"))
+        .alias("strategy_id"),
+        F.element_at(F.array(*[F.lit(x) for x in metrics.SCENARIO_IDS]),
+                     (F.col("l_orderkey") % 4 + 1).cast("int")).alias("scenario_id"),
+        F.expr("cast(unix_date(cast(l_shipdate as date)) as long) * 86400000")
+        .alias("entry_signal_time"),
+        outcome.alias("outcome"), F.when(outcome > 0, "WIN").otherwise("LOSS").alias("outcome_class"))
+
+
+def wide_candidates(d: Dataset) -> DataFrame:
+    """The parts that have a candidate; every seventh part is missing."""
+    return d.table("part").where("p_partkey % 7 <> 0").select(
+        F.col("p_partkey").cast("string").alias("candidate_id"),
+        F.when(F.col("p_partkey") % 3 == 0, "ACTIVE_TOKEN").otherwise("NEW_TOKEN").alias("source"))
+
+
+def aggregates_of(d: Dataset) -> DataFrame:
+    trades = materialize(wide_trades(d), "trades")
+    return metrics.strategy_aggregates(trades, wide_candidates(d))
+
+
+def stored_aggregates(d: Dataset) -> DataFrame:
+    """The aggregate table as reports read it."""
+    return rounded(materialize(aggregates_of(d), "aggregates"), 6, *METRICS)
+
+
+@query("strategy_aggregates")
+def q_aggregates(d):
+    return rounded(aggregates_of(d), 6, *METRICS)
+
+
+@query("strategy_aggregates_exits")
+def q_aggregates_exits(d):
+    candidates, price, liquidity = stored_series(d)
+    trades = materialize(exits.trade_records(candidates, price, liquidity, demo_rules()), "trades")
+    return rounded(metrics.strategy_aggregates(trades, candidates), 6, *METRICS)
+
+
+@query("missing_candidates")
+def q_missing(d):
+    return metrics.missing_candidates(wide_trades(d), wide_candidates(d))
+
+
+@query("grouping_levels")
+def q_grouping(d):
+    return rounded(metrics.grouping_levels(wide_trades(d), wide_candidates(d)), 6,
+                   "win_rate", "outcome_mean")
+
+
+@query("trade_metrics")
+def q_trade_metrics(d):
+    return rounded(metrics.trade_metrics(wide_trades(d)), 6, "win_rate", "outcome_mean", "p25",
+                   "p50", "p75")
+
+
+@query("scenario_pivot")
+def q_pivot(d):
+    return rounded(metrics.scenario_sensitivity(stored_aggregates(d)), 4, "degradation_pct")
+
+
+@query("source_comparison")
+def q_comparison(d):
+    return rounded(metrics.source_comparison(stored_aggregates(d)), 6, "delta_win_rate",
+                   "delta_median")
+
+
+@query("metric_matrix")
+def q_matrix(d):
+    return metrics.metric_matrix(stored_aggregates(d))
+
+
+@query("strategy_rank")
+def q_rank(d):
+    return metrics.strategy_rank(stored_aggregates(d))
+
+
+@query("best_strategies")
+def q_best(d):
+    return metrics.best_strategies(stored_aggregates(d)).select(
+        "strategy_id", "entry_event_type", "outcome_median", "win_rate")
+
+
+@query("scenario_gap")
+def q_gap(d):
+    return metrics.scenario_gap(stored_aggregates(d))
+
+
+@query("strategy_counts")
+def q_counts(d):
+    return metrics.strategy_counts(stored_aggregates(d))
+
+
+@query("replay_references")
+def q_references(d):
+    return metrics.replay_references(stored_aggregates(d), wide_trades(d))
+
+
+@query("data_summary")
+def q_summary(d):
+    return metrics.data_summary(d.token_candidates(), wide_trades(d))
+
+
+@query("drawdown_and_streak")
+def q_drawdown(d):
+    return rounded(metrics.drawdown_and_streak(
+        wide_trades(d), ["strategy_id", "scenario_id"]), 6, "max_drawdown")
+
+
+# --- data quality and verdict -------------------------------------------------------------
+
+def checks_of(d: Dataset) -> DataFrame:
+    return rounded(quality.sufficiency(d.token_candidates(), d.swaps(), d.liquidity_events(),
+                                       price_of(d), liquidity_of(d)), 6, "actual")
+
+
+@query("sufficiency")
+def q_sufficiency(d):
+    return checks_of(d)
+
+
+@query("integrity_errors")
+def q_errors(d):
+    """Raw events from day 20 on: some candidates have no liquidity event left."""
+    late = F.col("timestamp") >= EVAL_AT
+    return quality.integrity_errors(d.token_candidates(), d.swaps().where(late),
+                                    d.liquidity_events().where(late), price_of(d))
+
+
+@query("decision")
+def q_decision(d):
+    decided = verdict.decide(verdict.decision_inputs(stored_aggregates(d)))
+    return rounded(decided, 4, "positive_outcome_pct")
+
+
+@query("decision_criteria")
+def q_criteria(d):
+    return verdict.criteria_rows(verdict.decide(verdict.decision_inputs(stored_aggregates(d))))
+
+
+@query("executive_summary")
+def q_executive(d):
+    agg = stored_aggregates(d)
+    decided = verdict.decide(verdict.decision_inputs(agg))
+    return verdict.executive_summary(
+        decided, agg, checks_of(d), metrics.data_summary(d.token_candidates(), wide_trades(d)))
+
+
+@query("day_runs")
+def q_days(d):
+    return ordering.day_runs(d.events().where("value > 100"), "timestamp")
+
+
+@query("dataset_fingerprint")
+def q_fingerprint(d):
+    return quality.dataset_fingerprint({
+        "candidates": d.token_candidates(),
+        "price": price_of(d).select("candidate_id", "timestamp_ms", "slot", "price", "swap_count"),
+        "liquidity": liquidity_of(d)})
+
+
+# --- order, merge, replay -----------------------------------------------------------------
+
+def merged_of(d: Dataset) -> DataFrame:
+    return ordering.merged_events(d.swaps(), d.liquidity_events())
+
+
+@query("merged_events")
+def q_merged(d):
+    return merged_of(d).select("candidate_id", "slot", "tx_signature", "event_index", "timestamp",
+                               "kind", "tie", "swap.price", "liquidity.liquidity_after")
+
+
+@query("ordering_check")
+def q_ordering(d):
+    """Line items listed by (part, ship time): many repeat an order position backwards."""
+    return ordering.order_violations(
+        d.swaps_wide().withColumn("line", F.col("slot") * 10 + F.col("event_index"))
+        .withColumn("slot", F.expr("timestamp div 86400000")), "line", ["candidate_id"]).select(
+        "candidate_id", "line", F.col("prev.slot").alias("prev_slot"), "ev.slot")
+
+
+@query("event_statistics")
+def q_event_statistics(d):
+    return ordering.event_statistics(merged_of(d))
+
+
+@query("replay_apply")
+def q_replay(d):
+    return replay.replay_statistics(merged_of(d))
+
+
+# --- verification -------------------------------------------------------------------------
+
+def shifted_trades(d: Dataset) -> tuple[DataFrame, DataFrame]:
+    """Stored trades with known damage, and the correct ones."""
+    good = materialize(trades_of(d), "trades")
+    n = F.col("candidate_id").cast("long")
+    bad = good.withColumns({
+        "outcome": F.when(n % 5 == 0, F.col("outcome") + 1e-3).otherwise(F.col("outcome") + 1e-9),
+        "peak_price": F.when(n % 7 == 0, F.lit(None)).otherwise(F.col("peak_price")),
+        "exit_reason": F.when(n % 11 == 0, "OTHER").otherwise(F.col("exit_reason"))})
+    return bad, good
+
+
+@query("trade_diff")
+def q_diff(d):
+    return verify.trade_diff(*shifted_trades(d)).select("trade_id", "field")
+
+
+@query("verification_summary")
+def q_verification(d):
+    candidates, price, liquidity = stored_series(d)
+    stored, _ = shifted_trades(d)
+    unknown = stored.where("cast(candidate_id as long) % 13 = 0").withColumn(
+        "scenario_id", F.lit("other"))
+    stored = stored.where("cast(candidate_id as long) % 13 <> 0").unionByName(unknown)
+    stored = materialize(stored, "stored-trades")
+    found = materialize(verify.verify(stored, candidates, price, liquidity, demo_rules()), "found")
+    return verify.verification_summary(stored, found)
+
+
+# --- tables -------------------------------------------------------------------------------
+
+@query("latest_metadata")
+def q_metadata(d):
+    return tables.latest_metadata(d.token_metadata())
+
+
+@query("append_unique_skip")
+def q_append(d):
+    """Two halves that overlap, one of them doubled."""
+    ev = d.swap_events()
+    first = ev.where(F.col("timestamp") < EVAL_AT)
+    second = ev.where(F.col("timestamp") >= EVAL_AT - 5 * DAY_MS)
+    keys = tables.UNIQUE_KEYS["swap_events"]
+    return tables.new_rows(second.unionByName(second), first, keys)
+
+
+@query("repeated_keys")
+def q_repeated(d):
+    return tables.repeated_keys(d.swaps_wide(), ["candidate_id", "timestamp"]).select(
+        F.col("_k0").alias("candidate_id"), F.col("_k1").alias("timestamp"), "n")
+
+
+@query("active_mints")
+def q_mints(d):
+    return tables.active_mints(d.swap_events(), EVAL_AT - DAY_MS, EVAL_AT)
+
+
+@query("time_range")
+def q_range(d):
+    return tables.time_range(price_of(d))
+
+
+@query("range_scans")
+def q_scans(d):
+    """Rows in the closed and the half-open range that ends at the last event of a day."""
+    ev = d.swaps(coarse=True)
+    a, b = EVAL_AT - 2 * DAY_MS, EVAL_AT
+    return tables.between(ev, "timestamp", a, b).agg(F.count(F.lit(1)).alias("closed")).crossJoin(
+        tables.half_open(ev, "timestamp", a, b).agg(F.count(F.lit(1)).alias("half_open")))
+
+
+@query("resolve_candidates")
+def q_resolve(d):
+    events = d.liquidity_events().withColumn(
+        "candidate_id", F.when(F.col("slot") % 2 == 0, F.col("candidate_id")))
+    known = d.token_candidates().where("source = 'ACTIVE_TOKEN'").withColumn(
+        "candidate_id", F.concat(F.lit("c"), "mint"))
+    return joins.resolve_candidates(events, known).select(
+        "candidate_id", "mint", "tx_signature", "event_index", "slot")
+
+
+@query("csv_text")
+def q_csv(d):
+    return tables.csv_text(stored_aggregates(d), tables.AGGREGATE_CSV)
+
+
+# --- decoding -----------------------------------------------------------------------------
+
+def tx_logs_of(d: Dataset) -> DataFrame:
+    """Transactions whose logs describe the swap events; every seventh one failed."""
+    line = F.concat(F.lit("Program log: Swap mint="), "mint", F.lit(" pool=P"), "mint")
+    ev = d.swap_events()
+    little = F.concat(*[F.substring(F.lpad(F.hex(F.col("slot")), 16, "0"), 2 * i + 1, 2)
+                        for i in reversed(range(8))])
+    body = F.unhex(F.concat(
+        F.when(F.col("slot") % 3 == 0, "03").when(F.col("slot") % 3 == 1, "04").otherwise("05"),
+        little, little))
+    binary = F.concat(F.lit("Program log: ray_log: "), F.base64(body))
+    return ev.select(
+        "tx_signature", "slot", F.expr("timestamp div 1000").alias("block_time_s"),
+        F.when(F.col("slot") % 7 == 0, "failed").alias("err"),
+        F.array(F.lit("Program start"), line, binary).alias("logs"),
+        F.array(*[F.lit("short")] * 3, *[F.rpad(F.concat(F.lit("M"), "mint"), 32, "1")] * 3)
+        .alias("account_keys"))
+
+
+@query("decode_swaps")
+def q_decode_swaps(d):
+    return decode.text_swaps(decode.usable(tx_logs_of(d), 0, EVAL_AT))
+
+
+@query("decode_liquidity")
+def q_decode_liquidity(d):
+    return decode.amm_liquidity(decode.usable(tx_logs_of(d)))
+
+
+# --- streaming ----------------------------------------------------------------------------
+
+def event_stream(d: Dataset):
+    """The events table as a file stream with the shape of the swaps relation."""
+    schema = d.table("events").schema
+    return d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.path)
+
+
+class StreamedDataset(Dataset):
+    """The same adapters over a stream of the events file."""
+
+    def table(self, name: str) -> DataFrame:
+        return event_stream(Dataset(self.spark, self.path)) if name == "events" else super().table(name)
+
+
+def fresh_folder(d: Dataset, name: str) -> str:
+    return os.path.join(shared_dir(d.spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("stream_volume")
+def q_stream_volume(d):
+    """Hourly buckets from a stream; the last ones stay open until the watermark passes."""
+    root = fresh_folder(d, "stream-volume")
+    stream = live.volume_buckets(StreamedDataset(d.spark, d.path).swaps(), 3600)
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rounded(d.spark.read.schema(stream.schema).parquet(f"{root}/out"), 6, "volume",
+                   "buy_volume", "sell_volume")
+
+
+@query("stream_new_token")
+def q_stream_new(d):
+    root = fresh_folder(d, "stream-new")
+    store = tables.TableStore(d.spark, f"{root}/tables")
+    handler = live.LivePipeline(store)
+    handler.run(StreamedDataset(d.spark, d.path).swap_events(), f"{root}/checkpoint",
+                once=True).awaitTermination()
+    return store.read("token_candidates")
+
+
+@query("stream_slot_buffer")
+def q_stream_buffer(d):
+    """What the slot buffer released before shutdown: all but the last slots."""
+    root = fresh_folder(d, "stream-buffer")
+    store = tables.TableStore(d.spark, f"{root}/tables")
+    buffer = live.SlotBuffer(d.spark, f"{root}/pending", tables.TABLES["swap_events"])
+    live.LivePipeline(store, buffer).run(
+        StreamedDataset(d.spark, d.path).swap_events(), f"{root}/checkpoint", once=True
+    ).awaitTermination()
+    return store.read("swap_events")
+
+
+@query("backfill")
+def q_backfill(d):
+    root = fresh_folder(d, "backfill")
+    store = tables.TableStore(d.spark, f"{root}/tables")
+    live.backfill(store, d.swap_events(), d.liquidity_events(), 0, EVAL_AT)
+    live.backfill(store, d.swap_events(), d.liquidity_events(), EVAL_AT - 3 * DAY_MS,
+                  EVAL_AT + 3 * DAY_MS)
+    return store.read("liquidity_events").select(
+        "candidate_id", "mint", "tx_signature", "event_index", "slot", "timestamp", "event_type",
+        "amount_quote")
+
+
+@query("stream_enriched")
+def q_stream_enriched(d):
+    root = fresh_folder(d, "stream-enriched")
+    known = d.token_candidates().where("source = 'ACTIVE_TOKEN'").withColumn(
+        "candidate_id", F.concat(F.lit("c"), "mint"))
+    events = StreamedDataset(d.spark, d.path).liquidity_events().withColumn(
+        "candidate_id", F.lit(None).cast("string"))
+    out = live.with_candidates(events, known).select("candidate_id", "mint", "tx_signature")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(out.schema).parquet(f"{root}/out")
