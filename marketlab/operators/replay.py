@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,23 +13,26 @@ from pyspark.sql.types import StructType
 from marketlab.functions.timecols import HOUR_MS
 from marketlab.schemas import EVENT_ORDER
 
-ReplayFn = Callable[[str, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+ReplayFn = Callable[[str, Iterator[pd.DataFrame]], Iterator[tuple]]
+ROWS_PER_BATCH = 10_000
 
 
 def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
-                 slice_ms: int | None = HOUR_MS, start: int | None = None,
-                 end: int | None = None) -> DataFrame:
-    """Feed ordered events to ``fn``; its rows are the result.
+                 columns: list[str] | None = None, slice_ms: int | None = HOUR_MS,
+                 start: int | None = None, end: int | None = None) -> DataFrame:
+    """Feed ordered events to ``fn``; the tuples it yields are the result rows.
 
     ``fn(candidate_id, batches)`` is a generator: it receives the events of one candidate
-    and one time slice, in event order, as consecutive Arrow-sized batches.  A partition
-    streams through one batch at a time, so no group is held in memory, and a hot candidate
-    is spread over its slices.  Results that span slices are folded with ordinary
-    aggregates afterwards.
+    and one time slice, in event order, as consecutive Arrow-sized batches with the given
+    ``columns``.  A partition streams through one batch at a time, so no group is held in
+    memory, and a hot candidate is spread over its slices.  Results that span slices are
+    folded with ordinary aggregates afterwards.
 
     With ``slice_ms=None`` a function that must see a whole candidate in sequence gets it in
     one task; use it only where candidates are known to be small.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
     t = F.col("timestamp")
     if start is not None:
         merged = merged.where(t >= start)
@@ -39,11 +43,20 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
         merged.withColumn("_slice", part).repartition("candidate_id", "_slice")
         .sortWithinPartitions("candidate_id", "_slice", *EVENT_ORDER, "tie")
     )
+    if columns is not None:
+        ordered = ordered.select("candidate_id", "_slice", *columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source = _Groups(batches)
-        for candidate in source:
-            yield from fn(candidate, source.batches())
+        rows: list[tuple] = []
+        groups = _Groups(batches)
+        for candidate in groups:
+            for row in fn(candidate, groups.batches()):
+                rows.append(row)
+                if len(rows) == ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return ordered.mapInPandas(run, schema)
 
@@ -52,76 +65,66 @@ class _Groups:
     """Cuts sorted batches at the change of group without holding more than one batch."""
 
     def __init__(self, batches: Iterator[pd.DataFrame]):
-        self._batches = batches
-        self._rest: pd.DataFrame | None = None
-        self._current: tuple | None = None
+        self._parts = self._split(batches)
+        self._next = next(self._parts, None)
 
-    def _next(self) -> bool:
-        while self._rest is None or self._rest.empty:
-            self._rest = next(self._batches, None)
-            if self._rest is None:
-                return False
-        return True
+    @staticmethod
+    def _split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for b in batches:
+            if b.empty:
+                continue
+            keys, slices = b["candidate_id"].to_numpy(), b["_slice"].to_numpy()
+            events = b.drop(columns="_slice")
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+                yield (keys[lo], slices[lo]), events.iloc[lo:hi]
 
     def __iter__(self) -> Iterator[str]:
-        while self._next():
-            first = (self._rest["candidate_id"].iloc[0], self._rest["_slice"].iloc[0])
-            if first == self._current:  # left over by a function that stopped early
-                for _ in self.batches():
-                    pass
-                continue
-            self._current = first
-            yield first[0]
+        while self._next is not None:
+            self._current = self._next[0]
+            yield self._current[0]
+            for _ in self.batches():  # what a function that stopped early left over
+                pass
 
     def batches(self) -> Iterator[pd.DataFrame]:
-        while self._next():
-            mine = ((self._rest["candidate_id"] == self._current[0])
-                    & (self._rest["_slice"] == self._current[1])).to_numpy()
-            if not mine[0]:
-                return
-            cut = len(mine) if mine.all() else int((~mine).argmax())
-            part, self._rest = self._rest.iloc[:cut], self._rest.iloc[cut:]
-            yield part.drop(columns="_slice").reset_index(drop=True)
+        while self._next is not None and self._next[0] == self._current:
+            part = self._next[1]
+            self._next = next(self._parts, None)
+            yield part
 
 
-COUNTS = "candidate_id string, events long, swaps long, liquidity_events long, first_ts long, last_ts long"
+COUNTS = ("candidate_id string, events long, swaps long, liquidity_events long, "
+          "first_ts long, last_ts long")
 
 
-def count_events(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_events(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """Replay function that counts the events it sees."""
     n = swaps = 0
-    first = last = None
+    first, last = None, None
     for b in batches:
+        kind, ts = b["kind"].to_numpy(), b["timestamp"].to_numpy()
         n += len(b)
-        swaps += int((b["kind"] == "swap").sum())
-        lo, hi = int(b["timestamp"].min()), int(b["timestamp"].max())
-        first = lo if first is None else min(first, lo)
-        last = hi if last is None else max(last, hi)
-    yield pd.DataFrame([[candidate, n, swaps, n - swaps, first, last]],
-                       columns=["candidate_id", "events", "swaps", "liquidity_events",
-                                "first_ts", "last_ts"])
+        swaps += int((kind == "swap").sum())
+        first = int(ts.min()) if first is None else min(first, int(ts.min()))
+        last = int(ts.max()) if last is None else max(last, int(ts.max()))
+    yield candidate, n, swaps, n - swaps, first, last
 
 
 def replay_statistics(merged: DataFrame) -> DataFrame:
     """Events by kind and time range per candidate, counted by the replay itself."""
-    parts = replay_apply(merged, count_events, COUNTS)
+    parts = replay_apply(merged, count_events, COUNTS, ["kind", "timestamp"])
     return parts.groupBy("candidate_id").agg(
         *[F.sum(c).alias(c) for c in ("events", "swaps", "liquidity_events")],
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
-SIGNALS = "candidate_id string, reason string, timestamp long, position long"
+SIGNALS = "candidate_id string, reason string, timestamp long"
 
 
 def signals_when(test: Callable[[pd.DataFrame], pd.Series], reason: str) -> ReplayFn:
     """Replay function that reports every event for which a vectorised test holds."""
-    def run(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = 0
+    def run(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
-            hit = test(b)
-            at = b.index[hit]
-            yield pd.DataFrame({"candidate_id": candidate, "reason": reason,
-                                "timestamp": b["timestamp"][hit].to_numpy(),
-                                "position": seen + at.to_numpy()})
-            seen += len(b)
+            for ts in b["timestamp"].to_numpy()[test(b).to_numpy()]:
+                yield candidate, reason, int(ts)
     return run

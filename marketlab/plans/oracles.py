@@ -460,7 +460,8 @@ def _exits() -> dict[str, str]:
 # --- metrics and reports ------------------------------------------------------------------
 
 WTRADES = f"""
-    SELECT sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)) AS trade_id,
+    SELECT sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' ||
+                  CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR)) AS trade_id,
            CAST(l_partkey AS VARCHAR) AS candidate_id,
            ['TIME_EXIT', 'TRAILING_STOP', 'LIQUIDITY_GUARD'][l_suppkey % 3 + 1] || '_X' AS strategy_id,
            ['optimistic', 'realistic', 'pessimistic', 'degraded'][l_orderkey % 4 + 1] AS scenario_id,
@@ -772,7 +773,7 @@ def _tables() -> dict[str, str]:
     SELECT trade_id, unnest(list_filter([
              CASE WHEN n % 5 = 0 THEN 'outcome' END,
              CASE WHEN n % 7 = 0 AND peak_price IS NOT NULL THEN 'peak_price' END,
-             CASE WHEN n % 11 = 0 THEN 'exit_reason' END], x -> x IS NOT NULL)) AS field
+             CASE WHEN n % 11 = 0 THEN 'exit_reason' END], lambda x: x IS NOT NULL)) AS field
     FROM (SELECT *, CAST(candidate_id AS BIGINT) AS n FROM trades)"""
     out = {
         "merged_events": _with("SELECT * FROM merged", merged=merged),
@@ -782,7 +783,7 @@ def _tables() -> dict[str, str]:
     SELECT candidate_id, line, prev_slot, slot FROM (
       SELECT candidate_id, line, slot, tx_signature, event_index, lag(slot) OVER w AS prev_slot,
              lag(tx_signature) OVER w AS prev_tx, lag(event_index) OVER w AS prev_index
-      FROM (SELECT candidate_id, tx_signature, event_index, slot * 10 + event_index AS line,
+      FROM (SELECT candidate_id, tx_signature, event_index, (slot * 10 + event_index) * 100000 + timestamp // {DAY} AS line,
                    timestamp // {DAY} AS slot FROM swaps_wide)
       WINDOW w AS (PARTITION BY candidate_id ORDER BY line))
     WHERE prev_slot IS NOT NULL

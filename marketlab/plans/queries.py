@@ -314,8 +314,8 @@ def wide_trades(d: Dataset) -> DataFrame:
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     outcome = (unit - 1400.0) / 1400.0
     return d.table("lineitem").select(
-        F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"),
-                           F.col("l_linenumber").cast("string")), 256).alias("trade_id"),
+        F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in (
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]), 256).alias("trade_id"),
         F.col("l_partkey").cast("string").alias("candidate_id"),
         F.concat(F.element_at(F.array(*[F.lit(x) for x in ids.RULE_TYPES]),
                               (F.col("l_suppkey") % 3 + 1).cast("int")), F.lit("_X"))
@@ -494,8 +494,9 @@ def q_merged(d):
 def q_ordering(d):
     """Line items listed by (part, ship time): many repeat an order position backwards."""
     return ordering.order_violations(
-        d.swaps_wide().withColumn("line", F.col("slot") * 10 + F.col("event_index"))
-        .withColumn("slot", F.expr("timestamp div 86400000")), "line", ["candidate_id"]).select(
+        d.swaps_wide().withColumn("day", F.expr("timestamp div 86400000"))
+        .withColumn("line", (F.col("slot") * 10 + F.col("event_index")) * 100000 + F.col("day"))
+        .withColumn("slot", F.col("day")), "line", ["candidate_id"]).select(
         "candidate_id", "line", F.col("prev.slot").alias("prev_slot"), "ev.slot")
 
 
