@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions import ids
-from marketlab.functions.timecols import DAY_MS, HOUR_MS
+from marketlab.functions.timecols import DAY_MS, HOUR_MS, slice_no
 from marketlab.operators.slices import SLICE, before, slice_window, upto
 from marketlab.schemas import ACTIVE_TOKEN, EVENT_ORDER, NEW_TOKEN
 
@@ -208,7 +208,7 @@ def trailing_windows(events: DataFrame) -> DataFrame:
         .withColumn("real", F.col("back") == 0)
         .withColumn("v", F.when(F.col("real"), F.col("v")))
         .withColumn("n", F.when(F.col("real"), F.col("n")))
-        .withColumn(SLICE, F.expr(f"at div {HOUR_MS}"))
+        .withColumn(SLICE, slice_no("at"))
     )
     own = F.when(F.col("real"), F.col("at"))
     ahead = slice_window(keys, "at", "real")  # probes before rows of the same time
@@ -227,8 +227,8 @@ def trailing_windows(events: DataFrame) -> DataFrame:
         *[pick(0, c).alias(c) for c in ("hv", "hn", "ht")],
         *[pick(1, c).alias(f"{c}1") for c in ("tv", "tn")],
         *[pick(24, c).alias(f"{c}24") for c in ("tv", "tn", "tt")],
-    ).withColumn(SLICE, F.expr(f"t div {HOUR_MS}"))
-    hours = moments.groupBy("mint", F.expr(f"t div {HOUR_MS}").alias(SLICE)).agg(
+    ).withColumn(SLICE, slice_no("t"))
+    hours = moments.groupBy("mint", slice_no("t").alias(SLICE)).agg(
         F.sum("v").alias("v"), F.sum("n").alias("n"), F.min("t").alias("t0"))
     day = Window.partitionBy("mint").orderBy(SLICE).rangeBetween(-23, -1)
     whole = hours.select(
@@ -269,9 +269,9 @@ def first_spikes(events: DataFrame, candidates: DataFrame | None = None,
     t = F.col("timestamp")
     # one hour of each mint: (mint, hour) keys keep the join free of hot keys
     probe = hit.withColumn("_h", F.explode(F.array(
-        F.expr(f"eval div {HOUR_MS} - 1"), F.expr(f"eval div {HOUR_MS}"))))
+        slice_no("eval") - 1, slice_no("eval"))))
     trigger = (
-        pool.withColumn("_h", F.expr(f"timestamp div {HOUR_MS}")).join(probe, ["mint", "_h"])
+        pool.withColumn("_h", slice_no("timestamp")).join(probe, ["mint", "_h"])
         .where((t >= F.col("eval") - HOUR_MS) & (t < F.col("eval")))
         .groupBy("mint").agg(_trigger(F.lit(True)).alias("e"))
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions import costs, ids
-from marketlab.functions.timecols import HOUR_MS
+from marketlab.functions.timecols import HOUR_MS, slice_no
 from marketlab.operators.asof import asof
 from marketlab.operators.slices import before, upto
 from marketlab.schemas import ACTIVE_TOKEN, NEW_TOKEN
@@ -168,13 +168,13 @@ def _held(jobs: DataFrame, applies: Column, series: DataFrame, value: str,
     joined on (candidate, slice), so a hot candidate is spread over its slices.
     """
     width = max(HOUR_MS, horizon_ms // 8)
-    spans = F.sequence(F.expr(f"entry_signal_time div {width}"), F.expr(f"end_time div {width}"))
-    # slice -1 keeps the jobs that the rule does not concern and never matches
+    spans = F.sequence(slice_no("entry_signal_time", width), slice_no("end_time", width))
+    # a slice before all times keeps the jobs that the rule does not concern
     spread = jobs.where("candidate_id is not null").withColumn("_span", F.explode(
-        F.when(applies, spans).otherwise(F.array(F.lit(-1).cast("long")))))
+        F.when(applies, spans).otherwise(F.array(F.lit(-(2**62)).cast("long")))))
     points = series.select(F.col("candidate_id").alias("_cand"), F.col("timestamp_ms").alias("_t"),
                            F.col(value).alias("_x"),
-                           F.expr(f"timestamp_ms div {width}").alias("_point_span"))
+                           slice_no("timestamp_ms", width).alias("_point_span"))
     return spread.join(
         points,
         (F.col("candidate_id") == F.col("_cand")) & (F.col("_span") == F.col("_point_span"))

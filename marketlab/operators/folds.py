@@ -1,31 +1,99 @@
 """Order-dependent folds (drawdown, losing streak) over huge groups.
 
 A run of outcomes is summarised by a small row, and two neighbouring summaries combine into
-one.  Groups are folded in levels: rows of one millisecond and id prefix, then an hour, then
-the group.  Every level is an ordinary window over the summaries of the level below, so a
-single key, hour or millisecond with most of the rows is still split.
+one.  Rows are range partitioned by (group, time, id), which gives tasks of equal size even
+if one group, hour or millisecond holds most of the rows.  Each task folds its sorted rows
+with numpy, one batch at a time; the summaries of a group, at most one per task, are then
+combined in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from marketlab.functions.timecols import HOUR_MS
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 # total, highest and lowest prefix sum, deepest fall from a prefix inside the run;
 # length, leading / trailing / longest losing run.
 SUMMARY = ["s", "hi", "lo", "fall", "n", "lead", "trail", "best"]
 
 
-def _as_runs(df: DataFrame, keys: list[str], time: str, tie: str, outcome: str) -> DataFrame:
-    x = F.col(outcome)
-    loss = F.when(x <= 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    return df.select(
-        *keys, F.col(time).alias("t"), F.col(tie).alias("id"), F.substring(tie, 1, 2).alias("p"),
-        x.alias("s"), x.alias("hi"), x.alias("lo"), F.lit(0.0).alias("fall"),
-        F.lit(1).cast("long").alias("n"), loss.alias("lead"), loss.alias("trail"),
-        loss.alias("best"))
+@dataclass
+class Run:
+    """Summary of consecutive outcomes."""
+
+    s: float
+    hi: float
+    lo: float
+    fall: float
+    n: int
+    lead: int
+    trail: int
+    best: int
+
+    @staticmethod
+    def of(x: np.ndarray) -> Run:
+        cum = np.cumsum(x)
+        wins = np.flatnonzero(x > 0)
+        gaps = np.diff(np.concatenate(([-1], wins, [len(x)]))) - 1
+        return Run(float(cum[-1]), float(cum.max()), float(cum.min()),
+                   float((np.maximum.accumulate(cum) - cum).max()), len(x),
+                   int(gaps[0]), int(gaps[-1]), int(gaps.max()))
+
+    def then(self, b: Run) -> Run:
+        return Run(
+            self.s + b.s, max(self.hi, self.s + b.hi), min(self.lo, self.s + b.lo),
+            max(self.fall, b.fall, self.hi - (self.s + b.lo)), self.n + b.n,
+            self.n + b.lead if self.lead == self.n else self.lead,
+            b.n + self.trail if b.trail == b.n else b.trail,
+            max(self.best, b.best, self.trail + b.lead))
+
+
+def _local_runs(df: DataFrame, keys: list[str], time: str, tie: str, outcome: str) -> DataFrame:
+    """One run per (group, task), tasks numbered in range order."""
+    ordered = (
+        df.where(F.col(outcome).isNotNull())
+        .select(*keys, time, tie, F.col(outcome).cast("double").alias("x"),
+                F.xxhash64(*keys).alias("g"))
+        .repartitionByRange(*keys, time, tie).sortWithinPartitions(*keys, time, tie)
+        .select(*keys, "g", "x")
+    )
+    kinds = dict(zip(SUMMARY, [DoubleType()] * 4 + [LongType()] * 4))
+    schema = StructType(
+        [df.schema[k] for k in keys] + [StructField("part", IntegerType())]
+        + [StructField(n, t) for n, t in kinds.items()])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, group, key, run, rows = TaskContext.get().partitionId(), None, None, None, []
+        for b in batches:
+            g, x = b.column("g").to_numpy(), b.column("x").to_numpy()
+            if not len(g):
+                continue
+            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(g)]):
+                piece = Run.of(x[lo:hi])
+                if g[lo] == group:
+                    run = run.then(piece)
+                    continue
+                if run is not None:
+                    rows.append((*key, part, *vars(run).values()))
+                group, run = g[lo], piece
+                key = tuple(b.column(k)[int(lo)].as_py() for k in keys)
+        if run is not None:
+            rows.append((*key, part, *vars(run).values()))
+        if rows:
+            cols = [[r[i] for r in rows] for i in range(len(schema))]
+            kinds_pa = [pa.string()] * len(keys) + [pa.int32()] + [pa.float64()] * 4 + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds_pa)], names=schema.names)
+
+    return ordered.mapInArrow(fold, schema)
 
 
 def _combine(runs: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -62,12 +130,8 @@ def _combine(runs: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 def drawdown_and_streak(df: DataFrame, keys: list[str], time: str = "entry_signal_time",
                         tie: str = "trade_id", outcome: str = "outcome") -> DataFrame:
     """Max drawdown of the running sum (peak floored at 0) and longest run of losses,
-    in (time, tie) order.  ``tie`` is a unique, evenly spread text id."""
-    runs = _as_runs(df, keys, time, tie, outcome)
-    runs = _combine(runs, [*keys, "t", "p"], ["id"])
-    runs = runs.withColumn("h", F.expr(f"t div {HOUR_MS}"))
-    runs = _combine(runs, [*keys, "h"], ["t", "p"])
-    runs = _combine(runs, keys, ["h"])
+    in (time, tie) order; ``tie`` makes the order total.  Keys are text columns."""
+    runs = _combine(_local_runs(df, keys, time, tie, outcome), keys, ["part"])
     return runs.select(
         *keys, F.greatest(F.lit(0.0), F.col("fall"), -F.col("lo")).alias("max_drawdown"),
         F.col("best").alias("max_consecutive_losses"))

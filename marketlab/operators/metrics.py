@@ -10,6 +10,7 @@ from marketlab.functions.costs import SCENARIO_IDS
 from marketlab.operators.folds import drawdown_and_streak
 from marketlab.operators.quantiles import exact_quantiles
 from marketlab.schemas import ACTIVE_TOKEN, NEW_TOKEN, STRATEGY_AGGREGATES
+from marketlab.session import materialize
 
 KEYS = ["strategy_id", "scenario_id", "entry_event_type"]
 PROBS = {"outcome_p10": 0.10, "outcome_p25": 0.25, "outcome_median": 0.50,
@@ -75,9 +76,13 @@ def basic_metrics(grouped: DataFrame) -> DataFrame:
         .alias("outcome_stddev"))
 
 
-def strategy_aggregates(trades: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The full aggregate table; ``trades`` should be a stored table (read three times)."""
-    grouped = classified(trades, candidates)
+def strategy_aggregates(trades: DataFrame, candidates: DataFrame, stage=materialize) -> DataFrame:
+    """The full aggregate table.
+
+    The narrow classified trades are staged once and read by three aggregations: token-level
+    sums, rank selection, and the ordered fold.
+    """
+    grouped = stage(classified(trades, candidates), "classified-trades")
     out = (
         basic_metrics(grouped)
         .join(exact_quantiles(grouped, KEYS, "outcome", PROBS), KEYS)
@@ -127,11 +132,7 @@ def source_comparison(aggregates: DataFrame) -> DataFrame:
 
 
 def data_summary(candidates: DataFrame, trades: DataFrame) -> DataFrame:
-    """One row: candidates by source, distinct trades, range of discovery times.
-
-    Distinct trades are counted in two steps (per hash bucket of the id, then summed), which
-    spreads the distinct set over tasks.
-    """
+    """One row: candidates by source, distinct trades, range of discovery times."""
     def of(source: str) -> Column:
         return F.count_if(F.col("source") == source)
 

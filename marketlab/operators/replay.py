@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marketlab.functions.timecols import HOUR_MS
+from marketlab.functions.timecols import HOUR_MS, slice_no
 from marketlab.schemas import EVENT_ORDER
 
-ReplayFn = Callable[[str, Iterator[pd.DataFrame]], Iterator[tuple]]
+Events = dict[str, np.ndarray]  # consecutive events as one array per column
+ReplayFn = Callable[[str, Iterator[Events]], Iterator[tuple]]
 ROWS_PER_BATCH = 10_000
 
 
@@ -23,8 +24,8 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
     """Feed ordered events to ``fn``; the tuples it yields are the result rows.
 
     ``fn(candidate_id, batches)`` is a generator: it receives the events of one candidate
-    and one time slice, in event order, as consecutive Arrow-sized batches with the given
-    ``columns``.  A partition streams through one batch at a time, so no group is held in
+    and one time slice, in event order, as consecutive batches of column arrays with the
+    given ``columns``.  A partition streams through one batch at a time, so no group is held in
     memory, and a hot candidate is spread over its slices.  Results that span slices are
     folded with ordinary aggregates afterwards.
 
@@ -38,7 +39,7 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
         merged = merged.where(t >= start)
     if end is not None:
         merged = merged.where(t < end)
-    part = F.lit(0).cast("long") if slice_ms is None else F.expr(f"timestamp div {slice_ms}")
+    part = F.lit(0).cast("long") if slice_ms is None else slice_no("timestamp", slice_ms)
     ordered = (
         merged.withColumn("_slice", part).repartition("candidate_id", "_slice")
         .sortWithinPartitions("candidate_id", "_slice", *EVENT_ORDER, "tie")
@@ -69,15 +70,16 @@ class _Groups:
         self._next = next(self._parts, None)
 
     @staticmethod
-    def _split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    def _split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Events]]:
         for b in batches:
             if b.empty:
                 continue
-            keys, slices = b["candidate_id"].to_numpy(), b["_slice"].to_numpy()
-            events = b.drop(columns="_slice")
+            cols = {c: b[c].to_numpy() for c in b.columns}
+            slices = cols.pop("_slice")
+            keys = cols["candidate_id"]
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
-                yield (keys[lo], slices[lo]), events.iloc[lo:hi]
+                yield (keys[lo], slices[lo]), {c: v[lo:hi] for c, v in cols.items()}
 
     def __iter__(self) -> Iterator[str]:
         while self._next is not None:
@@ -86,7 +88,7 @@ class _Groups:
             for _ in self.batches():  # what a function that stopped early left over
                 pass
 
-    def batches(self) -> Iterator[pd.DataFrame]:
+    def batches(self) -> Iterator[Events]:
         while self._next is not None and self._next[0] == self._current:
             part = self._next[1]
             self._next = next(self._parts, None)
@@ -97,16 +99,16 @@ COUNTS = ("candidate_id string, events long, swaps long, liquidity_events long,
           "first_ts long, last_ts long")
 
 
-def count_events(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def count_events(candidate: str, batches: Iterator[Events]) -> Iterator[tuple]:
     """Replay function that counts the events it sees."""
     n = swaps = 0
     first, last = None, None
     for b in batches:
-        kind, ts = b["kind"].to_numpy(), b["timestamp"].to_numpy()
-        n += len(b)
+        kind, ts = b["kind"], b["timestamp"]  # sorted by event order, not by time
+        n += len(ts)
         swaps += int((kind == "swap").sum())
-        first = int(ts.min()) if first is None else min(first, int(ts.min()))
-        last = int(ts.max()) if last is None else max(last, int(ts.max()))
+        lo, hi = int(ts.min()), int(ts.max())
+        first, last = min(first or lo, lo), max(last or hi, hi)
     yield candidate, n, swaps, n - swaps, first, last
 
 
@@ -121,10 +123,10 @@ def replay_statistics(merged: DataFrame) -> DataFrame:
 SIGNALS = "candidate_id string, reason string, timestamp long"
 
 
-def signals_when(test: Callable[[pd.DataFrame], pd.Series], reason: str) -> ReplayFn:
+def signals_when(test: Callable[[Events], np.ndarray], reason: str) -> ReplayFn:
     """Replay function that reports every event for which a vectorised test holds."""
-    def run(candidate: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def run(candidate: str, batches: Iterator[Events]) -> Iterator[tuple]:
         for b in batches:
-            for ts in b["timestamp"].to_numpy()[test(b).to_numpy()]:
+            for ts in b["timestamp"][test(b)]:
                 yield candidate, reason, int(ts)
     return run

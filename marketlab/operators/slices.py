@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.functions.timecols import HOUR_MS
+from marketlab.functions.timecols import HOUR_MS, slice_no
 
 SLICE = "_slice"
 
@@ -28,7 +28,7 @@ def add_slice(df: DataFrame, keys: list[str], ts: str = "timestamp_ms",
     """
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    return df.withColumn(SLICE, F.expr(f"{ts} div {width_ms}"))
+    return df.withColumn(SLICE, slice_no(ts, width_ms))
 
 
 def slice_window(keys: list[str], *order):

@@ -335,8 +335,7 @@ def wide_candidates(d: Dataset) -> DataFrame:
 
 
 def aggregates_of(d: Dataset) -> DataFrame:
-    trades = materialize(wide_trades(d), "trades")
-    return metrics.strategy_aggregates(trades, wide_candidates(d))
+    return metrics.strategy_aggregates(wide_trades(d), wide_candidates(d))
 
 
 def stored_aggregates(d: Dataset) -> DataFrame:
@@ -352,7 +351,7 @@ def q_aggregates(d):
 @query("strategy_aggregates_exits")
 def q_aggregates_exits(d):
     candidates, price, liquidity = stored_series(d)
-    trades = materialize(exits.trade_records(candidates, price, liquidity, demo_rules()), "trades")
+    trades = exits.trade_records(candidates, price, liquidity, demo_rules())
     return rounded(metrics.strategy_aggregates(trades, candidates), 6, *METRICS)
 
 
