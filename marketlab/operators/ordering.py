@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.functions.timecols import HOUR_MS, utc_day
+from marketlab.functions.timecols import utc_day
 from marketlab.schemas import EVENT_ORDER
 
 # Fixed tie order of the merged stream.
@@ -72,11 +72,6 @@ def day_runs(times: DataFrame, ts: str) -> DataFrame:
         F.count(F.lit(1)).alias("days")).drop("island")
 
 
-def hourly_volume(events: DataFrame, key: str = "mint") -> DataFrame:
-    return events.groupBy(key, F.expr(f"timestamp div {HOUR_MS}").alias("hour")).agg(
-        F.sum("amount_out").alias("volume"), F.count(F.lit(1)).alias("n"))
-
-
 def event_statistics(merged: DataFrame) -> DataFrame:
     """Per candidate: events by kind, first and last time."""
     return merged.groupBy("candidate_id").agg(
