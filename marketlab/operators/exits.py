@@ -50,14 +50,17 @@ def default_rules() -> list[tuple]:
         rule(ids.LIQUIDITY_GUARD, e, drop=0.30, max_hold=1_800_000))]
 
 
-def sweep_rules() -> list[tuple]:
-    """Fixed parameter sweep of the rule catalogue, per entry type."""
+def sweep_rules(unit_ms: int = 1000) -> list[tuple]:
+    """Fixed parameter sweep of the rule catalogue, for both entry types.
+
+    Holding periods are given in seconds; ``unit_ms`` stretches them.
+    """
     out = []
     for e in (NEW_TOKEN, ACTIVE_TOKEN):
-        out += [rule(ids.TIME_EXIT, e, hold=s * 1000) for s in (30, 60, 120, 300)]
-        out += [rule(ids.TRAILING_STOP, e, trail=p, stop=p, max_hold=h * 1000)
-                for p in (0.05, 0.10) for h in (1800, 3600)]
-        out += [rule(ids.LIQUIDITY_GUARD, e, drop=p, max_hold=1_800_000)
+        out += [rule(ids.TIME_EXIT, e, hold=s * unit_ms) for s in (60, 300, 600, 1800)]
+        out += [rule(ids.TRAILING_STOP, e, trail=p, stop=0.10, max_hold=3600 * unit_ms)
+                for p in (0.05, 0.10, 0.15, 0.20)]
+        out += [rule(ids.LIQUIDITY_GUARD, e, drop=p, max_hold=1800 * unit_ms)
                 for p in (0.20, 0.30, 0.50)]
     return out
 

@@ -211,15 +211,17 @@ def scenario_gap(aggregates: DataFrame) -> DataFrame:
     return r.join(p, ["strategy_id", "entry_event_type"])
 
 
-def trade_metrics(trades: DataFrame) -> DataFrame:
-    """Per exact (strategy, scenario): trades, win rate, mean and quartiles of the outcome."""
-    keys = ["strategy_id", "scenario_id"]
-    q = exact_quantiles(trades, keys, "outcome", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+def trade_metrics(trades: DataFrame, keys=("strategy_id", "scenario_id")) -> DataFrame:
+    """Win rate and outcome distribution straight from the trades, per exact strategy id."""
+    keys = list(keys)
+    probs = {"p10": 0.10, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.90}
+    x, n = F.col("outcome"), F.count(F.lit(1))
     m = trades.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trades"),
-        (F.count_if(F.col("outcome_class") == "WIN") / F.count(F.lit(1))).alias("win_rate"),
-        F.avg("outcome").alias("outcome_mean"))
-    return m.join(q, keys)
+        n.alias("trades"), F.count_if(x > 0).alias("wins"),
+        (F.count_if(x > 0) / n).alias("win_rate"), F.avg(x).alias("outcome_mean"),
+        F.min(x).alias("outcome_min"), F.max(x).alias("outcome_max"),
+        F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("outcome_stddev"))
+    return m.join(exact_quantiles(trades, keys, "outcome", probs), keys)
 
 
 def run_statistics(candidates: DataFrame, trades: DataFrame, aggregates: DataFrame,

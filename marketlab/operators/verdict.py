@@ -96,12 +96,15 @@ def executive_summary(decided: DataFrame, aggregates: DataFrame, checks: DataFra
                       summary: DataFrame) -> DataFrame:
     """One row: data size, state of the checks, best family and overall verdict.
 
-    Failed checks override the verdict.
+    Failed checks, or any family without its pessimistic aggregate, override the verdict.
     """
     best = best_verdict(decided, aggregates)
+    gaps = decided.agg(F.coalesce(F.bool_or(F.col("verdict") == INSUFFICIENT), F.lit(True))
+                       .alias("incomplete"))
     return (
-        summary.crossJoin(F.broadcast(all_pass(checks)))
+        summary.crossJoin(F.broadcast(all_pass(checks))).crossJoin(F.broadcast(gaps))
         .join(F.broadcast(best), F.lit(True), "left")
-        .withColumn("overall", F.when(~F.col("all_pass") | F.col("verdict").isNull(), INSUFFICIENT)
+        .withColumn("overall", F.when(~F.col("all_pass") | F.col("incomplete"), INSUFFICIENT)
                     .otherwise(F.col("verdict")))
+        .drop("incomplete")
     )

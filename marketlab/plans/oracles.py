@@ -152,6 +152,13 @@ def oracle_sql() -> dict[str, str]:
         "SELECT candidate_id, timestamp_ms, time_delta_ms AS last_liq_event_interval_ms "
         "FROM liq_deriv", **_FEATURES)
     out["derived_features_sql"] = _with(_features("l.time_delta_ms"), True, **_FEATURES)
+    out["sql_views"] = _with(f"""
+    SELECT f.candidate_id, f.timestamp_ms, f.price_delta, f.liquidity_delta,
+           f.last_liq_event_interval_ms, l.n AS total_swaps, q.n AS total_liq_events
+    FROM ({_features("l.time_delta_ms")}) f
+    JOIN (SELECT candidate_id, count(*) AS n FROM price GROUP BY 1) l USING (candidate_id)
+    LEFT JOIN (SELECT candidate_id, count(*) AS n FROM liq GROUP BY 1) q USING (candidate_id)""",
+        True, **_FEATURES)
     out["feature_validation"] = _with("""
     SELECT candidate_id, timestamp_ms, price_delta, price_velocity,
            CASE WHEN price_velocity IS NOT NULL
@@ -444,8 +451,69 @@ _EXITS = dict(entry=_entry(), time_exit=TIME_EXIT, trail=TRAIL_ROWS, trailing_ex
               guard_rows=GUARD_ROWS, guard=GUARD, scenarios=SCENARIOS, trades=TRADES)
 
 
+S_RULES = """
+    SELECT kind, CAST(a AS DOUBLE) AS a, CAST(hold AS BIGINT) * 60000 AS hold
+    FROM (VALUES ('TIME_EXIT', 0, 60), ('TIME_EXIT', 0, 300), ('TIME_EXIT', 0, 600), ('TIME_EXIT', 0, 1800),
+                 ('TRAILING_STOP', 0.05, 3600), ('TRAILING_STOP', 0.10, 3600), ('TRAILING_STOP', 0.15, 3600),
+                 ('TRAILING_STOP', 0.20, 3600), ('LIQUIDITY_GUARD', 0.20, 1800),
+                 ('LIQUIDITY_GUARD', 0.30, 1800), ('LIQUIDITY_GUARD', 0.50, 1800)) v(kind, a, hold)"""
+
+S_JOBS = """
+    SELECT e.*, r.*, row_number() OVER (ORDER BY candidate_id, kind, a, hold) AS job,
+           kind || '_' || source || CASE kind
+             WHEN 'TIME_EXIT' THEN '' WHEN 'TRAILING_STOP' THEN '_trail' || CAST(round(a * 100) AS INT) || '_stop10'
+             ELSE '_drop' || CAST(round(a * 100) AS INT) END || '_' || hold || 'ms' AS strategy_id
+    FROM entry e, s_rules r WHERE kind <> 'LIQUIDITY_GUARD' OR entry_liquidity IS NOT NULL"""
+
+S_TRAIL = """
+    SELECT *, CASE WHEN price <= entry_signal_price * (1 - CAST(0.10 AS DOUBLE)) THEN 'INITIAL_STOP'
+                   WHEN price <= peak * (1 - a) THEN 'TRAILING_STOP'
+                   WHEN ts - entry_signal_time >= hold THEN 'MAX_DURATION' END AS reason
+    FROM (SELECT j.*, p.timestamp_ms AS ts, p.price, greatest(j.entry_signal_price,
+                   max(p.price) OVER (PARTITION BY job ORDER BY p.timestamp_ms)) AS peak
+          FROM s_jobs j JOIN price p USING (candidate_id)
+          WHERE kind = 'TRAILING_STOP' AND p.timestamp_ms > entry_signal_time)"""
+
+S_GUARD = """
+    SELECT *, min(liquidity) OVER (PARTITION BY job ORDER BY ts) AS low,
+           CASE WHEN liquidity < entry_liquidity * (1 - a) THEN 'LIQUIDITY_DROP'
+                WHEN ts - entry_signal_time >= hold THEN 'MAX_DURATION' END AS reason
+    FROM (SELECT j.*, t.ts, t.liquidity
+          FROM (SELECT u.candidate_id, u.ts, (SELECT arg_max(x.liquidity, x.timestamp_ms) FROM liq x
+                   WHERE x.candidate_id = u.candidate_id AND x.timestamp_ms <= u.ts) AS liquidity
+                FROM (SELECT candidate_id, timestamp_ms AS ts FROM price
+                      UNION SELECT candidate_id, timestamp_ms FROM liq) u) t
+          JOIN s_jobs j USING (candidate_id) WHERE kind = 'LIQUIDITY_GUARD' AND t.ts > entry_signal_time)"""
+
+S_HITS = """
+    SELECT job, arg_min(reason, ts) AS reason, min(ts) AS ts, arg_min(price, ts) AS price,
+           arg_min(peak, ts) AS peak, CAST(NULL AS DOUBLE) AS low
+    FROM s_trail WHERE reason IS NOT NULL GROUP BY job
+    UNION ALL
+    SELECT job, arg_min(reason, ts), min(ts), NULL, NULL, arg_min(low, ts)
+    FROM s_guard WHERE reason IS NOT NULL GROUP BY job"""
+
+S_ENDS = """
+    SELECT job, max(peak) AS top, CAST(NULL AS DOUBLE) AS bottom FROM s_trail GROUP BY job
+    UNION ALL SELECT job, NULL, min(low) FROM s_guard GROUP BY job"""
+
+SWEEP = f"""
+    SELECT candidate_id, strategy_id, exit_signal_time,
+           {_at('z', 'z.exit_signal_time')} AS exit_signal_price, exit_reason, peak_price, min_liquidity
+    FROM (SELECT j.candidate_id, j.strategy_id, coalesce(h.ts, j.entry_signal_time + j.hold) AS exit_signal_time,
+                 coalesce(h.reason, CASE kind WHEN 'TIME_EXIT' THEN kind ELSE 'MAX_DURATION' END) AS exit_reason,
+                 CASE WHEN kind = 'TRAILING_STOP' THEN
+                   coalesce(h.peak, greatest(j.entry_signal_price, e.top)) END AS peak_price,
+                 CASE WHEN kind = 'LIQUIDITY_GUARD' THEN
+                   least(j.entry_liquidity, coalesce(h.low, e.bottom)) END AS min_liquidity
+          FROM s_jobs j LEFT JOIN s_hits h USING (job) LEFT JOIN s_ends e USING (job)) z"""
+
+
 def _exits() -> dict[str, str]:
     return {
+        "parameter_sweep": _with(
+            SWEEP, entry=_entry(), s_rules=S_RULES, s_jobs=S_JOBS, s_trail=S_TRAIL, s_guard=S_GUARD,
+            s_hits=S_HITS, s_ends=S_ENDS),
         "time_exit": _with("SELECT * EXCLUDE (source) FROM time_exit", **_EXITS),
         "trailing_stop": _with("SELECT * EXCLUDE (source) FROM trailing_exit", **_EXITS),
         "liquidity_guard": _with("SELECT * EXCLUDE (source) FROM guard", **_EXITS),
@@ -593,8 +661,11 @@ def _metrics() -> dict[str, str]:
         "trade_metrics": _with(f"""
     SELECT strategy_id, scenario_id, count(*) AS trades,
            round(count(*) FILTER (outcome_class = 'WIN') / CAST(count(*) AS DOUBLE), 6) AS win_rate,
-           round(avg(outcome), 6) AS outcome_mean, {_q('0.25')} AS p25, {_q('0.5')} AS p50,
-           {_q('0.75')} AS p75 FROM wtrades GROUP BY 1, 2""", **_WIDE),
+           count(*) FILTER (outcome > 0) AS wins, round(avg(outcome), 6) AS outcome_mean,
+           round(min(outcome), 6) AS outcome_min, round(max(outcome), 6) AS outcome_max,
+           round(coalesce(stddev_samp(outcome), 0), 6) AS outcome_stddev, {_q('0.1')} AS p10,
+           {_q('0.25')} AS p25, {_q('0.5')} AS p50, {_q('0.75')} AS p75, {_q('0.9')} AS p90
+    FROM wtrades GROUP BY 1, 2""", **_WIDE),
     }
     med = {s: f"coalesce(max(outcome_median) FILTER (scenario_id = '{s}'), 0)"
            for s in ("optimistic", "realistic", "pessimistic", "degraded")}

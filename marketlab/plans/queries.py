@@ -14,6 +14,7 @@ from marketlab.functions.timecols import DAY_MS
 from marketlab.operators import (
     asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
     verify)
+from marketlab.plans import views
 from marketlab.session import materialize, shared_dir
 from marketlab.sources import decode, tables
 from marketlab.sources.adapters import Dataset
@@ -290,6 +291,25 @@ def q_trades(d):
     return trades_of(d)
 
 
+@query("parameter_sweep")
+def q_sweep(d):
+    """All 22 rules of the sweep with hours instead of minutes."""
+    found = exits.exits(exits.evaluate(*stored_series(d), exits.sweep_rules(60_000)))
+    return found.select("candidate_id", "strategy_id", "exit_signal_time", "exit_signal_price",
+                        "exit_reason", "peak_price", "min_liquidity")
+
+
+@query("sql_views")
+def q_views(d):
+    """The combined-features view through SQL, next to the lifecycle views."""
+    views.create_feature_views(price_of(d, True), liquidity_of(d, True))
+    return d.spark.sql("""
+        SELECT f.candidate_id, f.timestamp_ms, f.price_delta, f.liquidity_delta,
+               f.last_liq_event_interval_ms, l.total_swaps, q.total_liq_events
+        FROM v_derived_features_computed f JOIN v_token_lifecycle l USING (candidate_id)
+        LEFT JOIN v_token_lifecycle_liquidity q USING (candidate_id)""")
+
+
 @query("rejected_jobs")
 def q_rejected(d):
     """Entries before the first liquidity event: the guard has nothing to guard."""
@@ -368,8 +388,8 @@ def q_grouping(d):
 
 @query("trade_metrics")
 def q_trade_metrics(d):
-    return rounded(metrics.trade_metrics(wide_trades(d)), 6, "win_rate", "outcome_mean", "p25",
-                   "p50", "p75")
+    return rounded(metrics.trade_metrics(wide_trades(d)), 6, "win_rate", "outcome_mean",
+                   "outcome_min", "outcome_max", "outcome_stddev", "p10", "p25", "p50", "p75", "p90")
 
 
 @query("scenario_pivot")

@@ -130,7 +130,7 @@ def loop_guard(points, liq, entry, drop, hold):
 @pytest.mark.parametrize("scale", [MIN, 40 * MIN])
 def test_set_form_equals_loops(spark, scale):
     rnd = random.Random(7)
-    pf = lf = None
+    pf = lf = None  # one frame per series
     cands, data, hold = [], {}, 60 * scale
     for i in range(25):
         cid = f"c{i:02d}"
@@ -148,20 +148,22 @@ def test_set_form_equals_loops(spark, scale):
         p, q = price(spark, pts, cid), liquidity(spark, liq, cid)
         pf = p if pf is None else pf.union(p)
         lf = q if lf is None else lf.union(q)
-    rules = trail(0.4, 0.45, hold) + guard(0.35, hold)
+    # two rules per family with their own periods must not disturb each other
+    sets = {0: (0.4, 0.45, hold), 1: (0.2, 0.6, hold // 3), 2: (0.35, hold), 3: (0.2, hold // 4)}
+    rules = trail(*sets[0]) + trail(*sets[1]) + guard(*sets[2]) + guard(*sets[3])
     out = exits.evaluate(candidates(spark, cands), pf, lf, rules).collect()
     seen = set()
     for r in out:
         pts, liq, entry = data[r["candidate_id"]]
         if r["strategy_type"] == ids.TRAILING_STOP:
-            want = loop_trailing(pts, entry, 0.4, 0.45, hold)
+            want = loop_trailing(pts, entry, *sets[r["rule_no"]])
             got = (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["peak_price"])
         else:
-            want = loop_guard(pts, liq, entry, 0.35, hold)
+            want = loop_guard(pts, liq, entry, *sets[r["rule_no"]])
             got = (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["min_liquidity"])
         assert got == want, r["candidate_id"]
         seen.add((r["strategy_type"], r["exit_reason"]))
-    assert len(out) == 50 and len(seen) >= 4
+    assert len(out) == 100 and len(seen) >= 4
 
 
 def test_costs(spark):
