@@ -88,7 +88,8 @@ def active_tokens(events: DataFrame, at: Column | int, candidates: DataFrame | N
             .withColumn("hours", _hours(F.col("eval") - F.col("t0")))
         )
 
-    s = window(unseen(events, candidates), F.col("amount_out")).withColumn(
+    # known mints are removed after the aggregation: one row per mint reaches the join
+    s = unseen(window(events, F.col("amount_out")), candidates).withColumn(
         "spike", (F.col("v1") > rule.volume * (F.col("v24") / F.col("hours")))
         | (F.col("n1") > rule.swaps * (F.col("n24") / F.col("hours"))))
     hit = s.select("mint", F.when(F.col("spike"), F.col("e")).alias("e"))
@@ -260,18 +261,19 @@ def spike_times(events: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
 
 def first_spikes(events: DataFrame, candidates: DataFrame | None = None,
                  rule: SpikeRule = SpikeRule()) -> DataFrame:
-    """Evaluate at every event and keep the first spike per mint, with its trigger event."""
-    pool = unseen(events, candidates)
-    hit = (
-        spike_times(pool, rule).where("swaps_1h > 0")
-        .groupBy("mint").agg(F.min("timestamp").alias("eval"))
-    )
+    """Evaluate at every event and keep the first spike per mint, with its trigger event.
+
+    Known mints are removed once there is one row per mint, so no hot mint reaches a join.
+    """
+    hit = unseen(
+        spike_times(events, rule).where("swaps_1h > 0")
+        .groupBy("mint").agg(F.min("timestamp").alias("eval")), candidates)
     t = F.col("timestamp")
     # one hour of each mint: (mint, hour) keys keep the join free of hot keys
     probe = hit.withColumn("_h", F.explode(F.array(
         slice_no("eval") - 1, slice_no("eval"))))
     trigger = (
-        pool.withColumn("_h", slice_no("timestamp")).join(probe, ["mint", "_h"])
+        events.withColumn("_h", slice_no("timestamp")).join(probe, ["mint", "_h"])
         .where((t >= F.col("eval") - HOUR_MS) & (t < F.col("eval")))
         .groupBy("mint").agg(_trigger(F.lit(True)).alias("e"))
     )

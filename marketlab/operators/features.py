@@ -28,12 +28,13 @@ def derivatives(series: DataFrame, value: str, carry_gaps: bool = False) -> Data
     """
     x, t = F.col(value), F.col("timestamp_ms")
     w = slice_window(KEY, "timestamp_ms")
+    # all functions of one select run in a single window pass
     rows = (
         add_slice(series, KEY)
-        .withColumn("_pt", F.lag(t).over(w)).withColumn("_px", F.lag(x).over(w))
+        .select("*", F.lag(t).over(w).alias("_pt"), F.lag(x).over(w).alias("_px"),
+                F.row_number().over(w).alias("_n"))
         .withColumn("_v", _rate(x, F.col("_px"), t, F.col("_pt")))
         .withColumn("_pv", last_known("_v", before(w)) if carry_gaps else F.lag("_v").over(w))
-        .withColumn("_n", F.row_number().over(w))
     )
     edges = rows.groupBy(*KEY, SLICE).agg(
         F.min(t).alias("t0"), F.min_by(x, F.col("_n")).alias("x0"),
@@ -131,35 +132,39 @@ def derived_features(price: DataFrame, liquidity: DataFrame,
     """
     if liq_interval not in ("any", "exact"):
         raise ValueError(f"unknown liq_interval: {liq_interval}")
-    p = price.select("candidate_id", "timestamp_ms", F.lit(0).alias("kind"), "price",
-                     F.lit(None).cast("double").alias("liq"))
-    q = liquidity.select("candidate_id", "timestamp_ms", F.lit(1).alias("kind"),
-                         F.lit(None).cast("double").alias("price"),
-                         F.col("liquidity").alias("liq"))
+    def side(df: DataFrame, kind: int, value: str) -> DataFrame:
+        mine, none = F.col(value), F.lit(None)
+        t = F.col("timestamp_ms")
+        return df.select(
+            *KEY, "timestamp_ms", F.lit(kind).alias("kind"),
+            (mine if kind == 0 else none).cast("double").alias("price"),
+            (mine if kind == 1 else none).cast("double").alias("liq"),
+            (t if kind == 0 else none).cast("long").alias("p_ts"),
+            (t if kind == 1 else none).cast("long").alias("q_ts"))
+
     t, x, liq = F.col("timestamp_ms"), F.col("price"), F.col("liq")
     is_p, is_q = F.col("kind") == 0, F.col("kind") == 1
     w = slice_window(KEY, "timestamp_ms", "kind")
     b = before(w)
     rows = (
-        add_slice(p.unionByName(q), KEY)
-        .withColumn("pt", last_known(F.when(is_p, t), b))
-        .withColumn("px", last_known(F.when(is_p, x), b))
-        .withColumn("qt", last_known(F.when(is_q, t), b))
-        .withColumn("qx", last_known(F.when(is_q, liq), b))
-        .withColumn("match", F.when((F.lead("kind").over(w) == 1) & (F.lead(t).over(w) == t),
-                                    F.lead(liq).over(w)))
+        add_slice(side(price, 0, "price").unionByName(side(liquidity, 1, "liquidity")), KEY)
+        # all functions of one select run in a single window pass
+        .select("*", last_known("p_ts", b).alias("pt"), last_known("price", b).alias("px"),
+                last_known("q_ts", b).alias("qt"), last_known("liq", b).alias("qx"),
+                F.lead("q_ts").over(w).alias("next_q"), F.lead("liq").over(w).alias("next_liq"))
         .withColumn("v", F.when(is_p, _rate(x, F.col("px"), t, F.col("pt"))))
         .withColumn("pv", last_known("v", b))
+        .withColumn("match", F.when(F.col("next_q") == t, F.col("next_liq")))
     )
 
     def at(agg, value: Column, cond: Column, name: str):
         return agg(value, F.when(cond, t)).alias(name)
 
     edges = rows.groupBy(*KEY, SLICE).agg(
-        F.min(F.when(is_p, t)).alias("t0"), at(F.min_by, x, is_p, "x0"),
-        F.max(F.when(is_p, t)).alias("t1"), at(F.max_by, x, is_p, "x1"),
+        F.min("p_ts").alias("t0"), at(F.min_by, x, is_p, "x0"),
+        F.max("p_ts").alias("t1"), at(F.max_by, x, is_p, "x1"),
         at(F.max_by, F.col("v"), F.col("v").isNotNull(), "v1"),
-        F.max(F.when(is_q, t)).alias("q1"), at(F.max_by, liq, is_q, "l1"))
+        F.max("q_ts").alias("q1"), at(F.max_by, liq, is_q, "l1"))
     e = earlier_slices(KEY)
     carried = (
         edges.withColumn("ct", last_known("t1", e)).withColumn("cx", last_known("x1", e))

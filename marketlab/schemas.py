@@ -93,6 +93,15 @@ UNIQUE_KEYS = {
     "strategy_aggregates": ["strategy_id", "scenario_id", "entry_event_type"],
 }
 
+# A column that equal keys always share, used to prune the stored table when a batch is
+# checked against it: part of the key, hashed into it, or fixed by the transaction.
+PRUNE_BY = {
+    "swap_events": "slot", "swaps": "slot", "liquidity_events": "slot",
+    "token_candidates": "slot", "price_timeseries": "timestamp_ms",
+    "liquidity_timeseries": "timestamp_ms", "volume_timeseries": "timestamp_ms",
+    "derived_features": "timestamp_ms", "trade_records": "entry_signal_time",
+}
+
 EVENT_ORDER = ["slot", "tx_signature", "event_index"]
 
 # Fixed enumeration values.

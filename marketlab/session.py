@@ -40,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_INTERMEDIATES: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back.
 
@@ -49,4 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _INTERMEDIATES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this process; call it after a run."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _INTERMEDIATES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATES.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

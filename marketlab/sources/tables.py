@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketlab.functions import ids
 from marketlab.operators.joins import latest
-from marketlab.schemas import EVENT_ORDER, TABLES, UNIQUE_KEYS, check_enums, conform
+from marketlab.schemas import (
+    ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, TABLES, UNIQUE_KEYS, check_enums, conform)
 
 
 class DuplicateKey(Exception):
@@ -144,8 +145,8 @@ class TableStore:
         """
         keys = UNIQUE_KEYS[table]
         batch = conform(df, TABLES[table])
-        stored = self.read(table) if self.exists(table) else None
-        if not check_enums(batch, table).isEmpty() if self._has_enums(table) else False:
+        stored = self._overlap(batch, table) if self.exists(table) else None
+        if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(batch, table).isEmpty():
             raise InvalidRows(table)
         seen, kept = Observation(), Observation()
         batch = batch.observe(seen, F.count(F.lit(1)).alias("n"))
@@ -165,10 +166,20 @@ class TableStore:
         total = added if on_conflict == "error" else seen.get["n"]
         return {"stored": added, "duplicates": total - added}
 
-    @staticmethod
-    def _has_enums(table: str) -> bool:
-        from marketlab.schemas import ALLOWED_VALUES
-        return any(t == table for t, _ in ALLOWED_VALUES)
+    def _overlap(self, batch: DataFrame, table: str) -> DataFrame:
+        """The part of the stored table that can hold keys of the batch.
+
+        One min/max over the batch lets the reader skip all row groups outside its range,
+        so the check does not grow with the age of the table.
+        """
+        stored, col = self.read(table), PRUNE_BY.get(table)
+        if col is None:
+            return stored
+        r = batch.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        near = F.col(col).isNull()
+        if r["lo"] is not None:
+            near = near | F.col(col).between(r["lo"], r["hi"])
+        return stored.where(near)
 
     def ingest(self, df: DataFrame, table: str, start: int | None = None, end: int | None = None,
                ts: str = "timestamp", on_conflict: str = "error") -> dict[str, int]:
