@@ -789,10 +789,10 @@ def _quality() -> dict[str, str]:
                           days=f"SELECT DISTINCT timestamp // {DAY} AS day FROM ev WHERE value > 100"),
         "integrity_errors": _with(f"""
     SELECT candidate_id, 'no swaps' AS error FROM token_candidates WHERE candidate_id NOT IN (
-      SELECT candidate_id FROM swaps WHERE timestamp >= {EVAL_AT})
+      SELECT candidate_id FROM swaps WHERE timestamp >= {EVAL_AT + 9 * DAY})
     UNION ALL
     SELECT candidate_id, 'no liquidity' FROM token_candidates WHERE candidate_id NOT IN (
-      SELECT candidate_id FROM liquidity_events WHERE timestamp >= {EVAL_AT})
+      SELECT candidate_id FROM liquidity_events WHERE timestamp >= {EVAL_AT + 9 * DAY})
     UNION ALL
     SELECT candidate_id, 'not replayable' FROM token_candidates WHERE candidate_id NOT IN (
       SELECT candidate_id FROM price)"""),

@@ -170,6 +170,7 @@ def q_exact(d):
 # --- discovery ----------------------------------------------------------------------------
 
 EVAL_AT = 1704067200000 + 20 * DAY_MS  # day 20 of the data
+LAST_DAY = 1704067200000 + 29 * DAY_MS
 
 
 def meta_of(d: Dataset) -> DataFrame:
@@ -459,8 +460,8 @@ def q_sufficiency(d):
 
 @query("integrity_errors")
 def q_errors(d):
-    """Raw events from day 20 on: some candidates have no liquidity event left."""
-    late = F.col("timestamp") >= EVAL_AT
+    """Raw events of the last day only: many candidates have none left."""
+    late = F.col("timestamp") >= LAST_DAY
     return quality.integrity_errors(d.token_candidates(), d.swaps().where(late),
                                     d.liquidity_events().where(late), price_of(d))
 
