@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
-def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
-                     salts: int = SALTS) -> DataFrame:
-    """Left join a large relation to a lookup with one row per key.
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
+                how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Join a large relation to a lookup with one row per key (left, semi or anti).
 
     Rows of one key are spread over ``salts`` tasks by the hash of ``spread``; the much
     smaller lookup is repeated once per salt.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def mint_to_candidate(candidates: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def resolve_candidates(events: DataFrame, candidates: DataFrame) -> DataFrame:
 
     An event keeps a NULL id until its mint is discovered and can be resolved later.
     """
-    joined = salted_left_join(events, mint_to_candidate(candidates), "mint", "tx_signature")
+    joined = salted_join(events, mint_to_candidate(candidates), "mint", "tx_signature")
     return joined.withColumn(
         "candidate_id", F.coalesce(F.nullif(F.col("candidate_id"), F.lit("")), "resolved_id")
     ).select(*events.columns)

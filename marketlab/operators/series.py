@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlab.functions.timecols import bucket_start
+from marketlab.operators.joins import salted_join
 
 INTERVALS = (60, 300, 3600)  # fixed bucket widths in seconds
 
@@ -88,4 +89,5 @@ def only_missing(swaps: DataFrame, existing: DataFrame, mode: str = "skip") -> D
         return swaps
     if mode != "skip":
         raise ValueError(f"unknown mode: {mode}")
-    return swaps.join(existing.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    done = existing.select("candidate_id").distinct()
+    return salted_join(swaps, done, "candidate_id", "tx_signature", "left_anti")

@@ -6,12 +6,15 @@ DAY = 86400000
 HOUR = 3600000
 
 
-def _events(coarse: bool = False) -> str:
+def _events(coarse: bool = False, hot: bool = False) -> str:
     ms = "epoch_us(ts) // 1000"
     if coarse:
         ms = f"(epoch_us(ts) // 1000 // {DAY}) * {DAY}"
+    key = "CAST(user_id AS VARCHAR)"
+    if hot:
+        key = f"CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE {key} END"
     return f"""
-    SELECT CAST(user_id AS VARCHAR) AS key, lpad(CAST(event_id AS VARCHAR), 12, '0') AS tx_signature,
+    SELECT {key} AS key, lpad(CAST(event_id AS VARCHAR), 12, '0') AS tx_signature,
            0 AS event_index, event_id AS slot, {ms} AS timestamp, event_type, value, user_id
     FROM events"""
 
@@ -127,6 +130,10 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT p.timestamp_ms - max(q.timestamp_ms) FROM liq q WHERE "
             "q.candidate_id = p.candidate_id AND q.timestamp_ms < p.timestamp_ms)"),
             coarse, **_FEATURES)
+    hot = {"ev": _events(hot=True)}
+    out["derived_features_hot"] = _with(_features(
+        "(SELECT p.timestamp_ms - max(q.timestamp_ms) FROM liq q WHERE "
+        "q.candidate_id = p.candidate_id AND q.timestamp_ms < p.timestamp_ms)"), **_FEATURES, **hot)
     out["price_timeseries_wide"] = _with(
         "SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count "
         "FROM wprice", wprice=_base()["price"].replace("FROM swaps ", "FROM swaps_wide "))
@@ -320,6 +327,12 @@ def _discovery() -> dict[str, str]:
     SELECT mint, timestamp, round(volume_1h, 6) AS volume_1h, swaps_1h,
            round(volume_24h, 6) AS volume_24h, swaps_24h, first_24h FROM windows""",
         windows=windows)
+    hot = {"ev": _events(hot=True)}
+    out["trailing_windows_hot"] = out["trailing_windows"].replace(_events(), _events(hot=True))
+    out["active_token_hot"] = _with(f"""
+    SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
+    FROM win JOIN last USING (mint) WHERE {spike}""", **hot,
+        win=_window("swap_events", "amount_out", "true"), last=_last("swap_events"))
     per_event = f"""
     SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]} FROM (
       SELECT s.*, row_number() OVER (PARTITION BY s.mint
@@ -914,6 +927,8 @@ def _tables() -> dict[str, str]:
     SELECT candidate_id, mint, tx_signature, event_index, slot, timestamp, event_type, amount_quote
     FROM liquidity_events WHERE timestamp < {EVAL_AT + 3 * DAY}"""),
     }
+    out.update(_programs())
+    out.update(_more_tables())
     d6 = "printf('%.6f', {})".format
     names = ["win_rate", "outcome_mean", "outcome_median", "outcome_p10", "outcome_p25",
              "outcome_p75", "outcome_p90", "outcome_min", "outcome_max", "outcome_stddev",
@@ -924,3 +939,79 @@ def _tables() -> dict[str, str]:
     out["csv_text"] = _with(
         f"SELECT {quoted}, {whole}, {', '.join(f'{d6(c)} AS {c}' for c in names)} FROM agg", **_WIDE)
     return out
+
+
+B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def _programs() -> dict[str, str]:
+    key = f"repeat('1', 31) || substr('{B58}', CAST(CAST(mint AS BIGINT) % 57 + 2 AS INTEGER), 1)"
+    account = "rpad('K' || replace(mint, '0', 'z'), 40, '1')"
+    second = "(timestamp // 1000) * 1000 AS timestamp"
+    none = "CAST(NULL AS VARCHAR) AS pool"
+    return {
+        "decode_amm_swaps": _with(f"""
+    SELECT {key} AS mint, 'key1' AS pool, tx_signature, 0 AS event_index, slot, {second},
+           CAST(slot AS DOUBLE) AS amount_out FROM swap_events"""),
+        "decode_curve_swaps": _with(f"""
+    SELECT CASE WHEN slot % 2 = 1 THEN 'T' || mint ELSE {account} END AS mint, {none}, tx_signature,
+           3 AS event_index, slot, {second},
+           CASE WHEN slot % 2 = 1 THEN CAST(slot AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS amount_out
+    FROM swap_events"""),
+        "decode_curve_liquidity": _with(f"""
+    SELECT '' AS pool, CASE WHEN slot % 2 = 1 THEN 'T' || mint ELSE '' END AS mint,
+           CASE WHEN slot % 5 = 0 THEN 'add' ELSE 'remove' END AS event_type,
+           CAST(0 AS DOUBLE) AS amount_token, CAST(0 AS DOUBLE) AS amount_quote, tx_signature,
+           0 AS event_index, slot, {second} FROM swap_events"""),
+        "decode_generic_swaps": _with(f"""
+    SELECT {account} AS mint, tx_signature, 7 AS event_index FROM swap_events"""),
+        "decode_inferred_mints": _with(f"""
+    SELECT {key} AS mint, 'pool' || mint AS pool, tx_signature, 2 AS event_index, slot, {second},
+           CAST(0 AS DOUBLE) AS amount_out FROM swap_events"""),
+    }
+
+
+def _more_tables() -> dict[str, str]:
+    last = f"(SELECT max(timestamp) FROM swap_events WHERE timestamp < {EVAL_AT})"
+
+    window = f"""
+    SELECT mint, sum(amount_out) AS v24, sum(amount_out) FILTER (timestamp >= {last} - {HOUR}) AS v1,
+           count(*) AS n24, count(*) FILTER (timestamp >= {last} - {HOUR}) AS n1,
+           CASE WHEN {last} - min(timestamp) >= {HOUR}
+                THEN ({last} - min(timestamp)) / CAST({HOUR} AS DOUBLE) END AS hours
+    FROM swap_events WHERE timestamp >= {last} - {DAY} AND timestamp < {last} GROUP BY mint"""
+    trigger = f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mint
+        ORDER BY timestamp DESC, slot, tx_signature, event_index) AS rn
+      FROM swap_events WHERE timestamp >= {last} - {HOUR} AND timestamp < {last}) WHERE rn = 1"""
+    return {
+        "scan_by_key": _with("SELECT * FROM swaps WHERE candidate_id = '7'"),
+        "scan_by_attribute": _with("SELECT * FROM token_candidates WHERE source = 'ACTIVE_TOKEN'"),
+        "trades_of_family": _with("""
+    SELECT * FROM wtrades WHERE strategy_id LIKE 'TIME_EXIT%' AND scenario_id = 'realistic'""", **_WIDE),
+        "newest_version": """
+    SELECT o_custkey, max(o_orderkey) AS created_at, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus,
+           arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey""",
+        "seen_mints": _with(f"SELECT DISTINCT mint FROM swap_events WHERE {UNSEEN}"),
+        "enum_check": _with("""
+    SELECT tx_signature, CASE WHEN slot % 10 = 0 THEN 'hold' END AS side, 'side' AS reason
+    FROM swaps WHERE slot % 10 = 0 OR slot % 11 = 0"""),
+        "run_statistics": _with("""
+    SELECT (SELECT count(*) FROM token_candidates) AS candidates, (SELECT count(*) FROM trades) AS trades,
+           (SELECT count(*) FROM (SELECT DISTINCT strategy_id, scenario_id, entry_event_type FROM grouped))
+             AS aggregates,
+           (SELECT count(*) * 3 FROM token_candidates) - (SELECT count(*) // 4 FROM trades) AS errors""",
+            **_EXITS, grouped=_grouped("trades", "token_candidates")),
+        "csv_text_trades": _with("""
+    SELECT '"' || trade_id || '"' AS trade_id, '"' || candidate_id || '"' AS candidate_id,
+           '"' || exit_reason || '"' AS exit_reason, CAST(exit_signal_time AS VARCHAR) AS exit_signal_time,
+           printf('%.6f', exit_signal_price) AS exit_signal_price,
+           coalesce(printf('%.6f', peak_price), '') AS peak_price,
+           coalesce(printf('%.6f', min_liquidity), '') AS min_liquidity,
+           '"' || outcome_class || '"' AS outcome_class FROM trades""", **_EXITS),
+        "stream_active_token": _with(f"""
+    SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
+    FROM win JOIN last USING (mint) WHERE v1 > 3.0 * (v24 / hours) OR n1 > 5.0 * (n24 / hours)""",
+            win=window, last=trigger),
+        "stream_deduplicated": _with("SELECT * FROM swap_events"),
+    }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlab.operators import exits, features, metrics, quality, series, verdict
+from marketlab.operators.joins import salted_join
 from marketlab.schemas import TRADE_RECORDS
 from marketlab.sources.tables import (
     AGGREGATE_CSV, SCENARIO_CSV, TableStore, all_aggregates, all_trades, scenario_outcomes,
@@ -31,12 +32,14 @@ class Results:
 
 def normalise(store: TableStore, mode: str = "skip") -> None:
     """Series and features of all candidates in one job each; stored ones are skipped."""
-    known = store.read("token_candidates").select("candidate_id")
+    known = store.read("token_candidates").select("candidate_id").distinct()
     done = store.read("price_timeseries")
-    swaps = series.only_missing(
-        store.read("swaps").join(known, "candidate_id", "left_semi"), done, mode)
-    raw = series.only_missing(
-        store.read("liquidity_events").join(known, "candidate_id", "left_semi"), done, mode)
+
+    def pending(table: str) -> DataFrame:
+        rows = salted_join(store.read(table), known, "candidate_id", "tx_signature", "left_semi")
+        return series.only_missing(rows, done, mode)
+
+    swaps, raw = pending("swaps"), pending("liquidity_events")
     store.append_unique(series.liquidity_timeseries(raw), "liquidity_timeseries", "skip")
     store.append_unique(series.volume_timeseries(swaps), "volume_timeseries", "skip")
     fresh = series.price_timeseries(swaps)

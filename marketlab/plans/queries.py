@@ -9,12 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.functions import ids
+from marketlab.functions import costs, ids
 from marketlab.functions.timecols import DAY_MS
 from marketlab.operators import (
     asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
     verify)
 from marketlab.plans import views
+from marketlab.schemas import check_enums
 from marketlab.session import materialize, shared_dir
 from marketlab.sources import decode, tables
 from marketlab.sources.adapters import Dataset
@@ -135,6 +136,26 @@ def q_lifecycle_liq(d):
     return series.lifecycle(liquidity_of(d))
 
 
+def hot(d: Dataset) -> Dataset:
+    """The same tables with a third of the users merged into one key."""
+    return Dataset(d.spark, d.path, hot=True)
+
+
+@query("derived_features_hot")
+def q_features_hot(d):
+    return features.derived_features(price_of(hot(d)), liquidity_of(hot(d)))
+
+
+@query("trailing_windows_hot")
+def q_windows_hot(d):
+    return rounded(discovery.trailing_windows(hot(d).swap_events()), 6, "volume_1h", "volume_24h")
+
+
+@query("active_token_hot")
+def q_active_hot(d):
+    return discovery.active_tokens(hot(d).swap_events(), EVAL_AT)
+
+
 # --- as-of lookups ------------------------------------------------------------------------
 
 def probes_of(d: Dataset) -> DataFrame:
@@ -647,6 +668,134 @@ def q_decode_liquidity(d):
     return decode.amm_liquidity(decode.usable(tx_logs_of(d)))
 
 
+def program_logs_of(d: Dataset) -> DataFrame:
+    """Transactions with the binary and the bonding-curve log formats side by side.
+
+    The traded key is 31 zero bytes and one byte that depends on the mint; the account list
+    names another key for curve trades without a mint in the log.
+    """
+    ev = d.swap_events()
+    little = F.concat(*[F.substring(F.lpad(F.hex(F.col("slot")), 16, "0"), 2 * i + 1, 2)
+                        for i in reversed(range(8))])
+    key_byte = F.lpad(F.hex(F.col("mint").cast("long") % 57 + 1), 2, "0")
+    swap = F.unhex(F.concat(F.lit("09" + "00" * 32 + decode._NATIVE_HEX + "00" * 31), key_byte,
+                            F.lit("00" * 8), little))
+    odd = F.col("slot") % 2 == 1
+    own_mint = F.concat(F.lit("Program log: mint="), F.concat(F.lit("T"), "mint"),
+                        F.lit(" amount: "), F.col("slot").cast("string"))
+    account = F.rpad(F.concat(F.lit("K"), F.translate("mint", "0", "z")), 40, "1")
+    keys = [F.lit(f"key{i}") for i in range(18)]
+    keys[2], keys[7] = account, F.lit(decode.TOKEN_PROGRAM)
+    return ev.select(
+        "tx_signature", "slot", F.expr("timestamp div 1000").alias("block_time_s"),
+        F.lit(None).cast("string").alias("err"),
+        F.array(
+            F.concat(F.lit("Program log: ray_log: "), F.translate(F.base64(swap), "\r\n", "")),
+            F.lit(f"Program {decode.CURVE_PROGRAM} invoke [1]"),
+            F.when(odd, own_mint).otherwise("Program log: nothing"),
+            F.lit("Program log: Instruction: Buy"),
+            F.when(F.col("slot") % 5 == 0, "Program log: Instruction: Create")
+            .otherwise("Program log: Instruction: Migrate"),
+            F.lit(f"Program {decode.CURVE_PROGRAM} success"),
+            F.lit("Program log: Instruction: Sell"),
+            F.concat(F.lit("Trade of MINT: "), account)).alias("logs"),
+        F.array(*keys).alias("account_keys"))
+
+
+@query("decode_amm_swaps")
+def q_decode_amm(d):
+    return decode.amm_swaps(decode.usable(program_logs_of(d)))
+
+
+@query("decode_curve_swaps")
+def q_decode_curve(d):
+    return decode.curve_swaps(decode.usable(program_logs_of(d)))
+
+
+@query("decode_curve_liquidity")
+def q_decode_curve_liquidity(d):
+    return decode.curve_liquidity(decode.usable(program_logs_of(d)))
+
+
+@query("decode_generic_swaps")
+def q_decode_generic(d):
+    return decode.generic_swaps(decode.usable(program_logs_of(d))).select(
+        "mint", "tx_signature", "event_index")
+
+
+@query("decode_inferred_mints")
+def q_decode_inferred(d):
+    """Curve trades without a mint, filled from snapshots of two token accounts."""
+    line = F.array(F.lit(f"Program {decode.AMM_PROGRAM} invoke [1]"),
+                   F.lit(f"Program {decode.CURVE_PROGRAM} invoke [1]"),
+                   F.lit("Program log: Instruction: Sell"))
+    tx = d.swap_events().select(
+        "tx_signature", "slot", F.expr("timestamp div 1000").alias("block_time_s"),
+        F.lit(None).cast("string").alias("err"), line.alias("logs"),
+        F.array(F.lit("a"), F.concat(F.lit("pool"), "mint"), F.lit("b"), F.lit("c"), F.lit("d"),
+                F.lit("native"), F.concat(F.lit("acct"), "mint")).alias("account_keys"))
+    byte = F.lpad(F.hex(F.col("mint").cast("long") % 57 + 1), 2, "0")
+    accounts = d.swap_events().select("mint").distinct().select(
+        F.concat(F.lit("acct"), "mint").alias("pubkey"),
+        F.base64(F.unhex(F.concat(F.lit("00" * 31), byte, F.lit("00" * 40)))).alias("data"))
+    native = d.swap_events().limit(1).select(
+        F.lit("native").alias("pubkey"), F.base64(F.unhex(F.lit(decode._NATIVE_HEX))).alias("data"))
+    return decode.swap_events(tx, accounts.unionByName(native))
+
+
+# --- more table operations ----------------------------------------------------------------
+
+@query("scan_by_key")
+def q_scan(d):
+    return tables.by_key(d.swaps(), "7", order=("timestamp",))
+
+
+@query("scan_by_attribute")
+def q_attribute(d):
+    return tables.with_values(d.token_candidates(), source="ACTIVE_TOKEN")
+
+
+@query("trades_of_family")
+def q_family(d):
+    return tables.trades_of_family(wide_trades(d), "TIME_EXIT", "realistic")
+
+
+@query("newest_version")
+def q_newest(d):
+    orders = d.table("orders").select(
+        "o_custkey", F.col("o_orderkey").alias("created_at"), "o_orderstatus", "o_totalprice")
+    return tables.newest_version(orders, ["o_custkey"])
+
+
+@query("seen_mints")
+def q_seen(d):
+    return tables.seen_mints(stored_of(d).select("mint"), d.swap_events())
+
+
+@query("enum_check")
+def q_enum(d):
+    broken = d.swaps().withColumn("side", F.when(F.col("slot") % 10 == 0, "hold")
+                                  .when(F.col("slot") % 11 == 0, None).otherwise(F.col("side")))
+    return check_enums(broken, "swaps").select("tx_signature", "side", "reason")
+
+
+@query("run_statistics")
+def q_statistics(d):
+    candidates, price, liquidity = stored_series(d)
+    evaluated = materialize(exits.evaluate(candidates, price, liquidity, demo_rules()), "evaluated")
+    trades = costs.trade_columns(exits.exits(evaluated), costs.scenarios(d.spark))
+    groups = metrics.classified(trades, candidates).select(*metrics.KEYS).distinct()
+    return metrics.run_statistics(candidates, trades, groups, exits.rejected(evaluated))
+
+
+@query("csv_text_trades")
+def q_csv_trades(d):
+    """Trade report lines; six digits of values whose last printed digit is not a tie."""
+    names = ["trade_id", "candidate_id", "exit_reason", "exit_signal_time", "exit_signal_price",
+             "peak_price", "min_liquidity", "outcome_class"]
+    return tables.csv_text(trades_of(d), names)
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 def event_stream(d: Dataset):
@@ -722,3 +871,23 @@ def q_stream_enriched(d):
     out.writeStream.format("parquet").option("path", f"{root}/out").option(
         "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return d.spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("stream_active_token")
+def q_stream_active(d):
+    """Spikes at the time of the last stored event."""
+    store = tables.TableStore(d.spark, fresh_folder(d, "stream-active"))
+    store.append_unique(d.swap_events().where(F.col("timestamp") < EVAL_AT), "swap_events")
+    live.LivePipeline(store).detect_active()
+    return store.read("token_candidates")
+
+
+@query("stream_deduplicated")
+def q_stream_dedupe(d):
+    root = fresh_folder(d, "stream-dedupe")
+    events = StreamedDataset(d.spark, d.path).swap_events()
+    out = live.deduplicated(events.unionByName(StreamedDataset(d.spark, d.path).swap_events()),
+                            tables.UNIQUE_KEYS["swap_events"])
+    out.writeStream.format("parquet").option("path", f"{root}/out").option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(out.schema).parquet(f"{root}/out")

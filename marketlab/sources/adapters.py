@@ -11,9 +11,11 @@ from marketlab.functions.timecols import DAY_MS, epoch_ms
 class Dataset:
     """Domain relations read from one folder of parquet tables."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, hot: bool = False):
+        """With ``hot`` a third of the users are one and the same key."""
         self.spark = spark
         self.path = path.rstrip("/")
+        self.hot = hot
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -22,8 +24,11 @@ class Dataset:
         ms = epoch_ms("ts")
         if coarse:
             ms = F.floor(ms / DAY_MS) * DAY_MS
+        key = F.col("user_id").cast("string")
+        if self.hot:
+            key = F.when(F.col("user_id") % 3 == 0, "hot").otherwise(key)
         return self.table("events").select(
-            F.col("user_id").cast("string").alias("key"),
+            key.alias("key"),
             F.lpad(F.col("event_id").cast("string"), 12, "0").alias("tx_signature"),
             F.lit(0).alias("event_index"),
             F.col("event_id").alias("slot"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlab.functions.base58 import base58
-from marketlab.operators.joins import resolve_candidates, salted_left_join
+from marketlab.operators.joins import resolve_candidates, salted_join
 from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TOKEN_METADATA, conform
 
 # Fixed program and token addresses.
@@ -258,7 +258,7 @@ def inferred_mints(tx: DataFrame, accounts: DataFrame) -> DataFrame:
         F.exists("logs", lambda x: x.contains(AMM_PROGRAM)) & (F.size("account_keys") >= 7)
     ).select("tx_signature", _key(1).alias("pool"),
              F.posexplode(F.array(_key(5), _key(6))).alias("pos", "acct"))
-    found = salted_left_join(asked, mints, "acct", "tx_signature")
+    found = salted_join(asked, mints, "acct", "tx_signature")
     rank = F.struct((F.hex("raw") == _NATIVE_HEX).alias("native"), "pos")
     best = found.groupBy("tx_signature").agg(
         F.first("pool").alias("inferred_pool"),

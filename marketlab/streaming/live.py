@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marketlab.operators import discovery
-from marketlab.operators.joins import mint_to_candidate
+from marketlab.operators.joins import mint_to_candidate, salted_join
 from marketlab.schemas import EVENT_ORDER
 from marketlab.sources.tables import TableStore, half_open
 
@@ -127,7 +127,8 @@ class LivePipeline:
 
 def with_candidates(liquidity: DataFrame, candidates: DataFrame) -> DataFrame:
     """Stream-static enrichment: candidate id by mint at arrival, NULL if unknown yet."""
-    return liquidity.join(mint_to_candidate(candidates), "mint", "left").withColumn(
+    joined = salted_join(liquidity, mint_to_candidate(candidates), "mint", "tx_signature")
+    return joined.withColumn(
         "candidate_id", F.coalesce(F.nullif(F.col("candidate_id"), F.lit("")), "resolved_id")
     ).select(*liquidity.columns)
 
