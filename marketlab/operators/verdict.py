@@ -35,7 +35,7 @@ def decision_inputs(aggregates: DataFrame, implementable: DataFrame | None = Non
     if implementable is None:
         return rows.withColumn("implementable", F.lit(True))
     marks = implementable.select(*keys).distinct().withColumn("implementable", F.lit(True))
-    return rows.join(F.broadcast(marks), keys, "left").withColumn(
+    return rows.join(marks, keys, "left").withColumn(
         "implementable", F.coalesce("implementable", F.lit(False)))
 
 

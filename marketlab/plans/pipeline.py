@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlab.operators import exits, features, metrics, quality, series, verdict
 from marketlab.operators.joins import salted_join
 from marketlab.schemas import TRADE_RECORDS
+from marketlab.session import discard_intermediates, intermediates_mark, materialize
 from marketlab.sources.tables import (
     AGGREGATE_CSV, SCENARIO_CSV, TableStore, all_aggregates, all_trades, scenario_outcomes,
     write_csv, write_json)
@@ -40,13 +41,13 @@ def normalise(store: TableStore, mode: str = "skip") -> None:
         return series.only_missing(rows, done, mode)
 
     swaps, raw = pending("swaps"), pending("liquidity_events")
-    store.append_unique(series.liquidity_timeseries(raw), "liquidity_timeseries", "skip")
+    price = materialize(series.price_timeseries(swaps), "fresh-price")
+    liquidity = materialize(series.liquidity_timeseries(raw), "fresh-liquidity")
+    store.append_unique(liquidity, "liquidity_timeseries", "skip")
     store.append_unique(series.volume_timeseries(swaps), "volume_timeseries", "skip")
-    fresh = series.price_timeseries(swaps)
-    store.append_unique(features.derived_features(fresh, series.liquidity_timeseries(raw)),
-                        "derived_features", "skip")
+    store.append_unique(features.derived_features(price, liquidity), "derived_features", "skip")
     # last: this table marks a candidate as done
-    store.append_unique(fresh, "price_timeseries", "skip")
+    store.append_unique(price, "price_timeseries", "skip")
 
 
 def evaluate(store: TableStore, rules: list[tuple], scenario_rows=None) -> None:
@@ -107,9 +108,11 @@ def fingerprint(store: TableStore) -> DataFrame:
 def run(store: TableStore, rules: list[tuple], folder: str, scenario_rows=None,
         implementable: DataFrame | None = None) -> Results:
     """Normalise, evaluate, aggregate and report."""
+    mark = intermediates_mark()
     normalise(store)
     evaluate(store, rules, scenario_rows)
     aggregate(store)
     results = report(store, implementable)
     write_report(store, results, folder)
+    discard_intermediates(store.spark, mark)  # the reports read stored tables only
     return results

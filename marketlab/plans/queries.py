@@ -738,8 +738,8 @@ def q_decode_inferred(d):
     accounts = d.swap_events().select("mint").distinct().select(
         F.concat(F.lit("acct"), "mint").alias("pubkey"),
         F.base64(F.unhex(F.concat(F.lit("00" * 31), byte, F.lit("00" * 40)))).alias("data"))
-    native = d.swap_events().limit(1).select(
-        F.lit("native").alias("pubkey"), F.base64(F.unhex(F.lit(decode._NATIVE_HEX))).alias("data"))
+    native = d.swap_events().agg(F.lit("native").alias("pubkey"), F.base64(F.unhex(F.concat(
+        F.lit(decode._NATIVE_HEX), F.substring(F.hex(F.max("slot")), 1, 0)))).alias("data"))
     return decode.swap_events(tx, accounts.unionByName(native))
 
 

@@ -56,10 +56,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_intermediates(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this process; call it after a run."""
-    conf, n = spark._jsc.hadoopConfiguration(), 0
-    while _INTERMEDIATES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATES.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a folder on whatever file system it lives on."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def intermediates_mark() -> int:
+    """Position in the list of intermediate tables, for ``discard_intermediates``."""
+    return len(_INTERMEDIATES)
+
+
+def discard_intermediates(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote in this process after the mark."""
+    n = 0
+    while len(_INTERMEDIATES) > since:
+        n += bool(delete_path(spark, _INTERMEDIATES.pop()))
     return n

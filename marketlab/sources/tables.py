@@ -11,6 +11,8 @@ from marketlab.functions import ids
 from marketlab.operators.joins import latest
 from marketlab.schemas import (
     ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, TABLES, UNIQUE_KEYS, check_enums, conform)
+from marketlab.session import (
+    discard_intermediates, intermediates_mark, materialize, path_exists)
 
 
 class DuplicateKey(Exception):
@@ -127,15 +129,13 @@ class TableStore:
         return os.path.join(self.root, table)
 
     def exists(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path_exists(self.spark, self.path(table))
 
     def read(self, table: str) -> DataFrame:
         schema = TABLES[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table))
+        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
 
     def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error") -> dict[str, int]:
         """Append a batch; returns ``stored`` and ``duplicates``.
@@ -143,9 +143,19 @@ class TableStore:
         ``error``: nothing is written if any key repeats in the batch or in the table.
         ``skip``: repeated keys are left out silently, so a batch can be replayed safely.
         """
+        mark = intermediates_mark()
+        try:
+            return self._append(df, table, on_conflict)
+        finally:
+            discard_intermediates(self.spark, mark)
+
+    def _append(self, df: DataFrame, table: str, on_conflict: str) -> dict[str, int]:
         keys = UNIQUE_KEYS[table]
-        batch = conform(df, TABLES[table])
-        stored = self._overlap(batch, table) if self.exists(table) else None
+        batch, exists = conform(df, TABLES[table]), self.exists(table)
+        if exists or on_conflict == "error":
+            # the checks and the write read the batch several times: compute it once
+            batch = materialize(batch, f"batch-{table}")
+        stored = self._overlap(batch, table) if exists else None
         if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(batch, table).isEmpty():
             raise InvalidRows(table)
         seen, kept = Observation(), Observation()

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from marketlab.operators import discovery
 from marketlab.operators.joins import mint_to_candidate, salted_join
 from marketlab.schemas import EVENT_ORDER
+from marketlab.session import delete_path, path_exists
 from marketlab.sources.tables import TableStore, half_open
 
 SLOT_LAG = 5            # fixed: slots behind the highest one until a slot is final
@@ -59,6 +60,8 @@ class SlotBuffer:
         tagged = pool.crossJoin(F.broadcast(top))
         held = tagged.where(F.col("slot") > F.col("top") - self.lag).drop("top")
         held.write.mode("overwrite").parquet(self._path(batch_id))
+        if path_exists(self.spark, self._path(batch_id - 2)):  # no retry reaches back that far
+            delete_path(self.spark, self._path(batch_id - 2))
         return tagged.where(F.col("slot") <= F.col("top") - self.lag).drop("top").orderBy(*EVENT_ORDER)
 
     def drain(self, batch_id: int) -> DataFrame:

@@ -135,3 +135,23 @@ def test_replay_verification(spark):
     assert rows_of(div, "trade_id", "field", "replayed") == [("x", "Error", "candidate not found")]
     assert rows_of(verify.verification_summary(stored, div), "total_trades", "matched_trades",
                    "divergent_trades") == [(5, 4, 1)]
+
+
+def test_intermediate_tables_are_discarded(spark, store, tmp_path):
+    from marketlab import session
+    mark = session.intermediates_mark()
+    df = session.materialize(swap_events(spark, [{"timestamp": 1}]), "t")
+    assert session.intermediates_mark() == mark + 1 and df.count() == 1
+    store.append_unique(df, "swap_events")  # its own staging is gone, ours is not
+    assert session.intermediates_mark() == mark + 1 and df.count() == 1
+    assert session.discard_intermediates(spark, mark) == 1
+
+
+def test_seen_mints_and_run_statistics(spark):
+    from marketlab.operators import metrics
+    seen = spark.createDataFrame([("m1",)], "mint string")
+    ev = swap_events(spark, [{"timestamp": 1}, {"timestamp": 2, "mint": "m2"}])
+    assert rows_of(tables.seen_mints(seen, ev), "mint") == [("m2",)]
+    c = candidates(spark, [{}])
+    assert metrics.run_statistics(c, c, c, c.limit(0)).first().asDict() == {
+        "candidates": 1, "trades": 1, "aggregates": 1, "errors": 0}
