@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-_INTERMEDIATES: list[str] = []
+_LOCAL = threading.local()  # streams run side by side: each thread cleans up its own
+
+
+def _intermediates() -> list[str]:
+    if not hasattr(_LOCAL, "paths"):
+        _LOCAL.paths = []
+    return _LOCAL.paths
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _INTERMEDIATES.append(path)
+    _intermediates().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,12 +76,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def intermediates_mark() -> int:
     """Position in the list of intermediate tables, for ``discard_intermediates``."""
-    return len(_INTERMEDIATES)
+    return len(_intermediates())
 
 
 def discard_intermediates(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables that ``materialize`` wrote in this process after the mark."""
-    n = 0
-    while len(_INTERMEDIATES) > since:
-        n += bool(delete_path(spark, _INTERMEDIATES.pop()))
+    """Delete the tables that ``materialize`` wrote in this thread after the mark."""
+    paths, n = _intermediates(), 0
+    while len(paths) > since:
+        n += bool(delete_path(spark, paths.pop()))
     return n
