@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import sharding, simhash
+from marketlab.llm import langid, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
+        "op2_mixture_langid": langid.query,
+        "op4_discriminant": quality.query,
         "op6_histogram_sort": sharding.query,
     }
 
