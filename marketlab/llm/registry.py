@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import langid, quality, sharding, simhash
+from marketlab.llm import chat, langid, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
         "op2_mixture_langid": langid.query,
+        "op3_schema_chat": chat.query,
         "op4_discriminant": quality.query,
         "op6_histogram_sort": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_schema_chat": chat.ORACLE,
+    }
