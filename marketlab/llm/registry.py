@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import chat, langid, packing, quality, sharding, simhash
+from marketlab.llm import chat, decontaminate, langid, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixture_langid": langid.query,
         "op3_schema_chat": chat.query,
         "op4_discriminant": quality.query,
+        "op5_template_windows": decontaminate.query,
         "op6_histogram_sort": sharding.query,
         "op8_bin_completion": packing.query,
     }
