@@ -21,43 +21,36 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-def per_batch(fn: Callable[[pa.Table], pa.Table | None], rows: int = 0, nbytes: int = 0):
-    """A mapInArrow function that applies ``fn`` to pieces of a partition.
+def per_batch(fn: Callable[[pa.Table], pa.Table | None], nbytes: int = 4_000_000):
+    """A mapInArrow function that applies ``fn`` to pieces of a partition of about ``nbytes`` bytes.
 
-    Batches are gathered until they hold ``rows`` rows or ``nbytes`` bytes, so a task holds
-    one bounded piece at a time whatever the size of its partition.
+    Small batches are gathered and large ones cut by rows, so a task holds one bounded piece at a time
+    whatever the size of its partition or of Spark's batches.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = size = 0
+        size = 0
 
         def flush():
             out = fn(pa.Table.from_batches(held))
             return [] if out is None else out.combine_chunks().to_batches()
 
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            size += batch.nbytes
-            if n >= rows and size >= nbytes:
-                yield from flush()
-                held, n, size = [], 0, 0
+            step = max(1, batch.num_rows // max(1, batch.nbytes // nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                held.append(part)
+                size += part.nbytes
+                if size >= nbytes:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
     return run
 
 
-def int_column(table: pa.Table, name: str, null: int) -> np.ndarray:
-    """An integer column as int64 with a stand-in for nulls."""
-    import pyarrow.compute as pc
-
-    return pc.fill_null(table[name].cast(pa.int64()), null).combine_chunks().to_numpy(zero_copy_only=False)
-
-
 def binary_view(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; nulls are empty."""
     import pyarrow.compute as pc
