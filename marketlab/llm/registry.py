@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import chat, decontaminate, langid, packing, quality, sharding, simhash, vectors
+from marketlab.llm import chat, decontaminate, katz, langid, packing, quality, sharding, simhash, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_template_windows": decontaminate.query,
         "op6_histogram_sort": sharding.query,
         "op8_bin_completion": packing.query,
+        "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
     }
 
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_schema_chat": chat.ORACLE,
+        "op9_katz": katz.query,
         "op10_multi_index": vectors.ORACLE,
     }
