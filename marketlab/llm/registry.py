@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import chat, decontaminate, katz, langid, packing, quality, sharding, simhash, vectors
+from marketlab.llm import chat, decontaminate, katz, langid, packing, passages, quality, sharding, simhash, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_discriminant": quality.query,
         "op5_template_windows": decontaminate.query,
         "op6_histogram_sort": sharding.query,
+        "op7_merged_transforms": passages.query,
         "op8_bin_completion": packing.query,
         "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
