@@ -141,6 +141,13 @@ def verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "kind")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no benchmark item."""
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    found = materialize(found, "contaminated")  # of known size: Spark sends it to the rows while it is small
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
+
 def query(spark, sf_dir) -> DataFrame:
     """op5: which documents hold benchmark items."""
     docs = table(spark, sf_dir, "documents")

@@ -134,21 +134,38 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> Discri
     return Discriminant(centre, scale, (means - centre) / scale, np.array(roots), np.array(constants))
 
 
-def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; rows with ``held_out`` take no part in the fit."""
+def train(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> tuple[DataFrame, Discriminant]:
+    """Stored statistics (doc_id, x, held_out) of all rows and the model fitted on those not held out."""
     held = id_remainder(F.col("doc_id"), 3) == 1
     rows = materialize(with_statistics(docs).withColumn("held_out", held), "quality_statistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)")
-    model = fit(rows.where("not held_out").join(marks, "doc_id").select("x", "y"), shrink, ridge)
+    return rows, fit(rows.where("not held_out").join(marks, "doc_id").select("x", "y"), shrink, ridge)
+
+
+def classify(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float = 0.02) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; rows with ``held_out`` take no part in the fit."""
+    rows, model = train(docs, labels, shrink, ridge)
 
     @F.pandas_udf("double")
-    def scorer(x: pd.Series) -> pd.Series:
+    def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array(x.tolist(), dtype=float).reshape(-1, len(NAMES))))
 
-    return rows.withColumn("score", scorer("x")).select(
+    return rows.withColumn("score", score("x")).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, whose score is at least ``least``; no row is moved for it."""
+    _, model = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        x = [statistics((t or "").encode()) for t in text]
+        return pd.Series(model.score(np.array(x, dtype=float).reshape(-1, len(NAMES))))
+
+    return docs.where(score(F.col("text").cast("string")) >= least)
+
+
 def query(spark, sf_dir) -> DataFrame:
     """op4: quality of every document."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlab.llm import chat, decontaminate, katz, langid, packing, passages, quality, sharding, simhash, vectors
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bin_completion": packing.query,
         "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

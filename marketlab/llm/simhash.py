@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.llm.common import binary_view, per_batch, table
@@ -171,6 +171,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "n_class", "n_component")
 
 
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs that name their group: one for each group of near duplicates.
+
+    Of rows that repeat an id one stays; rows without an id stay.
+    """
+    found = near_duplicates(docs, words, radius)
+    # stored, so that Spark knows their size: few ids are sent to the rows, many are joined by hash
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near_duplicates")
+    twice = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi")
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))).where("_n = 1")
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+
+
 def query(spark, sf_dir) -> DataFrame:
     """op1: fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
