@@ -28,10 +28,14 @@ from marketlab.llm.common import binary_view, id_remainder, per_batch, table
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII = re.compile("[A-Za-z]")
 _WORD = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ASCII.search(text)) or any(c.isalpha() for c in text)
+
+
 def trigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the trigram around every word byte; start of each word in it; words of each document."""
     body, at = binary_view(pc.utf8_lower(column))
@@ -135,7 +139,7 @@ def identify(docs: DataFrame, names: list[str], log_p: np.ndarray, most: int = 4
         pred, score, langs = [], [], []
         for text, row in zip(t["text"].to_pylist(), pi):
             k = int(row.argmax()) if len(row) else 0
-            if text is None or not len(row) or row[k] <= 0 or not _LETTER.search(text):
+            if text is None or not len(row) or row[k] <= 0 or not has_letter(text):
                 pred.append(UNKNOWN), score.append(0.0), langs.append([])
             else:
                 pred.append(names[k]), score.append(min(1.0, float(row[k])))
