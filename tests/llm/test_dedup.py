@@ -138,7 +138,7 @@ def test_stretches_odd_rows(odd_docs, make_docs):
 
 
 def brute_vectors(rows):
-    good = [(i, l, np.array(e, float)) for i, (v, e, l) in enumerate(rows)
+    good = [(i, l, np.array(e, float) / np.abs(np.array(e, float)).max()) for i, (v, e, l) in enumerate(rows)
             if l is not None and e and None not in e and np.isfinite(e).all() and np.any(e) and len(e) == 6]
     links = [(a, b) for a, la, ea in good for b, lb, eb in good
              if a < b and la == lb and ea @ eb / np.linalg.norm(ea) / np.linalg.norm(eb) >= 0.93]
