@@ -7,12 +7,13 @@ import tempfile
 import threading
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "marketlab", memory: str = "8g") -> SparkSession:
     """A local[N] session with the settings the jobs are tested with."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -25,20 +26,21 @@ def local_session(cores: str = "8", app: str = "marketlab", memory: str = "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        .getOrCreate()
     )
+    if not SparkConf().contains("spark.checkpoint.dir"):  # one machine: any local folder is shared
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else a fresh local one."""
+    """Folder for intermediate tables, which all executors must see: ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors "
+                           "before the session starts")
+    return named
 
 
 _LOCAL = threading.local()  # streams run side by side: each thread cleans up its own
