@@ -72,10 +72,10 @@ def rule_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return table.withColumn("strategy_id", ids.strategy_id())
 
 
-def rejected_rules(rules: DataFrame) -> DataFrame:
+def rejected_rules(rules: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
     """Rules of an unknown family or without a required parameter, with the reason."""
     kind = F.col("strategy_type")
-    reason = F.when(~kind.isin(list(REQUIRED)), F.lit("unknown strategy type"))
+    reason = F.when(~F.coalesce(kind.isin([*REQUIRED, *custom]), F.lit(False)), F.lit("unknown strategy type"))
     for family, needed in REQUIRED.items():
         for name in needed:
             reason = reason.when((kind == family) & F.col(name).isNull(),
@@ -327,9 +327,15 @@ def rejected(evaluated: DataFrame) -> DataFrame:
 
 def trade_records(candidates: DataFrame, price: DataFrame, liquidity: DataFrame,
                   rules: list[tuple] | None = None, scenario_rows=None) -> DataFrame:
-    """The full grid: candidates x rules of their source x cost scenarios."""
-    spark = candidates.sparkSession
-    found = exits(evaluate(candidates, price, liquidity, rules))
+    """The full grid: candidates x rules of their source x cost scenarios.
+
+    Registered families of one's own are part of the grid.
+    """
+    spark, rules = candidates.sparkSession, default_rules() if rules is None else rules
+    found = exits(evaluate(candidates, price, liquidity, built_in_rules(rules)))
+    for family in custom_families(rules):
+        own = exit_rule(family)(candidates, price, liquidity, [r for r in rules if r[0] == family])
+        found = found.unionByName(own, allowMissingColumns=True).select(found.columns)
     return costs.trade_columns(found, costs.scenarios(spark, scenario_rows))
 
 
@@ -347,6 +353,16 @@ def exit_rule(family: str) -> ExitRule:
     return _FAMILIES[family]
 
 
+def custom_families(rules: list[tuple]) -> tuple[str, ...]:
+    """Families among the rules that were registered and are not built in."""
+    return tuple(sorted({r[0] for r in rules if r[0] in _FAMILIES and r[0] not in REQUIRED}))
+
+
+def built_in_rules(rules: list[tuple]) -> list[tuple]:
+    """All other rules; unknown ones are left to ``rejected_rules``."""
+    return [r for r in rules if r[0] not in custom_families(rules)]
+
+
 def _built_in(family: str) -> ExitRule:
     def run(candidates, price, liquidity, rules):
         own = [r for r in rules if r[0] == family]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlab.functions.timecols import bucket_start
@@ -11,6 +11,11 @@ from marketlab.operators.joins import salted_join
 INTERVALS = (60, 300, 3600)  # fixed bucket widths in seconds
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum to twelve decimals that does not depend on the order of addition."""
+    return F.sum(amount.cast("decimal(38,12)")).cast("double")
+
+
 def price_timeseries(swaps: DataFrame) -> DataFrame:
     """One row per (candidate, millisecond): last price in event order, volume, count."""
     order = F.struct("slot", "tx_signature", "event_index")
@@ -18,7 +23,7 @@ def price_timeseries(swaps: DataFrame) -> DataFrame:
         swaps.groupBy("candidate_id", F.col("timestamp").alias("timestamp_ms"))
         .agg(
             F.max_by(F.struct("slot", "price"), order).alias("last"),
-            F.sum("amount_out").alias("volume"),
+            exact_sum(F.col("amount_out")).alias("volume"),
             F.count(F.lit(1)).alias("swap_count"),
         )
         .select("candidate_id", "timestamp_ms", "last.slot", "last.price", "volume", "swap_count")
@@ -63,6 +68,11 @@ def volume_timeseries(swaps: DataFrame, intervals=INTERVALS) -> DataFrame:
     ).agg(
         F.sum("amount_out").alias("volume"), F.count(F.lit(1)).alias("swap_count"),
         side("buy").alias("buy_volume"), side("sell").alias("sell_volume"))
+    return widened(narrow, widths)
+
+
+def widened(narrow: DataFrame, widths) -> DataFrame:
+    """Buckets of every width from those of the narrowest one, or from parts of them."""
     return (
         narrow.withColumn("interval_seconds", F.explode(F.array(*[F.lit(w) for w in widths])))
         .withColumn("timestamp_ms", F.expr(

@@ -144,6 +144,7 @@ def oracle_sql() -> dict[str, str]:
            round(coalesce(sum(amount_out) FILTER (side = 'buy'), 0), 6) AS buy_volume,
            round(coalesce(sum(amount_out) FILTER (side = 'sell'), 0), 6) AS sell_volume
     FROM swaps, (VALUES (60), (300), (3600)) v(w) GROUP BY 1, 2, 3""")
+    out["stream_volume"] = out["volume_timeseries"]
     out["price_derivatives"] = _with("""
     SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count,
            prev_timestamp_ms, prev_price, price_delta, time_delta_ms, price_velocity
@@ -350,7 +351,9 @@ def _discovery() -> dict[str, str]:
     out["candidate_reconcile"] = _with("""
     SELECT candidate_id, a.source AS replayed_source, b.source AS stored_source
     FROM a FULL JOIN b USING (candidate_id) WHERE a.source IS NULL OR b.source IS NULL""",
-        a=_new("true"), b=_new(f"timestamp >= {EVAL_AT}"))
+        a=_new("true"), stored=_new("true"), b="""
+    SELECT CASE WHEN slot % 3 = 0 THEN 'other-' || candidate_id ELSE candidate_id END AS candidate_id, source
+    FROM stored""")
     return out
 
 
@@ -799,16 +802,16 @@ def _quality() -> dict[str, str]:
     out = {
         "sufficiency": _with("SELECT * FROM checks", **checks),
         "day_runs": _with("SELECT * FROM runs", runs=RUNS,
-                          days=f"SELECT DISTINCT timestamp // {DAY} AS day FROM ev WHERE value > 100"),
-        "integrity_errors": _with(f"""
+                          days=f"SELECT DISTINCT (timestamp + (timestamp // {5 * DAY}) * {2 * DAY}) // {DAY} AS day FROM ev"),
+        "integrity_errors": _with("""
     SELECT candidate_id, 'no swaps' AS error FROM token_candidates WHERE candidate_id NOT IN (
-      SELECT candidate_id FROM swaps WHERE timestamp >= {EVAL_AT + 9 * DAY})
+      SELECT candidate_id FROM swaps WHERE CAST(candidate_id AS BIGINT) % 5 <> 0)
     UNION ALL
     SELECT candidate_id, 'no liquidity' FROM token_candidates WHERE candidate_id NOT IN (
-      SELECT candidate_id FROM liquidity_events WHERE timestamp >= {EVAL_AT + 9 * DAY})
+      SELECT candidate_id FROM liquidity_events WHERE CAST(candidate_id AS BIGINT) % 7 <> 0)
     UNION ALL
     SELECT candidate_id, 'not replayable' FROM token_candidates WHERE candidate_id NOT IN (
-      SELECT candidate_id FROM price)"""),
+      SELECT candidate_id FROM price WHERE CAST(candidate_id AS BIGINT) % 11 <> 0)"""),
         "decision": _with("SELECT * FROM decided", **decided),
         "decision_criteria": _with("""
     SELECT strategy_id, entry_event_type, criterion,
@@ -911,24 +914,38 @@ def _tables() -> dict[str, str]:
            2 AS event_index, slot, (timestamp // 1000) * 1000 AS timestamp
     FROM swap_events WHERE slot % 7 <> 0 AND slot % 3 < 2"""),
         "stream_new_token": _with(_new("true")),
-        "stream_volume": _with(f"""
-    SELECT candidate_id, (timestamp // {HOUR}) * {HOUR} AS timestamp_ms, 3600 AS interval_seconds,
-           round(sum(amount_out), 6) AS volume, count(*) AS swap_count,
-           round(coalesce(sum(amount_out) FILTER (side = 'buy'), 0), 6) AS buy_volume,
-           round(coalesce(sum(amount_out) FILTER (side = 'sell'), 0), 6) AS sell_volume
-    FROM swaps GROUP BY 1, 2
-    HAVING (timestamp // {HOUR}) * {HOUR} + {HOUR} <= (SELECT max(timestamp) FROM swaps) - 600000"""),
-        "stream_slot_buffer": _with(
-            "SELECT * FROM swap_events WHERE slot <= (SELECT max(slot) FROM swap_events) - 5"),
+        "stream_slot_buffer": _with("SELECT * FROM swap_events"),
         "stream_enriched": _with("""
     SELECT CASE WHEN CAST(mint AS BIGINT) % 3 = 0 THEN 'c' || mint END AS candidate_id, mint,
            tx_signature FROM liquidity_events"""),
         "backfill": _with(f"""
-    SELECT candidate_id, mint, tx_signature, event_index, slot, timestamp, event_type, amount_quote
-    FROM liquidity_events WHERE timestamp < {EVAL_AT + 3 * DAY}"""),
+    SELECT 'swap' AS kind, CAST(NULL AS VARCHAR) AS candidate_id, mint, tx_signature, event_index, slot,
+           timestamp, CAST(NULL AS VARCHAR) AS what, amount_out AS amount
+    FROM swap_events WHERE timestamp < {EVAL_AT + 3 * DAY}
+    UNION ALL
+    SELECT 'liquidity', candidate_id, mint, tx_signature, event_index, slot, timestamp, event_type, amount_quote
+    FROM liquidity_events WHERE timestamp < {EVAL_AT + 3 * DAY}
+    UNION ALL
+    SELECT 'candidate', candidate_id, mint, tx_signature, event_index, slot, discovered_at, source, NULL
+    FROM fresh""", fresh=_new(f"timestamp < {EVAL_AT + 3 * DAY}")),
+        "live_liquidity_series": _with("""
+    SELECT c.candidate_id, l.timestamp_ms, l.slot, l.liquidity, l.liquidity_token, l.liquidity_quote
+    FROM liq l JOIN fresh c ON c.mint = l.candidate_id""", fresh=_new("true")),
+        "append_known_keys": _with(f"""
+    SELECT mint, pool, tx_signature, event_index,
+           CASE WHEN timestamp < {EVAL_AT} THEN slot ELSE slot + 5 END AS slot, timestamp, amount_out
+    FROM swap_events"""),
+        "rejected_rules": _with("""
+    SELECT r.rule_no, r.source AS entry_event_type, r.strategy_type, r.reason, count(*) AS candidates
+    FROM token_candidates JOIN refused r USING (source) GROUP BY 1, 2, 3, 4""", refused="""
+    SELECT CAST(6 AS INTEGER) AS rule_no, 'NEW_TOKEN' AS source, 'MOON_SHOT' AS strategy_type, 'unknown strategy type' AS reason
+    UNION ALL SELECT 7, 'ACTIVE_TOKEN', 'TIME_EXIT', 'TIME_EXIT requires hold_duration_ms'
+    UNION ALL SELECT 8, 'NEW_TOKEN', 'TRAILING_STOP', 'TRAILING_STOP requires initial_stop_pct'"""),
     }
     out.update(_programs())
     out.update(_more_tables())
+    out["recomputed_series"] = _with(
+        "SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count FROM price", True)
     d6 = "printf('%.6f', {})".format
     names = ["win_rate", "outcome_mean", "outcome_median", "outcome_p10", "outcome_p25",
              "outcome_p75", "outcome_p90", "outcome_min", "outcome_max", "outcome_stddev",
@@ -972,7 +989,7 @@ def _programs() -> dict[str, str]:
 
 
 def _more_tables() -> dict[str, str]:
-    last = f"(SELECT max(timestamp) FROM swap_events WHERE timestamp < {EVAL_AT})"
+    last = "(SELECT max(timestamp) FROM swap_events)"
 
     window = f"""
     SELECT mint, sum(amount_out) AS v24, sum(amount_out) FILTER (timestamp >= {last} - {HOUR}) AS v1,

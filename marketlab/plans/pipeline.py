@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlab.functions import costs
 from marketlab.operators import exits, features, metrics, quality, series, verdict
-from marketlab.operators.joins import salted_join
+from marketlab.operators.joins import resolve_candidates, salted_join
 from marketlab.schemas import TRADE_RECORDS
 from marketlab.session import discard_intermediates, intermediates_mark, materialize
 from marketlab.sources.tables import (
@@ -29,37 +30,70 @@ class Results:
     summary: DataFrame
     missing: DataFrame
     errors: DataFrame
+    rejected_rules: DataFrame | None = None
+    rejected_jobs: DataFrame | None = None
+    statistics: DataFrame | None = None
 
 
 def normalise(store: TableStore, mode: str = "skip") -> None:
-    """Series and features of all candidates in one job each; stored ones are skipped."""
-    known = store.read("token_candidates").select("candidate_id").distinct()
+    """Series and features of all candidates in one job each.
+
+    ``skip`` leaves candidates alone that have a series; ``recompute`` builds all again from the
+    events stored by now and puts them in the place of the old ones.  Liquidity events that came
+    before their candidate find it here.
+    """
+    candidates = store.read("token_candidates")
+    known = candidates.select("candidate_id").distinct()
     done = store.read("price_timeseries")
 
-    def pending(table: str) -> DataFrame:
-        rows = salted_join(store.read(table), known, "candidate_id", "tx_signature", "left_semi")
+    def pending(events: DataFrame) -> DataFrame:
+        rows = salted_join(events, known, "candidate_id", "tx_signature", "left_semi")
         return series.only_missing(rows, done, mode)
 
-    swaps, raw = pending("swaps"), pending("liquidity_events")
+    swaps = pending(store.read("swaps"))
+    raw = pending(resolve_candidates(store.read("liquidity_events"), candidates))
     price = materialize(series.price_timeseries(swaps), "fresh-price")
     liquidity = materialize(series.liquidity_timeseries(raw), "fresh-liquidity")
-    store.append_unique(liquidity, "liquidity_timeseries", "skip")
-    store.append_unique(series.volume_timeseries(swaps), "volume_timeseries", "skip")
-    store.append_unique(features.derived_features(price, liquidity), "derived_features", "skip")
-    # last: this table marks a candidate as done
-    store.append_unique(price, "price_timeseries", "skip")
 
+    def put(rows: DataFrame, table: str) -> None:
+        if mode == "recompute":
+            store.replace(rows, table, known)
+        else:
+            store.append_unique(rows, table, "skip")
 
-def evaluate(store: TableStore, rules: list[tuple], scenario_rows=None) -> None:
-    trades = exits.trade_records(store.read("token_candidates"), store.read("price_timeseries"),
-                                 store.read("liquidity_timeseries"), rules, scenario_rows)
-    store.append_unique(trades, "trade_records", "skip")
+    put(liquidity, "liquidity_timeseries")
+    put(series.volume_timeseries(swaps), "volume_timeseries")
+    put(features.derived_features(price, liquidity), "derived_features")
+    # last: this table marks a candidate as done
+    put(price, "price_timeseries")
+
+
+def evaluate(store: TableStore, rules: list[tuple], scenario_rows=None, mode: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """Store the trades of all candidates; returns the rules and jobs that were rejected.
+
+    Families with a function of their own (``register_exit_rule``) take part like the built-in ones.
+    """
+    candidates, price = store.read("token_candidates"), store.read("price_timeseries")
+    liquidity = store.read("liquidity_timeseries")
+    done = exits.evaluate(candidates, price, liquidity, exits.built_in_rules(rules))
+    found = exits.exits(done)
+    for family in exits.custom_families(rules):
+        own = [r for r in rules if r[0] == family]
+        found = found.unionByName(exits.exit_rule(family)(candidates, price, liquidity, own), allowMissingColumns=True).select(found.columns)
+    trades = costs.trade_columns(found, costs.scenarios(store.spark, scenario_rows))
+    if mode == "recompute":
+        store.replace(trades, "trade_records", candidates.select("candidate_id").distinct())
+    else:
+        store.append_unique(trades, "trade_records", "skip")
+    refused = exits.rejected_rules(exits.rule_table(store.spark, rules), exits.custom_families(rules))
+    return refused, exits.rejected(done)
 
 
 def aggregate(store: TableStore) -> None:
-    store.append_unique(
+    """Aggregates over all trades stored by now; older versions of a group give way."""
+    store.replace(
         metrics.strategy_aggregates(store.read("trade_records"), store.read("token_candidates")),
-        "strategy_aggregates", "skip")
+        "strategy_aggregates")
 
 
 def report(store: TableStore, implementable: DataFrame | None = None) -> Results:
@@ -106,13 +140,22 @@ def fingerprint(store: TableStore) -> DataFrame:
 
 
 def run(store: TableStore, rules: list[tuple], folder: str, scenario_rows=None,
-        implementable: DataFrame | None = None) -> Results:
-    """Normalise, evaluate, aggregate and report."""
+        implementable: DataFrame | None = None, mode: str = "skip") -> Results:
+    """Normalise, evaluate, aggregate and report; refused rules and jobs are part of the results."""
     mark = intermediates_mark()
-    normalise(store)
-    evaluate(store, rules, scenario_rows)
-    aggregate(store)
-    results = report(store, implementable)
-    write_report(store, results, folder)
-    discard_intermediates(store.spark, mark)  # the reports read stored tables only
-    return results
+    try:
+        normalise(store, mode)
+        refused, rejected = evaluate(store, rules, scenario_rows, mode)
+        refused_at, rejected_at = (os.path.join(folder, n) for n in ("rejected_rules", "rejected_jobs"))
+        write_json(refused, refused_at)
+        write_json(rejected, rejected_at)
+        aggregate(store)
+        results = report(store, implementable)
+        results.rejected_rules = store.spark.read.schema(refused.schema).json(refused_at)
+        results.rejected_jobs = store.spark.read.schema(rejected.schema).json(rejected_at)
+        candidates, trades = store.read("token_candidates"), store.read("trade_records")
+        results.statistics = metrics.run_statistics(candidates, trades, results.aggregates, results.rejected_jobs)
+        write_report(store, results, folder)
+        return results
+    finally:
+        discard_intermediates(store.spark, mark)  # the reports read stored tables only

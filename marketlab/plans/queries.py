@@ -14,7 +14,7 @@ from marketlab.functions.timecols import DAY_MS
 from marketlab.operators import (
     asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
     verify)
-from marketlab.plans import views
+from marketlab.plans import pipeline, views
 from marketlab.schemas import check_enums
 from marketlab.session import materialize, shared_dir
 from marketlab.sources import decode, tables
@@ -258,8 +258,9 @@ def q_replay_discovery(d):
 @query("candidate_reconcile")
 def q_reconcile(d):
     replayed = discovery.new_tokens(d.swap_events())
-    return discovery.reconcile(replayed, discovery.new_tokens(
-        d.swap_events().where(F.col("timestamp") >= EVAL_AT)))
+    stored = replayed.withColumn("candidate_id", F.when(
+        F.col("slot") % 3 == 0, F.concat(F.lit("other-"), "candidate_id")).otherwise(F.col("candidate_id")))
+    return discovery.reconcile(replayed, stored)
 
 
 # --- exit rules ---------------------------------------------------------------------------
@@ -481,10 +482,13 @@ def q_sufficiency(d):
 
 @query("integrity_errors")
 def q_errors(d):
-    """Raw events of the last day only: many candidates have none left."""
-    late = F.col("timestamp") >= LAST_DAY
-    return quality.integrity_errors(d.token_candidates(), d.swaps().where(late),
-                                    d.liquidity_events().where(late), price_of(d))
+    """Some candidates have their events under another id."""
+    def moved(df, n):
+        strange = F.col("candidate_id").cast("long") % n == 0
+        return df.withColumn("candidate_id", F.when(strange, F.concat(F.lit("x"), "candidate_id")).otherwise(F.col("candidate_id")))
+
+    return quality.integrity_errors(d.token_candidates(), moved(d.swaps(), 5),
+                                    moved(d.liquidity_events(), 7), moved(price_of(d), 11))
 
 
 @query("decision")
@@ -508,7 +512,9 @@ def q_executive(d):
 
 @query("day_runs")
 def q_days(d):
-    return ordering.day_runs(d.events().where("value > 100"), "timestamp")
+    """Two empty days after every five."""
+    shifted = F.col("timestamp") + F.expr(f"(timestamp div {5 * DAY_MS}) * {2 * DAY_MS}")
+    return ordering.day_runs(d.events().withColumn("timestamp", shifted), "timestamp")
 
 
 @query("dataset_fingerprint")
@@ -738,8 +744,8 @@ def q_decode_inferred(d):
     accounts = d.swap_events().select("mint").distinct().select(
         F.concat(F.lit("acct"), "mint").alias("pubkey"),
         F.base64(F.unhex(F.concat(F.lit("00" * 31), byte, F.lit("00" * 40)))).alias("data"))
-    native = d.swap_events().agg(F.lit("native").alias("pubkey"), F.base64(F.unhex(F.concat(
-        F.lit(decode._NATIVE_HEX), F.substring(F.hex(F.max("slot")), 1, 0)))).alias("data"))
+    native = d.spark.range(1).select(F.lit("native").alias("pubkey"), F.base64(F.unhex(F.lit(
+        decode._NATIVE_HEX))).alias("data"))
     return decode.swap_events(tx, accounts.unionByName(native))
 
 
@@ -798,96 +804,162 @@ def q_csv_trades(d):
 
 # --- streaming ----------------------------------------------------------------------------
 
-def event_stream(d: Dataset):
-    """The events table as a file stream with the shape of the swaps relation."""
-    schema = d.table("events").schema
-    return d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.path)
+def fresh_folder(d: Dataset, name: str) -> str:
+    return os.path.join(shared_dir(d.spark), f"{name}-{uuid.uuid4().hex}")
 
 
-class StreamedDataset(Dataset):
-    """The same adapters over a stream of the events file."""
+def micro_batches(d: Dataset, events: DataFrame, name: str, n: int = 5) -> DataFrame:
+    """The events as a stream of n micro-batches.
 
-    def table(self, name: str) -> DataFrame:
-        return event_stream(Dataset(self.spark, self.path)) if name == "events" else super().table(name)
+    Blocks of slots go to the batches in turn, so most events come late, and every batch but the
+    first repeats some events of the first.
+    """
+    root = fresh_folder(d, name)
+    batch = F.expr(f"(slot div 50) % {n}")
+    for k in range(n):
+        part = events.where(batch == k)
+        if k:
+            part = part.unionByName(events.where((batch == 0) & (F.col("slot") % 7 == k)))
+        part.coalesce(1).write.mode("append").parquet(root)
+    return live.table_stream(d.spark, root, events.schema, 1)
 
 
-def fresh_folder(d: Dataset, name: str) -> str:
-    return os.path.join(shared_dir(d.spark), f"{name}-{uuid.uuid4().hex}")
+def live_store(d: Dataset, name: str) -> tuple[tables.TableStore, str]:
+    root = fresh_folder(d, name)
+    return tables.TableStore(d.spark, f"{root}/tables"), root
 
 
 @query("stream_volume")
 def q_stream_volume(d):
-    """Hourly buckets from a stream; the last ones stay open until the watermark passes."""
-    root = fresh_folder(d, "stream-volume")
-    stream = live.volume_buckets(StreamedDataset(d.spark, d.path).swaps(), 3600)
-    stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return rounded(d.spark.read.schema(stream.schema).parquet(f"{root}/out"), 6, "volume",
-                   "buy_volume", "sell_volume")
+    """Buckets of all widths from a stream with late and repeated swaps."""
+    store, root = live_store(d, "stream-volume")
+    volumes = live.VolumeParts(d.spark, f"{root}/volumes")
+    live.LivePipeline(store, volumes=volumes).run_candidate_swaps(
+        micro_batches(d, d.swaps(), "volume-in"), f"{root}/checkpoint", once=True)
+    return rounded(volumes.read(), 6, "volume", "buy_volume", "sell_volume")
 
 
 @query("stream_new_token")
 def q_stream_new(d):
-    root = fresh_folder(d, "stream-new")
-    store = tables.TableStore(d.spark, f"{root}/tables")
-    handler = live.LivePipeline(store)
-    handler.run(StreamedDataset(d.spark, d.path).swap_events(), f"{root}/checkpoint",
-                once=True).awaitTermination()
+    store, root = live_store(d, "stream-new")
+    stream = live.table_stream(d.spark, time_ordered(d, d.swap_events(), "new-in"), d.swap_events().schema, 1)
+    live.LivePipeline(store).run(stream, f"{root}/checkpoint", once=True)
     return store.read("token_candidates")
 
 
+def time_ordered(d: Dataset, events: DataFrame, name: str, n: int = 4) -> str:
+    """The events in n files that follow each other in time."""
+    root = fresh_folder(d, name)
+    top = events.agg(F.max("slot")).first()[0] + 1
+    for k in range(n):
+        inside = (F.col("slot") * n >= k * top) & (F.col("slot") * n < (k + 1) * top)
+        events.where(inside).coalesce(1).write.mode("append").parquet(root)
+    return root
+
+
 @query("stream_slot_buffer")
 def q_stream_buffer(d):
-    """What the slot buffer released before shutdown: all but the last slots."""
-    root = fresh_folder(d, "stream-buffer")
-    store = tables.TableStore(d.spark, f"{root}/tables")
-    buffer = live.SlotBuffer(d.spark, f"{root}/pending", tables.TABLES["swap_events"])
+    """All events pass the slot buffer: final ones, late ones, and the head when the run ends."""
+    store, root = live_store(d, "stream-buffer")
+    buffer = live.SlotBuffer(d.spark, f"{root}/pending", live.RAW_EVENTS)
     live.LivePipeline(store, buffer).run(
-        StreamedDataset(d.spark, d.path).swap_events(), f"{root}/checkpoint", once=True
-    ).awaitTermination()
+        micro_batches(d, d.swap_events(), "buffer-in"), f"{root}/checkpoint", once=True)
+    return store.read("swap_events")
+
+
+@query("live_liquidity_series")
+def q_live_liquidity(d):
+    """Swaps and liquidity events without ids share one buffer; the series has all that resolves."""
+    store, root = live_store(d, "live-series")
+    unknown = d.liquidity_events().withColumn("candidate_id", F.lit(None).cast("string"))
+    swaps = live.table_stream(d.spark, time_ordered(d, d.swap_events(), "live-swaps"), d.swap_events().schema, 1)
+    liquidity = live.table_stream(d.spark, time_ordered(d, unknown, "live-liquidity"), unknown.schema, 1)
+    buffer = live.SlotBuffer(d.spark, f"{root}/pending", live.RAW_EVENTS)
+    live.LivePipeline(store, buffer).run(swaps, f"{root}/checkpoint", once=True, liquidity=liquidity)
+    pipeline.normalise(store)
+    return store.read("liquidity_timeseries")
+
+
+@query("recomputed_series")
+def q_recomputed(d):
+    """Series of half of the swaps, then all of them: more swaps come at times already stored."""
+    store, _ = live_store(d, "recompute")
+    store.append_unique(d.token_candidates(), "token_candidates")
+    swaps = d.swaps(True)
+    half = F.col("slot") % 2 == 0
+    store.append_unique(swaps.where(half), "swaps")
+    pipeline.normalise(store)
+    store.append_unique(swaps.where(~half), "swaps")
+    pipeline.normalise(store, "recompute")
+    return rounded(store.read("price_timeseries"), 6, "volume")
+
+
+@query("append_known_keys")
+def q_append_known(d):
+    """Keys that come again at another slot are found all the same."""
+    store, _ = live_store(d, "append-known")
+    store.append_unique(d.swap_events().where(F.col("timestamp") < EVAL_AT), "swap_events", "skip")
+    store.append_unique(d.swap_events().withColumn("slot", F.col("slot") + 5), "swap_events", "skip")
     return store.read("swap_events")
 
 
 @query("backfill")
 def q_backfill(d):
-    root = fresh_folder(d, "backfill")
-    store = tables.TableStore(d.spark, f"{root}/tables")
+    """Two overlapping ranges: what is stored of swaps, liquidity events and candidates."""
+    store, _ = live_store(d, "backfill")
     live.backfill(store, d.swap_events(), d.liquidity_events(), 0, EVAL_AT)
     live.backfill(store, d.swap_events(), d.liquidity_events(), EVAL_AT - 3 * DAY_MS,
                   EVAL_AT + 3 * DAY_MS)
-    return store.read("liquidity_events").select(
-        "candidate_id", "mint", "tx_signature", "event_index", "slot", "timestamp", "event_type",
-        "amount_quote")
+    none = F.lit(None).cast("string")
+    swaps = store.read("swap_events").select(
+        F.lit("swap").alias("kind"), none.alias("candidate_id"), "mint", "tx_signature", "event_index",
+        "slot", "timestamp", none.alias("what"), F.col("amount_out").alias("amount"))
+    liquidity = store.read("liquidity_events").select(
+        F.lit("liquidity").alias("kind"), "candidate_id", "mint", "tx_signature", "event_index", "slot",
+        "timestamp", F.col("event_type").alias("what"), F.col("amount_quote").alias("amount"))
+    found = store.read("token_candidates").select(
+        F.lit("candidate").alias("kind"), "candidate_id", "mint", "tx_signature", "event_index", "slot",
+        F.col("discovered_at").alias("timestamp"), F.col("source").alias("what"), F.lit(None).cast("double").alias("amount"))
+    return swaps.unionByName(liquidity).unionByName(found)
 
 
 @query("stream_enriched")
 def q_stream_enriched(d):
-    root = fresh_folder(d, "stream-enriched")
-    known = d.token_candidates().where("source = 'ACTIVE_TOKEN'").withColumn(
-        "candidate_id", F.concat(F.lit("c"), "mint"))
-    events = StreamedDataset(d.spark, d.path).liquidity_events().withColumn(
-        "candidate_id", F.lit(None).cast("string"))
-    out = live.with_candidates(events, known).select("candidate_id", "mint", "tx_signature")
-    out.writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(out.schema).parquet(f"{root}/out")
+    """Liquidity events get the candidate that their mint has when they arrive."""
+    store, root = live_store(d, "stream-enriched")
+    store.append_unique(d.token_candidates().where("source = 'ACTIVE_TOKEN'").withColumn(
+        "candidate_id", F.concat(F.lit("c"), "mint")), "token_candidates")
+    unknown = d.liquidity_events().withColumn("candidate_id", F.lit(None).cast("string"))
+    live.LivePipeline(store).run_liquidity(
+        micro_batches(d, unknown, "enriched-in"), f"{root}/checkpoint", once=True)
+    return store.read("liquidity_events").select("candidate_id", "mint", "tx_signature")
 
 
 @query("stream_active_token")
 def q_stream_active(d):
-    """Spikes at the time of the last stored event."""
-    store = tables.TableStore(d.spark, fresh_folder(d, "stream-active"))
-    store.append_unique(d.swap_events().where(F.col("timestamp") < EVAL_AT), "swap_events")
+    """Spikes at the time of the last event of a stream."""
+    store, root = live_store(d, "stream-active")
+    micro_batches(d, d.swap_events(), "active-in").writeStream.foreachBatch(
+        lambda batch, _: store.append_unique(batch, "swap_events", "skip") and None).option(
+        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     live.LivePipeline(store).detect_active()
     return store.read("token_candidates")
 
 
 @query("stream_deduplicated")
 def q_stream_dedupe(d):
-    root = fresh_folder(d, "stream-dedupe")
-    events = StreamedDataset(d.spark, d.path).swap_events()
-    out = live.deduplicated(events.unionByName(StreamedDataset(d.spark, d.path).swap_events()),
-                            tables.UNIQUE_KEYS["swap_events"])
-    out.writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(out.schema).parquet(f"{root}/out")
+    """Repeated events are dropped by key, late ones kept."""
+    store, root = live_store(d, "stream-dedupe")
+    live.LivePipeline(store).run(
+        micro_batches(d, d.swap_events(), "dedupe-in"), f"{root}/checkpoint", once=True)
+    return store.read("swap_events")
+
+
+@query("rejected_rules")
+def q_rejected_rules(d):
+    """Rules that cannot run are named with the reason, one for each candidate of their source."""
+    rules = demo_rules() + [exits.rule("MOON_SHOT", "NEW_TOKEN", hold=1), exits.rule(ids.TIME_EXIT, "ACTIVE_TOKEN"),
+                            exits.rule(ids.TRAILING_STOP, "NEW_TOKEN", trail=0.1, max_hold=5)]
+    refused = exits.rejected_rules(exits.rule_table(d.spark, rules))
+    n = d.token_candidates().groupBy(F.col("source").alias("entry_event_type")).agg(F.count("*").alias("candidates"))
+    return refused.join(n, "entry_event_type").select("rule_no", "entry_event_type", "strategy_type", "reason", "candidates")

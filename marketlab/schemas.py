@@ -94,12 +94,20 @@ UNIQUE_KEYS = {
 }
 
 # A column that equal keys always share, used to prune the stored table when a batch is
-# checked against it: part of the key, hashed into it, or fixed by the transaction.
+# checked against it: part of the key, or hashed into it.  Slots are neither: the same
+# transaction may be reported at another slot, and its key must still be found.
 PRUNE_BY = {
-    "swap_events": "slot", "swaps": "slot", "liquidity_events": "slot",
-    "token_candidates": "slot", "price_timeseries": "timestamp_ms",
-    "liquidity_timeseries": "timestamp_ms", "volume_timeseries": "timestamp_ms",
-    "derived_features": "timestamp_ms", "trade_records": "entry_signal_time",
+    "price_timeseries": "timestamp_ms", "liquidity_timeseries": "timestamp_ms",
+    "volume_timeseries": "timestamp_ms", "derived_features": "timestamp_ms",
+    "trade_records": "entry_signal_time",
+}
+
+# Columns whose rows are replaced together when a derived table is computed again.
+REPLACED_BY = {
+    "price_timeseries": ["candidate_id"], "liquidity_timeseries": ["candidate_id"],
+    "volume_timeseries": ["candidate_id"], "derived_features": ["candidate_id"],
+    "trade_records": ["candidate_id"],
+    "strategy_aggregates": ["strategy_id", "scenario_id", "entry_event_type"],
 }
 
 EVENT_ORDER = ["slot", "tx_signature", "event_index"]

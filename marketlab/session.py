@@ -76,6 +76,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return sorted(f.getPath().getName() for f in found)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(make(source), make(target))
+
+
 def intermediates_mark() -> int:
     """Position in the list of intermediate tables, for ``discard_intermediates``."""
     return len(_intermediates())

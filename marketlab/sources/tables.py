@@ -6,11 +6,12 @@ import os
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketlab.functions import ids
 from marketlab.operators.joins import latest
 from marketlab.schemas import (
-    ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, TABLES, UNIQUE_KEYS, check_enums, conform)
+    ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, REPLACED_BY, TABLES, UNIQUE_KEYS, check_enums, conform)
 from marketlab.session import (
     discard_intermediates, intermediates_mark, materialize, path_exists)
 
@@ -132,10 +133,57 @@ class TableStore:
         return path_exists(self.spark, self.path(table))
 
     def read(self, table: str) -> DataFrame:
+        """The visible rows: of replaced groups only those of their newest version."""
         schema = TABLES[table]
         if not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+        marks = self._marks(table)
+        if marks is None:
+            return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+        keys = REPLACED_BY[table]
+        last = marks.agg(F.max("_version")).first()[0]
+        rows = self.spark.read.schema(StructType([*schema.fields]).add("_version", "long")).parquet(self.path(table))
+        rows = rows.withColumn("_version", F.coalesce("_version", F.lit(0))).where(F.col("_version") <= last)
+        newest = marks.groupBy(*keys).agg(F.max("_version").alias("_newest"))
+        return rows.join(newest, keys, "left").where(
+            F.col("_newest").isNull() | (F.col("_version") >= F.col("_newest"))).select(*schema.names)
+
+    def _marks(self, table: str) -> DataFrame | None:
+        """Groups that were replaced, with the version that replaced them."""
+        path = self.path(f"{table}.replaced")
+        if table not in REPLACED_BY or not path_exists(self.spark, path):
+            return None
+        schema = StructType([TABLES[table][k] for k in REPLACED_BY[table]]).add("_version", "long")
+        return self.spark.read.schema(schema).parquet(path)
+
+    def replace(self, df: DataFrame, table: str, groups: DataFrame | None = None) -> int:
+        """Put new rows in the place of all stored rows of their groups; returns the version.
+
+        ``groups`` names groups that are emptied although they have no new row.  The rows are
+        written first and become visible with the marks of their groups, so a run that breaks off
+        in between leaves the old rows.  One writer per table.
+        """
+        keys, mark = REPLACED_BY[table], intermediates_mark()
+        try:
+            rows = materialize(conform(df, TABLES[table]), f"replace-{table}")
+            if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(rows, table).isEmpty():
+                raise InvalidRows(table)
+            if not repeated_keys(rows, UNIQUE_KEYS[table]).isEmpty():
+                raise DuplicateKey(f"{table}: key repeated within the batch")
+            marks = self._marks(table)
+            done = 0
+            if self.exists(table):  # an attempt that broke off leaves a version without marks
+                done = self.spark.read.schema("_version long").parquet(self.path(table)).agg(F.max("_version")).first()[0] or 0
+            version = 1 + max(done, 0 if marks is None else marks.agg(F.max("_version")).first()[0] or 0)
+            touched = rows.select(*keys)
+            if groups is not None:
+                touched = touched.unionByName(groups.select(*keys))
+            rows.withColumn("_version", F.lit(version).cast("long")).write.mode("append").parquet(self.path(table))
+            touched.distinct().withColumn("_version", F.lit(version).cast("long")).write.mode("append").parquet(
+                self.path(f"{table}.replaced"))
+            return version
+        finally:
+            discard_intermediates(self.spark, mark)
 
     def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error") -> dict[str, int]:
         """Append a batch; returns ``stored`` and ``duplicates``.
@@ -170,8 +218,11 @@ class TableStore:
             rows = new_rows(batch, stored, keys)
         else:
             raise ValueError(f"unknown on_conflict: {on_conflict}")
-        rows.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(
-            self.path(table))
+        version = self._marks(table) and self._marks(table).agg(F.max("_version")).first()[0]
+        out = rows.observe(kept, F.count(F.lit(1)).alias("n"))
+        if version:  # rows of now, not older than what was replaced
+            out = out.withColumn("_version", F.lit(version).cast("long"))
+        out.write.mode("append").parquet(self.path(table))
         added = kept.get["n"]
         total = added if on_conflict == "error" else seen.get["n"]
         return {"stored": added, "duplicates": total - added}
@@ -179,8 +230,8 @@ class TableStore:
     def _overlap(self, batch: DataFrame, table: str) -> DataFrame:
         """The part of the stored table that can hold keys of the batch.
 
-        One min/max over the batch lets the reader skip all row groups outside its range,
-        so the check does not grow with the age of the table.
+        Where a column belongs to the key, one min/max over the batch lets the reader skip all
+        row groups outside its range; elsewhere the key columns of the whole table are read.
         """
         stored, col = self.read(table), PRUNE_BY.get(table)
         if col is None:

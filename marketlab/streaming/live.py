@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marketlab.operators import discovery
-from marketlab.operators.joins import mint_to_candidate, salted_join
-from marketlab.schemas import EVENT_ORDER
-from marketlab.session import delete_path, path_exists
-from marketlab.sources.tables import TableStore, half_open
+from marketlab.operators.joins import resolve_candidates
+from marketlab.operators.series import INTERVALS, volume_timeseries, widened
+from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TABLES, UNIQUE_KEYS, conform
+from marketlab.session import (
+    delete_path, discard_intermediates, intermediates_mark, list_names, materialize, move_path,
+    path_exists)
+from marketlab.sources.tables import TableStore, half_open, new_rows
 
 SLOT_LAG = 5            # fixed: slots behind the highest one until a slot is final
 FLUSH_SECONDS = 5       # fixed: trigger interval
@@ -34,72 +39,139 @@ class SlotBuffer:
 
     A slot is final once the highest slot seen is ``lag`` ahead of it.  Events that arrive
     for a slot that is already final are released at once, never dropped.  What is pending
-    lives in one folder per micro-batch below the shared root, so a batch that is retried
-    reads the same input and writes the same output.
+    lies in one numbered folder per micro-batch below the shared root and is found there, not
+    in memory: a restarted run, also one with a new checkpoint, goes on with the last folder.
+    A batch that is retried finds its own number, reads the same input and writes the same
+    output.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, lag: int = SLOT_LAG):
-        self.spark, self.root, self.schema, self.lag = spark, root, schema, lag
-
-    def _path(self, batch_id: int) -> str:
-        return os.path.join(self.root, f"pending-{batch_id}")
-
-    def _pending(self, batch_id: int) -> DataFrame:
-        if batch_id < 0:
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, lag: int = SLOT_LAG,
+                 run: str = "run"):
+        self.spark, self.root, self.schema, self.lag, self.run = spark, root, schema, lag, run
+
+    def _folders(self) -> list[tuple[int, str]]:
+        """(number, name of the batch) of the pending folders that were written in full."""
+        found = []
+        for name in list_names(self.spark, self.root):
+            number, _, batch = name.partition("-")
+            if number.isdigit() and path_exists(self.spark, os.path.join(self.root, name, "_SUCCESS")):
+                found.append((int(number), batch))
+        return sorted(found)
+
+    def _read(self, folder: tuple[int, str] | None) -> DataFrame:
+        if folder is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(batch_id))
+        return self.spark.read.schema(self.schema).parquet(self._path(*folder))
+
+    def _path(self, number: int, batch: str) -> str:
+        return os.path.join(self.root, f"{number:012d}-{batch}")
 
     def release(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Final events of this batch in canonical order; the rest becomes pending.
+        """Final events of this batch; the rest becomes pending.
 
         The highest slot seen so far is always in the pending set or in the batch, because
         a slot at the head is never final; it is one aggregated row.
         """
-        pool = self._pending(batch_id - 1).unionByName(batch.select(*self.schema.names))
+        name, known = f"{self.run}-{batch_id}", self._folders()
+        own = [n for n, b in known if b == name]
+        number = own[0] if own else (known[-1][0] + 1 if known else 0)
+        before = [f for f in known if f[0] < number]
+        pool = self._read(before[-1] if before else None).unionByName(batch.select(*self.schema.names))
         top = pool.agg(F.max("slot").alias("top"))
         tagged = pool.crossJoin(F.broadcast(top))
         held = tagged.where(F.col("slot") > F.col("top") - self.lag).drop("top")
-        held.write.mode("overwrite").parquet(self._path(batch_id))
-        if path_exists(self.spark, self._path(batch_id - 2)):  # no retry reaches back that far
-            delete_path(self.spark, self._path(batch_id - 2))
-        return tagged.where(F.col("slot") <= F.col("top") - self.lag).drop("top").orderBy(*EVENT_ORDER)
+        held.write.mode("overwrite").parquet(self._path(number, name))
+        for old in before[:-2]:  # no retry reaches back that far
+            delete_path(self.spark, self._path(*old))
+        return tagged.where(F.col("slot") <= F.col("top") - self.lag).drop("top")
+
+    def drain(self) -> DataFrame:
+        """Everything still pending, at shutdown; storing it twice changes nothing."""
+        known = self._folders()
+        return self._read(known[-1] if known else None)
 
-    def drain(self, batch_id: int) -> DataFrame:
-        """Everything still pending after the given batch, at shutdown."""
-        return self._pending(batch_id).orderBy(*EVENT_ORDER)
+
+RAW_EVENTS = StructType(
+    [f for f in SWAP_EVENTS.fields] + [f for f in LIQUIDITY_EVENTS.fields if f.name not in SWAP_EVENTS.names]
+    + [StructField("kind", StringType())])
+
+
+def raw_events(swaps: DataFrame | None, liquidity: DataFrame | None) -> DataFrame:
+    """Swaps and liquidity events as one stream, so that both wait for the same highest slot."""
+    parts = []
+    for kind, df in (("swap", swaps), ("liquidity", liquidity)):
+        if df is not None:
+            parts.append(conform(df.withColumn("kind", F.lit(kind)), RAW_EVENTS))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 class LivePipeline:
     """Micro-batch handlers over append-only tables.
 
     All writes skip keys that are already stored, so a replayed micro-batch changes nothing;
-    the checkpoint and the tables themselves are the only state.
+    the checkpoint and the tables themselves are the only state.  Repeated events are dropped by
+    their key, whenever they come, and late ones are kept.  Spikes are looked for whenever the
+    stored events enter a new period of event time.
     """
 
-    def __init__(self, store: TableStore, buffer: SlotBuffer | None = None):
-        self.store, self.buffer = store, buffer
-        self.last_batch = -1
+    def __init__(self, store: TableStore, buffer: SlotBuffer | None = None,
+                 volumes: VolumeParts | None = None, spikes_every_ms: int | None = None):
+        self.store, self.buffer, self.volumes = store, buffer, volumes
+        self.spikes_every_ms = spikes_every_ms
+
+    def on_events(self, batch: DataFrame, batch_id: int) -> None:
+        """Both kinds of events, as ``raw_events`` builds them."""
+        mark = intermediates_mark()
+        try:
+            if self.buffer is not None:  # computed once, then stored in several tables
+                batch = materialize(self.buffer.release(batch, batch_id), "released")
+            self.handle_events(batch)
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
+    def handle_events(self, events: DataFrame) -> None:
+        self.handle_swaps(events.where("kind = 'swap'"))
+        self.on_liquidity(events.where("kind = 'liquidity'"))
 
     def on_swaps(self, batch: DataFrame, batch_id: int) -> None:
-        if self.buffer is not None:
-            batch = self.buffer.release(batch, batch_id)
-        self.handle_swaps(batch)
-        self.last_batch = batch_id
+        self.on_events(raw_events(batch, None), batch_id)
 
     def handle_swaps(self, swaps: DataFrame) -> dict[str, int]:
-        """Store swaps, then first-seen candidates of mints without one."""
+        """Store swaps, then first-seen candidates of mints without one, then look for spikes."""
+        before = self._last_event() if self.spikes_every_ms else None
         result = self.store.append_unique(swaps, "swap_events", "skip")
         found = discovery.new_tokens(swaps, self.store.read("token_candidates"))
         new = self.store.append_unique(found, "token_candidates", "skip")
+        if self.spikes_every_ms:
+            now = self._last_event()
+            if now is not None and (before is None or now // self.spikes_every_ms > before // self.spikes_every_ms):
+                self.detect_active()
         return {**result, "candidates": new["stored"]}
 
-    def on_liquidity(self, batch: DataFrame, batch_id: int) -> None:
-        self.store.append_unique(batch, "liquidity_events", "skip")
+    def _last_event(self) -> int | None:
+        return self.store.read("swap_events").agg(F.max("timestamp")).first()[0]
+
+    def on_liquidity(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Store liquidity events with the candidate that their mint has by now, if any."""
+        known = resolve_candidates(batch, self.store.read("token_candidates"))
+        self.store.append_unique(known, "liquidity_events", "skip")
+
+    def on_candidate_swaps(self, batch: DataFrame, batch_id: int) -> None:
+        """Swaps of known candidates: stored once; new ones are added to the volume buckets."""
+        mark = intermediates_mark()
+        try:
+            batch = materialize(conform(batch, TABLES["swaps"]), "swaps")
+            if self.volumes is not None:
+                fresh = new_rows(batch, self.store.read("swaps"), UNIQUE_KEYS["swaps"])
+                self.volumes.add(fresh, batch_id)
+            self.store.append_unique(batch, "swaps", "skip")
+        finally:
+            discard_intermediates(self.store.spark, mark)
 
     def detect_active(self, with_liquidity: bool = False) -> dict[str, int]:
         """Spikes at the time of the last stored event; nothing before the first event."""
         events = self.store.read("swap_events")
-        at = events.agg(F.max("timestamp").alias("at")).first()["at"]
+        at = self._last_event()
         if at is None:
             return {"stored": 0, "duplicates": 0}
         recent = half_open(events, "timestamp", at - DAY_MS, at)
@@ -109,57 +181,72 @@ class LivePipeline:
         return self.store.append_unique(found, "token_candidates", "skip")
 
     def drain(self) -> None:
-        """Release what the slot buffer still holds."""
-        if self.buffer is not None and self.last_batch >= 0:
-            self.handle_swaps(self.buffer.drain(self.last_batch))
-
-    def run(self, swaps: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        trigger = {"availableNow": True} if once else {"processingTime": f"{FLUSH_SECONDS} seconds"}
-        return (
-            swaps.writeStream.foreachBatch(self.on_swaps)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start()
-        )
+        """Store what the slot buffer still holds."""
+        if self.buffer is not None:
+            self.handle_events(self.buffer.drain())
 
-    def run_liquidity(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+    def _start(self, events: DataFrame, handler, checkpoint: str, once: bool) -> StreamingQuery:
         trigger = {"availableNow": True} if once else {"processingTime": f"{FLUSH_SECONDS} seconds"}
-        return (
-            events.writeStream.foreachBatch(self.on_liquidity)
+        run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # batches count anew with each checkpoint
+        for part in (self.buffer, self.volumes):
+            if part is not None:
+                part.run = run
+        query = (
+            events.writeStream.foreachBatch(handler)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
         )
+        if once:
+            query.awaitTermination()
+            self.drain()
+        return query
 
+    def run(self, swaps: DataFrame, checkpoint: str, once: bool = False,
+            liquidity: DataFrame | None = None) -> StreamingQuery:
+        """Start the stream; ``once`` takes what is there, waits and drains the slot buffer."""
+        return self._start(raw_events(swaps, liquidity), self.on_events, checkpoint, once)
 
-def with_candidates(liquidity: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Stream-static enrichment: candidate id by mint at arrival, NULL if unknown yet."""
-    joined = salted_join(liquidity, mint_to_candidate(candidates), "mint", "tx_signature")
-    return joined.withColumn(
-        "candidate_id", F.coalesce(F.nullif(F.col("candidate_id"), F.lit("")), "resolved_id")
-    ).select(*liquidity.columns)
+    def run_liquidity(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+        return self._start(events, self.on_liquidity, checkpoint, once)
 
+    def run_candidate_swaps(self, swaps: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+        return self._start(swaps, self.on_candidate_swaps, checkpoint, once)
 
-def deduplicated(events: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """Bounded streaming dedupe: repeated keys within the delay are dropped silently."""
-    return (
-        events.withColumn("event_time", F.timestamp_millis("timestamp"))
-        .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
-        .drop("event_time")
-    )
 
+class VolumeParts:
+    """Volume buckets as sums of parts, one small part per micro-batch.
 
-def volume_buckets(swaps: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling volume buckets, emitted once they are final."""
-    def side(name: str):
-        return F.coalesce(F.sum(F.when(F.col("side") == name, F.col("amount_out"))), F.lit(0.0))
+    A part holds what its batch adds to the narrowest buckets, so a late swap simply adds to its
+    bucket again; no bucket is ever closed and none waits for a watermark.  A batch that is
+    retried finds its own part: it was written before the swaps were stored.
+    """
 
-    return (
-        swaps.withColumn("event_time", F.timestamp_millis("timestamp"))
-        .withWatermark("event_time", delay)
-        .groupBy("candidate_id", F.window("event_time", f"{seconds} seconds").alias("w"))
-        .agg(F.sum("amount_out").alias("volume"), F.count(F.lit(1)).alias("swap_count"),
-             side("buy").alias("buy_volume"), side("sell").alias("sell_volume"))
-        .select("candidate_id", F.unix_millis("w.start").alias("timestamp_ms"),
-                F.lit(seconds).alias("interval_seconds"), "volume", "swap_count", "buy_volume",
-                "sell_volume")
-    )
+    def __init__(self, spark: SparkSession, root: str, run: str = "run"):
+        self.spark, self.root, self.run = spark, root, run
+
+    def add(self, swaps: DataFrame, batch_id: int) -> None:
+        """Add new swaps, before they are stored; a part that is complete stays as it is."""
+        path = os.path.join(self.root, f"part={self.run}-{batch_id}")
+        if not path_exists(self.spark, os.path.join(path, "_SUCCESS")):
+            volume_timeseries(swaps, INTERVALS[:1]).write.mode("overwrite").parquet(path)
+
+    def read(self, intervals=INTERVALS) -> DataFrame:
+        """Buckets of every width over all parts."""
+        schema = TABLES["volume_timeseries"]
+        if not path_exists(self.spark, self.root):
+            return self.spark.createDataFrame([], schema)
+        parts = self.spark.read.schema(schema).parquet(self.root)
+        return widened(parts.select(*schema.names), intervals).select(*schema.names)
+
+    def compact(self) -> None:
+        """Replace all parts by their sum; to be called while no batch is running."""
+        whole = materialize(self.read(INTERVALS[:1]), "volume")
+        names = [n for n in list_names(self.spark, self.root) if n.startswith("part=")]
+        target = os.path.join(self.root, f"part={self.run}-sum{len(names)}-{uuid.uuid4().hex}")
+        staged = os.path.join(self.root, f"_{uuid.uuid4().hex}")  # names with _ are not read
+        whole.write.parquet(staged)
+        for n in names:
+            delete_path(self.spark, os.path.join(self.root, n))
+        move_path(self.spark, staged, target)
 
 
 def backfill(store: TableStore, swaps: DataFrame, liquidity: DataFrame | None, start: int,
@@ -170,8 +257,9 @@ def backfill(store: TableStore, swaps: DataFrame, liquidity: DataFrame | None, s
     out = {"swap_events": s["stored"], "candidates": s["candidates"],
            "duplicates": s["duplicates"], "liquidity_events": 0}
     if liquidity is not None:
-        q = store.append_unique(half_open(liquidity, "timestamp", start, end),
-                                "liquidity_events", "skip")
+        part = resolve_candidates(half_open(liquidity, "timestamp", start, end),
+                                  store.read("token_candidates"))
+        q = store.append_unique(part, "liquidity_events", "skip")
         out["liquidity_events"] = q["stored"]
         out["duplicates"] += q["duplicates"]
     return out

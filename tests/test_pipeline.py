@@ -5,6 +5,7 @@ import pytest
 from helpers import candidates
 
 from marketlab.functions.timecols import DAY_MS
+from marketlab.operators import exits
 from marketlab.plans import oracles, pipeline, queries, views
 from marketlab.sources import tables
 from marketlab.sources.adapters import Dataset
@@ -46,6 +47,33 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert digest(store) == first == digest(other)
 
 
+def test_recompute_and_fresh_aggregates(spark, tmp_path):
+    d, store = Dataset(spark, SMALL), tables.TableStore(spark, str(tmp_path / "t"))
+    store.ingest(d.token_candidates(), "token_candidates")
+    store.append_unique(d.liquidity_events(), "liquidity_events")
+    store.append_unique(d.swaps().where("slot % 2 = 0"), "swaps")
+    first = pipeline.run(store, queries.demo_rules()[:3], str(tmp_path / "r1"))
+    n = first.aggregates.agg({"total_trades": "sum"}).first()[0]
+    store.append_unique(d.swaps().where("slot % 2 = 1"), "swaps")
+    custom = exits.rule("ALL_OUT", "NEW_TOKEN", hold=1)
+    exits.register_exit_rule("ALL_OUT", lambda c, p, q, rules: exits.exit_rule("TIME_EXIT")(
+        c, p, q, [("TIME_EXIT", *r[1:]) for r in rules]))
+    bad = exits.rule("MOON_SHOT", "NEW_TOKEN", hold=1)
+    second = pipeline.run(store, queries.demo_rules() + [custom, bad], str(tmp_path / "r2"), mode="recompute")
+    fresh = tables.TableStore(spark, str(tmp_path / "u"))
+    fresh.ingest(d.token_candidates(), "token_candidates")
+    fresh.append_unique(d.liquidity_events(), "liquidity_events")
+    fresh.append_unique(d.swaps(), "swaps")
+    pipeline.normalise(fresh)
+    for name in ("price_timeseries", "liquidity_timeseries", "volume_timeseries", "derived_features"):
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, fresh.read(name).collect())), name
+    assert [r["reason"] for r in second.rejected_rules.collect()] == ["unknown strategy type"]
+    after = second.aggregates
+    assert after.agg({"total_trades": "sum"}).first()[0] == store.read("trade_records").count() > n
+    assert after.groupBy("strategy_id", "scenario_id", "entry_event_type").count().where("count > 1").isEmpty()
+    assert second.statistics.first()["trades"] == store.read("trade_records").count()
+
+
 def test_views_have_the_fixed_columns(spark):
     d = Dataset(spark, SMALL)
     views.create_feature_views(queries.price_of(d), queries.liquidity_of(d))

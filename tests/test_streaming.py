@@ -45,21 +45,79 @@ def test_duplicates_in_the_stream_are_silent(spark, store):
     assert store.read("swap_events").count() == 2 and store.read("token_candidates").count() == 1
 
 
-def test_slot_buffer_order_late_and_drain(spark, store, tmp_path):
-    buf = live.SlotBuffer(spark, str(tmp_path / "p"), schemas.SWAP_EVENTS, lag=3)
-    ev = lambda *slots: swap_events(spark, [
-        {"timestamp": s, "slot": s, "tx_signature": f"t{s}"} for s in slots])
-    slots = lambda df: [r["slot"] for r in df.select("slot").collect()]
-    assert slots(buf.release(ev(10, 8), 0)) == []
-    assert slots(buf.release(ev(9, 12), 1)) == [8, 9]
-    assert slots(buf.release(ev(5), 2)) == [5]       # late: released at once
-    assert slots(buf.release(ev(5), 2)) == [5]       # retried batch gives the same
-    assert slots(buf.drain(2)) == [10, 12]
-    pipe = live.LivePipeline(store, live.SlotBuffer(spark, str(tmp_path / "q"), schemas.SWAP_EVENTS, 3))
-    pipe.on_swaps(ev(1, 2, 9), 0)
-    assert slots(store.read("swap_events")) == [1, 2]
-    pipe.drain()
-    assert sorted(slots(store.read("swap_events"))) == [1, 2, 9]
+def events_at(spark, *slots):
+    return swap_events(spark, [{"timestamp": s, "slot": s, "tx_signature": f"t{s}"} for s in slots])
+
+
+def slots_of(df):
+    return sorted(r["slot"] for r in df.select("slot").collect())
+
+
+def test_slot_buffer_late_retry_and_restart(spark, tmp_path):
+    make = lambda run: live.SlotBuffer(spark, str(tmp_path / "p"), schemas.SWAP_EVENTS, lag=3, run=run)
+    buf = make("a")
+    assert slots_of(buf.release(events_at(spark, 10, 8), 0)) == []
+    assert slots_of(buf.release(events_at(spark, 9, 12), 1)) == [8, 9]
+    assert slots_of(buf.release(events_at(spark, 5), 2)) == [5]       # late: released at once
+    assert slots_of(buf.release(events_at(spark, 5), 2)) == [5]       # retried batch gives the same
+    assert slots_of(buf.release(events_at(spark, 9, 12), 1)) == [8, 9]
+    # another run, with a new checkpoint and batch numbers from 0, goes on with what is pending
+    other = make("b")
+    assert slots_of(other.drain()) == [10, 12]
+    assert slots_of(other.release(events_at(spark, 14), 0)) == [10]
+    assert slots_of(make("c").drain()) == [12, 14]
+
+
+def test_slot_buffer_is_drained_when_the_stream_ends(spark, store, tmp_path):
+    for part in ((1, 2, 9), (3, 2, 11)):
+        drop(events_at(spark, *part), tmp_path / "in")
+    pipe = live.LivePipeline(store, live.SlotBuffer(spark, str(tmp_path / "q"), live.RAW_EVENTS, 3))
+    pipe.on_swaps(events_at(spark, 1, 2, 9), 0)
+    assert slots_of(store.read("swap_events")) == [1, 2]
+    # the process ends here; a new one starts with nothing in memory
+    again = live.LivePipeline(store, live.SlotBuffer(spark, str(tmp_path / "q"), live.RAW_EVENTS, 3))
+    again.run(stream(spark, tmp_path / "in"), str(tmp_path / "cp"), once=True)
+    assert slots_of(store.read("swap_events")) == [1, 2, 3, 9, 11]
+
+
+def test_late_swaps_add_to_their_bucket_and_retries_do_not(spark, store, tmp_path):
+    from helpers import swaps
+    make = lambda *ts: swaps(spark, [{"timestamp": t, "slot": t, "candidate_id": "a", "tx_signature": f"s{t}",
+                                      "amount_out": 1.0, "side": "buy"} for t in ts])
+    volumes = live.VolumeParts(spark, str(tmp_path / "v"), run="r")
+    pipe = live.LivePipeline(store, volumes=volumes)
+    pipe.on_candidate_swaps(make(10, 100_000, 100 * HOUR), 0)
+    pipe.on_candidate_swaps(make(20, 10), 1)           # late, and one repeated
+    pipe.on_candidate_swaps(make(20, 10), 1)           # retried
+    read = lambda: {(r["interval_seconds"], r["timestamp_ms"]): r["volume"] for r in volumes.read().collect()}
+    want = {(60, 0): 2.0, (60, 60_000): 1.0, (300, 0): 3.0, (3600, 0): 3.0} | {(w, 100 * HOUR): 1.0 for w in (60, 300, 3600)}
+    assert read() == want
+    volumes.compact()
+    pipe.on_candidate_swaps(make(30), 2)
+    assert read() == want | {(60, 0): 3.0, (300, 0): 4.0, (3600, 0): 4.0}
+
+
+def test_liquidity_finds_its_candidate_at_arrival_or_later(spark, store):
+    from marketlab.plans import pipeline
+    rows = [{"mint": "m1", "tx_signature": f"l{t}", "event_index": 0, "timestamp": t, "slot": t, "event_type": "add",
+             "liquidity_after": 1.0 * t} for t in (1, 7)]
+    q = frame(spark, schemas.LIQUIDITY_EVENTS, rows)
+    pipe = live.LivePipeline(store)
+    pipe.on_liquidity(q.where("timestamp = 1"))
+    pipe.handle_swaps(swap_events(spark, [{"timestamp": 5, "slot": 5, "mint": "m1"}]))
+    pipe.on_liquidity(q.where("timestamp = 7"))
+    assert [r[0] is None for r in rows_of(store.read("liquidity_events").orderBy("timestamp"), "candidate_id")].count(True) == 1
+    pipeline.normalise(store)
+    assert sorted(r["timestamp_ms"] for r in store.read("liquidity_timeseries").collect()) == [1, 7]
+
+
+def test_spikes_are_looked_for_in_every_period(spark, store):
+    pipe = live.LivePipeline(store, spikes_every_ms=HOUR)
+    calls = []
+    pipe.detect_active = lambda: calls.append(1)
+    for t in (5, 10, HOUR + 1, HOUR + 2, 3 * HOUR):
+        pipe.handle_swaps(swap_events(spark, [{"timestamp": t, "slot": t, "tx_signature": f"x{t}"}]))
+    assert len(calls) == 3
 
 
 def test_active_detection_uses_event_time(spark, store):
@@ -84,16 +142,6 @@ def test_backfill_counts(spark, store):
         "swap_events": 1, "candidates": 0, "duplicates": 3, "liquidity_events": 0}
 
 
-def test_bounded_dedupe(spark, tmp_path):
-    ev = swap_events(spark, [{"timestamp": 5}, {"timestamp": 6}])
-    drop(ev.union(ev), tmp_path / "in")
-    out = live.deduplicated(stream(spark, tmp_path / "in"), tables.UNIQUE_KEYS["swap_events"])
-    q = out.writeStream.format("memory").queryName("dedupe").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("dedupe").count() == 2
-
-
 def replayed(spark, slice_ms):
     from helpers import swaps
     s = swaps(spark, [{"timestamp": t, "slot": t, "candidate_id": c, "tx_signature": f"{c}{t}"}

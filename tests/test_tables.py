@@ -155,3 +155,32 @@ def test_seen_mints_and_run_statistics(spark):
     c = candidates(spark, [{}])
     assert metrics.run_statistics(c, c, c, c.limit(0)).first().asDict() == {
         "candidates": 1, "trades": 1, "aggregates": 1, "errors": 0}
+
+
+def test_known_keys_are_found_at_other_slots(spark, tmp_path):
+    from helpers import swap_events
+    store = tables.TableStore(spark, str(tmp_path / "k"))
+    store.append_unique(swap_events(spark, [{"timestamp": 1, "slot": 5}]), "swap_events")
+    again = swap_events(spark, [{"timestamp": 1, "slot": 6}])
+    assert store.append_unique(again, "swap_events", "skip") == {"stored": 0, "duplicates": 1}
+    with pytest.raises(tables.DuplicateKey):
+        store.append_unique(again, "swap_events")
+
+
+def test_replaced_groups_show_their_newest_rows(spark, tmp_path):
+    from helpers import frame
+    store = tables.TableStore(spark, str(tmp_path / "r"))
+    make = lambda **rows: frame(spark, schemas.PRICE_TIMESERIES, [
+        {"candidate_id": c, "timestamp_ms": t, "slot": 1, "price": p, "volume": 1.0, "swap_count": 1}
+        for c, points in rows.items() for t, p in points])
+    read = lambda: sorted((r["candidate_id"], r["timestamp_ms"], r["price"]) for r in store.read("price_timeseries").collect())
+    store.append_unique(make(a=[(1, 1.0), (2, 2.0)], b=[(1, 5.0)]), "price_timeseries")
+    assert store.replace(make(a=[(1, 9.0)]), "price_timeseries") == 1
+    assert read() == [("a", 1, 9.0), ("b", 1, 5.0)]
+    assert store.append_unique(make(a=[(1, 7.0), (2, 4.0)]), "price_timeseries", "skip") == {"stored": 1, "duplicates": 1}
+    assert read() == [("a", 1, 9.0), ("a", 2, 4.0), ("b", 1, 5.0)]
+    assert store.replace(make(a=[(3, 3.0)]), "price_timeseries", make(b=[(0, 0.0)])) == 2
+    assert read() == [("a", 3, 3.0)]
+    assert store.read("price_timeseries").columns == schemas.PRICE_TIMESERIES.names
+    with pytest.raises(tables.DuplicateKey):
+        store.replace(make(a=[(1, 1.0), (1, 2.0)]), "price_timeseries")
