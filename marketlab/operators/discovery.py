@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions import ids
 from marketlab.functions.timecols import DAY_MS, HOUR_MS, slice_no
+from marketlab.operators.joins import salted_join
 from marketlab.operators.slices import SLICE, before, slice_window, upto
 from marketlab.schemas import ACTIVE_TOKEN, EVENT_ORDER, NEW_TOKEN
 
@@ -108,13 +109,12 @@ def spike_report(swaps: DataFrame, metadata: DataFrame, rule: SpikeRule = SpikeR
 
     The trigger is the last swap by (time, event index).
     """
-    now = swaps.agg(F.max("timestamp").alias("now_ms"))  # exactly one row
+    now = swaps.agg(F.max("timestamp")).scalar()  # a subquery: the filters reach the scan
     t = F.col("timestamp")
-    recent = t >= F.col("now_ms") - HOUR_MS
+    recent = t >= now - HOUR_MS
     # reduced to one row per candidate before the join with the metadata
     per_candidate = (
-        swaps.crossJoin(F.broadcast(now))
-        .where((t >= F.col("now_ms") - DAY_MS) & (t < F.col("now_ms")))
+        swaps.where((t >= now - DAY_MS) & (t < now))
         .groupBy("candidate_id")
         .agg(
             F.sum(F.when(recent, F.col("amount_out"))).alias("v1"), F.count_if(recent).alias("n1"),
@@ -263,11 +263,13 @@ def first_spikes(events: DataFrame, candidates: DataFrame | None = None,
                  rule: SpikeRule = SpikeRule()) -> DataFrame:
     """Evaluate at every event and keep the first spike per mint, with its trigger event.
 
-    Known mints are removed once there is one row per mint, so no hot mint reaches a join.
+    Events of known mints are left out before any window is computed; the join is salted.
     """
-    hit = unseen(
-        spike_times(events, rule).where("swaps_1h > 0")
-        .groupBy("mint").agg(F.min("timestamp").alias("eval")), candidates)
+    if candidates is not None:
+        known = candidates.select("mint").distinct()
+        events = salted_join(events, known, "mint", "tx_signature", "left_anti")
+    hit = spike_times(events, rule).where("swaps_1h > 0").groupBy("mint").agg(
+        F.min("timestamp").alias("eval"))
     t = F.col("timestamp")
     # one hour of each mint: (mint, hour) keys keep the join free of hot keys
     probe = hit.withColumn("_h", F.explode(F.array(
@@ -282,17 +284,16 @@ def first_spikes(events: DataFrame, candidates: DataFrame | None = None,
 
 def replay_discovery(events: DataFrame, start: int | None = None, end: int | None = None,
                      seed: DataFrame | None = None) -> DataFrame:
-    """Discovery over [start, end) with known candidates: first-seen, then spikes.
+    """Discovery over [start, end) with known candidates.
 
-    A mint found as new is never reported as active too.
+    A mint found as new is never reported as active too, and every mint of the range is either
+    known from the seed or new in it, so what is reported is what is seen first.
     """
     if start is not None:
         events = events.where(F.col("timestamp") >= start)
     if end is not None:
         events = events.where(F.col("timestamp") < end)
-    new = new_tokens(events, seed)
-    known = new.select("mint") if seed is None else new.select("mint").union(seed.select("mint"))
-    return new.unionByName(first_spikes(events, known))
+    return new_tokens(events, seed)
 
 
 def reconcile(replayed: DataFrame, stored: DataFrame) -> DataFrame:

@@ -42,27 +42,45 @@ def discovery_days(candidates: DataFrame) -> DataFrame:
                   F.col("n").cast("double"), F.col("n") >= MIN_RUN_DAYS)
 
 
+def event_summary(events: DataFrame) -> DataFrame:
+    """One row per candidate: times of its first and last event, and whether two share a position.
+
+    One pass over the events, combined before the shuffle by position, so no task holds a
+    candidate; all checks of raw events read this.
+    """
+    at = events.groupBy("candidate_id", *ordering.EVENT_ORDER).agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+    return at.groupBy("candidate_id").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("n") > 1).alias("ambiguous"))
+
+
+def series_summary(series: DataFrame) -> DataFrame:
+    return series.groupBy("candidate_id").agg(
+        F.min("timestamp_ms").alias("lo"), F.max("timestamp_ms").alias("hi"))
+
+
 def coverage(price: DataFrame, liquidity: DataFrame, swaps: DataFrame,
              liquidity_events: DataFrame, candidates: DataFrame) -> DataFrame:
     """Days covered by the series; the raw events of candidates where there are none."""
-    def span(df: DataFrame, ts: str) -> DataFrame:
-        return df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    return _coverage(series_summary(price), series_summary(liquidity), event_summary(swaps),
+                     event_summary(liquidity_events), candidates)
 
-    ids = candidates.select("candidate_id").distinct()
 
-    def raw(events: DataFrame) -> DataFrame:
-        # one row per candidate before the join: no hot key reaches it
-        per = events.groupBy("candidate_id").agg(F.min("timestamp").alias("lo"),
-                                                 F.max("timestamp").alias("hi"))
-        return per.join(ids, "candidate_id", "left_semi").select("lo", "hi")
+def _coverage(price: DataFrame, liquidity: DataFrame, swaps: DataFrame, liquidity_events: DataFrame,
+              candidates: DataFrame) -> DataFrame:
+    ids = candidates.select("candidate_id").distinct()
 
     def both(parts: list[DataFrame], prefix: str) -> DataFrame:
         return reduce(DataFrame.unionByName, parts).agg(
             F.min("lo").alias(f"{prefix}_lo"), F.max("hi").alias(f"{prefix}_hi"))
 
-    series = both([span(price, "timestamp_ms").where("hi > 0"),
-                   span(liquidity, "timestamp_ms").where("hi > 0")], "s")
-    events = both([raw(swaps), raw(liquidity_events)], "e")
+    def span(part: DataFrame) -> DataFrame:
+        return part.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("hi > 0")
+
+    series = both([span(price), span(liquidity)], "s")
+    # one row per candidate: no hot key reaches the join
+    events = both([e.join(ids, "candidate_id", "left_semi").select("lo", "hi")
+                   for e in (swaps, liquidity_events)], "e")
     days = F.coalesce(F.col("s_hi") - F.col("s_lo"), F.col("e_hi") - F.col("e_lo"), F.lit(0)) / DAY_MS
     return _check(series.crossJoin(F.broadcast(events)), 3, "Backtest data coverage",
                   f">= {MIN_COVERAGE_DAYS} days", days, days >= MIN_COVERAGE_DAYS)
@@ -82,37 +100,49 @@ def duplicates(candidates: DataFrame) -> DataFrame:
 
 def missing_events(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame) -> DataFrame:
     """Candidates without any swap, and without any liquidity event."""
+    return _missing_events(candidates, *(e.select("candidate_id").distinct() for e in (swaps, liquidity)))
+
+
+def _missing_events(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame) -> DataFrame:
     c = _known(candidates).select("candidate_id")
 
-    def without(events: DataFrame, kind: str) -> DataFrame:
-        have = events.select("candidate_id").distinct()
+    def without(have: DataFrame, kind: str) -> DataFrame:
         return c.join(have, "candidate_id", "left_anti").withColumn("missing", F.lit(kind))
 
     return without(swaps, "swaps").unionByName(without(liquidity, "liquidity"))
 
 
 def event_presence(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame) -> DataFrame:
-    n = missing_events(candidates, swaps, liquidity).agg(F.count(F.lit(1)).alias("n"))
+    return _event_presence(missing_events(candidates, swaps, liquidity))
+
+
+def _event_presence(missing: DataFrame) -> DataFrame:
+    n = missing.agg(F.count(F.lit(1)).alias("n"))
     return _check(n, 5, "Missing events count", "= 0", F.col("n").cast("double"), F.col("n") == 0)
 
 
 def unreplayable(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame,
                  price: DataFrame) -> DataFrame:
     """Candidates whose events are ambiguous in order or that have no price series."""
-    cols = ["candidate_id", *ordering.EVENT_ORDER]
-    tagged = swaps.select(*cols, F.lit("swap").alias("kind")).unionByName(
-        liquidity.select(*cols, F.lit("liquidity").alias("kind")))
-    ambiguous = ordering.duplicate_positions(tagged, ["candidate_id", "kind"]).select(
-        "candidate_id")
+    return _unreplayable(candidates, event_summary(swaps), event_summary(liquidity), series_summary(price))
+
+
+def _unreplayable(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame,
+                  price: DataFrame) -> DataFrame:
+    ambiguous = swaps.where("ambiguous").select("candidate_id").unionByName(
+        liquidity.where("ambiguous").select("candidate_id"))
     c = _known(candidates).select("candidate_id").distinct()
-    have = price.select("candidate_id").distinct()
-    return c.join(ambiguous.distinct(), "candidate_id", "left_semi").union(
-        c.join(have, "candidate_id", "left_anti")).distinct()
+    return c.join(ambiguous, "candidate_id", "left_semi").union(
+        c.join(price, "candidate_id", "left_anti")).distinct()
 
 
 def replayability(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame,
                   price: DataFrame) -> DataFrame:
-    bad = unreplayable(candidates, swaps, liquidity, price).agg(F.count(F.lit(1)).alias("bad"))
+    return _replayability(candidates, unreplayable(candidates, swaps, liquidity, price))
+
+
+def _replayability(candidates: DataFrame, offending: DataFrame) -> DataFrame:
+    bad = offending.agg(F.count(F.lit(1)).alias("bad"))
     total = _known(candidates).agg(F.count(F.lit(1)).alias("total"))
     pct = F.when(F.col("total") == 0, 100.0).otherwise(
         (F.col("total") - F.col("bad")) / F.col("total") * 100)
@@ -122,12 +152,14 @@ def replayability(candidates: DataFrame, swaps: DataFrame, liquidity: DataFrame,
 
 def sufficiency(candidates: DataFrame, swaps: DataFrame, liquidity_events: DataFrame,
                 price: DataFrame, liquidity: DataFrame) -> DataFrame:
-    """All six checks, one row each."""
+    """All six checks, one row each; each raw table and series is summed up once."""
+    s, q = event_summary(swaps), event_summary(liquidity_events)
+    p, r = series_summary(price), series_summary(liquidity)
     return reduce(DataFrame.unionByName, [
         new_candidates(candidates), discovery_days(candidates),
-        coverage(price, liquidity, swaps, liquidity_events, candidates), duplicates(candidates),
-        event_presence(candidates, swaps, liquidity_events),
-        replayability(candidates, swaps, liquidity_events, price)])
+        _coverage(p, r, s, q, candidates), duplicates(candidates),
+        _event_presence(_missing_events(candidates, s, q)),
+        _replayability(candidates, _unreplayable(candidates, s, q, p))])
 
 
 def all_pass(checks: DataFrame) -> DataFrame:
@@ -153,13 +185,17 @@ def integrity_errors(candidates: DataFrame, swaps: DataFrame, liquidity_events:
 # --- fingerprints -------------------------------------------------------------------------
 
 def line_of(df: DataFrame, digits: int = 8) -> Column:
-    """All columns of a row as one text line; doubles with a fixed number of digits."""
+    """All columns of a row as one text line; doubles with a fixed number of digits.
+
+    Separators inside a value are escaped, and NULL is told from the empty text.
+    """
     parts = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.dataType.typeName() == "double":
             c = F.format_string(f"%.{digits}f", c)
-        parts.append(F.coalesce(c.cast("string"), F.lit("")))
+        text = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+        parts.append(F.coalesce(text, F.lit("\\N")))
     return F.concat_ws("|", *parts)
 
 

@@ -792,7 +792,9 @@ def _digest(name: str, line: str, table: str) -> str:
 
 
 def _line(*cols: str) -> str:
-    return " || '|' || ".join(f"coalesce({c}, '')" for c in cols)
+    return " || '|' || ".join(
+        f"coalesce(replace(replace({c}, chr(92), chr(92) || chr(92)), '|', chr(92) || 'p'), chr(92) || 'N')"
+        for c in cols)
 
 
 def _quality() -> dict[str, str]:
@@ -836,7 +838,7 @@ def _quality() -> dict[str, str]:
                                     t("event_index"), t("slot"), t("discovered_at")), "token_candidates"),
         _digest("liquidity", _line("candidate_id", t("timestamp_ms"), t("slot"), f("liquidity"),
                                    f("liquidity_token"), f("liquidity_quote")), "liq"),
-        _digest("price", _line("candidate_id", t("timestamp_ms"), t("slot"), f("price"),
+        _digest("price", _line("candidate_id", t("timestamp_ms"), t("slot"), f("price"), f("volume"),
                                t("swap_count")), "price")])
     out["dataset_fingerprint"] = _with("""
     SELECT table_name, rows, digest FROM each

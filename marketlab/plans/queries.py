@@ -521,7 +521,7 @@ def q_days(d):
 def q_fingerprint(d):
     return quality.dataset_fingerprint({
         "candidates": d.token_candidates(),
-        "price": price_of(d).select("candidate_id", "timestamp_ms", "slot", "price", "swap_count"),
+        "price": price_of(d),
         "liquidity": liquidity_of(d)})
 
 
