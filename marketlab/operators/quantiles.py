@@ -29,7 +29,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     counts = (
         df.groupBy(*keys, F.col(value).alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.coalesce(_bucket(F.col("_x")), F.lit(0)))
+        # NaN sorts behind every number, and so does its bucket
+        .withColumn("_b", F.when(F.isnan("_x"), F.lit(2**62)).otherwise(
+            F.coalesce(_bucket(F.col("_x")), F.lit(0))))
     )
     per_group = Window.partitionBy(*keys)
     in_order = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,6 +69,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     def interpolated(name: str, p: float) -> Column:
         at = F.lit(p) * (F.col("_total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return lo + (at - F.floor(at)) * (hi - lo)
+        share = at - F.floor(at)
+        return F.when(share == 0, lo).otherwise(lo + share * (hi - lo))
 
     return spots.select(*keys, *[interpolated(n, p).alias(n) for n, p in probs.items()])

@@ -19,18 +19,17 @@ ROWS_PER_BATCH = 10_000
 
 
 def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
-                 columns: list[str] | None = None, slice_ms: int | None = HOUR_MS,
+                 columns: list[str] | None = None, slice_ms: int | None = None,
                  start: int | None = None, end: int | None = None) -> DataFrame:
     """Feed ordered events to ``fn``; the tuples it yields are the result rows.
 
-    ``fn(candidate_id, batches)`` is a generator: it receives the events of one candidate
-    and one time slice, in event order, as consecutive batches of column arrays with the
-    given ``columns``.  A partition streams through one batch at a time, so no group is held in
-    memory, and a hot candidate is spread over its slices.  Results that span slices are
-    folded with ordinary aggregates afterwards.
+    ``fn(candidate_id, batches)`` is a generator: it receives the events of one candidate in
+    event order, as consecutive batches of column arrays with the given ``columns``.  A partition
+    streams through one batch at a time, so no group is held in memory.
 
-    With ``slice_ms=None`` a function that must see a whole candidate in sequence gets it in
-    one task; use it only where candidates are known to be small.
+    A candidate is one sequence in one task.  ``slice_ms`` cuts it into time slices that are
+    called each on their own: only for functions whose rows do not depend on earlier events.
+    State that must cross slices of a hot candidate is for ``replay_fold``.
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = schema.names
@@ -62,6 +61,39 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
     return ordered.mapInPandas(run, schema)
 
 
+def replay_fold(merged: DataFrame, zero: tuple, step: Callable[[tuple, Events], tuple],
+                merge: Callable[[tuple, tuple], tuple], schema: StructType | str,
+                columns: list[str], slice_ms: int = HOUR_MS) -> DataFrame:
+    """Fold the ordered events of every candidate, a hot one in many tasks.
+
+    ``step(state, batch)`` takes a slice through its batches from ``zero``, and ``merge(earlier,
+    later)`` joins the states of neighbouring slices; it has to be associative.  The result has
+    one row per candidate: its id and the state, whose fields ``schema`` names.
+    """
+    state = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def fold(candidate: str, batches: Iterator[Events]) -> Iterator[tuple]:
+        now, at = zero, None
+        for b in batches:
+            at = int(b["timestamp"][0]) // slice_ms if at is None else at
+            now = step(now, b)
+        yield (candidate, at, *now)
+
+    rows_of = StructType([*StructType.fromDDL("candidate_id string, _at long").fields, *state.fields])
+    parts = replay_apply(merged, fold, rows_of, list(dict.fromkeys(["timestamp", *columns])), slice_ms)
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        # one row per slice of a candidate
+        rows = rows.sort_values("_at")
+        now = None
+        for part in rows[state.names].itertuples(index=False, name=None):
+            now = part if now is None else merge(now, part)
+        return pd.DataFrame([(rows["candidate_id"].iloc[0], *now)], columns=["candidate_id", *state.names])
+
+    return parts.groupBy("candidate_id").applyInPandas(
+        join, StructType([*StructType.fromDDL("candidate_id string").fields, *state.fields]))
+
+
 class _Groups:
     """Cuts sorted batches at the change of group without holding more than one batch."""
 
@@ -108,13 +140,14 @@ def count_events(candidate: str, batches: Iterator[Events]) -> Iterator[tuple]:
         n += len(ts)
         swaps += int((kind == "swap").sum())
         lo, hi = int(ts.min()), int(ts.max())
-        first, last = min(first or lo, lo), max(last or hi, hi)
+        first = lo if first is None else min(first, lo)
+        last = hi if last is None else max(last, hi)
     yield candidate, n, swaps, n - swaps, first, last
 
 
 def replay_statistics(merged: DataFrame) -> DataFrame:
     """Events by kind and time range per candidate, counted by the replay itself."""
-    parts = replay_apply(merged, count_events, COUNTS, ["kind", "timestamp"])
+    parts = replay_apply(merged, count_events, COUNTS, ["kind", "timestamp"], HOUR_MS)
     return parts.groupBy("candidate_id").agg(
         *[F.sum(c).alias(c) for c in ("events", "swaps", "liquidity_events")],
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))

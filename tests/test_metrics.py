@@ -151,3 +151,10 @@ def test_order_violations(spark):
     df = spark.createDataFrame([("k", *r) for r in rows],
                                "k string, pos long, slot long, tx_signature string, event_index int")
     assert rows_of(ordering.order_violations(df, "pos", ["k"]), "pos") == [(2,), (3,)]
+
+
+def test_quantiles_put_nan_last(spark):
+    from marketlab.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), 3.0, -2.0)], "k string, v double")
+    r = exact_quantiles(df, ["k"], "v", {"lo": 0.0, "third": 2 / 3}).first()
+    assert (r["lo"], r["third"]) == (-2.0, 3.0)

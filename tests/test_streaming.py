@@ -181,3 +181,16 @@ def test_first_event_wins_a_tie_with_liquidity_first(spark):
     merged, _ = replayed(spark, None)
     top = merged.where("candidate_id = 'a'").orderBy("slot", "tie").first()
     assert top["kind"] == "liquidity" and top["swap"] is None
+
+
+def test_fold_carries_state_over_slices(spark):
+    merged, _ = replayed(spark, None)
+    last = lambda state, b: (state[0] + len(b["slot"]), int(b["slot"][-1]))
+    got = replay.replay_fold(merged, (0, -1), last, lambda a, b: (a[0] + b[0], b[1]), "n long, last long", ["slot"], HOUR)
+    assert rows_of(got, "candidate_id", "n", "last") == [
+        ("a", 21, 19 * HOUR // 2), ("b", 20, 19 * HOUR // 2), ("c", 20, 19 * HOUR // 2)]
+
+
+def test_counts_with_time_zero():
+    batches = [{"kind": __import__("numpy").array(["swap"]), "timestamp": __import__("numpy").array([t])} for t in (0, 5)]
+    assert list(replay.count_events("a", iter(batches))) == [("a", 2, 2, 0, 0, 5)]
