@@ -982,6 +982,10 @@ def _programs() -> dict[str, str]:
            CASE WHEN slot % 5 = 0 THEN 'add' ELSE 'remove' END AS event_type,
            CAST(0 AS DOUBLE) AS amount_token, CAST(0 AS DOUBLE) AS amount_quote, tx_signature,
            0 AS event_index, slot, {second} FROM swap_events"""),
+        "decoded_liquidity_events": _with(f"""
+    SELECT 'T' || mint AS mint, tx_signature, 0 AS event_index, slot, {second},
+           CASE WHEN slot % 5 = 0 THEN 'add' ELSE 'remove' END AS event_type
+    FROM swap_events WHERE slot % 2 = 1"""),
         "decode_generic_swaps": _with(f"""
     SELECT {account} AS mint, tx_signature, 7 AS event_index FROM swap_events"""),
         "decode_inferred_mints": _with(f"""
@@ -1005,6 +1009,8 @@ def _more_tables() -> dict[str, str]:
       FROM swap_events WHERE timestamp >= {last} - {HOUR} AND timestamp < {last}) WHERE rn = 1"""
     return {
         "scan_by_key": _with("SELECT * FROM swaps WHERE candidate_id = '7'"),
+        "ingested_range": _with(f"""
+    SELECT * FROM swaps WHERE timestamp >= {EVAL_AT - 3 * DAY} AND timestamp < {EVAL_AT}"""),
         "scan_by_attribute": _with("SELECT * FROM token_candidates WHERE source = 'ACTIVE_TOKEN'"),
         "trades_of_family": _with("""
     SELECT * FROM wtrades WHERE strategy_id LIKE 'TIME_EXIT%' AND scenario_id = 'realistic'""", **_WIDE),

@@ -723,6 +723,13 @@ def q_decode_curve_liquidity(d):
     return decode.curve_liquidity(decode.usable(program_logs_of(d)))
 
 
+@query("decoded_liquidity_events")
+def q_decoded_liquidity(d):
+    """Liquidity events of all registered programs from one table of logs."""
+    return decode.liquidity_events(program_logs_of(d)).select(
+        "mint", "tx_signature", "event_index", "slot", "timestamp", "event_type")
+
+
 @query("decode_generic_swaps")
 def q_decode_generic(d):
     return decode.generic_swaps(decode.usable(program_logs_of(d))).select(
@@ -756,6 +763,15 @@ def q_scan(d):
     return tables.by_key(d.swaps(), "7", order=("timestamp",))
 
 
+@query("ingested_range")
+def q_ingested(d):
+    """A range of swaps taken into a table, twice."""
+    store, _ = live_store(d, "ingest")
+    for _ in range(2):
+        store.ingest(d.swaps(), "swaps", EVAL_AT - 3 * DAY_MS, EVAL_AT, on_conflict="skip")
+    return store.read("swaps")
+
+
 @query("scan_by_attribute")
 def q_attribute(d):
     return tables.with_values(d.token_candidates(), source="ACTIVE_TOKEN")
