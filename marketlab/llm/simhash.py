@@ -171,12 +171,118 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "n_class", "n_component")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that name their group: one for each group of near duplicates.
+# --- similar documents: wider fingerprints for a similarity of shingle sets ----------------
+
+LANES = 4  # fingerprints of 64 bits each, from independent mixtures of the same shingle hashes
+_WIDE = np.dtype([("fp", "<u8"), ("more", "<u8", LANES - 1), ("node", "<i8")])
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, node, fp, f1, f2, f3) of every row; node stands for all four fingerprints."""
+
+    def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+        if not lane:
+            return h
+        x = h + np.uint64(0x9E3779B97F4A7C15 * lane % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def run(t: pa.Table) -> pa.Table:
+        body, at = binary_view(t["text"])
+        raw = body.tobytes()
+        found = [np.array(shingle_hashes(raw[at[i]:at[i + 1]], words), dtype=np.uint64) for i in range(t.num_rows)]
+        h, counts = np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
+        lanes = [majority(mixed(h, k), counts).view(np.int64) for k in range(LANES)]
+        return pa.table({"doc_id": t["doc_id"], **{name: pa.array(x) for name, x in zip(("fp", "f1", "f2", "f3"), lanes)}})
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = picked.mapInArrow(per_batch(run, nbytes=2_000_000), "doc_id long, fp long, f1 long, f2 long, f3 long")
+    return out.withColumn("node", F.xxhash64("fp", "f1", "f2", "f3"))
+
+
+def allowed_bits(similarity: float, spread: float = 2.3) -> tuple[int, int]:
+    """Differing bits of the first fingerprint and of all that still count as similar.
+
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s); each bit differs with the share
+    that the angle has of a half turn.  ``spread`` standard deviations are added, so a pair at the
+    bound is missed about once in a hundred, and pairs somewhat below it pass.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+    def most(bits: int) -> int:
+        return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+
+    return most(64) + 1, most(64 * LANES)
+
+
+def compare_wide(a: np.ndarray, b: np.ndarray | None, first: int, whole: int, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the similar pairs of two tiles, or within one: the first fingerprint, then all."""
+    own = b is None
+    b = a if own else b
+    fa, fb = np.ascontiguousarray(a["fp"]), np.ascontiguousarray(b["fp"])
+    step = max(1, block // max(1, len(b)))
+    left, right = [], []
+    differing, bits = np.empty((step, len(b)), np.uint64), np.empty((step, len(b)), np.uint8)  # stay in the cache
+    for s in range(0, len(a), step):
+        k = min(step, len(a) - s)
+        np.bitwise_xor(fa[s:s + k, None], fb[None, :], out=differing[:k])
+        np.bitwise_count(differing[:k], out=bits[:k])
+        i, j = np.divmod(np.flatnonzero(bits[:k] <= first), len(b))
+        i += s
+        if own:
+            i, j = i[i < j], j[i < j]
+        far = np.bitwise_count(fa[i] ^ fb[j]).astype(np.int64) + np.bitwise_count(a["more"][i] ^ b["more"][j]).sum(axis=1, dtype=np.int64)
+        near = far <= whole
+        x, y = forest(a["node"][i[near]], b["node"][j[near]])
+        left.append(x)
+        right.append(y)
+    return forest(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = 16_384) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of documents whose shingle sets are similar.
+
+    Tiles, bounds on the population count and forests are those of ``near_duplicates``; the
+    similarity is the estimate of 256 bits (see ``allowed_bits``), not a count of shared shingles.
+    """
+    first, whole = allowed_bits(similarity)
+    fps = materialize(wide_fingerprints(docs, words), "wide_fingerprints")
+    classes = materialize(fps.groupBy("node", "fp", "f1", "f2", "f3").agg(F.min("doc_id").alias("least")), "wide_classes")
+    pop = F.bit_count("fp")
+    tiles = {int(p): -(-int(n) // tile) for p, n in classes.groupBy(pop.alias("pop")).count().collect()}  # 65 counts at most
+    counts = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv]) if tiles else F.create_map(F.lit(0), F.lit(1))
+
+    def pack(key, rows):
+        rec = np.empty(len(rows), _WIDE)
+        rec["fp"] = rows["fp"].to_numpy().view(np.uint64)
+        rec["more"] = rows[["f1", "f2", "f3"]].to_numpy().view(np.uint64)
+        rec["node"] = rows["node"].to_numpy()
+        me, blob = (int(key[0]), int(key[1])), rec.tobytes()
+        others = [(q, j) for q in range(me[0] - first, me[0] + first + 1) for j in range(tiles.get(q, 0))]
+        pairs = [min((me, other), (other, me)) for other in others]
+        return pd.DataFrame({"pair": [f"{x}-{y}" for x, y in pairs], "own": [x == y for x, y in pairs], "fps": [blob] * len(pairs)})
+
+    def match(key, rows):
+        got = [np.frombuffer(x, _WIDE) for x in rows["fps"]]
+        a, b = compare_wide(got[0], None if rows["own"].iloc[0] else got[1], first, whole)
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = classes.select("node", "fp", "f1", "f2", "f3", pop.alias("pop")).withColumn("part", F.pmod(F.xxhash64("node"), counts[F.col("pop")]))
+    packed = dealt.groupBy("pop", "part").applyInPandas(pack, "pair string, own boolean, fps binary")
+    linked = components(packed.groupBy("pair").applyInPandas(match, "a long, b long"))
+    classes = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "component").select("node", "component_id")
+    return fps.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that name their group: one for each group of similar documents.
 
     Of rows that repeat an id one stays; rows without an id stay.
     """
-    found = near_duplicates(docs, words, radius)
+    found = similar_documents(docs, words, similarity)
     # stored, so that Spark knows their size: few ids are sent to the rows, many are joined by hash
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near_duplicates")
     twice = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")

@@ -74,12 +74,38 @@ def test_simhash_odd_rows(odd_docs, make_docs):
     assert len(rows) == 12
     by = {r.doc_id: r.component_id for r in rows}
     assert by[1] == by[2] == by[0] == 0 and by[5] == 4 and by[9] == 9
+    by = {r.doc_id: r.component_id for r in simhash.similar_documents(odd_docs).collect()}
+    assert by[1] == by[2] == by[0] == 0 and by[5] == by[6] == 4 and by[9] == 9
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [i for i in {v for v in by.values()} if i is not None] + [None]))
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
 
+def test_similar_documents(spark, make_docs):
+    import random
+
+    def jaccard(a, b):
+        cut = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+        return len(cut[0] & cut[1]) / len(cut[0] | cut[1])
+
+    r = random.Random(8)
+    texts = [prose(700 + i, 300) for i in range(40)]
+    for i in range(20):
+        words = texts[i].split()
+        for at in r.sample(range(300), 4 if i < 12 else 60):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(make_docs(texts)).collect()}
+    for i in range(20):
+        j = jaccard(texts[i], texts[40 + i])
+        assert (j > 0.85) == (i < 12) and j < 0.3 or i < 12
+        assert got[40 + i] == (i if i < 12 else 40 + i)
+    assert all(got[i] == i for i in range(40))
+    assert simhash.similar_documents(make_docs([])).count() == 0
+    assert simhash.allowed_bits(0.8)[1] < 64
+
+
 def removed(texts):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(x[i:i + 200] for x in raw for i in range(len(x) - 199))
