@@ -7,13 +7,12 @@ import tempfile
 import threading
 import uuid
 
-from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "marketlab", memory: str = "8g") -> SparkSession:
     """A local[N] session with the settings the jobs are tested with."""
-    builder = (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -26,21 +25,31 @@ def local_session(cores: str = "8", app: str = "marketlab", memory: str = "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .getOrCreate()
     )
-    if not SparkConf().contains("spark.checkpoint.dir"):  # one machine: any local folder is shared
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_OWN: list[str] = []  # of a process whose master is this machine
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, which all executors must see: ``spark.checkpoint.dir``."""
+    """Folder for intermediate tables, which all executors must see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local[N] session takes a folder of this machine, on which everything
+    runs; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors "
                            "before the session starts")
-    return named
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _OWN[0]
 
 
 _LOCAL = threading.local()  # streams run side by side: each thread cleans up its own

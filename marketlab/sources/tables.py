@@ -185,22 +185,25 @@ class TableStore:
         finally:
             discard_intermediates(self.spark, mark)
 
-    def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error") -> dict[str, int]:
+    def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error",
+                      staged: bool = False) -> dict[str, int]:
         """Append a batch; returns ``stored`` and ``duplicates``.
 
+        ``staged`` says that the batch is a stored table already and need not be computed once more.
+
         ``error``: nothing is written if any key repeats in the batch or in the table.
         ``skip``: repeated keys are left out silently, so a batch can be replayed safely.
         """
         mark = intermediates_mark()
         try:
-            return self._append(df, table, on_conflict)
+            return self._append(df, table, on_conflict, staged)
         finally:
             discard_intermediates(self.spark, mark)
 
-    def _append(self, df: DataFrame, table: str, on_conflict: str) -> dict[str, int]:
+    def _append(self, df: DataFrame, table: str, on_conflict: str, staged: bool) -> dict[str, int]:
         keys = UNIQUE_KEYS[table]
         batch, exists = conform(df, TABLES[table]), self.exists(table)
-        if exists or on_conflict == "error":
+        if not staged and (exists or on_conflict == "error"):
             # the checks and the write read the batch several times: compute it once
             batch = materialize(batch, f"batch-{table}")
         stored = self._overlap(batch, table) if exists else None
@@ -218,11 +221,7 @@ class TableStore:
             rows = new_rows(batch, stored, keys)
         else:
             raise ValueError(f"unknown on_conflict: {on_conflict}")
-        version = self._marks(table) and self._marks(table).agg(F.max("_version")).first()[0]
-        out = rows.observe(kept, F.count(F.lit(1)).alias("n"))
-        if version:  # rows of now, not older than what was replaced
-            out = out.withColumn("_version", F.lit(version).cast("long"))
-        out.write.mode("append").parquet(self.path(table))
+        self._write(rows.observe(kept, F.count(F.lit(1)).alias("n")), table)
         added = kept.get["n"]
         total = added if on_conflict == "error" else seen.get["n"]
         return {"stored": added, "duplicates": total - added}
@@ -242,6 +241,17 @@ class TableStore:
             near = near | F.col(col).between(r["lo"], r["hi"])
         return stored.where(near)
 
+    def add_new(self, rows: DataFrame, table: str) -> None:
+        """Append stored rows that are known to be new (``new_rows``): no check, one write."""
+        self._write(conform(rows, TABLES[table]), table)
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        marks = self._marks(table)
+        if marks is not None:  # rows of now, not older than what was replaced
+            version = marks.agg(F.max("_version")).first()[0]
+            rows = rows.withColumn("_version", F.lit(version).cast("long"))
+        rows.write.mode("append").parquet(self.path(table))
+
     def ingest(self, df: DataFrame, table: str, start: int | None = None, end: int | None = None,
                ts: str = "timestamp", on_conflict: str = "error") -> dict[str, int]:
         """Range of raw events in canonical order into its table."""

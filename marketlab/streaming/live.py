@@ -14,11 +14,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from marketlab.operators import discovery
 from marketlab.operators.joins import resolve_candidates
 from marketlab.operators.series import INTERVALS, volume_timeseries, widened
-from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TABLES, UNIQUE_KEYS, conform
+from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TABLES, UNIQUE_KEYS, check_enums, conform
 from marketlab.session import (
     delete_path, discard_intermediates, intermediates_mark, list_names, materialize, move_path,
     path_exists)
-from marketlab.sources.tables import TableStore, half_open, new_rows
+from marketlab.sources.tables import InvalidRows, TableStore, half_open, new_rows
 
 SLOT_LAG = 5            # fixed: slots behind the highest one until a slot is final
 FLUSH_SECONDS = 5       # fixed: trigger interval
@@ -123,23 +123,25 @@ class LivePipeline:
         """Both kinds of events, as ``raw_events`` builds them."""
         mark = intermediates_mark()
         try:
-            if self.buffer is not None:  # computed once, then stored in several tables
-                batch = materialize(self.buffer.release(batch, batch_id), "released")
-            self.handle_events(batch)
+            if self.buffer is not None:
+                batch = self.buffer.release(batch, batch_id)
+            # computed once, then stored in several tables
+            self.handle_events(materialize(batch, "released"), staged=True)
         finally:
             discard_intermediates(self.store.spark, mark)
 
-    def handle_events(self, events: DataFrame) -> None:
-        self.handle_swaps(events.where("kind = 'swap'"))
-        self.on_liquidity(events.where("kind = 'liquidity'"))
+    def handle_events(self, events: DataFrame, staged: bool = False) -> None:
+        self.handle_swaps(events.where("kind = 'swap'"), staged)
+        if not events.where("kind = 'liquidity'").isEmpty():
+            self.on_liquidity(events.where("kind = 'liquidity'"))
 
     def on_swaps(self, batch: DataFrame, batch_id: int) -> None:
         self.on_events(raw_events(batch, None), batch_id)
 
-    def handle_swaps(self, swaps: DataFrame) -> dict[str, int]:
+    def handle_swaps(self, swaps: DataFrame, staged: bool = False) -> dict[str, int]:
         """Store swaps, then first-seen candidates of mints without one, then look for spikes."""
         before = self._last_event() if self.spikes_every_ms else None
-        result = self.store.append_unique(swaps, "swap_events", "skip")
+        result = self.store.append_unique(swaps, "swap_events", "skip", staged)
         found = discovery.new_tokens(swaps, self.store.read("token_candidates"))
         new = self.store.append_unique(found, "token_candidates", "skip")
         if self.spikes_every_ms:
@@ -160,11 +162,13 @@ class LivePipeline:
         """Swaps of known candidates: stored once; new ones are added to the volume buckets."""
         mark = intermediates_mark()
         try:
-            batch = materialize(conform(batch, TABLES["swaps"]), "swaps")
+            fresh = new_rows(conform(batch, TABLES["swaps"]), self.store.read("swaps"), UNIQUE_KEYS["swaps"])
+            fresh = materialize(fresh, "swaps")
+            if not check_enums(fresh, "swaps").isEmpty():
+                raise InvalidRows("swaps")
             if self.volumes is not None:
-                fresh = new_rows(batch, self.store.read("swaps"), UNIQUE_KEYS["swaps"])
                 self.volumes.add(fresh, batch_id)
-            self.store.append_unique(batch, "swaps", "skip")
+            self.store.add_new(fresh, "swaps")
         finally:
             discard_intermediates(self.store.spark, mark)
 
