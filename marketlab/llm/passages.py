@@ -190,33 +190,51 @@ def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], s
     h[:len(grams)] = grams
     h = _mix(h ^ salt) | np.uint64(1)
     h[~whole] = 0
-    symbol = np.unique(h, return_inverse=True)[1].astype(np.int32)
+    rounds = LENGTH // STEP
+    _, symbol, times = np.unique(h, return_inverse=True, return_counts=True)
+    # a stretch recurs only if each of its symbols does: strings are cut where no such stretch is left
+    again = (times > 1)[symbol] & whole
+
+    def later(x: np.ndarray, k: int) -> np.ndarray:
+        return np.concatenate([x[k * STEP:], np.zeros(k * STEP, bool)]) if k else x
+
+    def earlier(x: np.ndarray, k: int) -> np.ndarray:
+        return np.concatenate([np.zeros(k * STEP, bool), x[:n - k * STEP]]) if k else x
+
+    # a symbol that is whole is followed by a place of its own window, so runs of them never leave it
+    run = np.logical_and.reduce([later(again, k) for k in range(rounds)])
+    keep = np.logical_or.reduce([earlier(run, k) for k in range(rounds)])
+    if not keep.any():
+        return window[:0], place[:0]
+    used = np.flatnonzero(keep | earlier(keep, 1))  # and the end of each string
+    symbol = np.where(keep, symbol + 1, 0).astype(np.int32)
+    owner = window[used]
 
     def ahead(idx: np.ndarray, k: int) -> np.ndarray:
         """Symbol k steps on; the end of a string where there is none."""
         to = idx + k * STEP
-        ok = to < at[window[idx] + 1]
-        return np.where(ok, symbol[np.minimum(to, n - 1)], 0)
+        return np.where(to < at[window[idx] + 1], symbol[np.minimum(to, n - 1)], 0)
 
-    rounds = LENGTH // STEP
+    # shards are whole windows
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     cuts = [0]
-    for w in range(1, len(group)):
-        if at[w] - at[cuts[-1]] >= shard:
-            cuts.append(w)
-    cuts.append(len(group))
+    for e in edges[1:].tolist():
+        if e - cuts[-1] >= shard:
+            cuts.append(e)
+    cuts.append(len(used))
     arrays, transforms = [], []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        idx = np.arange(at[a], at[b])
+        idx = used[a:b]
         suffixes = idx[np.lexsort([ahead(idx, k) for k in range(rounds - 1, -1, -1)])]
         before = np.where(place[suffixes] >= STEP, symbol[np.maximum(suffixes - STEP, 0)], 0)
         arrays.append(suffixes)
         transforms.append(before)
     z, block = merge_transforms(transforms, rounds)
-    merged = np.empty(n, np.int64)
+    merged = np.empty(len(used), np.int64)
     merged[np.argsort(z, kind="stable")] = np.concatenate(arrays)
     shared = np.bincount(block)[block] > 1
     starts = np.sort(merged[shared])
-    starts = starts[starts + LENGTH < at[window[starts] + 1]]
+    starts = starts[run[starts]]
     return window[starts], place[starts]
 
 
