@@ -12,32 +12,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlab.llm import decontaminate, packing, passages, quality, simhash
-from marketlab.llm.common import table
+from marketlab.llm.common import small_batches, table
 from marketlab.session import shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the stretches of 200 bytes that occur more than once; n_chars follows."""
+    small_batches(spark)
     return passages.without_repeats(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents and their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,8 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of documents are long: fewer of them go to Python at once than Spark's default of 10,000.
+
+    The setting is read when a plan runs, so it stays on the session; a smaller one is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -47,10 +63,19 @@ def per_batch(fn: Callable[[pa.Table], pa.Table | None], nbytes: int = 4_000_000
                     held, size = [], 0
         if held:
             yield from flush()
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process lives on with what its tasks once needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def binary_view(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; nulls are empty."""
     import pyarrow.compute as pc
