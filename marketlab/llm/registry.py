@@ -29,6 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_schema_chat": chat.ORACLE,
-        "op9_katz": katz.query,
         "op10_multi_index": vectors.ORACLE,
     }

@@ -144,3 +144,10 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in whole} == set(kept["packing"]) == set(kept["decontamination"])
     check_packing(whole)
+
+
+def test_every_operator_has_one_query():
+    from marketlab.llm import registry
+    names = list(registry.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert set(registry.oracle_sql()) <= set(names) and all(isinstance(s, str) for s in registry.oracle_sql().values())
