@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:
