@@ -110,3 +110,12 @@ def discard_intermediates(spark: SparkSession, since: int = 0) -> int:
     while len(paths) > since:
         n += bool(delete_path(spark, paths.pop()))
     return n
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Materialize a result and delete the intermediate tables it was made from (those after the mark)."""
+    out = materialize(df, name)
+    kept = _intermediates().pop()
+    discard_intermediates(df.sparkSession, since)
+    _intermediates().append(kept)
+    return out
