@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlab.llm import chat, decontaminate, katz, langid, packing, passages, quality, sharding, simhash, vectors
+from marketlab.llm import (
+    chat, decontaminate, katz, langid, packing, passages, quality, sharding, simhash, spelling, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bin_completion": packing.query,
         "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
+        "op13_position_index": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
