@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlab.llm import (
-    chat, decontaminate, katz, langid, packing, passages, quality, sharding, simhash, spelling, vectors)
+    chat, decontaminate, katz, langid, packing, passages, prefixes, quality, sharding, simhash, spelling, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bin_completion": packing.query,
         "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
+        "op11_prefix_rollup": prefixes.query,
         "op13_position_index": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_schema_chat": chat.ORACLE,
         "op10_multi_index": vectors.ORACLE,
+        "op11_prefix_rollup": prefixes.ORACLE,
     }
