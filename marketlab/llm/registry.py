@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlab.llm import (
-    chat, decontaminate, katz, langid, packing, passages, prefixes, quality, sharding, simhash, spelling, vectors)
+    chat, decontaminate, katz, langid, packing, passages, prefixes, quality, sharding, simhash, spelling,
+    toxicity, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_katz": katz.query,
         "op10_multi_index": vectors.query,
         "op11_prefix_rollup": prefixes.query,
+        "op12_convolution": toxicity.query,
         "op13_position_index": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
