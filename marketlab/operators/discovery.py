@@ -72,18 +72,20 @@ def active_tokens(events: DataFrame, at: Column | int, candidates: DataFrame | N
 
     The baseline is the hourly average over the history actually seen in the window.  With
     ``liquidity`` a jump in moved quote amounts counts as well; a swap trigger wins over a
-    liquidity trigger.  Only mints with swaps in the window are evaluated.
+    liquidity trigger.  Only mints with swaps in the window are evaluated.  A row with a column
+    ``n`` stands for n events, its timestamp for their first.
     """
     t = F.col("timestamp")
     at = F.lit(at) if isinstance(at, int) else at
     recent = t >= at - HOUR_MS
 
     def window(df: DataFrame, amount: Column) -> DataFrame:
+        n = F.col("n") if "n" in df.columns else F.lit(1)
         return (
             df.where((t >= at - DAY_MS) & (t < at)).groupBy("mint")
             .agg(
                 F.sum(amount).alias("v24"), F.sum(F.when(recent, amount)).alias("v1"),
-                F.count(F.lit(1)).alias("n24"), F.count_if(recent).alias("n1"),
+                F.sum(n).alias("n24"), F.coalesce(F.sum(F.when(recent, n)), F.lit(0)).alias("n1"),
                 F.first(at).alias("eval"), F.min("timestamp").alias("t0"),
                 _trigger(recent).alias("e"))
             .withColumn("hours", _hours(F.col("eval") - F.col("t0")))

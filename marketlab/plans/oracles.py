@@ -968,6 +968,18 @@ def _programs() -> dict[str, str]:
     account = "rpad('K' || replace(mint, '0', 'z'), 40, '1')"
     second = "(timestamp // 1000) * 1000 AS timestamp"
     none = "CAST(NULL AS VARCHAR) AS pool"
+    decoded = f"""
+    SELECT {key} AS mint, 'pool' || mint AS pool, 'a' || tx_signature AS tx_signature, 0 AS event_index, slot, {second},
+           CAST(NULL AS VARCHAR) AS event_type, CAST(slot AS DOUBLE) AS amount FROM swap_events
+    UNION ALL
+    SELECT '', 'pool' || mint, 'a' || tx_signature, 2, slot, {second},
+           CASE WHEN slot % 2 = 0 THEN 'add' ELSE 'remove' END, CAST(slot AS DOUBLE) FROM swap_events
+    UNION ALL
+    SELECT CASE WHEN slot % 4 > 0 THEN 'T' || mint ELSE {key} END, CASE WHEN slot % 4 = 0 THEN 'pool' || mint END,
+           'b' || tx_signature, 3, slot, {second}, NULL, 0 FROM swap_events
+    UNION ALL
+    SELECT CASE WHEN slot % 4 > 0 THEN 'T' || mint ELSE {key} END, 'pool' || mint,
+           'b' || tx_signature, 0, slot, {second}, 'remove', 0 FROM swap_events"""
     return {
         "decode_amm_swaps": _with(f"""
     SELECT {key} AS mint, 'key1' AS pool, tx_signature, 0 AS event_index, slot, {second},
@@ -988,6 +1000,11 @@ def _programs() -> dict[str, str]:
     FROM swap_events WHERE slot % 2 = 1"""),
         "decode_generic_swaps": _with(f"""
     SELECT {account} AS mint, tx_signature, 7 AS event_index FROM swap_events"""),
+        "stream_decoded": _with(decoded),
+        "decoded_events": _with(decoded),
+        "compacted_series": _with("""
+    SELECT candidate_id, timestamp_ms, slot, price, round(volume, 6) AS volume, swap_count, CAST(NULL AS BIGINT) AS swaps FROM price
+    UNION ALL SELECT candidate_id, NULL, NULL, NULL, NULL, NULL, count(*) FROM swaps GROUP BY candidate_id""", True),
         "decode_inferred_mints": _with(f"""
     SELECT {key} AS mint, 'pool' || mint AS pool, tx_signature, 2 AS event_index, slot, {second},
            CAST(0 AS DOUBLE) AS amount_out FROM swap_events"""),
@@ -997,16 +1014,20 @@ def _programs() -> dict[str, str]:
 def _more_tables() -> dict[str, str]:
     last = "(SELECT max(timestamp) FROM swap_events)"
 
+    # four files that follow each other; at the end of each its last event is the time of evaluation
+    cuts = f"""
+    SELECT k, max(timestamp) AS due, (k + 1) * (SELECT max(slot) + 1 FROM swap_events) AS slots
+    FROM range(4) t(k) JOIN swap_events ON slot * 4 < (k + 1) * (SELECT max(slot) + 1 FROM swap_events) GROUP BY k"""
     window = f"""
-    SELECT mint, sum(amount_out) AS v24, sum(amount_out) FILTER (timestamp >= {last} - {HOUR}) AS v1,
-           count(*) AS n24, count(*) FILTER (timestamp >= {last} - {HOUR}) AS n1,
-           CASE WHEN {last} - min(timestamp) >= {HOUR}
-                THEN ({last} - min(timestamp)) / CAST({HOUR} AS DOUBLE) END AS hours
-    FROM swap_events WHERE timestamp >= {last} - {DAY} AND timestamp < {last} GROUP BY mint"""
+    SELECT k, mint, sum(amount_out) AS v24, sum(amount_out) FILTER (timestamp >= due - {HOUR}) AS v1,
+           count(*) AS n24, count(*) FILTER (timestamp >= due - {HOUR}) AS n1,
+           CASE WHEN any_value(due) - min(timestamp) >= {HOUR}
+                THEN (any_value(due) - min(timestamp)) / CAST({HOUR} AS DOUBLE) END AS hours
+    FROM swap_events JOIN cuts ON slot * 4 < slots AND timestamp >= due - {DAY} AND timestamp < due GROUP BY k, mint"""
     trigger = f"""
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mint
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, mint
         ORDER BY timestamp DESC, slot, tx_signature, event_index) AS rn
-      FROM swap_events WHERE timestamp >= {last} - {HOUR} AND timestamp < {last}) WHERE rn = 1"""
+      FROM swap_events JOIN cuts ON slot * 4 < slots AND timestamp >= due - {HOUR} AND timestamp < due) WHERE rn = 1"""
     return {
         "scan_by_key": _with("SELECT * FROM swaps WHERE candidate_id = '7'"),
         "ingested_range": _with(f"""
@@ -1036,7 +1057,8 @@ def _more_tables() -> dict[str, str]:
            '"' || outcome_class || '"' AS outcome_class FROM trades""", **_EXITS),
         "stream_active_token": _with(f"""
     SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
-    FROM win JOIN last USING (mint) WHERE v1 > 3.0 * (v24 / hours) OR n1 > 5.0 * (n24 / hours)""",
-            win=window, last=trigger),
+    FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY k) AS hit FROM win JOIN last USING (k, mint)
+          WHERE v1 > 3.0 * (v24 / hours) OR n1 > 5.0 * (n24 / hours)) WHERE hit = 1""",
+            cuts=cuts, win=window, last=trigger),
         "stream_deduplicated": _with("SELECT * FROM swap_events"),
     }

@@ -15,7 +15,7 @@ from marketlab.operators import (
     asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
     verify)
 from marketlab.plans import pipeline, views
-from marketlab.schemas import check_enums
+from marketlab.schemas import TX_LOGS, check_enums
 from marketlab.session import materialize, shared_dir
 from marketlab.sources import decode, tables
 from marketlab.sources.adapters import Dataset
@@ -857,9 +857,10 @@ def q_stream_volume(d):
 
 @query("stream_new_token")
 def q_stream_new(d):
+    """Candidates of a stream by keyed state."""
     store, root = live_store(d, "stream-new")
     stream = live.table_stream(d.spark, time_ordered(d, d.swap_events(), "new-in"), d.swap_events().schema, 1)
-    live.LivePipeline(store).run(stream, f"{root}/checkpoint", once=True)
+    live.LivePipeline(store).run_first_seen(stream, f"{root}/checkpoint", once=True)
     return store.read("token_candidates")
 
 
@@ -953,15 +954,96 @@ def q_stream_enriched(d):
 
 @query("stream_active_token")
 def q_stream_active(d):
-    """Spikes at the time of the last event of a stream."""
+    """Spikes of four periods of a stream, each at its last event, measured against sums by hour."""
     store, root = live_store(d, "stream-active")
-    micro_batches(d, d.swap_events(), "active-in").writeStream.foreachBatch(
-        lambda batch, _: store.append_unique(batch, "swap_events", "skip") and None).option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    live.LivePipeline(store).detect_active()
+    hours = live.HourParts(d.spark, f"{root}/hours")
+    pipe = live.LivePipeline(store, hours=hours, spikes_every_ms=DAY_MS, first_seen=False)
+    stream = live.table_stream(d.spark, time_ordered(d, d.swap_events(), "active-in"), d.swap_events().schema, 1)
+    pipe.run(stream, f"{root}/checkpoint", once=True)
     return store.read("token_candidates")
 
 
+def node_logs_of(d: Dataset) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What two nodes deliver, and the accounts behind it.
+
+    The first one: AMM swaps of all four discriminators, every third with the native token last,
+    and deposits or withdrawals in the same transaction.  The second one: curve trades, every fourth
+    without a mint, in transactions that name the AMM program; and every ninth transaction of the first.
+    """
+    ev = d.swap_events()
+    little = F.concat(*[F.substring(F.lpad(F.hex(F.col("slot")), 16, "0"), 2 * i + 1, 2) for i in reversed(range(8))])
+    mint = F.concat(F.lit("00" * 31), F.lpad(F.hex(F.col("mint").cast("long") % 57 + 1), 2, "0"))
+    native = F.lit(decode._NATIVE_HEX)
+    disc = F.element_at(F.array(*[F.lit(x) for x in decode.SWAP_BYTES]), (F.col("slot") % 4 + 1).cast("int"))
+    pair = F.when(F.col("slot") % 3 == 0, F.concat(mint, native)).otherwise(F.concat(native, mint))
+
+    def ray(body):
+        return F.concat(F.lit("Program log: ray_log: "), F.translate(F.base64(F.unhex(body)), "\r\n", ""))
+
+    change = F.concat(F.when(F.col("slot") % 2 == 0, decode.ADD_BYTE).otherwise(decode.REMOVE_BYTE), little, little)
+    common = ["slot", F.expr("timestamp div 1000").alias("block_time_s"), F.lit(None).cast("string").alias("err")]
+    keys = [F.lit(f"key{i}") for i in range(18)]
+    keys[1] = F.concat(F.lit("pool"), "mint")
+    first = ev.select(
+        F.concat(F.lit("a"), "tx_signature").alias("tx_signature"), *common,
+        F.array(ray(F.concat(disc, F.lit("00" * 32), pair, F.lit("00" * 8), little)), F.lit("noise"), ray(change)).alias("logs"),
+        F.array(*keys).alias("account_keys"))
+    keys[5], keys[6] = F.lit("native"), F.concat(F.lit("acct"), "mint")
+    own = F.when(F.col("slot") % 4 > 0, F.concat(F.lit("Program log: mint=T"), "mint")).otherwise(F.lit("Program log: nothing"))
+    second = ev.select(
+        F.concat(F.lit("b"), "tx_signature").alias("tx_signature"), *common,
+        F.array(F.lit(f"Program {decode.AMM_PROGRAM} invoke [1]"), F.lit(f"Program {decode.CURVE_PROGRAM} invoke [2]"), own,
+                F.lit("Program log: Instruction: Sell"), F.lit("Program log: Instruction: Migrate")).alias("logs"),
+        F.array(*keys[:7]).alias("account_keys"))
+    accounts = ev.select("mint").distinct().select(
+        F.concat(F.lit("acct"), "mint").alias("pubkey"),
+        F.base64(F.unhex(F.concat(mint, F.lit("00" * 40)))).alias("data"), F.lit(0).cast("long").alias("fetched_at"))
+    wrapped = d.spark.range(1).select(F.lit("native").alias("pubkey"), F.base64(F.unhex(native)).alias("data"),
+                                      F.lit(0).cast("long").alias("fetched_at"))
+    return first, second.unionByName(first.where("slot % 9 = 0")), accounts.unionByName(wrapped)
+
+
+def all_decoded(swaps: DataFrame, liquidity: DataFrame) -> DataFrame:
+    common = ["mint", "pool", "tx_signature", "event_index", "slot", "timestamp"]
+    none = F.lit(None).cast("string")
+    return swaps.select(*common, none.alias("event_type"), F.col("amount_out").alias("amount")).unionByName(
+        liquidity.select(*common, "event_type", F.col("amount_quote").alias("amount")))
+
+
+@query("stream_decoded")
+def q_stream_decoded(d):
+    """Logs of two nodes in five micro-batches, decoded in one pass each, through the slot buffer."""
+    store, root = live_store(d, "stream-decoded")
+    first, second, accounts = node_logs_of(d)
+    streams = [live.table_stream(d.spark, time_ordered(d, tx, f"node{i}", 5), TX_LOGS, 1) for i, tx in enumerate((first, second))]
+    buffer = live.SlotBuffer(d.spark, f"{root}/pending", live.RAW_EVENTS)
+    live.LivePipeline(store, buffer, first_seen=False).run_logs(streams, f"{root}/checkpoint", once=True, accounts=accounts)
+    return all_decoded(store.read("swap_events"), store.read("liquidity_events"))
+
+
+@query("decoded_events")
+def q_decoded_events(d):
+    """The same logs as one table: both kinds of events from one scan."""
+    first, second, accounts = node_logs_of(d)
+    decoded = decode.events(first.unionByName(second.where("tx_signature like 'b%'")), accounts)
+    return all_decoded(decode.complete_swaps(decoded), decode.complete_liquidity(decoded))
+
+
+@query("compacted_series")
+def q_compacted(d):
+    """Series that were built three times, after compaction has dropped the older versions."""
+    store, _ = live_store(d, "compacted")
+    store.append_unique(d.token_candidates(), "token_candidates")
+    store.append_unique(d.swaps(True), "swaps")
+    for mode in ("skip", "recompute", "recompute"):
+        pipeline.normalise(store, mode)
+    store.compact("price_timeseries")
+    store.compact("swaps")
+    series_now = rounded(store.read("price_timeseries"), 6, "volume").withColumn("swaps", F.lit(None).cast("long"))
+    swaps = store.read("swaps").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("swaps"))
+    return series_now.unionByName(swaps, allowMissingColumns=True)
+
+
 @query("stream_deduplicated")
 def q_stream_dedupe(d):
     """Repeated events are dropped by key, late ones kept."""

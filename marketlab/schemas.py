@@ -102,6 +102,12 @@ PRUNE_BY = {
     "trade_records": "entry_signal_time",
 }
 
+# The time of a table's rows in milliseconds: folders are named by its days.
+TIME_OF = {
+    "swap_events": "timestamp", "swaps": "timestamp", "liquidity_events": "timestamp",
+    "token_candidates": "discovered_at", "token_metadata": "fetched_at", **PRUNE_BY,
+}
+
 # Columns whose rows are replaced together when a derived table is computed again.
 REPLACED_BY = {
     "price_timeseries": ["candidate_id"], "liquidity_timeseries": ["candidate_id"],

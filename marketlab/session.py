@@ -94,9 +94,25 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in found)
 
 
-def move_path(spark: SparkSession, source: str, target: str) -> bool:
+def make_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; the folders above the target are made, a target that is there is an error."""
     make = spark._jvm.org.apache.hadoop.fs.Path
-    return make(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(make(source), make(target))
+    fs = make(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(make(target).getParent())
+    if fs.exists(make(target)) or not fs.rename(make(source), make(target)):
+        raise OSError(f"cannot move {source} to {target}")
 
 
 def intermediates_mark() -> int:

@@ -1,13 +1,17 @@
 """Swaps, liquidity events and token metadata from raw transaction logs and accounts.
 
 Everything is a row-wise expression over the transaction table (no shuffle), so the same
-functions serve batch and streaming input.  Only base58 text needs Python, and only for
-rows that already passed every filter.
+functions serve batch and streaming input.  The decoder of a program is an array column: the
+events that it finds in a transaction, evaluated only where the logs name the program or its
+format.  All programs are decoded in one projection, whose arrays are concatenated and exploded,
+so the transactions are read once however many programs and kinds of events there are.  Only
+base58 text needs Python, and only for exploded events.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from marketlab.functions.base58 import base58
 from marketlab.operators.joins import resolve_candidates, salted_join
 from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TOKEN_METADATA, conform
+from marketlab.session import materialize
 
 # Fixed program and token addresses.
 AMM_PROGRAM = "675kPX9MHTjS2zt1qfr1NYHuzeLXfQM9H24wFSUt1Mp8"
@@ -29,9 +34,10 @@ AMM_LOG = r"ray_log: ([A-Za-z0-9+/=]+)"
 MINT_TEXT = r"mint=([A-Za-z0-9]+)"
 AMOUNT_TEXT = r"(?:amount|token_amount)[=:]?\s*(\d+)"
 ADDRESS = "^[123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz]{32,44}$"
-# Fixed discriminators (first byte, hex) of the binary AMM log.
+# Fixed discriminators (first byte, hex) of the binary AMM log, and the wrapped native mint in it.
 SWAP_BYTES = ["09", "0B", "0D", "0E"]
 ADD_BYTE, REMOVE_BYTE = "03", "04"
+_NATIVE_HEX = "069B8857FEAB8184FB687F634618C035DAC439DC1AEB3B5598A0F00000000001"
 
 TX = ["tx_signature", "slot", "timestamp"]
 
@@ -98,55 +104,53 @@ def _first_mint_key() -> Column:
         & F.length(k).between(32, 44)), F.lit(1))
 
 
-def _amm_lines(tx: DataFrame) -> DataFrame:
-    return (
-        log_lines(tx).where(F.col("line").rlike(AMM_LOG))
-        .withColumn("data", F.try_to_binary(F.regexp_extract("line", AMM_LOG, 1), F.lit("base64")))
-        .where(F.octet_length("data") > 0)
-        .withColumn("disc", F.hex(F.substring("data", 1, 1)))
-        .withColumn("size", F.octet_length("data"))
-    )
+EVENT = ("struct<kind:string,event_index:int,mint:string,raw:binary,pool:string,event_type:string,"
+         "amount:double,quote:double>")
 
 
-_NATIVE_HEX = "069B8857FEAB8184FB687F634618C035DAC439DC1AEB3B5598A0F00000000001"
+def _event(kind: str, index: Column, **fields) -> Column:
+    """One decoded event; a mint is text, or ``raw`` bytes that are still to be written as base58."""
+    given = {"kind": F.lit(kind), "event_index": index, **fields}
+    names = ("kind", "event_index", "mint", "raw", "pool", "event_type", "amount", "quote")
+    return F.struct(*[given.get(n, F.lit(None)).alias(n) for n in names]).cast(EVENT)
 
 
-def amm_swaps(tx: DataFrame) -> DataFrame:
-    """Binary swap logs: the mint that is not the wrapped native token, and the amount out.
+def _rays() -> Column:
+    """Position and bytes of the binary lines of a transaction."""
+    lines = F.transform("logs", lambda line, i: F.struct(
+        i.cast("int").alias("pos"),
+        F.try_to_binary(F.regexp_extract(line, AMM_LOG, 1), F.lit("base64")).alias("data")))
+    return F.filter(lines, lambda r: F.octet_length(r["data"]) > 0)
 
-    Needs the 18 accounts of a swap instruction; account 1 is the pool.
-    """
-    def mint_at(offset: int) -> Column:
-        return F.substring("data", offset + 1, 32)
 
-    def other(b: Column) -> Column:
-        return F.when((F.col("size") >= 97) & (F.hex(b) != _NATIVE_HEX), b)
+def amm_events() -> Column:
+    """Binary swap, deposit and withdraw logs.
 
-    lines = _amm_lines(tx).where(F.col("disc").isin(SWAP_BYTES) & (F.size("account_keys") >= 18))
-    return (
-        lines.withColumn("raw", F.coalesce(other(mint_at(33)), other(mint_at(65))))
-        .withColumn("mint", F.coalesce(base58("raw"), _first_mint_key()))
-        .where("mint is not null")
-        .select(
-            "mint", _empty_to_null(_key(1)).alias("pool"), "tx_signature", "event_index", "slot",
-            "timestamp",
-            F.when(F.col("size") >= 113, little_endian("data", 105).cast("double"))
-            .otherwise(0.0).alias("amount_out"))
-    )
+    A swap trades the mint that is not the wrapped native token and needs the 18 accounts of a
+    swap instruction; account 1 is the pool.  Deposits and withdrawals have both raw amounts.
+    """
+    def one(r: Column) -> Column:
+        data, index = r["data"], r["pos"]
+        size, disc = F.octet_length(data), F.hex(F.substring(data, 1, 1))
 
+        def other(offset: int) -> Column:
+            b = F.substring(data, offset + 1, 32)
+            return F.when((size >= 97) & (F.hex(b) != _NATIVE_HEX), b)
 
-def amm_liquidity(tx: DataFrame) -> DataFrame:
-    """Binary deposit and withdraw logs with both raw amounts."""
-    kind = F.when(F.col("disc") == ADD_BYTE, "add").when(F.col("disc") == REMOVE_BYTE, "remove")
+        def amount(offset: int, least: int) -> Column:
+            return F.when(size >= least, little_endian(data, offset).cast("double")).otherwise(0.0)
 
-    def amount(offset: int) -> Column:
-        return F.when(F.col("size") >= 17, little_endian("data", offset).cast("double")).otherwise(0.0)
+        swap = _event("swap", index, raw=F.coalesce(other(33), other(65)), mint=_first_mint_key(),
+                      pool=_empty_to_null(_key(1)), amount=amount(105, 113))
+        change = _event(
+            "liquidity", index, pool=F.coalesce(_key(1), F.lit("")),
+            mint=F.coalesce(F.when(F.size("account_keys") > 5, _first_mint_key()), F.lit("")),
+            event_type=F.when(disc == ADD_BYTE, "add").otherwise("remove"), amount=amount(1, 17), quote=amount(9, 17))
+        return (F.when(disc.isin(SWAP_BYTES) & (F.size("account_keys") >= 18), swap)
+                .when(disc.isin(ADD_BYTE, REMOVE_BYTE), change))
 
-    return _amm_lines(tx).withColumn("event_type", kind).where("event_type is not null").select(
-        F.coalesce(_key(1), F.lit("")).alias("pool"),
-        F.coalesce(F.when(F.size("account_keys") > 5, _first_mint_key()), F.lit("")).alias("mint"),
-        "event_type", amount(1).alias("amount_token"), amount(9).alias("amount_quote"),
-        "tx_signature", "event_index", "slot", "timestamp")
+    found = F.transform(_rays(), one)
+    return F.filter(found, lambda e: e.isNotNull() & (e["raw"].isNotNull() | e["mint"].isNotNull()))
 
 
 # --- bonding-curve logs: a scan with state inside one transaction --------------------------
@@ -158,11 +162,12 @@ def _any_of(line: Column, texts: list[str]) -> Column:
     return reduce(Column.__or__, [line.contains(t) for t in texts])
 
 
-def _scan(kinds: dict[str, list[str]]) -> Column:
+def _scan(kinds: dict[str, list[str]], finish: Callable[[Column], Column]) -> Column:
     """Fold over the log lines of a row: inside-program flag, current mint, pending amount.
 
     Entering the program clears the amount but keeps the mint; leaving clears both.  Every
-    line that holds one of the texts of a kind emits an event with the state so far.
+    line that holds one of the texts of a kind emits an event with the state so far.  ``finish``
+    takes the array of all events found.
     """
     def found(line: Column, pattern: str) -> Column:
         return _empty_to_null(F.regexp_extract(line, pattern, 1))
@@ -199,96 +204,178 @@ def _scan(kinds: dict[str, list[str]]) -> Column:
 
     start = F.expr(f"cast(named_struct('inside', false, 'mint', '', 'amount', 0.0D, "
                    f"'found', array()) as {_STATE})")
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    return F.aggregate(steps, start, step, lambda acc: finish(acc["found"]))
 
 
-def curve_swaps(tx: DataFrame) -> DataFrame:
-    """Buy and sell instructions; the mint comes from the log or from account 2."""
+def curve_events() -> Column:
+    """Buy and Sell are swaps, Create adds and Migrate removes liquidity.
+
+    The mint of a swap comes from the log or from account 2.  Swaps are numbered by their line,
+    liquidity events by their order.
+    """
     layout = (_key(7) == TOKEN_PROGRAM) | F.coalesce(_key(8) == TOKEN_PROGRAM, F.lit(False))
     from_keys = F.when(
         (F.size("account_keys") >= 8) & layout & _key(2).rlike(ADDRESS)
         & ~_key(2).isin(WRAPPED_NATIVE, CURVE_PROGRAM), _key(2))
-    kinds = {"swap": ["Program log: Instruction: Buy", "Program log: Instruction: Sell"]}
-    return tx.select(*TX, from_keys.alias("key_mint"), F.explode(_scan(kinds)).alias("e")).select(
-        F.coalesce(_empty_to_null(F.col("e.mint")), "key_mint", F.lit("")).alias("mint"),
-        F.lit(None).cast("string").alias("pool"), "tx_signature",
-        F.col("e.pos").alias("event_index"), "slot", "timestamp",
-        F.col("e.amount").alias("amount_out"))
+    kinds = {"swap": ["Program log: Instruction: Buy", "Program log: Instruction: Sell"],
+             "add": ["Program log: Instruction: Create"], "remove": ["Program log: Instruction: Migrate"]}
 
+    def swap(e: Column) -> Column:
+        return _event("swap", e["pos"], mint=F.coalesce(_empty_to_null(e["mint"]), from_keys, F.lit("")), amount=e["amount"])
 
-def curve_liquidity(tx: DataFrame) -> DataFrame:
-    """Create adds and Migrate removes liquidity; events are numbered, not positioned."""
-    kinds = {"add": ["Program log: Instruction: Create"],
-             "remove": ["Program log: Instruction: Migrate"]}
-    return tx.select(*TX, F.posexplode(_scan(kinds)).alias("event_index", "e")).select(
-        F.lit("").alias("pool"), "e.mint", F.col("e.kind").alias("event_type"),
-        F.lit(0.0).alias("amount_token"), F.lit(0.0).alias("amount_quote"), "tx_signature",
-        "event_index", "slot", "timestamp")
+    def change(e: Column, i: Column) -> Column:
+        return _event("liquidity", i, pool=F.lit(""), mint=e["mint"], event_type=e["kind"], amount=F.lit(0.0), quote=F.lit(0.0))
+
+    return _scan(kinds, lambda found: F.concat(
+        F.transform(F.filter(found, lambda e: e["kind"] == "swap"), swap),
+        F.transform(F.filter(found, lambda e: e["kind"] != "swap"), change)))
+
+
+# --- decoders by program -------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class LogDecoder:
+    """Events of one program (an array of EVENT over ``logs`` and ``account_keys``) and where it runs.
 
-# --- registries and enrichment ------------------------------------------------------------
+    A transaction goes to the decoder if one of its log lines holds ``text``.
+    """
+
+    events: Callable[[], Column]
+    text: str
+
+    def found(self) -> Column:
+        here = F.exists("logs", lambda line: line.contains(self.text))
+        return F.when(here, self.events()).otherwise(F.array().cast(f"array<{EVENT}>"))
 
-Decoder = Callable[[DataFrame], DataFrame]
-SWAP_DECODERS: dict[str, Decoder] = {AMM_PROGRAM: amm_swaps, CURVE_PROGRAM: curve_swaps}
-LIQUIDITY_DECODERS: dict[str, Decoder] = {AMM_PROGRAM: amm_liquidity, CURVE_PROGRAM: curve_liquidity}
 
+Decoder = LogDecoder | Callable[[DataFrame], DataFrame]
+DECODERS: dict[str, Decoder] = {
+    AMM_PROGRAM: LogDecoder(amm_events, "ray_log: "),  # its lines also come below other programs
+    CURVE_PROGRAM: LogDecoder(curve_events, f"Program {CURVE_PROGRAM} invoke"),
+}
 
-def register_decoder(program: str, swaps: Decoder | None = None,
-                     liquidity: Decoder | None = None) -> None:
-    if swaps is not None:
-        SWAP_DECODERS[program] = swaps
-    if liquidity is not None:
-        LIQUIDITY_DECODERS[program] = liquidity
 
+def register_decoder(program: str, decoder: Decoder) -> None:
+    """Add a program: an array column runs where the logs name the program, a function on all transactions.
 
-def _all(decoders: dict[str, Decoder], tx: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [fn(tx) for fn in decoders.values()])
+    A function returns (mint, pool, tx_signature, event_index, slot, timestamp) and amount_out for
+    swaps or event_type, amount_token, amount_quote for liquidity events.
+    """
+    DECODERS[program] = decoder
 
 
-def inferred_mints(tx: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Pool and mint of AMM transactions from the snapshots of their token accounts.
+def _exploded(tx: DataFrame, decoders: list[LogDecoder]) -> DataFrame:
+    """All events of all decoders in one pass, with the accounts that can still name a missing mint.
 
-    Accounts 5 and 6 are looked up; the one that is not the wrapped native token wins.  Hot
-    pools are spread over salts.
+    ``ask`` is null unless something is to be filled in: the pool of the transaction and the two
+    token accounts, for transactions that name the AMM program, have its accounts, and hold a
+    liquidity event or a swap without a mint.
+    """
+    found = tx.withColumn("_events", F.concat(*[d.found() for d in decoders]))
+    amm = F.exists("logs", lambda line: line.contains(AMM_PROGRAM)) & (F.size("account_keys") >= 7)
+    open_swap = F.exists("_events", lambda e: (e["kind"] == "swap") & (e["mint"] == "") & e["raw"].isNull())
+    ask = F.when(amm, F.struct(_key(1).alias("pool"), _key(5).alias("a"), _key(6).alias("b")))
+    rows = found.select(*TX, F.when(open_swap, ask).alias("swap_ask"), ask.alias("liquidity_ask"),
+                        F.explode("_events").alias("e"))
+    rows = rows.select(*TX, "e.*", F.when(F.col("e.kind") == "swap", F.col("swap_ask"))
+                       .otherwise(F.col("liquidity_ask")).alias("ask"))
+    return rows.withColumn("mint", F.coalesce(base58("raw"), "mint")).drop("raw")
+
+
+def events(tx_logs: DataFrame, accounts: DataFrame | None = None, start_ms: int | None = None,
+           end_ms: int | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """Swaps and liquidity events of all registered programs, told apart by ``kind``; one scan.
+
+    With ``accounts`` the decoded events are stored, and only those without a mint meet the
+    snapshots of the accounts.
     """
+    tx = usable(tx_logs, start_ms, end_ms)
+    by_program = list((decoders or DECODERS).values())
+    inline = [d for d in by_program if isinstance(d, LogDecoder)]
+    none = "cast(null as struct<pool:string,a:string,b:string>)"
+    parts = [_exploded(tx, inline)] if inline else []
+    for fn in by_program:
+        if not isinstance(fn, LogDecoder):
+            own = fn(tx)
+            kind = "swap" if "amount_out" in own.columns else "liquidity"
+            amounts = ("amount_out",) if kind == "swap" else ("amount_token", "amount_quote")
+            kinds = F.lit(None).cast("string") if kind == "swap" else F.col("event_type")
+            parts.append(own.select(
+                *TX, F.lit(kind).alias("kind"), "event_index", "mint", "pool", kinds.alias("event_type"),
+                F.col(amounts[0]).alias("amount"),
+                (F.col(amounts[1]) if amounts[1:] else F.lit(None).cast("double")).alias("quote"), F.expr(none).alias("ask")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.drop("ask") if accounts is None else _filled(out, accounts)
+
+
+def _account_mints(accounts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(acct, raw): the mint bytes that the snapshots of the asked accounts hold."""
     data = F.try_to_binary("data", F.lit("base64"))
-    mints = accounts.select(F.col("pubkey").alias("acct"), data.alias("d")).where(
+    return accounts.select(F.col("pubkey").alias("acct"), data.alias("d")).join(asked, "acct", "left_semi").where(
         F.octet_length("d") >= 32).groupBy("acct").agg(F.max(F.substring("d", 1, 32)).alias("raw"))
-    asked = tx.where(
-        F.exists("logs", lambda x: x.contains(AMM_PROGRAM)) & (F.size("account_keys") >= 7)
-    ).select("tx_signature", _key(1).alias("pool"),
-             F.posexplode(F.array(_key(5), _key(6))).alias("pos", "acct"))
-    found = salted_join(asked, mints, "acct", "tx_signature")
-    rank = F.struct((F.hex("raw") == _NATIVE_HEX).alias("native"), "pos")
-    best = found.groupBy("tx_signature").agg(
-        F.first("pool").alias("inferred_pool"),
-        F.min_by("raw", F.when(F.col("raw").isNotNull(), rank)).alias("raw"))
-    return best.select("tx_signature", "inferred_pool", base58("raw").alias("inferred_mint"))
-
-
-def _fill(events: DataFrame, tx: DataFrame, accounts: DataFrame | None,
-          only_incomplete: bool) -> DataFrame:
-    """Fill empty mints and pools from account snapshots."""
-    if accounts is None:
-        return events
-    if only_incomplete:
-        incomplete = events.where("mint = ''").select("tx_signature").distinct()
-        tx = tx.join(incomplete, "tx_signature", "left_semi")
-    return (
-        events.join(inferred_mints(tx, accounts), "tx_signature", "left")
-        .withColumn("mint", F.coalesce(_empty_to_null(F.col("mint")), "inferred_mint", F.lit("")))
-        .withColumn("pool", F.coalesce(_empty_to_null(F.col("pool")), "inferred_pool"))
-        .drop("inferred_pool", "inferred_mint")
-    )
+
+
+def _filled(decoded: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Fill empty pools from the transaction and empty mints from account snapshots.
+
+    Of the two token accounts the one that is not the wrapped native token wins, then the first.
+    Hot accounts are spread over salts.
+    """
+    decoded = materialize(decoded.withColumn("pool", F.coalesce(_empty_to_null(F.col("pool")), "ask.pool", "pool")), "decoded")
+    names = [c for c in decoded.columns if c != "ask"]
+    open_ = (F.col("mint") == "") & F.col("ask").isNotNull()
+    whole = decoded.where(~open_).select(*names)
+    rest = decoded.where(open_).select("*", F.col("ask.a").alias("a"), F.col("ask.b").alias("b"))
+    mints = _account_mints(accounts, rest.select(F.explode(F.array("a", "b")).alias("acct")).distinct())
+    for c in ("a", "b"):
+        rest = salted_join(rest, mints.select(F.col("acct").alias(c), F.col("raw").alias(f"raw_{c}")), c, "tx_signature")
+    other = [F.when(F.hex(f"raw_{c}") != _NATIVE_HEX, F.col(f"raw_{c}")) for c in ("a", "b")]
+    rest = rest.withColumn("raw", F.coalesce(*other, "raw_a", "raw_b"))
+    return whole.unionByName(rest.withColumn("mint", F.coalesce(base58("raw"), "mint")).select(*names))
+
+
+def as_swaps(decoded: DataFrame) -> DataFrame:
+    return decoded.where("kind = 'swap'").select(
+        "mint", "pool", "tx_signature", "event_index", "slot", "timestamp", F.col("amount").alias("amount_out"))
+
+
+def as_liquidity(decoded: DataFrame) -> DataFrame:
+    return decoded.where("kind = 'liquidity'").select(
+        "pool", "mint", "event_type", F.col("amount").alias("amount_token"), F.col("quote").alias("amount_quote"),
+        "tx_signature", "event_index", "slot", "timestamp")
+
+
+def amm_swaps(tx: DataFrame) -> DataFrame:
+    return as_swaps(_exploded(tx, [DECODERS[AMM_PROGRAM]]))
+
+
+def amm_liquidity(tx: DataFrame) -> DataFrame:
+    return as_liquidity(_exploded(tx, [DECODERS[AMM_PROGRAM]]))
+
+
+def curve_swaps(tx: DataFrame) -> DataFrame:
+    return as_swaps(_exploded(tx, [DECODERS[CURVE_PROGRAM]]))
+
+
+def curve_liquidity(tx: DataFrame) -> DataFrame:
+    return as_liquidity(_exploded(tx, [DECODERS[CURVE_PROGRAM]]))
+
+
+def complete_swaps(decoded: DataFrame) -> DataFrame:
+    """Rows of ``swap_events``; swaps without a mint are dropped."""
+    return conform(as_swaps(decoded).where("mint <> ''"), SWAP_EVENTS)
+
+
+def complete_liquidity(decoded: DataFrame) -> DataFrame:
+    """Rows of ``liquidity_events``; a mint or a pool is enough to find the candidate later."""
+    return conform(as_liquidity(decoded).where("mint <> '' or coalesce(pool, '') <> ''"), LIQUIDITY_EVENTS)
 
 
 def swap_events(tx_logs: DataFrame, accounts: DataFrame | None = None,
                 start_ms: int | None = None, end_ms: int | None = None,
                 decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """Swaps of all registered programs; rows without a mint are dropped at the end."""
-    tx = usable(tx_logs, start_ms, end_ms)
-    events = _fill(_all(decoders or SWAP_DECODERS, tx), tx, accounts, only_incomplete=True)
-    return conform(events.where("mint <> ''"), SWAP_EVENTS)
+    return complete_swaps(events(tx_logs, accounts, start_ms, end_ms, decoders))
 
 
 def liquidity_events(tx_logs: DataFrame, accounts: DataFrame | None = None,
@@ -296,10 +383,8 @@ def liquidity_events(tx_logs: DataFrame, accounts: DataFrame | None = None,
                      end_ms: int | None = None,
                      decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """Liquidity events with their candidate where the mint is already known."""
-    tx = usable(tx_logs, start_ms, end_ms)
-    events = _fill(_all(decoders or LIQUIDITY_DECODERS, tx), tx, accounts, only_incomplete=False)
-    events = conform(events.where("mint <> '' or coalesce(pool, '') <> ''"), LIQUIDITY_EVENTS)
-    return events if candidates is None else resolve_candidates(events, candidates)
+    found = complete_liquidity(events(tx_logs, accounts, start_ms, end_ms, decoders))
+    return found if candidates is None else resolve_candidates(found, candidates)
 
 
 # --- token metadata -----------------------------------------------------------------------

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from marketlab.functions import ids
 from marketlab.operators.joins import latest
+from marketlab.functions.timecols import DAY_MS
 from marketlab.schemas import (
-    ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, REPLACED_BY, TABLES, UNIQUE_KEYS, check_enums, conform)
+    ALLOWED_VALUES, EVENT_ORDER, PRUNE_BY, REPLACED_BY, TABLES, TIME_OF, UNIQUE_KEYS, check_enums,
+    conform)
 from marketlab.session import (
-    discard_intermediates, intermediates_mark, materialize, path_exists)
+    delete_path, discard_intermediates, glob_paths, intermediates_mark, list_names, make_folder,
+    materialize, move_path)
 
 
 class DuplicateKey(Exception):
@@ -120,7 +125,14 @@ def new_rows(df: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFr
 
 
 class TableStore:
-    """Append-only parquet tables below one shared folder."""
+    """Append-only parquet tables below one shared folder; one writer per table.
+
+    Layout: ``<table>/g<generation>_v<version>/lo=<day>/hi=<day>/part=<id>/*.parquet``.  Every write is
+    staged and becomes visible by one rename, whole or not at all.  ``lo`` and ``hi`` are the first and
+    last day of its rows, so a range of time prunes the folders of other days before any file is
+    opened, and a hot key lies in as many folders as it has days.  A generation replaces all earlier
+    ones: ``compact`` writes the visible rows by day into the next one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -129,39 +141,82 @@ class TableStore:
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
+    def _generations(self, table: str) -> list[tuple[int, int, str]]:
+        """(generation, version it starts from, path), oldest first."""
+        found = []
+        for name in list_names(self.spark, self.path(table)):
+            numbers = re.fullmatch(r"g(\d+)_v(\d+)", name)
+            if numbers:
+                found.append((int(numbers[1]), int(numbers[2]), os.path.join(self.path(table), name)))
+        return sorted(found)
+
     def exists(self, table: str) -> bool:
-        return path_exists(self.spark, self.path(table))
+        return bool(self._generations(table))
+
+    def parts(self, table: str) -> dict[str, str]:
+        """Paths of the visible writes by their id."""
+        known = self._generations(table)
+        paths = glob_paths(self.spark, os.path.join(known[-1][2], "lo=*/hi=*/part=*")) if known else []
+        return {p.rsplit("part=", 1)[1]: p for p in paths}
+
+    def _stored(self, table: str) -> DataFrame | None:
+        """Rows of the newest generation with their version and the days of their write."""
+        known = self._generations(table)
+        if not known:
+            return None
+        schema = StructType([*TABLES[table].fields]).add("_version", "long")
+        return self.spark.read.schema(schema.add("lo", IntegerType()).add("hi", IntegerType()).add("part", "string")).parquet(known[-1][2])
 
-    def read(self, table: str) -> DataFrame:
-        """The visible rows: of replaced groups only those of their newest version."""
-        schema = TABLES[table]
-        if not self.exists(table):
+    def read(self, table: str, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The visible rows, of replaced groups only those of their newest version.
+
+        With a range of time only [start, end), and only the folders of its days.
+        """
+        schema, rows = TABLES[table], self._stored(table)
+        if rows is None:
             return self.spark.createDataFrame([], schema)
+        if start is not None:
+            rows = rows.where((F.col("hi") >= start // DAY_MS) & (F.col("lo") <= (end - 1) // DAY_MS))
+            rows = half_open(rows, TIME_OF[table], start, end)
+        if table not in REPLACED_BY:
+            return rows.select(*schema.names)
+        keys, base = REPLACED_BY[table], self._generations(table)[-1][1]
         marks = self._marks(table)
+        rows = rows.withColumn("_version", F.coalesce("_version", F.lit(base)))
         if marks is None:
-            return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
-        keys = REPLACED_BY[table]
-        last = marks.agg(F.max("_version")).first()[0]
-        rows = self.spark.read.schema(StructType([*schema.fields]).add("_version", "long")).parquet(self.path(table))
-        rows = rows.withColumn("_version", F.coalesce("_version", F.lit(0))).where(F.col("_version") <= last)
+            return rows.where(F.col("_version") <= base).select(*schema.names)
+        # a write whose marks are missing broke off: it is not visible, whatever came later
+        done = [r[0] for r in marks.select("_version").distinct().collect()]  # one number for each replacement
         newest = marks.groupBy(*keys).agg(F.max("_version").alias("_newest"))
+        rows = rows.where((F.col("_version") <= base) | F.col("_version").isin(done))
         return rows.join(newest, keys, "left").where(
             F.col("_newest").isNull() | (F.col("_version") >= F.col("_newest"))).select(*schema.names)
 
+    def last_time(self, table: str) -> int | None:
+        """The largest time in a table, read from the writes that end on its last day."""
+        days = [int(m[1]) for p in self.parts(table).values() if (m := re.search(r"/hi=(-?\d+)/", p))]
+        if not days:
+            return None
+        return self._stored(table).where(F.col("hi") == max(days)).agg(F.max(TIME_OF[table])).first()[0]
+
+    def _marks_path(self, table: str) -> str:
+        known = self._generations(table)
+        return os.path.join(self.path(f"{table}.replaced"), f"g{known[-1][0] if known else 0:06d}")
+
     def _marks(self, table: str) -> DataFrame | None:
-        """Groups that were replaced, with the version that replaced them."""
-        path = self.path(f"{table}.replaced")
-        if table not in REPLACED_BY or not path_exists(self.spark, path):
+        """Groups that were replaced in this generation, with the version that replaced them."""
+        parts = glob_paths(self.spark, os.path.join(self._marks_path(table), "part=*")) if table in REPLACED_BY else []
+        if not parts:
             return None
         schema = StructType([TABLES[table][k] for k in REPLACED_BY[table]]).add("_version", "long")
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(*parts)
 
     def replace(self, df: DataFrame, table: str, groups: DataFrame | None = None) -> int:
         """Put new rows in the place of all stored rows of their groups; returns the version.
 
         ``groups`` names groups that are emptied although they have no new row.  The rows are
         written first and become visible with the marks of their groups, so a run that breaks off
-        in between leaves the old rows.  One writer per table.
+        in between leaves the old rows.
         """
         keys, mark = REPLACED_BY[table], intermediates_mark()
         try:
@@ -170,21 +225,69 @@ class TableStore:
                 raise InvalidRows(table)
             if not repeated_keys(rows, UNIQUE_KEYS[table]).isEmpty():
                 raise DuplicateKey(f"{table}: key repeated within the batch")
-            marks = self._marks(table)
-            done = 0
-            if self.exists(table):  # an attempt that broke off leaves a version without marks
-                done = self.spark.read.schema("_version long").parquet(self.path(table)).agg(F.max("_version")).first()[0] or 0
-            version = 1 + max(done, 0 if marks is None else marks.agg(F.max("_version")).first()[0] or 0)
+            if not self.exists(table):
+                make_folder(self.spark, os.path.join(self.path(table), "g000000_v0"))
+            version = 1 + self._last_version(table)
             touched = rows.select(*keys)
             if groups is not None:
                 touched = touched.unionByName(groups.select(*keys))
-            rows.withColumn("_version", F.lit(version).cast("long")).write.mode("append").parquet(self.path(table))
-            touched.distinct().withColumn("_version", F.lit(version).cast("long")).write.mode("append").parquet(
-                self.path(f"{table}.replaced"))
+            self._commit(rows.withColumn("_version", F.lit(version).cast("long")), table)
+            staged = os.path.join(self.path(f"{table}.replaced"), f"_{uuid.uuid4().hex}")
+            touched.distinct().withColumn("_version", F.lit(version).cast("long")).write.parquet(staged)
+            move_path(self.spark, staged, os.path.join(self._marks_path(table), f"part={uuid.uuid4().hex}"))
             return version
         finally:
             discard_intermediates(self.spark, mark)
 
+    def _last_version(self, table: str) -> int:
+        """The largest version in use, also by a write that broke off."""
+        rows, known = self._stored(table), self._generations(table)
+        return max(known[-1][1] if known else 0, (rows.agg(F.max("_version")).first()[0] or 0) if rows is not None else 0)
+
+    def compact(self, table: str, keep: int = 1) -> int:
+        """Write the visible rows by day as a new generation, which takes the place of all others.
+
+        Superseded versions and the many small files of streams go with the old generations, of which
+        the last ``keep`` stay for readers that are under way.  A run that breaks off before the rename
+        changes nothing, one that breaks off after it has only old folders left to delete.
+        """
+        known = self._generations(table)
+        if not known:
+            return 0
+        version, time = self._last_version(table), TIME_OF.get(table)
+        rows = self.read(table)
+        day = F.coalesce(F.expr(f"cast(floor({time} / {DAY_MS}) as int)"), F.lit(0)) if time else F.lit(0)
+        rows = rows.withColumn("lo", day).withColumn("hi", F.col("lo")).withColumn("part", F.lit(uuid.uuid4().hex))
+        if table in REPLACED_BY:
+            rows = rows.withColumn("_version", F.lit(version).cast("long"))
+        staged = os.path.join(self.path(table), f"_{uuid.uuid4().hex}")
+        order = [c for c in (*REPLACED_BY.get(table, ()), time, *EVENT_ORDER) if c and c in rows.columns]
+        rows.hint("rebalance", "lo").sortWithinPartitions("lo", *dict.fromkeys(order)).write.partitionBy("lo", "hi", "part").parquet(staged)
+        number = known[-1][0] + 1
+        move_path(self.spark, staged, os.path.join(self.path(table), f"g{number:06d}_v{version}"))
+        for n, _, path in known[:len(known) - keep]:
+            delete_path(self.spark, path)
+            delete_path(self.spark, os.path.join(self.path(f"{table}.replaced"), f"g{n:06d}"))
+        return number
+
+    def _commit(self, rows: DataFrame, table: str) -> int:
+        """Write rows and show them with one rename; returns their number, none leave no folder."""
+        seen, time = Observation(), TIME_OF.get(table)
+        found = [F.count(F.lit(1)).alias("n")]
+        if time:
+            found += [F.min(time).alias("lo"), F.max(time).alias("hi")]
+        staged = os.path.join(self.path(table), f"_{uuid.uuid4().hex}")
+        rows.observe(seen, *found).write.parquet(staged)
+        got = seen.get
+        if not got["n"]:
+            delete_path(self.spark, staged)
+            return 0
+        lo, hi = ((got[k] or 0) // DAY_MS for k in ("lo", "hi")) if time else (0, 0)
+        known = self._generations(table)
+        root = known[-1][2] if known else os.path.join(self.path(table), "g000000_v0")
+        move_path(self.spark, staged, os.path.join(root, f"lo={lo}", f"hi={hi}", f"part={uuid.uuid4().hex}"))
+        return got["n"]
+
     def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error",
                       staged: bool = False) -> dict[str, int]:
         """Append a batch; returns ``stored`` and ``duplicates``.
@@ -209,7 +312,7 @@ class TableStore:
         stored = self._overlap(batch, table) if exists else None
         if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(batch, table).isEmpty():
             raise InvalidRows(table)
-        seen, kept = Observation(), Observation()
+        seen = Observation()
         batch = batch.observe(seen, F.count(F.lit(1)).alias("n"))
         if on_conflict == "error":
             if not repeated_keys(batch, keys).isEmpty():
@@ -221,36 +324,34 @@ class TableStore:
             rows = new_rows(batch, stored, keys)
         else:
             raise ValueError(f"unknown on_conflict: {on_conflict}")
-        self._write(rows.observe(kept, F.count(F.lit(1)).alias("n")), table)
-        added = kept.get["n"]
+        added = self._write(rows, table)
         total = added if on_conflict == "error" else seen.get["n"]
         return {"stored": added, "duplicates": total - added}
 
     def _overlap(self, batch: DataFrame, table: str) -> DataFrame:
         """The part of the stored table that can hold keys of the batch.
 
-        Where a column belongs to the key, one min/max over the batch lets the reader skip all
-        row groups outside its range; elsewhere the key columns of the whole table are read.
+        Where a column belongs to the key, one min/max over the batch leaves only the folders of
+        its days; elsewhere the key columns of the whole table are read.
         """
-        stored, col = self.read(table), PRUNE_BY.get(table)
+        col = PRUNE_BY.get(table)
         if col is None:
-            return stored
-        r = batch.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-        near = F.col(col).isNull()
-        if r["lo"] is not None:
-            near = near | F.col(col).between(r["lo"], r["hi"])
-        return stored.where(near)
-
-    def add_new(self, rows: DataFrame, table: str) -> None:
+            return self.read(table)
+        r = batch.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count_if(F.col(col).isNull()).alias("none")).first()
+        if r["none"]:
+            return self.read(table)
+        return self.read(table, r["lo"] or 0, (r["hi"] or 0) + 1)
+
+    def add_new(self, rows: DataFrame, table: str) -> int:
         """Append stored rows that are known to be new (``new_rows``): no check, one write."""
-        self._write(conform(rows, TABLES[table]), table)
+        return self._write(conform(rows, TABLES[table]), table)
 
-    def _write(self, rows: DataFrame, table: str) -> None:
+    def _write(self, rows: DataFrame, table: str) -> int:
         marks = self._marks(table)
         if marks is not None:  # rows of now, not older than what was replaced
             version = marks.agg(F.max("_version")).first()[0]
             rows = rows.withColumn("_version", F.lit(version).cast("long"))
-        rows.write.mode("append").parquet(self.path(table))
+        return self._commit(rows, table)
 
     def ingest(self, df: DataFrame, table: str, start: int | None = None, end: int | None = None,
                ts: str = "timestamp", on_conflict: str = "error") -> dict[str, int]:
@@ -261,17 +362,6 @@ class TableStore:
         return self.append_unique(df.sortWithinPartitions(*order) if order else df, table,
                                   on_conflict)
 
-    def write_clustered(self, df: DataFrame, table: str, key: str, ts: str,
-                        buckets: int = 64) -> None:
-        """Write a series table clustered by hash bucket of the key and time slice.
-
-        Bucket and time spread a hot key over many files; files sorted by (key, time) let
-        the reader skip row groups.
-        """
-        df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition(
-            "bucket", F.expr(f"{ts} div 86400000")).sortWithinPartitions(key, ts).write.mode(
-            "append").partitionBy("bucket").parquet(self.path(table))
-
 
 def seen_mints(progress: DataFrame, batch: DataFrame) -> DataFrame:
     """Mints of a batch that are not in the seen table yet: what insert-if-absent adds."""

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
+import threading
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StringType, StructField, StructType
 
 from marketlab.operators import discovery
 from marketlab.operators.joins import resolve_candidates
-from marketlab.operators.series import INTERVALS, volume_timeseries, widened
-from marketlab.schemas import LIQUIDITY_EVENTS, SWAP_EVENTS, TABLES, UNIQUE_KEYS, check_enums, conform
+from marketlab.schemas import (
+    LIQUIDITY_EVENTS, SWAP_EVENTS, TABLES, TX_LOGS, UNIQUE_KEYS, check_enums, conform)
 from marketlab.session import (
-    delete_path, discard_intermediates, intermediates_mark, list_names, materialize, move_path,
-    path_exists)
+    delete_path, discard_intermediates, intermediates_mark, list_names, materialize, path_exists)
+from marketlab.sources import decode
 from marketlab.sources.tables import InvalidRows, TableStore, half_open, new_rows
+from marketlab.streaming.parts import HourParts, VolumeParts
+from marketlab.streaming.seen import first_swaps, rocksdb_state
 
 SLOT_LAG = 5            # fixed: slots behind the highest one until a slot is final
 FLUSH_SECONDS = 5       # fixed: trigger interval
@@ -111,13 +114,33 @@ class LivePipeline:
     All writes skip keys that are already stored, so a replayed micro-batch changes nothing;
     the checkpoint and the tables themselves are the only state.  Repeated events are dropped by
     their key, whenever they come, and late ones are kept.  Spikes are looked for whenever the
-    stored events enter a new period of event time.
+    stored events enter a new period of event time; with ``hours`` they are measured against sums
+    by hour.  ``first_seen`` makes candidates of new mints in each batch; ``run_first_seen`` does the
+    same with keyed state.  With ``metadata`` (snapshots of mint and of name accounts) new candidates
+    get theirs.
     """
 
     def __init__(self, store: TableStore, buffer: SlotBuffer | None = None,
-                 volumes: VolumeParts | None = None, spikes_every_ms: int | None = None):
-        self.store, self.buffer, self.volumes = store, buffer, volumes
-        self.spikes_every_ms = spikes_every_ms
+                 volumes: VolumeParts | None = None, spikes_every_ms: int | None = None,
+                 hours: HourParts | None = None, first_seen: bool = True,
+                 metadata: tuple[DataFrame, DataFrame] | None = None):
+        self.store, self.buffer, self.volumes, self.hours = store, buffer, volumes, hours
+        self.spikes_every_ms, self.first_seen, self.metadata = spikes_every_ms, first_seen, metadata
+        for parts in (volumes, hours):
+            if parts is not None:
+                parts.store = store
+
+    def on_logs(self, batch: DataFrame, batch_id: int, accounts: DataFrame | None = None) -> None:
+        """Transactions of all programs, decoded in one pass; their events go on as ``on_events``.
+
+        A transaction that several streams deliver is decoded as often as it comes and stored once.
+        """
+        mark = intermediates_mark()
+        try:
+            decoded = materialize(decode.events(batch, accounts), "decoded")
+            self.on_events(raw_events(decode.complete_swaps(decoded), decode.complete_liquidity(decoded)), batch_id)
+        finally:
+            discard_intermediates(self.store.spark, mark)
 
     def on_events(self, batch: DataFrame, batch_id: int) -> None:
         """Both kinds of events, as ``raw_events`` builds them."""
@@ -142,8 +165,14 @@ class LivePipeline:
         """Store swaps, then first-seen candidates of mints without one, then look for spikes."""
         before = self._last_event() if self.spikes_every_ms else None
         result = self.store.append_unique(swaps, "swap_events", "skip", staged)
-        found = discovery.new_tokens(swaps, self.store.read("token_candidates"))
-        new = self.store.append_unique(found, "token_candidates", "skip")
+        new = {"stored": 0}
+        if self.first_seen:
+            found = discovery.new_tokens(swaps, self.store.read("token_candidates"))
+            if self.metadata is not None:
+                found = materialize(found, "found")
+            new = self.store.append_unique(found, "token_candidates", "skip", self.metadata is not None)
+            if self.metadata is not None:
+                self.store.append_unique(decode.token_metadata(*self.metadata, found), "token_metadata", "skip")
         if self.spikes_every_ms:
             now = self._last_event()
             if now is not None and (before is None or now // self.spikes_every_ms > before // self.spikes_every_ms):
@@ -151,7 +180,7 @@ class LivePipeline:
         return {**result, "candidates": new["stored"]}
 
     def _last_event(self) -> int | None:
-        return self.store.read("swap_events").agg(F.max("timestamp")).first()[0]
+        return self.store.last_time("swap_events")
 
     def on_liquidity(self, batch: DataFrame, batch_id: int = 0) -> None:
         """Store liquidity events with the candidate that their mint has by now, if any."""
@@ -166,9 +195,132 @@ class LivePipeline:
             fresh = materialize(fresh, "swaps")
             if not check_enums(fresh, "swaps").isEmpty():
                 raise InvalidRows("swaps")
-            if self.volumes is not None:
-                self.volumes.add(fresh, batch_id)
             self.store.add_new(fresh, "swaps")
+            if self.volumes is not None:  # also what an earlier run stored and did not count
+                self.volumes.catch_up()
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
+    def detect_active(self, with_liquidity: bool = False) -> dict[str, int]:
+        """Spikes at the time of the last stored event; nothing before the first event."""
+        at = self._last_event()
+        if at is None:
+            return {"stored": 0, "duplicates": 0}
+        recent = self.store.read("swap_events", at - DAY_MS, at) if self.hours is None else self.hours.window(at)
+        liquidity = self.store.read("liquidity_events", at - DAY_MS, at) if with_liquidity else None
+        found = discovery.active_tokens(recent, at, self.store.read("token_candidates"), liquidity)
+        return self.store.append_unique(found, "token_candidates", "skip")
+
+    def drain(self) -> DataFrame:
+        """Everything still pending, at shutdown; storing it twice changes nothing."""
+        known = self._folders()
+        return self._read(known[-1] if known else None)
+
+
+RAW_EVENTS = StructType(
+    [f for f in SWAP_EVENTS.fields] + [f for f in LIQUIDITY_EVENTS.fields if f.name not in SWAP_EVENTS.names]
+    + [StructField("kind", StringType())])
+
+
+def raw_events(swaps: DataFrame | None, liquidity: DataFrame | None) -> DataFrame:
+    """Swaps and liquidity events as one stream, so that both wait for the same highest slot."""
+    parts = []
+    for kind, df in (("swap", swaps), ("liquidity", liquidity)):
+        if df is not None:
+            parts.append(conform(df.withColumn("kind", F.lit(kind)), RAW_EVENTS))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+class LivePipeline:
+    """Micro-batch handlers over append-only tables.
+
+    All writes skip keys that are already stored, so a replayed micro-batch changes nothing;
+    the checkpoint and the tables themselves are the only state.  Repeated events are dropped by
+    their key, whenever they come, and late ones are kept.  Spikes are looked for whenever the
+    stored events enter a new period of event time; with ``hours`` they are measured against sums
+    by hour.  ``first_seen`` makes candidates of new mints in each batch; ``run_first_seen`` does the
+    same with keyed state.  With ``metadata`` (snapshots of mint and of name accounts) new candidates
+    get theirs.
+    """
+
+    def __init__(self, store: TableStore, buffer: SlotBuffer | None = None,
+                 volumes: VolumeParts | None = None, spikes_every_ms: int | None = None,
+                 hours: HourParts | None = None, first_seen: bool = True,
+                 metadata: tuple[DataFrame, DataFrame] | None = None):
+        self.store, self.buffer, self.volumes, self.hours = store, buffer, volumes, hours
+        self.spikes_every_ms, self.first_seen, self.metadata = spikes_every_ms, first_seen, metadata
+        for parts in (volumes, hours):
+            if parts is not None:
+                parts.store = store
+
+    def on_logs(self, batch: DataFrame, batch_id: int, accounts: DataFrame | None = None) -> None:
+        """Transactions of all programs, decoded in one pass; their events go on as ``on_events``.
+
+        A transaction that several streams deliver is decoded as often as it comes and stored once.
+        """
+        mark = intermediates_mark()
+        try:
+            decoded = materialize(decode.events(batch, accounts), "decoded")
+            self.on_events(raw_events(decode.complete_swaps(decoded), decode.complete_liquidity(decoded)), batch_id)
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
+    def on_events(self, batch: DataFrame, batch_id: int) -> None:
+        """Both kinds of events, as ``raw_events`` builds them."""
+        mark = intermediates_mark()
+        try:
+            if self.buffer is not None:
+                batch = self.buffer.release(batch, batch_id)
+            # computed once, then stored in several tables
+            self.handle_events(materialize(batch, "released"), staged=True)
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
+    def handle_events(self, events: DataFrame, staged: bool = False) -> None:
+        self.handle_swaps(events.where("kind = 'swap'"), staged)
+        if not events.where("kind = 'liquidity'").isEmpty():
+            self.on_liquidity(events.where("kind = 'liquidity'"))
+
+    def on_swaps(self, batch: DataFrame, batch_id: int) -> None:
+        self.on_events(raw_events(batch, None), batch_id)
+
+    def handle_swaps(self, swaps: DataFrame, staged: bool = False) -> dict[str, int]:
+        """Store swaps, then first-seen candidates of mints without one, then look for spikes."""
+        before = self._last_event() if self.spikes_every_ms else None
+        result = self.store.append_unique(swaps, "swap_events", "skip", staged)
+        new = {"stored": 0}
+        if self.first_seen:
+            found = discovery.new_tokens(swaps, self.store.read("token_candidates"))
+            if self.metadata is not None:
+                found = materialize(found, "found")
+            new = self.store.append_unique(found, "token_candidates", "skip", self.metadata is not None)
+            if self.metadata is not None:
+                self.store.append_unique(decode.token_metadata(*self.metadata, found), "token_metadata", "skip")
+        if self.spikes_every_ms:
+            now = self._last_event()
+            if now is not None and (before is None or now // self.spikes_every_ms > before // self.spikes_every_ms):
+                self.detect_active()
+        return {**result, "candidates": new["stored"]}
+
+    def _last_event(self) -> int | None:
+        return self.store.last_time("swap_events")
+
+    def on_liquidity(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Store liquidity events with the candidate that their mint has by now, if any."""
+        known = resolve_candidates(batch, self.store.read("token_candidates"))
+        self.store.append_unique(known, "liquidity_events", "skip")
+
+    def on_candidate_swaps(self, batch: DataFrame, batch_id: int) -> None:
+        """Swaps of known candidates: stored once; new ones are added to the volume buckets."""
+        mark = intermediates_mark()
+        try:
+            fresh = new_rows(conform(batch, TABLES["swaps"]), self.store.read("swaps"), UNIQUE_KEYS["swaps"])
+            fresh = materialize(fresh, "swaps")
+            if not check_enums(fresh, "swaps").isEmpty():
+                raise InvalidRows("swaps")
+            self.store.add_new(fresh, "swaps")
+            if self.volumes is not None:  # also what an earlier run stored and did not count
+                self.volumes.catch_up()
         finally:
             discard_intermediates(self.store.spark, mark)
 
@@ -191,10 +343,8 @@ class LivePipeline:
 
     def _start(self, events: DataFrame, handler, checkpoint: str, once: bool) -> StreamingQuery:
         trigger = {"availableNow": True} if once else {"processingTime": f"{FLUSH_SECONDS} seconds"}
-        run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # batches count anew with each checkpoint
-        for part in (self.buffer, self.volumes):
-            if part is not None:
-                part.run = run
+        if self.buffer is not None:  # batches count anew with each checkpoint
+            self.buffer.run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         query = (
             events.writeStream.foreachBatch(handler)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -202,13 +352,33 @@ class LivePipeline:
         if once:
             query.awaitTermination()
             self.drain()
-        return query
+            return query
+        return LiveRun(query, self)
 
     def run(self, swaps: DataFrame, checkpoint: str, once: bool = False,
             liquidity: DataFrame | None = None) -> StreamingQuery:
-        """Start the stream; ``once`` takes what is there, waits and drains the slot buffer."""
+        """Start the stream; ``once`` takes what is there, waits and drains the slot buffer.
+
+        A run that goes on is drained when it is stopped.
+        """
         return self._start(raw_events(swaps, liquidity), self.on_events, checkpoint, once)
 
+    def run_logs(self, logs: list[DataFrame], checkpoint: str, once: bool = False,
+                 accounts: DataFrame | None = None) -> StreamingQuery:
+        """Start one query over several streams of transaction logs, one for each program or node."""
+        merged = reduce(DataFrame.unionByName, [conform(tx, TX_LOGS) for tx in logs])
+        return self._start(merged, lambda batch, n: self.on_logs(batch, n, accounts), checkpoint, once)
+
+    def run_first_seen(self, swaps: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+        """New candidates by keyed state, for swaps that are stored elsewhere or not at all.
+
+        The candidates stored now are the initial state of a new checkpoint.
+        """
+        found = first_swaps(swaps, self.store.read("token_candidates"))
+        with rocksdb_state(self.store.spark):
+            return self._start(found, lambda batch, _: self.store.append_unique(batch, "token_candidates", "skip") and None,
+                               checkpoint, once)
+
     def run_liquidity(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         return self._start(events, self.on_liquidity, checkpoint, once)
 
@@ -216,41 +386,56 @@ class LivePipeline:
         return self._start(swaps, self.on_candidate_swaps, checkpoint, once)
 
 
-class VolumeParts:
-    """Volume buckets as sums of parts, one small part per micro-batch.
+class LiveRun:
+    """A running query that stores what the slot buffer holds when it is stopped, by whomever.
 
-    A part holds what its batch adds to the narrowest buckets, so a late swap simply adds to its
-    bucket again; no bucket is ever closed and none waits for a watermark.  A batch that is
-    retried finds its own part: it was written before the swaps were stored.
+    A query that fails is not drained: what is pending stays in the buffer's folder for the next run.
     """
 
-    def __init__(self, spark: SparkSession, root: str, run: str = "run"):
-        self.spark, self.root, self.run = spark, root, run
-
-    def add(self, swaps: DataFrame, batch_id: int) -> None:
-        """Add new swaps, before they are stored; a part that is complete stays as it is."""
-        path = os.path.join(self.root, f"part={self.run}-{batch_id}")
-        if not path_exists(self.spark, os.path.join(path, "_SUCCESS")):
-            volume_timeseries(swaps, INTERVALS[:1]).write.mode("overwrite").parquet(path)
-
-    def read(self, intervals=INTERVALS) -> DataFrame:
-        """Buckets of every width over all parts."""
-        schema = TABLES["volume_timeseries"]
-        if not path_exists(self.spark, self.root):
-            return self.spark.createDataFrame([], schema)
-        parts = self.spark.read.schema(schema).parquet(self.root)
-        return widened(parts.select(*schema.names), intervals).select(*schema.names)
-
-    def compact(self) -> None:
-        """Replace all parts by their sum; to be called while no batch is running."""
-        whole = materialize(self.read(INTERVALS[:1]), "volume")
-        names = [n for n in list_names(self.spark, self.root) if n.startswith("part=")]
-        target = os.path.join(self.root, f"part={self.run}-sum{len(names)}-{uuid.uuid4().hex}")
-        staged = os.path.join(self.root, f"_{uuid.uuid4().hex}")  # names with _ are not read
-        whole.write.parquet(staged)
-        for n in names:
-            delete_path(self.spark, os.path.join(self.root, n))
-        move_path(self.spark, staged, target)
+    def __init__(self, query: StreamingQuery, pipeline: LivePipeline):
+        self.query, self.pipeline, self.drained = query, pipeline, threading.Event()
+        self._lock, self.failure = threading.Lock(), None
+        self.listener = _Ended(self)
+        pipeline.store.spark.streams.addListener(self.listener)
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+    def stop(self) -> None:
+        """Stop after the batch that is running, then drain."""
+        self.query.stop()
+        self.ended()
+
+    def ended(self) -> None:
+        with self._lock:
+            if self.drained.is_set():
+                return
+            try:
+                if self.query.exception() is None:
+                    self.pipeline.drain()
+            finally:
+                self.drained.set()
+        self.pipeline.store.spark.streams.removeListener(self.listener)
+
+
+class _Ended(StreamingQueryListener):
+    """Drains a run that was stopped through its query; jobs do not run on the listener's own thread."""
+
+    def __init__(self, run: LiveRun):
+        self.run = run
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) == str(self.run.query.runId):
+            threading.Thread(target=self.run.ended, daemon=True).start()
 
 
 def backfill(store: TableStore, swaps: DataFrame, liquidity: DataFrame | None, start: int,

@@ -150,3 +150,30 @@ def test_token_metadata(spark):
     out = decode.token_metadata(mints, names, c)
     assert rows_of(out, "mint", "name", "symbol", "decimals", "supply", "fetched_at") == [
         ("m1", "Coin", "CN", 6, 5.0, 9), ("m2", None, None, 6, 5.0, 9)]
+
+
+def test_one_scan_for_all_programs_and_kinds(spark):
+    keys = [f"key{i}" for i in range(18)]
+    lines = [ray(swap_data(0x0D, MINT, NATIVE_BYTES, 5)), ENTER, "mint=AAA", BUY, "Program log: Instruction: Create",
+             ray(b"\x04" + bytes(16))]
+    df = logs(spark, [{"logs": lines, "account_keys": keys}, {"logs": ["nothing"]}, {"logs": None}])
+    decoded = decode.events(df)
+    assert rows_of(decoded, "kind", "event_index", "mint", "event_type", "amount") == [
+        ("liquidity", 0, "AAA", "add", 0.0), ("liquidity", 5, "", "remove", 0.0), ("swap", 0, encode(MINT), None, 5.0),
+        ("swap", 3, "AAA", None, 0.0)]
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_only_incomplete_events_meet_the_accounts(spark):
+    keys = [f"key{i}" for i in range(7)]
+    accounts = frame(spark, schemas.ACCOUNTS, [
+        {"pubkey": "key5", "data": account(MINT + bytes(40))}, {"pubkey": "key6", "data": account(bytes(32) + bytes(40))}])
+    first = logs(spark, [{"logs": [f"Program {AMM} invoke", ENTER, "mint=AAA", BUY, LEAVE, ENTER, BUY], "account_keys": keys},
+                         {"logs": [f"Program {AMM} invoke", ENTER, "mint=BBB", BUY], "account_keys": keys},
+                         {"logs": [f"Program {AMM} invoke", ENTER, BUY], "account_keys": keys[:6]}])
+    # a swap without a mint fills the pool of its whole transaction, a complete transaction is left alone
+    assert rows_of(decode.swap_events(first, accounts), "tx_signature", "event_index", "mint", "pool") == [
+        ("t0", 3, "AAA", "key1"), ("t0", 6, encode(MINT), "key1"), ("t1", 3, "BBB", None)]
+    only = frame(spark, schemas.ACCOUNTS, [{"pubkey": "key6", "data": account(NATIVE_BYTES)}, {"pubkey": "key5", "data": account(b"short")}])
+    assert rows_of(decode.swap_events(first, only).where("event_index = 6"), "mint") == [(NATIVE,)]

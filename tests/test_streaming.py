@@ -194,3 +194,145 @@ def test_fold_carries_state_over_slices(spark):
 def test_counts_with_time_zero():
     batches = [{"kind": __import__("numpy").array(["swap"]), "timestamp": __import__("numpy").array([t])} for t in (0, 5)]
     assert list(replay.count_events("a", iter(batches))) == [("a", 2, 2, 0, 0, 5)]
+
+
+# --- logs of several nodes, keyed state, shutdown, derived parts ---------------------------
+
+def curve_logs(spark, n, start=0, mint="M"):
+    from marketlab.sources import decode
+    return frame(spark, schemas.TX_LOGS, [
+        {"tx_signature": f"{mint}{i}", "slot": i, "block_time_s": i, "account_keys": [],
+         "logs": [f"Program {decode.CURVE_PROGRAM} invoke [1]", f"mint={mint}{i % 3}", "Program log: Instruction: Buy",
+                  "Program log: Instruction: Create"]} for i in range(start, start + n)])
+
+
+def text_logs(spark, n, start=0):
+    return frame(spark, schemas.TX_LOGS, [
+        {"tx_signature": f"x{i}", "slot": i, "block_time_s": i, "account_keys": [],
+         "logs": [f"Program Own1 says Program log: Swap mint=Own{i % 2}"]} for i in range(start, start + n)])
+
+
+def test_logs_of_several_nodes_equal_the_batch_decoders(spark, store, tmp_path, monkeypatch):
+    from marketlab.sources import decode
+    monkeypatch.setattr(decode, "DECODERS", dict(decode.DECODERS))
+    decode.register_decoder("Own1", decode.LogDecoder(lambda: decode.F.transform("logs", lambda line, i: decode._event(
+        "swap", i, mint=decode.F.regexp_extract(line, decode.SWAP_TEXT, 1), amount=decode.F.lit(0.0))), "Own1"))
+    for start in range(0, 20, 5):  # four batches; the second node repeats transactions of the first
+        drop(curve_logs(spark, 5, start), tmp_path / "one")
+        drop(text_logs(spark, 5, start).union(curve_logs(spark, 2, start)), tmp_path / "two")
+    both = [live.table_stream(spark, str(tmp_path / n), schemas.TX_LOGS, 1) for n in ("one", "two")]
+    pipe = live.LivePipeline(store, live.SlotBuffer(spark, str(tmp_path / "p"), live.RAW_EVENTS))
+    pipe.run_logs(both, str(tmp_path / "cp"), once=True)
+    whole = curve_logs(spark, 20).union(text_logs(spark, 20))
+    for table, want in (("swap_events", decode.swap_events(whole)), ("liquidity_events", decode.liquidity_events(whole))):
+        names = [c for c in want.columns if c != "candidate_id"]
+        assert rows_of(store.read(table), *names) == rows_of(want, *names) != []
+    assert sorted(r[0] for r in rows_of(store.read("token_candidates"), "mint")) == ["M0", "M1", "M2", "Own0", "Own1"]
+
+
+def test_new_candidates_get_their_metadata(spark, store):
+    import base64
+    mint = bytes(36) + (500).to_bytes(8, "little") + bytes([2]) + bytes(37)
+    mints = frame(spark, schemas.ACCOUNTS, [{"pubkey": "m1", "data": base64.b64encode(mint).decode(), "fetched_at": 4}])
+    names = spark.createDataFrame([], "mint string, data string")
+    pipe = live.LivePipeline(store, metadata=(mints, names))
+    pipe.handle_swaps(swap_events(spark, [{"timestamp": 1}, {"timestamp": 2, "mint": "m2"}]))
+    pipe.handle_swaps(swap_events(spark, [{"timestamp": 3, "tx_signature": "later"}]))
+    assert rows_of(store.read("token_metadata"), "mint", "supply", "fetched_at") == [("m1", 5.0, 4)]
+    assert store.read("token_candidates").count() == 2
+
+
+def test_first_seen_state_restarts_and_keeps_the_first_to_come(spark, store, tmp_path):
+    store.append_unique(candidates(spark, [{"candidate_id": "old", "mint": "known"}]), "token_candidates")
+    pipe = live.LivePipeline(store)
+    go = lambda: pipe.run_first_seen(stream(spark, tmp_path / "in"), str(tmp_path / "cp"), once=True)
+    make = lambda **slots: swap_events(spark, [{"timestamp": t, "slot": t, "mint": m, "tx_signature": f"{m}{t}"}
+                                               for m, ts in slots.items() for t in ts])
+    found = lambda: rows_of(store.read("token_candidates").where("candidate_id <> 'old'"), "mint", "slot")
+    drop(make(a=(9, 7, 8), known=(1,)), tmp_path / "in")
+    go()
+    assert found() == [("a", 7)]
+    drop(make(a=(2,), b=(5, 4)), tmp_path / "in")  # late: a is known by now
+    drop(make(b=(1,), known=(6,), c=(3,)), tmp_path / "in")
+    go()
+    assert found() == [("a", 7), ("b", 4), ("c", 3)] and store.read("token_candidates").count() == 4
+
+
+@pytest.mark.parametrize("by_query", [False, True])
+def test_a_run_that_is_stopped_loses_nothing(spark, store, tmp_path, monkeypatch, by_query):
+    monkeypatch.setattr(live, "FLUSH_SECONDS", 1)
+    drop(events_at(spark, 1, 2, 9), tmp_path / "in")
+    drop(events_at(spark, 3, 11), tmp_path / "in")
+    pipe = live.LivePipeline(store, live.SlotBuffer(spark, str(tmp_path / "q"), live.RAW_EVENTS, 3))
+    run = pipe.run(stream(spark, tmp_path / "in"), str(tmp_path / "cp"))
+    run.processAllAvailable()
+    assert slots_of(store.read("swap_events")) == [1, 2, 3] and run.isActive
+    (run.query if by_query else run).stop()
+    assert run.drained.wait(60) and not run.isActive
+    assert slots_of(store.read("swap_events")) == [1, 2, 3, 9, 11]
+
+
+def candidate_swaps(spark, *ts):
+    from helpers import swaps
+    return swaps(spark, [{"timestamp": t, "slot": t, "candidate_id": "a", "tx_signature": f"s{t}", "amount_out": 2.0, "side": "sell"} for t in ts])
+
+
+def total(volumes):
+    return {(r["volume"], r["swap_count"]) for r in volumes.read((60,)).where("timestamp_ms = 0").collect()}
+
+
+def test_volumes_survive_crashes_and_new_checkpoints(spark, store, tmp_path, monkeypatch):
+    make = lambda run: live.LivePipeline(store, volumes=live.VolumeParts(spark, str(tmp_path / "v"), run=run))
+    first = make("one")
+    monkeypatch.setattr(first.volumes, "catch_up", lambda: 1 / 0)  # the process ends after the swaps are stored
+    with pytest.raises(ZeroDivisionError):
+        first.on_candidate_swaps(candidate_swaps(spark, 1, 2, 3), 0)
+    again = make("two")  # another checkpoint: batches count from 0, and the same swaps come again
+    again.on_candidate_swaps(candidate_swaps(spark, 1, 2, 3), 0)
+    assert total(again.volumes) == {(6.0, 3)}
+    again.on_candidate_swaps(candidate_swaps(spark, 3, 4), 1)
+    assert total(again.volumes) == {(8.0, 4)}
+
+
+def test_compaction_of_volumes_survives_a_crash(spark, store, tmp_path, monkeypatch):
+    from marketlab.streaming import parts
+    pipe = live.LivePipeline(store, volumes=live.VolumeParts(spark, str(tmp_path / "v")))
+    for i, t in enumerate((1, 2, 3)):
+        pipe.on_candidate_swaps(candidate_swaps(spark, t), i)
+    for broken in ("move_path", "delete_path"):  # before the sum is there, before its parts are gone
+        monkeypatch.setattr(parts, broken, lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            pipe.volumes.compact()
+        monkeypatch.undo()
+        assert total(pipe.volumes) == {(6.0, 3)}
+    pipe.on_candidate_swaps(candidate_swaps(spark, 4), 3)
+    pipe.volumes.compact()
+    assert total(pipe.volumes) == {(8.0, 4)} and len(pipe.volumes._visible()[0]) == 1
+    pipe.on_candidate_swaps(candidate_swaps(spark, 5), 4)
+    store.compact("swaps")  # all writes are one now: its part takes the place of the others
+    assert total(pipe.volumes) == {(10.0, 5)} and pipe.volumes.catch_up() == 0
+
+
+def test_hour_sums_give_the_spikes_of_the_events(spark, tmp_path):
+    import random
+    r = random.Random(8)
+    rows = [{"mint": f"m{i % 7}", "timestamp": r.randrange(0, 2 * DAY), "amount_out": r.choice([1.0, 50.0]), "slot": i, "tx_signature": f"t{i}"}
+            for i in range(400)]
+    rows += [{"mint": "m3", "timestamp": 2 * DAY + r.randrange(HOUR), "amount_out": 99.0, "slot": 500 + i, "tx_signature": f"u{i}"} for i in range(30)]
+    found = []
+    for name, hours in (("plain", None), ("hours", live.HourParts(spark, str(tmp_path / "h")))):
+        own = tables.TableStore(spark, str(tmp_path / name))
+        pipe = live.LivePipeline(own, hours=hours, spikes_every_ms=DAY // 4, first_seen=False)
+        for at in range(0, len(rows), 110):
+            pipe.handle_swaps(swap_events(spark, rows[at:at + 110]))
+        for at in (2 * DAY, 2 * DAY + HOUR // 2, DAY + 12345):
+            if hours is not None:
+                events = own.read("swap_events")
+                a, b = (discovery.active_tokens(x, at) for x in (events, hours.window(at)))
+                assert rows_of(a, *a.columns) == rows_of(b, *b.columns)
+        pipe.detect_active()
+        found.append(rows_of(own.read("token_candidates"), *schemas.TOKEN_CANDIDATES.names))
+        if hours is not None:
+            hours.compact()
+            assert hours.rows().groupBy().sum("n").first()[0] == len(rows)
+    assert found[0] == found[1] != []

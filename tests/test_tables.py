@@ -11,6 +11,16 @@ from marketlab.sources import tables
 from test_exits import guard, run
 
 
+DAY = 86_400_000
+
+
+def files_read(df):
+    """Number of files that a scan opens once its folders are pruned."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()))
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     return tables.TableStore(spark, str(tmp_path / "tables"))
@@ -100,11 +110,82 @@ def test_csv_sink(spark, tmp_path):
     assert json.loads(open(glob.glob(str(tmp_path / "json/*.json"))[0]).read()) == {"trade_id": 'a"b'}
 
 
-def test_clustered_table_keeps_all_rows(spark, store):
-    df = spark.createDataFrame([(f"c{i % 5}", i * 3_600_000) for i in range(200)],
-                               "candidate_id string, timestamp_ms long")
-    store.write_clustered(df, "price_timeseries", "candidate_id", "timestamp_ms", 4)
-    assert store.read("price_timeseries").count() == 200
+def test_scans_open_only_the_folders_of_their_days(spark, store):
+    for day in range(6):
+        store.append_unique(swap_events(spark, [{"timestamp": day * DAY + t, "tx_signature": f"{day}-{t}"} for t in (0, DAY - 1)]), "swap_events")
+    got = store.read("swap_events", 2 * DAY, 4 * DAY)
+    assert rows_of(got, "timestamp") == [(2 * DAY,), (3 * DAY - 1,), (3 * DAY,), (4 * DAY - 1,)]
+    every = files_read(store.read("swap_events"))
+    assert files_read(got) * 3 == every
+    assert store.last_time("swap_events") == 6 * DAY - 1
+    assert store.read("liquidity_events", 0, 5).isEmpty() and store.last_time("liquidity_events") is None
+
+
+def test_appends_check_only_the_days_of_their_batch(spark, store):
+    points = lambda day: frame(spark, schemas.PRICE_TIMESERIES, [
+        {"candidate_id": "hot", "timestamp_ms": day * DAY + t, "slot": 1, "price": 1.0, "volume": 1.0, "swap_count": 1} for t in range(5)])
+    for day in range(4):
+        store.append_unique(points(day), "price_timeseries")
+    near = store._overlap(points(2), "price_timeseries")
+    assert files_read(near) * 4 == files_read(store.read("price_timeseries")) and near.count() == 5  # a hot key has a folder for each day
+    with pytest.raises(tables.DuplicateKey):
+        store.append_unique(points(2), "price_timeseries")
+    assert store.append_unique(points(2).union(points(9)), "price_timeseries", "skip") == {"stored": 5, "duplicates": 5}
+
+
+def test_compaction_leaves_one_version_of_replaced_rows(spark, store):
+    def points(version):
+        return frame(spark, schemas.PRICE_TIMESERIES, [
+            {"candidate_id": c, "timestamp_ms": t * DAY, "slot": version, "price": 1.0, "volume": 1.0, "swap_count": 1}
+            for c in ("a", "b") for t in range(3)])
+
+    for version in range(10):
+        store.replace(points(version), "price_timeseries")
+    stored = lambda: store._stored("price_timeseries").count()
+    assert stored() == 60 and store.read("price_timeseries").count() == 6
+    before = store.read("price_timeseries")
+    store.compact("price_timeseries")
+    assert stored() == 6 and {r[0] for r in rows_of(store.read("price_timeseries"), "slot")} == {9}
+    assert before.count() == 6  # readers that are under way keep their generation
+    assert store.replace(points(11).where("candidate_id = 'a'"), "price_timeseries") == 11
+    assert rows_of(store.read("price_timeseries").groupBy("candidate_id", "slot").count(), "candidate_id", "slot", "count") == [("a", 11, 3), ("b", 9, 3)]
+    assert store.append_unique(points(12), "price_timeseries", "skip") == {"stored": 0, "duplicates": 6}
+    store.compact("price_timeseries")
+    assert stored() == 6 and len(store._generations("price_timeseries")) == 2
+
+
+def test_writes_that_break_off_stay_invisible(spark, store, monkeypatch):
+    row = lambda c, p: frame(spark, schemas.PRICE_TIMESERIES, [{"candidate_id": c, "timestamp_ms": 1, "slot": 1, "price": p, "volume": 1.0, "swap_count": 1}])
+    read = lambda: rows_of(store.read("price_timeseries"), "candidate_id", "price")
+    store.append_unique(row("a", 1.0).union(row("b", 1.0)), "price_timeseries")
+
+    def break_off(at):
+        calls = []
+
+        def move(*args):
+            calls.append(1)
+            if len(calls) == at:
+                raise OSError("lost")
+            return move_path(*args)
+        move_path = session.move_path
+        monkeypatch.setattr(tables, "move_path", move)
+
+    from marketlab import session
+    for at in (1, 2):  # before the rows are there, before their marks are there
+        break_off(at)
+        with pytest.raises(OSError):
+            store.replace(row("a", 7.0), "price_timeseries")
+        monkeypatch.undo()
+        assert read() == [("a", 1.0), ("b", 1.0)]
+    assert store.replace(row("b", 2.0), "price_timeseries") == 2  # does not bring the broken rows of "a" to light
+    assert read() == [("a", 1.0), ("b", 2.0)]
+    break_off(1)
+    with pytest.raises(OSError):
+        store.compact("price_timeseries")
+    monkeypatch.undo()
+    assert read() == [("a", 1.0), ("b", 2.0)]
+    store.compact("price_timeseries")
+    assert read() == [("a", 1.0), ("b", 2.0)] and store._stored("price_timeseries").count() == 2
 
 
 def _stored(spark):
