@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_schema_chat": chat.ORACLE,
         "op10_multi_index": vectors.ORACLE,
         "op11_prefix_rollup": prefixes.ORACLE,
+        "op13_position_index": spelling.ORACLE,
     }

@@ -253,3 +253,42 @@ def variants(words: DataFrame, factor: int = 5, tile: int = 1024) -> DataFrame:
 def query(spark, sf_dir) -> DataFrame:
     """op13: spelling variants in the whole documents, one run in 199 spoilt."""
     return variants(word_counts(table(spark, sf_dir, "documents"), spoil=199))
+
+
+# crc32 byte by byte from a table of 256 entries; near words meet in what is left without one letter.
+_RUNS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')"
+
+ORACLE = f"""
+WITH RECURSIVE steps AS (
+  SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+entries AS (SELECT list(c ORDER BY b) AS crc FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest({_RUNS}) AS run FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc, run),
+hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(doc || ':' || run))::BIGINT),
+      lambda i: CAST('0x' || substr(hex(encode(doc || ':' || run)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, x: xor(c // 256, crc[CAST(xor(c % 256, x) + 1 AS BIGINT)]))) AS h
+  FROM counted, entries),
+spoilt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT))
+                  ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, unnest(range(length(word))) AS place FROM words),
+shorter AS (SELECT word, n, place, left(word, place) || substr(word, place + 2) AS rest FROM less),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+summed AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+best AS (SELECT word, near AS form, n AS form_n FROM (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS nth FROM near) WHERE nth = 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN summed USING (word) LEFT JOIN best USING (word)),
+paths AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT p.word, f.form, k + 1 FROM paths p JOIN forms f ON f.word = p.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, k) AS root FROM paths GROUP BY word) USING (word)
+"""
