@@ -3,9 +3,13 @@
 An exit depends on the candidate and the rule, not on the cost scenario: it is found once
 per (candidate, rule) and then crossed with the scenarios.
 
-Only three facts about a series are needed, and none needs a scan of a whole key in one
-task: the points at or next to a few probe times (``asof``), the points inside the holding
-period (joined on (candidate, time slice)), and the running peak among those.
+All rules of a candidate share its entry, so the series meet the entries, not the jobs, and the
+rules are columns.  What is known at fixed times (the entry and the end of each holding period)
+and the first fall below a fixed threshold are conditional minima and maxima, for all rules in one
+aggregation that is combined before the shuffle: nothing is sorted, and a hot candidate sends a
+few rows from each task.  The trailing stop compares with the running peak.  It is searched through an
+index of hour slices: from the lowest and highest price of each slice and the peak carried into it
+follows which slices can hold a stop of any rule, and only their points are read again and sorted.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marketlab.functions import costs, ids
 from marketlab.functions.timecols import HOUR_MS, slice_no
-from marketlab.operators.asof import asof
+from marketlab.operators.joins import salted_join
 from marketlab.operators.slices import before, upto
 from marketlab.schemas import ACTIVE_TOKEN, NEW_TOKEN
 from marketlab.session import materialize
@@ -35,7 +39,7 @@ REQUIRED = {
 }
 # Fixed exit reasons.
 INITIAL_STOP, MAX_DURATION, LIQUIDITY_DROP = "INITIAL_STOP", "MAX_DURATION", "LIQUIDITY_DROP"
-JOB = ["candidate_id", "rule_no"]
+ENTRY = ["candidate_id", "source", "entry_signal_time"]
 
 
 def rule(kind: str, entry: str, hold=None, trail=None, stop=None, drop=None, max_hold=None):
@@ -94,128 +98,120 @@ def valid_rules(rules: DataFrame) -> DataFrame:
     return rules.where(ok)
 
 
-def jobs_of(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """Candidates with the rules of their own source; the rule table is a short literal."""
-    r = F.broadcast(valid_rules(rules))
-    return candidates.join(r, candidates["source"] == r["entry_event_type"]).select(
-        *[c for c in candidates.columns if c != "discovered_at"],
-        F.col("discovered_at").alias("entry_signal_time"),
-        *[c for c in r.columns],
-        (F.col("discovered_at") + F.coalesce("hold_duration_ms", "max_hold_duration_ms"))
-        .alias("end_time"),
-        # points at the entry time itself never count
-        (F.col("discovered_at") + F.greatest(F.col("max_hold_duration_ms"), F.lit(1)))
-        .alias("over_time"))
-
-
-def _ask(jobs: DataFrame, series: DataFrame, value: str, times: dict[str, Column]) -> DataFrame:
-    """Look up the series at several named times of every job, in one as-of pass.
-
-    Adds ``<name>_known`` (value at or before the time), ``<name>_next`` and
-    ``<name>_next_ts`` (at or after it), ``first_known`` and ``series_start``.
-    """
-    asked = F.array(*[F.struct(F.lit(n).alias("name"), t.cast("long").alias("at"))
-                      for n, t in times.items()])
-    probes = jobs.select("*", F.explode(asked).alias("_ask")).select(
-        *jobs.columns, F.col("_ask.name").alias("_name"), F.col("_ask.at").alias("_time")
-    ).where("_time is not null")
-    found = asof(probes, series, [value], "_time", forward=True)
-
-    def pick(name: str, col: str) -> Column:
-        return F.max(F.when(F.col("_name") == name, F.col(col)))
-
-    return found.groupBy(*jobs.columns).agg(
-        F.max(f"first_{value}").alias("first_known"), F.max("first_ts").alias("series_start"),
-        *[pick(n, f"prev_{value}").alias(f"{n}_known") for n in times],
-        *[pick(n, f"next_{value}").alias(f"{n}_next") for n in times],
-        *[pick(n, "next_ts").alias(f"{n}_next_ts") for n in times])
-
-
-def _of(family: str) -> Column:
-    return F.col("strategy_type") == family
-
-
-def with_entry_liquidity(jobs: DataFrame, liquidity: DataFrame) -> DataFrame:
-    """Liquidity known at entry, and around the end of the holding period."""
-    found = _ask(jobs, liquidity, "liquidity", {
-        "entry": F.col("entry_signal_time"),
-        "end": F.when(_of(ids.LIQUIDITY_GUARD), F.col("over_time"))})
-    return found.select(
-        *jobs.columns, F.col("series_start").isNotNull().alias("has_liquidity"),
-        F.col("entry_known").alias("entry_liquidity"),
-        F.col("end_known").alias("end_liquidity"), F.col("end_next_ts").alias("next_liq_ts"),
-        F.col("end_next").alias("next_liquidity"))
-
-
-def with_prices(jobs: DataFrame, price: DataFrame) -> DataFrame:
-    """Price at entry, at the end of the period, right after it, and at a liquidity drop."""
-    found = _ask(jobs, price, "price", {
-        "entry": F.col("entry_signal_time"),
-        "end": F.when(_of(ids.TIME_EXIT), F.col("end_time")).otherwise(F.col("over_time")),
-        "drop": F.col("drop_ts")})
-
-    def known(name: str) -> Column:
-        return F.coalesce(f"{name}_known", "first_known")
-
-    return found.select(
-        *jobs.columns, known("entry").alias("entry_signal_price"), known("end").alias("end_price"),
-        F.col("end_next_ts").alias("next_price_ts"), F.col("end_next").alias("next_price"),
-        known("drop").alias("drop_price"))
-
-
-def _held(jobs: DataFrame, applies: Column, series: DataFrame, value: str,
-          horizon_ms: int) -> DataFrame:
-    """Jobs with the points strictly inside their holding period (one NULL point if none).
-
-    A job is repeated once per slice of its holding period (at most ten) and the series
-    joined on (candidate, slice), so a hot candidate is spread over its slices.
-    """
-    width = max(HOUR_MS, horizon_ms // 8)
-    spans = F.sequence(slice_no("entry_signal_time", width), slice_no("end_time", width))
-    # a slice before all times keeps the jobs that the rule does not concern
-    spread = jobs.where("candidate_id is not null").withColumn("_span", F.explode(
-        F.when(applies, spans).otherwise(F.array(F.lit(-(2**62)).cast("long")))))
-    points = series.select(F.col("candidate_id").alias("_cand"), F.col("timestamp_ms").alias("_t"),
-                           F.col(value).alias("_x"),
-                           slice_no("timestamp_ms", width).alias("_point_span"))
-    return spread.join(
-        points,
-        (F.col("candidate_id") == F.col("_cand")) & (F.col("_span") == F.col("_point_span"))
-        & (F.col("_t") > F.col("entry_signal_time")) & (F.col("_t") < F.col("end_time")),
-        "left")
-
-
-def with_guard_hits(jobs: DataFrame, liquidity: DataFrame, horizon_ms: int) -> DataFrame:
-    """First drop below the threshold inside the period, and the lowest liquidity there."""
-    held = _held(jobs, _of(ids.LIQUIDITY_GUARD) & F.col("entry_liquidity").isNotNull(),
-                 liquidity, "liquidity", horizon_ms)
-    threshold = F.col("entry_liquidity") * (1 - F.col("liquidity_drop_pct"))
-    at = F.when(F.col("_x") < threshold, F.col("_t"))
-    return held.groupBy(*jobs.columns).agg(
-        F.min(at).alias("drop_ts"), F.min_by("_x", at).alias("drop_liquidity"),
-        F.min("_x").alias("min_held"))
-
-
-def with_trailing_hits(jobs: DataFrame, price: DataFrame, horizon_ms: int) -> DataFrame:
-    """First stop inside the period with its price and peak, and the highest price there."""
-    held = _held(jobs, _of(ids.TRAILING_STOP) & F.col("entry_signal_price").isNotNull(),
-                 price, "price", horizon_ms)
-    x, entry = F.col("_x"), F.col("entry_signal_price")
-    rows = held.withColumn("_own_top", F.max(x).over(upto(
-        Window.partitionBy(*JOB, "_span").orderBy("_t"))))
-    # reads every job column, so both branches share one shuffle
-    edges = rows.groupBy(*JOB, "_span").agg(F.max("_own_top").alias("_top"))
-    carried = edges.select(
-        *JOB, "_span",
-        F.max("_top").over(before(Window.partitionBy(*JOB).orderBy("_span"))).alias("_carried"))
-    joined = rows.join(carried, [*JOB, "_span"], "left")
-    peak = F.greatest(entry, F.col("_own_top"), F.col("_carried"))
-    stopped = (x <= entry * (1 - F.col("initial_stop_pct"))) | (
-        x <= F.col("_peak") * (1 - F.col("trail_pct")))
-    at = F.when(stopped, F.col("_t"))
-    return joined.withColumn("_peak", peak).groupBy(*jobs.columns).agg(
-        F.min(at).alias("stop_ts"), F.min_by(x, at).alias("stop_price"),
-        F.min_by("_peak", at).alias("stop_peak"), F.max(x).alias("max_held"))
+def _has_all(rule: tuple) -> bool:
+    """Whether a rule is of a known family and has its parameters."""
+    given = dict(zip(RULE_COLUMNS, rule))
+    return rule[0] in REQUIRED and all(given[name] is not None for name in REQUIRED[rule[0]])
+
+
+class _Facts:
+    """Distinct parameters of a list of rules, and where each rule finds its own in the arrays of facts."""
+
+    def __init__(self, rules: list[tuple]):
+        self.rules = [(i, dict(zip(RULE_COLUMNS, r))) for i, r in enumerate(rules) if _has_all(r)]
+        self.ends = sorted({self._end(r) for _, r in self.rules})
+        self.guard_ends = sorted({self._end(r) for _, r in self._of(ids.LIQUIDITY_GUARD)})
+        self.guards = sorted({self._guard(r) for _, r in self._of(ids.LIQUIDITY_GUARD)})
+        self.trails = sorted({self._trail(r) for _, r in self._of(ids.TRAILING_STOP)})
+
+    def _of(self, family: str):
+        return [(i, r) for i, r in self.rules if r["strategy_type"] == family]
+
+    @staticmethod
+    def _end(r: dict) -> int:
+        """Time from the entry to the end; points at the entry time itself never count."""
+        return r["hold_duration_ms"] if r["strategy_type"] == ids.TIME_EXIT else max(r["max_hold_duration_ms"], 1)
+
+    @staticmethod
+    def _guard(r: dict) -> tuple:
+        return r["liquidity_drop_pct"], r["max_hold_duration_ms"]
+
+    @staticmethod
+    def _trail(r: dict) -> tuple:
+        return r["trail_pct"], r["initial_stop_pct"], r["max_hold_duration_ms"]
+
+    def places(self, spark: SparkSession) -> DataFrame:
+        """Positions (from 1) in the arrays, by rule; a literal relation."""
+        rows = []
+        for i, r in self.rules:
+            kind = r["strategy_type"]
+            guard = kind == ids.LIQUIDITY_GUARD
+            rows.append((i, self.ends.index(self._end(r)) + 1, self.guard_ends.index(self._end(r)) + 1 if guard else None,
+                         self.guards.index(self._guard(r)) + 1 if guard else None,
+                         self.trails.index(self._trail(r)) + 1 if kind == ids.TRAILING_STOP else None))
+        return costs.inline_table(spark, {"rule_no": "int", "at_end": "int", "at_guard_end": "int", "at_guard": "int", "at_trail": "int"}, rows)
+
+
+def _met(series: DataFrame, value: str, entries: DataFrame) -> DataFrame:
+    """Points (_t, _x) with the entries of their candidate; a hot candidate is spread by time."""
+    points = series.select("candidate_id", F.col("timestamp_ms").alias("_t"), F.col(value).alias("_x"))
+    return salted_join(points, entries, "candidate_id", "_t", "inner")
+
+
+def _listed(columns: list[Column], kind: str) -> Column:
+    return F.array(*columns) if columns else F.array().cast(f"array<{kind}>")
+
+
+def known_around(entries: DataFrame, series: DataFrame, value: str, ends: list[int]) -> DataFrame:
+    """Per entry: the series' first value, the one known at the entry, and by end: the one known
+    there, and time and value of the first point at or after it."""
+    t, x, at = F.col("_t"), F.col("_x"), F.col("entry_signal_time")
+    known = [F.max_by(x, F.when(t <= at + e, t)) for e in ends]
+    later = [F.when(t >= at + e, t) for e in ends]
+    return _met(series, value, entries).groupBy(*ENTRY).agg(
+        F.min_by(x, t).alias(f"{value}_first"), F.max_by(x, F.when(t <= at, t)).alias(f"{value}_entry"),
+        _listed(known, "double").alias(f"{value}_ends"), _listed([F.min(u) for u in later], "long").alias(f"{value}_next_ts"),
+        _listed([F.min_by(x, u) for u in later], "double").alias(f"{value}_next"))
+
+
+def guard_hits(entries: DataFrame, liquidity: DataFrame, guards: list[tuple]) -> DataFrame:
+    """Per entry and guard: the first drop below its threshold inside the period, and the lowest liquidity there."""
+    t, x, at = F.col("_t"), F.col("_x"), F.col("entry_signal_time")
+    inside = (t > at) & (t < at + max(g[1] for g in guards))
+    hits, lows = [], []
+    for drop, hold in guards:
+        hits.append(F.when((t < at + hold) & (x < F.col("liquidity_entry") * (1 - F.lit(drop))), t))
+        lows.append(F.min(F.when(t < at + hold, x)))
+    return _met(liquidity, "liquidity", entries.select(*ENTRY, "liquidity_entry")).where(inside).groupBy(*ENTRY).agg(
+        F.array(*[F.min(h) for h in hits]).alias("drop_ts"), F.array(*[F.min_by(x, h) for h in hits]).alias("drop_liquidity"),
+        F.array(*lows).alias("min_held"))
+
+
+def prices_inside(entries: DataFrame, price: DataFrame, facts: _Facts) -> DataFrame:
+    """Per entry: the last price up to each drop, and the highest price inside each trailing period."""
+    t, x, at = F.col("_t"), F.col("_x"), F.col("entry_signal_time")
+    until = max([g[1] for g in facts.guards] + [r[2] for r in facts.trails])
+    drops = [F.max_by(x, F.when(t <= F.col("drop_ts")[i], t)) for i in range(len(facts.guards))]
+    tops = [F.max(F.when(t < at + r[2], x)) for r in facts.trails]
+    return _met(price, "price", entries.select(*ENTRY, "drop_ts")).where((t > at) & (t < at + until)).groupBy(*ENTRY).agg(
+        _listed(drops, "double").alias("drop_price"), _listed(tops, "double").alias("max_held"))
+
+
+def trailing_hits(entries: DataFrame, price: DataFrame, trails: list[tuple]) -> DataFrame:
+    """Per entry and trailing rule: time, price and peak of the first stop inside the period."""
+    t, x, at, entry = F.col("_t"), F.col("_x"), F.col("entry_signal_time"), F.col("price_entry")
+    inside = (t > at) & (t < at + max(r[2] for r in trails))
+    hour = slice_no("_t", HOUR_MS)
+    met = _met(price, "price", entries.select(*ENTRY, "price_entry")).where(inside).withColumn("_hour", hour)
+    slices = met.groupBy(*ENTRY, "price_entry", "_hour").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    earlier = before(Window.partitionBy(*ENTRY).orderBy("_hour"))
+    slices = slices.withColumn("_carried", F.greatest("price_entry", F.max("_high").over(earlier)))
+    top, low = F.greatest("_carried", "_high"), F.col("_low")
+    possible = F.lit(False)
+    for trail, stop, _ in trails:
+        possible = possible | (low <= entry * (1 - F.lit(stop))) | (low <= top * (1 - F.lit(trail)))
+    slices = slices.where(possible).select(*ENTRY, "price_entry", "_hour", "_carried")
+    # only the points of those hours move, each hour of a hot candidate on its own
+    points = price.select("candidate_id", F.col("timestamp_ms").alias("_t"), F.col("price").alias("_x"),
+                          slice_no("timestamp_ms", HOUR_MS).alias("_hour"))
+    rows = points.join(slices, ["candidate_id", "_hour"]).where(inside)
+    peak = F.greatest("_carried", F.max(x).over(upto(Window.partitionBy(*ENTRY, "_hour").orderBy("_t"))))
+    rows = rows.withColumn("_peak", peak)
+    stops = [F.when((t < at + hold) & ((x <= entry * (1 - F.lit(stop))) | (x <= F.col("_peak") * (1 - F.lit(trail)))), t)
+             for trail, stop, hold in trails]
+    return rows.groupBy(*ENTRY).agg(
+        F.array(*[F.min(u) for u in stops]).alias("stop_ts"), F.array(*[F.min_by(x, u) for u in stops]).alias("stop_price"),
+        F.array(*[F.min_by("_peak", u) for u in stops]).alias("stop_peak"))
 
 
 def _rejection() -> Column:
@@ -231,38 +227,60 @@ def _rejection() -> Column:
     )
 
 
-def _nulls(df: DataFrame, **columns: str) -> DataFrame:
-    return df.withColumns({n: F.lit(None).cast(t) for n, t in columns.items()})
-
-
 def evaluate(candidates: DataFrame, price: DataFrame, liquidity: DataFrame,
              rules: list[tuple] | None = None, stage=materialize) -> DataFrame:
     """One row per (candidate, rule): the exit, or the reason why there is none.
 
-    The narrow job table is staged between the passes over the series, so that no pass is
+    The narrow table of entries is staged between the passes over the series, so that no pass is
     planned or run twice; ``stage`` can be replaced, e.g. by a function that does nothing.
     """
     spark = candidates.sparkSession
     rules = default_rules() if rules is None else rules
-    families = {r[0] for r in rules}
-
-    def horizon(family: str) -> int:
-        return max([r[6] or 0 for r in rules if r[0] == family], default=0)
-
-    jobs = jobs_of(candidates.select("candidate_id", "source", "discovered_at"),
-                   rule_table(spark, rules))
-    jobs = with_entry_liquidity(jobs, liquidity)
-    if ids.LIQUIDITY_GUARD in families:
-        jobs = stage(with_guard_hits(jobs, liquidity, horizon(ids.LIQUIDITY_GUARD)), "jobs-guard")
+    facts = _Facts(rules)
+    entries = candidates.where("candidate_id is not null and discovered_at is not null").select(
+        "candidate_id", "source", F.col("discovered_at").alias("entry_signal_time")).where(
+        F.col("source").isin(sorted({r["entry_event_type"] for _, r in facts.rules if r["entry_event_type"]}))).distinct()
+    known = entries.join(known_around(entries, liquidity, "liquidity", facts.guard_ends), ENTRY, "left").join(
+        known_around(entries, price, "price", facts.ends), ENTRY, "left")
+    known = known.withColumn("price_entry", F.coalesce("price_entry", "price_first"))
+    known = stage(known, "entries")
+    if facts.guards:
+        drops = guard_hits(known.where("liquidity_entry is not null"), liquidity, facts.guards)
+        known = stage(known.join(drops, ENTRY, "left"), "entries-drops")
+    else:
+        known = known.withColumns({"drop_ts": F.lit(None).cast("array<long>"), **{
+            c: F.lit(None).cast("array<double>") for c in ("drop_liquidity", "min_held")}})
+    if facts.guards or facts.trails:
+        known = known.join(prices_inside(known, price, facts), ENTRY, "left")
     else:
-        jobs = _nulls(jobs, drop_ts="long", drop_liquidity="double", min_held="double")
-    jobs = with_prices(jobs, price)
-    if ids.TRAILING_STOP in families:
-        jobs = with_trailing_hits(stage(jobs, "jobs-price"), price, horizon(ids.TRAILING_STOP))
+        known = known.withColumns({c: F.lit(None).cast("array<double>") for c in ("drop_price", "max_held")})
+    if facts.trails:
+        known = known.join(trailing_hits(known.select(*ENTRY, "price_entry").where("price_entry is not null"), price, facts.trails), ENTRY, "left")
     else:
-        jobs = _nulls(jobs, stop_ts="long", stop_price="double", stop_peak="double",
-                      max_held="double")
-    return _decide(jobs)
+        known = known.withColumns({"stop_ts": F.lit(None).cast("array<long>"), **{
+            c: F.lit(None).cast("array<double>") for c in ("stop_price", "stop_peak")}})
+    return _decide(_jobs(known, rule_table(spark, rules).join(F.broadcast(facts.places(spark)), "rule_no")))
+
+
+def _jobs(known: DataFrame, rules: DataFrame) -> DataFrame:
+    """Entries with the rules of their source, each with its own facts; the rule table is a short literal."""
+    def at(facts: str, place: str) -> Column:
+        return F.try_element_at(facts, F.col(place))
+
+    r = F.broadcast(rules)
+    jobs = known.join(r, known["source"] == r["entry_event_type"])
+    return jobs.select(
+        *ENTRY, *[F.col(c) for c in rules.columns if not c.startswith("at_")],
+        (F.col("entry_signal_time") + F.coalesce("hold_duration_ms", "max_hold_duration_ms")).alias("end_time"),
+        F.col("liquidity_ends").isNotNull().alias("has_liquidity"), F.col("liquidity_entry").alias("entry_liquidity"),
+        at("liquidity_ends", "at_guard_end").alias("end_liquidity"), at("liquidity_next_ts", "at_guard_end").alias("next_liq_ts"),
+        at("liquidity_next", "at_guard_end").alias("next_liquidity"),
+        F.col("price_entry").alias("entry_signal_price"), F.coalesce(at("price_ends", "at_end"), "price_first").alias("end_price"),
+        at("price_next_ts", "at_end").alias("next_price_ts"), at("price_next", "at_end").alias("next_price"),
+        at("drop_ts", "at_guard").alias("drop_ts"), at("drop_liquidity", "at_guard").alias("drop_liquidity"),
+        at("min_held", "at_guard").alias("min_held"), F.coalesce(at("drop_price", "at_guard"), "price_entry").alias("drop_price"),
+        at("stop_ts", "at_trail").alias("stop_ts"), at("stop_price", "at_trail").alias("stop_price"),
+        at("stop_peak", "at_trail").alias("stop_peak"), at("max_held", "at_trail").alias("max_held"))
 
 
 def _decide(jobs: DataFrame) -> DataFrame:

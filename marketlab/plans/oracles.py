@@ -916,6 +916,9 @@ def _tables() -> dict[str, str]:
            2 AS event_index, slot, (timestamp // 1000) * 1000 AS timestamp
     FROM swap_events WHERE slot % 7 <> 0 AND slot % 3 < 2"""),
         "stream_new_token": _with(_new("true")),
+        "stream_first_seen": _with("""
+    SELECT * FROM even UNION ALL SELECT * FROM odd WHERE mint NOT IN (SELECT mint FROM even)""",
+            even=_new(f"{UNSEEN} AND slot % 2 = 0"), odd=_new(f"{UNSEEN} AND slot % 2 = 1")),
         "stream_slot_buffer": _with("SELECT * FROM swap_events"),
         "stream_enriched": _with("""
     SELECT CASE WHEN CAST(mint AS BIGINT) % 3 = 0 THEN 'c' || mint END AS candidate_id, mint,

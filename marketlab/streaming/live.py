@@ -130,6 +130,14 @@ class LivePipeline:
             if parts is not None:
                 parts.store = store
 
+    def on_first_seen(self, batch: DataFrame, batch_id: int) -> None:
+        """New candidates that keyed state let through."""
+        mark = intermediates_mark()
+        try:  # stored first: every look at the batch would go through the state again
+            self.store.append_unique(materialize(batch, "first-seen"), "token_candidates", "skip", staged=True)
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
     def on_logs(self, batch: DataFrame, batch_id: int, accounts: DataFrame | None = None) -> None:
         """Transactions of all programs, decoded in one pass; their events go on as ``on_events``.
 
@@ -253,6 +261,14 @@ class LivePipeline:
             if parts is not None:
                 parts.store = store
 
+    def on_first_seen(self, batch: DataFrame, batch_id: int) -> None:
+        """New candidates that keyed state let through."""
+        mark = intermediates_mark()
+        try:  # stored first: every look at the batch would go through the state again
+            self.store.append_unique(materialize(batch, "first-seen"), "token_candidates", "skip", staged=True)
+        finally:
+            discard_intermediates(self.store.spark, mark)
+
     def on_logs(self, batch: DataFrame, batch_id: int, accounts: DataFrame | None = None) -> None:
         """Transactions of all programs, decoded in one pass; their events go on as ``on_events``.
 
@@ -376,8 +392,7 @@ class LivePipeline:
         """
         found = first_swaps(swaps, self.store.read("token_candidates"))
         with rocksdb_state(self.store.spark):
-            return self._start(found, lambda batch, _: self.store.append_unique(batch, "token_candidates", "skip") and None,
-                               checkpoint, once)
+            return self._start(found, self.on_first_seen, checkpoint, once)
 
     def run_liquidity(self, events: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         return self._start(events, self.on_liquidity, checkpoint, once)
