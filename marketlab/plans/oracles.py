@@ -534,6 +534,12 @@ def _exits() -> dict[str, str]:
         "trailing_stop": _with("SELECT * EXCLUDE (source) FROM trailing_exit", **_EXITS),
         "liquidity_guard": _with("SELECT * EXCLUDE (source) FROM guard", **_EXITS),
         "trade_records": _with("SELECT * FROM trades", **_EXITS),
+        "exits_hot": _with("""
+    SELECT candidate_id, source, 'TIME_EXIT' AS strategy_type, * EXCLUDE (candidate_id, source), CAST(NULL AS DOUBLE) AS peak_price, CAST(NULL AS DOUBLE) AS min_liquidity FROM time_exit
+    UNION ALL BY NAME SELECT *, 'TRAILING_STOP' AS strategy_type, CAST(NULL AS DOUBLE) AS min_liquidity FROM trailing_exit
+    UNION ALL BY NAME SELECT *, 'LIQUIDITY_GUARD' AS strategy_type, CAST(NULL AS DOUBLE) AS peak_price FROM guard""",
+            **_EXITS, ev=_events(hot=True), ev0=_events(hot=True), token_candidates=f"""
+    SELECT key AS candidate_id, 'NEW_TOKEN' AS source, min(timestamp) + {5 * DAY} AS discovered_at FROM ev0 GROUP BY key"""),
         "rejected_jobs": _with(f"""
     SELECT candidate_id, source, 'LIQUIDITY_GUARD_' || source || '_drop80_{3 * DAY}ms' AS strategy_id,
            'entry liquidity cannot be determined' AS reason

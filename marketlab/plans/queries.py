@@ -314,6 +314,15 @@ def q_trades(d):
     return trades_of(d)
 
 
+@query("exits_hot")
+def q_exits_hot(d):
+    """The default and the swept rules where one candidate has a third of all points."""
+    h = hot(d)
+    entries = h.events().groupBy(F.col("key").alias("candidate_id")).agg((F.min("timestamp") + 5 * DAY_MS).alias("discovered_at"))
+    entries = materialize(entries.withColumn("source", F.lit("NEW_TOKEN")), "entries")
+    return exits.exits(exits.evaluate(entries, materialize(price_of(h), "price"), materialize(liquidity_of(h), "liquidity"), demo_rules())).drop("rule_no")
+
+
 @query("parameter_sweep")
 def q_sweep(d):
     """All 22 rules of the sweep with hours instead of minutes."""

@@ -90,45 +90,42 @@ def test_rule_validation(spark):
         r[0] for r in rows_of(grid, "strategy_id")}
 
 
-# --- set form against plain loops ---------------------------------------------------------
+# --- against the definition: the least of all times at which a rule may stop ----------------
 
-def price_at(points, t):
+def value_at(points, t):
     known = [p for ts, p in points if ts <= t]
     return known[-1] if known else points[0][1]
 
 
-def loop_trailing(points, entry, pct, stop, hold):
-    start = peak = price_at(points, entry)
-    for t, p in points:
-        if t <= entry:
-            continue
-        peak = max(peak, p)
-        if p <= start * (1 - stop):
-            return "INITIAL_STOP", t, p, peak
-        if p <= peak * (1 - pct):
-            return "TRAILING_STOP", t, p, peak
-        if t - entry >= hold:
-            return "MAX_DURATION", t, p, peak
-    return "MAX_DURATION", entry + hold, price_at(points, entry + hold), peak
-
-
-def loop_guard(points, liq, entry, drop, hold):
-    start = [x for t, x in liq if t <= entry][-1]
-    low, floor = start, start * (1 - drop)
-    for t in sorted({t for t, _ in points} | {t for t, _ in liq}):
-        if t <= entry:
-            continue
-        now = [x for ts, x in liq if ts <= t][-1]
-        low = min(low, now)
-        if now < floor:
-            return "LIQUIDITY_DROP", t, price_at(points, t), low
-        if t - entry >= hold:
-            return "MAX_DURATION", t, price_at(points, t), low
-    return "MAX_DURATION", entry + hold, price_at(points, entry + hold), low
+def defined_trailing(points, entry, pct, stop, hold):
+    start = value_at(points, entry)
+    after = [(t, p) for t, p in points if t > entry]
+    peak = {t: max([start] + [p for u, p in after if u <= t]) for t, _ in after}
+    stops = {
+        "INITIAL_STOP": {t for t, p in after if p <= start * (1 - stop)},
+        "TRAILING_STOP": {t for t, p in after if p <= peak[t] * (1 - pct)},
+        "MAX_DURATION": {t for t, _ in after if t >= entry + hold}}
+    every = set().union(*stops.values())
+    if not every:
+        return "MAX_DURATION", entry + hold, value_at(points, entry + hold), max([start] + [p for _, p in after])
+    first = min(every)
+    return next(r for r, times in stops.items() if first in times), first, value_at(points, first), peak[first]
+
+
+def defined_guard(points, liq, entry, drop, hold):
+    times = {t for t, _ in points + liq if t > entry}
+    start = value_at(liq, entry)
+    stops = {
+        "LIQUIDITY_DROP": {t for t in times if value_at(liq, t) < start * (1 - drop)},
+        "MAX_DURATION": {t for t in times if t >= entry + hold}}
+    every = set().union(*stops.values())
+    first = min(every) if every else entry + hold
+    low = min([start] + [value_at(liq, t) for t in times if t <= first or not every])
+    return next((r for r, ts in stops.items() if first in ts), "MAX_DURATION"), first, value_at(points, first), low
 
 
 @pytest.mark.parametrize("scale", [MIN, 40 * MIN])
-def test_set_form_equals_loops(spark, scale):
+def test_set_form_equals_the_definition(spark, scale):
     rnd = random.Random(7)
     pf = lf = None  # one frame per series
     cands, data, hold = [], {}, 60 * scale
@@ -156,10 +153,10 @@ def test_set_form_equals_loops(spark, scale):
     for r in out:
         pts, liq, entry = data[r["candidate_id"]]
         if r["strategy_type"] == ids.TRAILING_STOP:
-            want = loop_trailing(pts, entry, *sets[r["rule_no"]])
+            want = defined_trailing(pts, entry, *sets[r["rule_no"]])
             got = (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["peak_price"])
         else:
-            want = loop_guard(pts, liq, entry, *sets[r["rule_no"]])
+            want = defined_guard(pts, liq, entry, *sets[r["rule_no"]])
             got = (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["min_liquidity"])
         assert got == want, r["candidate_id"]
         seen.add((r["strategy_type"], r["exit_reason"]))
@@ -178,3 +175,34 @@ def test_costs(spark):
     assert r["outcome"] == pytest.approx((out - entry) / entry - cost / entry)
     assert r["outcome_class"] == "WIN" and r["hold_duration_ms"] == 300_000
     assert r["entry_actual_time"] == 1500
+
+
+def test_a_sweep_over_slices_and_gaps_equals_the_definition(spark):
+    """Many rules at once; prices that fall only later in an hour whose low already lies below its high."""
+    rnd, hour = random.Random(11), 3_600_000
+    cands, data, ps, ls = [], {}, [], []
+    for i in range(12):
+        cid = f"c{i:02d}"
+        pts = sorted({rnd.randrange(1, 30 * hour // (1 + i % 3)): round(math.exp(rnd.gauss(0, 0.4)), 3) for _ in range(rnd.choice([2, 40, 150]))}.items())
+        liq = sorted({rnd.randrange(0, 30 * hour): float(rnd.randint(20, 150)) for _ in range(25)}.items())
+        entry = max(liq[0][0], rnd.choice([1, pts[0][0], pts[0][0] + hour // 2]))
+        data[cid] = (pts, liq, entry)
+        cands.append({"candidate_id": cid, "discovered_at": entry})
+        ps += [(cid, t, t, p, 1.0, 1) for t, p in pts]
+        ls += [(cid, t, t, x, x, x) for t, x in liq]
+    from marketlab import schemas
+    sets = [(p, s, h * hour) for p in (0.05, 0.3, 0.6) for s in (0.1, 0.5) for h in (0, 1, 9)]
+    guards = [(p, h * hour) for p in (0.1, 0.4) for h in (0, 2, 12)]
+    rules = [r for x in sets for r in trail(*x)] + [r for x in guards for r in guard(*x)]
+    out = exits.evaluate(candidates(spark, cands), spark.createDataFrame(ps, schemas.PRICE_TIMESERIES),
+                         spark.createDataFrame(ls, schemas.LIQUIDITY_TIMESERIES), rules).collect()
+    assert len(out) == 12 * len(rules)
+    for r in out:
+        pts, liq, entry = data[r["candidate_id"]]
+        n = r["rule_no"]
+        if n < len(sets):
+            want = defined_trailing(pts, entry, *sets[n])
+            assert (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["peak_price"]) == want, (r["candidate_id"], sets[n])
+        else:
+            want = defined_guard(pts, liq, entry, *guards[n - len(sets)])
+            assert (r["exit_reason"], r["exit_signal_time"], r["exit_signal_price"], r["min_liquidity"]) == want, (r["candidate_id"], guards[n - len(sets)])
