@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 from marketlab.functions.timecols import utc_day
 from marketlab.schemas import EVENT_ORDER
+from marketlab.session import materialize
 
 # Fixed tie order of the merged stream.
 LIQUIDITY_FIRST = {"liquidity": 0, "swap": 1}
 
 
-def canonical_sort(events: DataFrame) -> DataFrame:
-    """Global event order, for sinks; a range-partitioned sort."""
-    return events.orderBy(*EVENT_ORDER)
+def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds the row's place, from 0, in the order of all rows; nothing is sorted in one task.
+
+    Rows are range partitioned and sorted inside their part, then each part starts where the counts of
+    the parts before it end.  The parts are staged once, since a second partitioning could cut
+    elsewhere.  Rows that are equal in all of ``order`` are numbered as they come.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    parts = materialize(parts, "positions")
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each part
+    starts = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return parts.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_id") + F.col("_shift")).alias(name))
+
+
+def canonical_sort(events: DataFrame, *ties: str) -> DataFrame:
+    """Global event order with the position of every event, for sinks."""
+    return with_position(events, [*EVENT_ORDER, *ties])
 
 
 def merged_events(swaps: DataFrame, liquidity: DataFrame) -> DataFrame:

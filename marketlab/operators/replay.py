@@ -61,6 +61,9 @@ def replay_apply(merged: DataFrame, fn: ReplayFn, schema: StructType | str,
     return ordered.mapInPandas(run, schema)
 
 
+FAN, LEVELS = 256, 3  # states that meet in one task, and how often: 256 hours, 256 of those, and the rest
+
+
 def replay_fold(merged: DataFrame, zero: tuple, step: Callable[[tuple, Events], tuple],
                 merge: Callable[[tuple, tuple], tuple], schema: StructType | str,
                 columns: list[str], slice_ms: int = HOUR_MS) -> DataFrame:
@@ -83,15 +86,18 @@ def replay_fold(merged: DataFrame, zero: tuple, step: Callable[[tuple, Events],
     parts = replay_apply(merged, fold, rows_of, list(dict.fromkeys(["timestamp", *columns])), slice_ms)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        # one row per slice of a candidate
         rows = rows.sort_values("_at")
         now = None
         for part in rows[state.names].itertuples(index=False, name=None):
             now = part if now is None else merge(now, part)
-        return pd.DataFrame([(rows["candidate_id"].iloc[0], *now)], columns=["candidate_id", *state.names])
-
-    return parts.groupBy("candidate_id").applyInPandas(
-        join, StructType([*StructType.fromDDL("candidate_id string").fields, *state.fields]))
+        first = rows.iloc[0]
+        return pd.DataFrame([(first["candidate_id"], first["_at"], *now)], columns=rows_of.names)
+
+    # neighbouring slices first, FAN at a time, then neighbours of those: no task holds more states than that
+    for level in range(1, LEVELS):
+        block = F.expr(f"floor(_at / {FAN ** level})")
+        parts = parts.groupBy("candidate_id", block).applyInPandas(join, rows_of)
+    return parts.groupBy("candidate_id").applyInPandas(join, rows_of).drop("_at")
 
 
 class _Groups:

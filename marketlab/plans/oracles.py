@@ -854,6 +854,16 @@ def _quality() -> dict[str, str]:
     return out
 
 
+_LATEST = f"""
+    SELECT candidate_id, mint, name, symbol, decimals, supply, fetched_at FROM (
+      SELECT CAST(user_id AS VARCHAR) || '-' || CAST(day AS VARCHAR) AS candidate_id,
+             CAST(user_id AS VARCHAR) AS mint, 'Token ' || user_id AS name, 'T' || user_id AS symbol,
+             CAST(count(*) AS INTEGER) AS decimals, max(value) AS supply, day AS fetched_at,
+             row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn
+      FROM (SELECT *, (epoch_us(ts) // 1000 // {DAY}) * {DAY} AS day FROM events) GROUP BY user_id, day)
+    WHERE rn = 1"""
+
+
 def _tables() -> dict[str, str]:
     base = "candidate_id, slot, tx_signature, event_index, timestamp"
     stats = """
@@ -865,11 +875,13 @@ def _tables() -> dict[str, str]:
     UNION ALL
     SELECT {base}, 'liquidity', 0, NULL, liquidity_after FROM liquidity_events"""
     diff = """
-    SELECT trade_id, unnest(list_filter([
-             CASE WHEN n % 5 = 0 THEN 'outcome' END,
-             CASE WHEN n % 7 = 0 AND peak_price IS NOT NULL THEN 'peak_price' END,
-             CASE WHEN n % 11 = 0 THEN 'exit_reason' END], lambda x: x IS NOT NULL)) AS field
-    FROM (SELECT *, CAST(candidate_id AS BIGINT) AS n FROM trades)"""
+    SELECT trade_id, 'outcome' AS field, round(outcome + 1e-3, 6) AS stored_number, CAST(NULL AS VARCHAR) AS stored_text,
+           round(outcome, 6) AS replayed_number, CAST(NULL AS VARCHAR) AS replayed_text FROM trades WHERE CAST(candidate_id AS BIGINT) % 5 = 0
+    UNION ALL
+    SELECT trade_id, 'peak_price', NULL, NULL, round(peak_price, 6), NULL FROM trades
+    WHERE CAST(candidate_id AS BIGINT) % 7 = 0 AND peak_price IS NOT NULL
+    UNION ALL
+    SELECT trade_id, 'exit_reason', NULL, 'OTHER', NULL, exit_reason FROM trades WHERE CAST(candidate_id AS BIGINT) % 11 = 0"""
     out = {
         "merged_events": _with("SELECT * FROM merged", merged=merged),
         "event_statistics": _with(stats, merged=merged),
@@ -903,14 +915,7 @@ def _tables() -> dict[str, str]:
         "resolve_candidates": _with("""
     SELECT CASE WHEN slot % 2 = 0 THEN candidate_id WHEN CAST(mint AS BIGINT) % 3 = 0 THEN 'c' || mint
                 END AS candidate_id, mint, tx_signature, event_index, slot FROM liquidity_events"""),
-        "latest_metadata": f"""
-    SELECT candidate_id, mint, name, symbol, decimals, supply, fetched_at FROM (
-      SELECT CAST(user_id AS VARCHAR) || '-' || CAST(day AS VARCHAR) AS candidate_id,
-             CAST(user_id AS VARCHAR) AS mint, 'Token ' || user_id AS name, 'T' || user_id AS symbol,
-             CAST(count(*) AS INTEGER) AS decimals, max(value) AS supply, day AS fetched_at,
-             row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn
-      FROM (SELECT *, (epoch_us(ts) // 1000 // {DAY}) * {DAY} AS day FROM events) GROUP BY user_id, day)
-    WHERE rn = 1""",
+        "latest_metadata": _LATEST,
         "decode_swaps": _with(f"""
     SELECT mint, 'P' || mint AS pool, tx_signature, 1 AS event_index, slot,
            (timestamp // 1000) * 1000 AS timestamp, CAST(0 AS DOUBLE) AS amount_out
@@ -972,6 +977,15 @@ def _tables() -> dict[str, str]:
 B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 
+# Columns of the trade report by kind.
+TRADE_TEXT = ("trade_id", "candidate_id", "strategy_id", "scenario_id", "exit_reason", "outcome_class")
+TRADE_WHOLE = ("entry_signal_time", "entry_actual_time", "exit_signal_time", "exit_actual_time", "hold_duration_ms")
+TRADE_DOUBLE = (
+    "entry_signal_price", "entry_actual_price", "entry_liquidity", "position_size", "position_value", "exit_signal_price",
+    "exit_actual_price", "entry_cost_sol", "exit_cost_sol", "mev_cost_sol", "total_cost_sol", "total_cost_pct", "gross_return",
+    "outcome", "peak_price", "min_liquidity")
+
+
 def _programs() -> dict[str, str]:
     key = f"repeat('1', 31) || substr('{B58}', CAST(CAST(mint AS BIGINT) % 57 + 2 AS INTEGER), 1)"
     account = "rpad('K' || replace(mint, '0', 'z'), 40, '1')"
@@ -1057,13 +1071,43 @@ def _more_tables() -> dict[str, str]:
              AS aggregates,
            (SELECT count(*) * 3 FROM token_candidates) - (SELECT count(*) // 4 FROM trades) AS errors""",
             **_EXITS, grouped=_grouped("trades", "token_candidates")),
-        "csv_text_trades": _with("""
-    SELECT '"' || trade_id || '"' AS trade_id, '"' || candidate_id || '"' AS candidate_id,
-           '"' || exit_reason || '"' AS exit_reason, CAST(exit_signal_time AS VARCHAR) AS exit_signal_time,
-           printf('%.6f', exit_signal_price) AS exit_signal_price,
-           coalesce(printf('%.6f', peak_price), '') AS peak_price,
-           coalesce(printf('%.6f', min_liquidity), '') AS min_liquidity,
-           '"' || outcome_class || '"' AS outcome_class FROM trades""", **_EXITS),
+        "csv_text_trades": _with(f"""
+    SELECT {', '.join(f"""'"' || {c} || '"' AS {c}""" for c in TRADE_TEXT)},
+           {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in TRADE_WHOLE)},
+           {', '.join(f"coalesce(left(printf('%.6f', {c}), CAST(length(printf('%.6f', {c})) - 2 AS BIGINT)) || '..', '') AS {c}" for c in TRADE_DOUBLE)} FROM trades""", **_EXITS),
+        "csv_text_scenarios": _with(f"""
+    SELECT '"' || strategy_id || '"' AS strategy_id, '"' || entry_event_type || '"' AS entry_event_type,
+           {', '.join(f"printf('%.6f', coalesce(max(outcome_median) FILTER (scenario_id = '{x}'), 0)) AS outcome_{x}"
+                      for x in ("optimistic", "realistic", "pessimistic", "degraded"))} FROM agg GROUP BY 1, 2""", **_WIDE),
+        "ordered_trades": _with("""
+    SELECT row_number() OVER (ORDER BY entry_signal_time, trade_id) - 1 AS position, trade_id, entry_signal_time FROM trades""", **_EXITS),
+        "ordered_events": _with("""
+    SELECT candidate_id, tx_signature, event_index, slot,
+           row_number() OVER (ORDER BY slot, tx_signature, event_index, candidate_id) - 1 AS position FROM swaps_wide"""),
+        "json_report": _LATEST,
+        "token_metadata_decoded": _with("""
+    SELECT candidate_id, mint, CASE WHEN n5 THEN NULL ELSE 'Token ' || mint END AS name, CASE WHEN n5 THEN NULL ELSE 'T' || mint END AS symbol,
+           CAST(CAST(mint AS BIGINT) % 10 AS INTEGER) AS decimals, n / pow(10.0, CAST(mint AS BIGINT) % 10) AS supply, fetched_at
+    FROM token_candidates JOIN (SELECT mint, CAST(mint AS BIGINT) % 5 = 0 AS n5, count(*) AS n, max(timestamp) AS fetched_at
+                                FROM swap_events GROUP BY mint) USING (mint)"""),
+        "replay_determinism": _with("SELECT count(DISTINCT mint) AS candidates, CAST(0 AS BIGINT) AS different FROM swap_events"),
+        "required_fingerprint": _with("""
+    SELECT (SELECT count(*) FROM price) + (SELECT count(*) FROM liq) AS rows, true AS accepted, true AS refused"""),
+        "custom_exit_rule": _with(f"""
+    SELECT candidate_id, exit_reason, exit_signal_time, exit_signal_price FROM time_exit WHERE source = 'NEW_TOKEN'
+    UNION ALL
+    SELECT candidate_id, 'TOP', arg_max(timestamp_ms, (price, -timestamp_ms)), max(price)
+    FROM token_candidates JOIN price USING (candidate_id)
+    WHERE source = 'NEW_TOKEN' AND timestamp_ms >= discovered_at AND timestamp_ms < discovered_at + {5 * DAY} GROUP BY candidate_id""", **_EXITS),
+        "registered_decoder": _with(f"""
+    SELECT mint, 'P' || mint AS pool, tx_signature, 1 AS event_index, slot, (timestamp // 1000) * 1000 AS timestamp,
+           CAST(0 AS DOUBLE) AS amount_out FROM swap_events WHERE slot % 7 <> 0 AND timestamp // 1000 < {EVAL_AT} // 1000"""),
+        "replay_fold_hot": _with("""
+    SELECT candidate_id, count(*) AS events, arg_min(slot, (timestamp // 3600000, slot)) AS first_slot, arg_max(slot, (timestamp // 3600000, slot)) AS last_slot,
+           CAST(coalesce(sum(abs(slot - before)), 0) AS BIGINT) AS moved
+    FROM (SELECT *, lag(slot) OVER (PARTITION BY candidate_id ORDER BY timestamp // 3600000, slot) AS before FROM (
+      SELECT candidate_id, slot, timestamp FROM swaps UNION ALL SELECT candidate_id, slot, timestamp FROM liquidity_events))
+    GROUP BY candidate_id""", ev=_events(hot=True)),
         "stream_active_token": _with(f"""
     SELECT {_cid("'ACTIVE_TOKEN'")} AS candidate_id, 'ACTIVE_TOKEN' AS source, {_CAND[8:]}
     FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY k) AS hit FROM win JOIN last USING (k, mint)

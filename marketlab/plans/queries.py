@@ -15,7 +15,7 @@ from marketlab.operators import (
     asof, discovery, exits, features, joins, metrics, ordering, quality, replay, series, verdict,
     verify)
 from marketlab.plans import pipeline, views
-from marketlab.schemas import TX_LOGS, check_enums
+from marketlab.schemas import TABLES, TX_LOGS, check_enums
 from marketlab.session import materialize, shared_dir
 from marketlab.sources import decode, tables
 from marketlab.sources.adapters import Dataset
@@ -581,7 +581,11 @@ def shifted_trades(d: Dataset) -> tuple[DataFrame, DataFrame]:
 
 @query("trade_diff")
 def q_diff(d):
-    return verify.trade_diff(*shifted_trades(d)).select("trade_id", "field")
+    """Differing fields with both values; numbers to six digits, the rest as text."""
+    number = lambda c: F.round(F.col(c).try_cast("double"), 6)
+    text = lambda c: F.when(F.col(c).try_cast("double").isNull(), F.col(c))
+    return verify.trade_diff(*shifted_trades(d)).select(
+        "trade_id", "field", *[f(c).alias(f"{c}_{n}") for c in ("stored", "replayed") for n, f in (("number", number), ("text", text))])
 
 
 @query("verification_summary")
@@ -821,10 +825,132 @@ def q_statistics(d):
 
 @query("csv_text_trades")
 def q_csv_trades(d):
-    """Trade report lines; six digits of values whose last printed digit is not a tie."""
-    names = ["trade_id", "candidate_id", "exit_reason", "exit_signal_time", "exit_signal_price",
-             "peak_price", "min_liquidity", "outcome_class"]
-    return tables.csv_text(trades_of(d), names)
+    """Trade report lines with all 27 columns; the last two digits are left out, since the last one can be a tie."""
+    lines = tables.csv_text(trades_of(d), TABLES["trade_records"].names)
+    doubles = [f.name for f in TABLES["trade_records"].fields if f.dataType.typeName() == "double"]
+    return lines.withColumns({c: F.regexp_replace(c, r"^(-?[0-9]+[.][0-9]{4})[0-9]{2}$", "$1..") for c in doubles})
+
+
+@query("csv_text_scenarios")
+def q_csv_scenarios(d):
+    """Scenario outcomes with their six columns."""
+    return tables.csv_text(tables.scenario_outcomes(metrics.scenario_sensitivity(stored_aggregates(d))), tables.SCENARIO_CSV)
+
+
+@query("ordered_trades")
+def q_ordered_trades(d):
+    """All trades in report order, with their position in it."""
+    return ordering.with_position(trades_of(d), ["entry_signal_time", "trade_id"]).select("position", "trade_id", "entry_signal_time")
+
+
+@query("ordered_events")
+def q_ordered_events(d):
+    """All events of a day-grain table in canonical order, with their position."""
+    rows = d.swaps_wide().select("candidate_id", "tx_signature", "event_index", "slot")
+    return ordering.canonical_sort(rows, "candidate_id")  # several rows share a position in this table
+
+
+@query("json_report")
+def q_json(d):
+    """The metadata report as JSON files, read back."""
+    path = os.path.join(fresh_folder(d, "json"), "metadata")
+    tables.write_json(tables.latest_metadata(d.token_metadata()), path)
+    return d.spark.read.schema(TABLES["token_metadata"]).json(path)
+
+
+@query("token_metadata_decoded")
+def q_token_metadata(d):
+    """Metadata from the bytes of mint and name accounts; every fifth name is longer than its account."""
+    ev = d.swap_events().groupBy("mint").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("fetched_at"))
+
+    def little(c, size):
+        h = F.lpad(F.hex(c), 2 * size, "0")
+        return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(size))])
+
+    def counted(text):
+        return F.concat(little(F.octet_length(text).cast("long"), 4), F.hex(text))
+
+    decimals = F.col("mint").cast("long") % 10
+    mint = F.concat(F.lit("00" * 36), little(F.col("n"), 8), F.lpad(F.hex(decimals), 2, "0"), F.lit("00" * 37))
+    name, symbol = F.concat(F.lit("Token "), "mint"), F.concat(F.lit("T"), "mint")
+    named = F.when(F.col("mint").cast("long") % 5 == 0, F.concat(F.lit("FFFFFFFF"), F.lit("41" * 40))).otherwise(
+        F.concat(counted(name), counted(symbol), F.lit("00" * 40)))
+    body = lambda c: F.base64(F.unhex(c)).alias("data")
+    return decode.token_metadata(
+        ev.select(F.col("mint").alias("pubkey"), body(mint), "fetched_at"),
+        ev.select("mint", body(F.concat(F.lit("04" + "00" * 64), named))), d.token_candidates())
+
+
+@query("replay_determinism")
+def q_determinism(d):
+    """Rows of two discovery replays that only one of them has: none, of as many as there are candidates."""
+    run = lambda: discovery.replay_discovery(d.swap_events())
+    first, again = run(), run()
+    lost = first.exceptAll(again).unionByName(again.exceptAll(first))
+    return first.agg(F.count(F.lit(1)).alias("candidates")).crossJoin(lost.agg(F.count(F.lit(1)).alias("different")))
+
+
+@query("required_fingerprint")
+def q_required(d):
+    """The digest that a report must have: asked for once more, and refused when the data are others."""
+    now = {"price": price_of(d), "liquidity": liquidity_of(d)}
+    wanted = quality.dataset_fingerprint(now).where("table_name = 'ALL'").first()["digest"]
+    same = quality.require_fingerprint(now, wanted) == wanted
+    try:
+        quality.require_fingerprint({**now, "liquidity": liquidity_of(d).where("slot % 7 > 0")}, wanted)
+        refused = False
+    except quality.FingerprintMismatch:
+        refused = True
+    rows = sum(df.count() for df in now.values())
+    return d.spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(same).alias("accepted"), F.lit(refused).alias("refused"))
+
+
+@query("custom_exit_rule")
+def q_custom_rule(d):
+    """A family of one's own beside a built-in one in the grid: exit at the highest price within the period."""
+    def at_top(candidates, price, liquidity, rules):
+        table = exits.rule_table(d.spark, rules).where("strategy_type = 'AT_TOP'")
+        c = candidates.join(F.broadcast(table), candidates["source"] == table["entry_event_type"])
+        met = c.join(price.withColumnRenamed("slot", "at_slot"), "candidate_id").where(
+            "timestamp_ms >= discovered_at and timestamp_ms < discovered_at + hold_duration_ms")
+        top = F.struct(F.col("price"), -F.col("timestamp_ms"))
+        return met.groupBy("candidate_id", "source", "rule_no", "strategy_type", "strategy_id", "discovered_at").agg(
+            F.min_by("price", "timestamp_ms").alias("entry_signal_price"), F.max_by("timestamp_ms", top).alias("exit_signal_time"),
+            F.max("price").alias("exit_signal_price")).select(
+            "*", F.col("discovered_at").alias("entry_signal_time"), F.lit(None).cast("double").alias("entry_liquidity"),
+            F.lit("TOP").alias("exit_reason"))
+
+    exits.register_exit_rule("AT_TOP", at_top)
+    rules = [exits.rule("AT_TOP", "NEW_TOKEN", hold=5 * DAY_MS), exits.rule(ids.TIME_EXIT, "NEW_TOKEN", hold=5 * DAY_MS)]
+    return exits.trade_records(*stored_series(d), rules).where("scenario_id = 'realistic'").select(
+        "candidate_id", "exit_reason", "exit_signal_time", "exit_signal_price")
+
+
+@query("registered_decoder")
+def q_registered_decoder(d):
+    """A program of one's own takes the place of the others."""
+    own = decode.LogDecoder(lambda: F.filter(F.transform("logs", lambda line, i: decode._event(
+        "swap", i, mint=F.regexp_extract(line, decode.SWAP_TEXT, 1), pool=F.regexp_extract(line, decode.SWAP_TEXT, 2), amount=F.lit(0.0))),
+        lambda e: e["mint"] != ""), "Program log: Swap")
+    return decode.swap_events(tx_logs_of(d), decoders={"own": own}, start_ms=0, end_ms=EVAL_AT)
+
+
+@query("replay_fold_hot")
+def q_replay_fold(d):
+    """State carried over the hours of all candidates, one of which has a third of the events."""
+    h = hot(d)
+    merged = ordering.merged_events(h.swaps(), h.liquidity_events())
+
+    def step(state, batch):
+        values = batch["slot"]
+        steps = abs(int(values[0]) - state[2]) if state[0] else 0
+        return (state[0] + len(values), state[1] if state[0] else int(values[0]), int(values[-1]),
+                state[3] + steps + int(abs(values[1:] - values[:-1]).sum()))
+
+    def merge(a, b):
+        return a[0] + b[0], a[1], b[2], a[3] + b[3] + abs(int(b[1]) - int(a[2]))
+
+    return replay.replay_fold(merged, (0, 0, 0, 0), step, merge, "events long, first_slot long, last_slot long, moved long", ["slot"])
 
 
 # --- streaming ----------------------------------------------------------------------------
