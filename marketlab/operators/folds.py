@@ -1,10 +1,9 @@
 """Order-dependent folds (drawdown, losing streak) over huge groups.
 
 A run of outcomes is summarised by a small row, and two neighbouring summaries combine into
-one.  Rows are range partitioned by (group, time, id), which gives tasks of equal size even
-if one group, hour or millisecond holds most of the rows.  Each task folds its sorted rows
-with numpy, one batch at a time; the summaries of a group, at most one per task, are then
-combined in order.
+one.  Rows are dealt by (group, day), so a group that holds most of the rows is spread over its
+days, and the input is read once.  Each task folds its sorted rows with numpy, one batch at a
+time; the summaries of a group, one for each of its days, are then combined in order.
 """
 
 from __future__ import annotations
@@ -14,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from marketlab.functions.timecols import DAY_MS
 
 # total, highest and lowest prefix sum, deepest fall from a prefix inside the run;
 # length, leading / trailing / longest losing run.
+PIECE = 10_000  # summaries that a task holds before it hands them on
 SUMMARY = ["s", "hi", "lo", "fall", "n", "lead", "trail", "best"]
 
 
@@ -56,21 +57,25 @@ class Run:
 
 
 def _local_runs(df: DataFrame, keys: list[str], time: str, tie: str, outcome: str) -> DataFrame:
-    """One run per (group, task), tasks numbered in range order."""
+    """One run per (group, day)."""
     ordered = (
         df.where(F.col(outcome).isNotNull())
-        .select(*keys, time, tie, F.col(outcome).cast("double").alias("x"),
-                F.xxhash64(*keys).alias("g"))
-        .repartitionByRange(*keys, time, tie).sortWithinPartitions(*keys, time, tie)
-        .select(*keys, "g", "x")
+        .select(*keys, F.expr(f"floor({time} / {DAY_MS})").alias("part"), F.col(time), tie, F.col(outcome).cast("double").alias("x"))
+        .repartition(*keys, "part").sortWithinPartitions(*keys, "part", time, tie)
+        .select(*keys, "part", F.xxhash64(*keys, "part").alias("g"), "x")
     )
     kinds = dict(zip(SUMMARY, [DoubleType()] * 4 + [LongType()] * 4))
     schema = StructType(
-        [df.schema[k] for k in keys] + [StructField("part", IntegerType())]
+        [df.schema[k] for k in keys] + [StructField("part", LongType())]
         + [StructField(n, t) for n, t in kinds.items()])
+    kinds_pa = [pa.string()] * len(keys) + [pa.int64()] + [pa.float64()] * 4 + [pa.int64()] * 4
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = [[r[i] for r in rows] for i in range(len(schema))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_pa)], names=schema.names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, group, key, run, rows = TaskContext.get().partitionId(), None, None, None, []
+        group, key, run, rows = None, None, None, []
         for b in batches:
             g, x = b.column("g").to_numpy(), b.column("x").to_numpy()
             if not len(g):
@@ -82,16 +87,16 @@ def _local_runs(df: DataFrame, keys: list[str], time: str, tie: str, outcome: st
                     run = run.then(piece)
                     continue
                 if run is not None:
-                    rows.append((*key, part, *vars(run).values()))
+                    rows.append((*key, *vars(run).values()))
                 group, run = g[lo], piece
-                key = tuple(b.column(k)[int(lo)].as_py() for k in keys)
+                key = tuple(b.column(k)[int(lo)].as_py() for k in (*keys, "part"))
+            if len(rows) >= PIECE:
+                yield batch_of(rows)
+                rows = []
         if run is not None:
-            rows.append((*key, part, *vars(run).values()))
+            rows.append((*key, *vars(run).values()))
         if rows:
-            cols = [[r[i] for r in rows] for i in range(len(schema))]
-            kinds_pa = [pa.string()] * len(keys) + [pa.int32()] + [pa.float64()] * 4 + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds_pa)], names=schema.names)
+            yield batch_of(rows)
 
     return ordered.mapInArrow(fold, schema)
 
