@@ -11,8 +11,10 @@ Equal vectors of a label are one class.  Crowded cells are cut into parts on bot
 most ``part`` vectors against ``part`` others.  A task returns link counts and a forest of its links, never
 its pairs.
 
-Defined cases: rows whose label is null, or whose vector is null, empty, zero, has null or non-finite
-components or another length than most, link with nothing; a null id is counted as a partner but never
+Vectors of different lengths never link; each length has an index of its own.
+
+Defined cases: rows whose label is null, or whose vector is null, empty, zero, or has null or non-finite
+components link with nothing; a null id is counted as a partner but never
 names a component and is not kept; rows that repeat an id are vectors of their own; an empty table gives
 no rows.  Only ``vec_id``, ``embedding`` and ``label`` are read.
 """
@@ -60,11 +62,12 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
 
 @dataclass
 class MultiIndex:
-    """Two codebooks and the number of cells that a query visits."""
+    """Two codebooks, the number of cells that a query visits, and the recall measured with it."""
 
     first: np.ndarray
     second: np.ndarray
     visit: int = 1
+    recall: float = 1.0
 
     @property
     def cells(self) -> int:
@@ -89,13 +92,11 @@ class MultiIndex:
                 + np.take_along_axis(ranked[1][0][:, s], best, axis=1)).astype(np.int32)
 
 
-def _valid(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows that can link, and the length of their vectors."""
+def _valid(rows: DataFrame) -> DataFrame:
+    """Rows that can link."""
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(v)) & F.exists("embedding", lambda v: v != 0)
-    good = rows.where(F.coalesce(usable, F.lit(False)))
-    size = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return (good.where(F.size("embedding") == size["size"]), size["size"]) if size else (good, 0)
+    return rows.where(F.coalesce(usable, F.lit(False)))
 
 
 def fit(classes: DataFrame, similarity: float, recall: float = 0.9999, sample: int = 20_000, queries: int = 500, cell_rows: int = 1500) -> MultiIndex:
@@ -104,9 +105,11 @@ def fit(classes: DataFrame, similarity: float, recall: float = 0.9999, sample: i
     if not len(picked):
         return MultiIndex(np.zeros((1, 1)), np.zeros((1, 1)))
     n = classes.count()
-    k = int(min(256, len(picked), max(1, np.ceil(np.sqrt(n / cell_rows)))))
+    k = int(min(256, len(picked), max(2, np.ceil(np.sqrt(n / cell_rows)))))
     x = unit(picked["embedding"])
     half = x.shape[1] // 2
+    if not half:
+        k = 1  # nothing to cut
     index = MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k))
     if index.cells == 1:
         return index
@@ -132,6 +135,7 @@ def fit(classes: DataFrame, similarity: float, recall: float = 0.9999, sample: i
         reached = found["rank"].to_numpy()[np.cumsum(found["n"].to_numpy()) >= recall * total] if total else np.array([3])
         if reached[0] < deep or deep == index.cells:
             index.visit = int(min(index.cells, reached[0] + 1))
+            index.recall = float(found["n"][found["rank"] < index.visit].sum() / total) if total else 1.0
             return index
         deep = min(4 * deep, index.cells)
 
@@ -194,16 +198,27 @@ def find_links(classes: DataFrame, index: MultiIndex, similarity: float, part: i
     return both.groupBy("label", "cell", "p", "g").applyInPandas(_compare(similarity), "a long, b long, n long")
 
 
-def near_duplicates(rows: DataFrame, similarity: float = 0.93, recall: float = 0.9999, sample: int = 20_000, part: int = 4096) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_duplicates(rows: DataFrame, similarity: float = 0.93, recall: float = 0.9999, sample: int = 20_000, part: int = 4096,
+                    exact: bool = False) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    With ``exact`` a query visits every cell of its label, and no link is lost.
+    """
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
                        F.col("embedding").cast("array<double>").alias("embedding"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    good, _ = _valid(rows)
+    good = _valid(rows)
     classes = good.groupBy("label", "embedding").agg(F.count("*").alias("m"), F.min("vec_id").alias("least"), F.min("row").alias("node"))
     classes = materialize(classes, "vector_classes")
-    index = fit(classes, similarity, recall, sample)
-    links = materialize(find_links(classes, index, similarity, part), "links")
+    links = None
+    for length in sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect()) or [0]:  # numbers, one as a rule
+        own = classes.where(F.size("embedding") == length)
+        index = fit(own, similarity, recall, sample)
+        if exact:
+            index.visit = index.cells
+        more = find_links(own, index, similarity, part)
+        links = more if links is None else links.unionByName(more)
+    links = materialize(links, "links")
     linked = components(links.where("a <> b").select("a", "b"))
     counts = links.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     classes = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))

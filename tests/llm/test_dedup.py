@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_helpers import prose
 from marketlab.llm import passages, simhash, vectors
@@ -213,3 +214,52 @@ def test_visits_follow_both_halves():
     d = ((x[:, None, :3] - index.first) ** 2).sum(2)[:, :, None] + ((x[:, None, 3:] - index.second) ** 2).sum(2)[:, None, :]
     want = np.argsort(d.reshape(50, -1), axis=1)[:, :12]
     assert (index.nearest(x, 12) == want).all()
+
+
+def linked(rows, similarity=0.93):
+    """Number of links and least reachable id of each vector, by brute force."""
+    def close(a, b):
+        if a[1] != b[1] or len(a[2]) != len(b[2]):
+            return False
+        x, y = np.array(a[2]), np.array(b[2])
+        return x @ y / np.sqrt((x @ x) * (y @ y)) >= similarity
+
+    near = {a[0]: [b[0] for b in rows if b is not a and close(a, b)] for a in rows}
+    out = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in near[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        out[i] = (len(near[i]), min(seen))
+    return out
+
+
+def test_vectors_of_every_length_link_among_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, 1, [1.0 + 0.01 * i, 2.0]) for i in range(3)] + [(10 + i, 1, [1.0, 2.0, 0.01 * i]) for i in range(4)] + [(20, 1, [5.0]), (21, 1, [2.0]), (22, 1, [-2.0])]
+    rows += [(100 + i, 1 + i % 2, rng.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == linked(rows) and got[0][0] == 2 and got[21] == (1, 20)
+
+
+def test_planted_links_over_several_cells(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, int(i % 3), (base[i % 40] + 0.12 * rng.normal(size=16)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    want = linked(rows)
+    classes = df.select("vec_id", "label", "embedding", F.col("vec_id").alias("node"))
+    index = vectors.fit(classes, 0.93, cell_rows=10)
+    assert index.cells >= 36 and index.recall >= 0.9999 and sum(n for n, _ in want.values()) > 500
+    fit = vectors.fit
+    try:
+        vectors.fit = lambda c, s, r, n: fit(c, s, r, n, cell_rows=10)
+        exact = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, exact=True).collect()}
+        usual = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    finally:
+        vectors.fit = fit
+    assert exact == want
+    assert sum(n for n, _ in usual.values()) >= 0.99 * sum(n for n, _ in want.values())
