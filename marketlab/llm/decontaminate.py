@@ -1,19 +1,21 @@
 """Benchmark decontamination with templates: numbers, names and units become typed placeholders.
 
 Items and documents go through the same canonicalisation; windows of ``window`` template words are hashed
-and joined.  A document that covers enough windows of an item is compared slot by slot: along one
+and joined.  A document that covers enough windows of an item is compared slot by slot: along an
 alignment every value of the item must always be met by the same value of the document.  Equal values are
 a verbatim copy, other values used consistently are a re-parameterised question, and a clash means that
-only the wording around the slots is alike, which is not reported.  Column expressions only.
+only the wording around the slots is alike.  Every alignment that covers enough windows by itself is
+judged, and the longest one in any case; the item is reported if one of them has no clash.  Column
+expressions only.
 
 The windows of the items are stored first, so Spark knows their size: it sends them to all tasks while
 they are below its own broadcast threshold and shuffles both sides by hash beyond it.
 
 Defined cases: a null or empty text has no windows; items of fewer than ``least`` words are not looked for,
 other short ones by a window of all their words; windows with more placeholders than words are left out;
-items of equal template are looked for once and reported all; rows that share a document id share the
-verdict, also those whose id is null; an empty benchmark finds nothing.  Only ``doc_id``, ``text`` and
-``item_id`` are read.
+items of equal template are looked for once and reported all; a verdict belongs to a text: rows of equal
+text share it, whatever their ids, and rows without an id or with a repeated one are judged by their own
+text; an empty benchmark finds nothing.  Only ``doc_id``, ``text`` and ``item_id`` are read.
 """
 
 from __future__ import annotations
@@ -90,15 +92,21 @@ def _slots(texts: DataFrame, key: str) -> DataFrame:
     return words.join(values, [key, "kind", "i"]).select(key, "at", "kind", "value")
 
 
+def text_key(text: Column) -> Column:
+    """Two 64-bit hashes that stand for a text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.concat_ws(".", F.xxhash64(text).cast("string"), F.xxhash64(F.lit("text"), text).cast("string"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, least: int = 5) -> DataFrame:
-    """(doc_id, item_id, coverage, kind) of each document that holds a benchmark item.
+    """(doc_id, item_id, coverage, kind, text_key) of each document that holds a benchmark item.
 
     ``coverage`` is the share of the item's windows found in the document, at least ``cover``; ``kind`` is
-    ``verbatim`` or ``reparameterised``.
+    ``verbatim`` if one alignment is, else ``reparameterised``.
     """
     windows, members = benchmark_windows(benchmark, window, least)
     sizes = [r.size for r in windows.select("size").distinct().collect()]  # at most window - least + 1 numbers
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     words = rows.select("key", template(F.col("text")).alias("words"))
     hashed = None
     for size in sizes or [window]:
@@ -109,43 +117,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
     hits = materialize(hits.distinct(), "benchmark_hits")
     covered = hits.select("key", "template_id", "n_windows", "at").distinct().groupBy("key", "template_id", "n_windows").agg(
         (F.count("*") / F.col("n_windows")).alias("coverage")).where(F.col("coverage") >= cover)
-    # the alignment with most windows is where slots are compared
-    aligned = hits.groupBy("key", "template_id", "shift").agg(F.count("*").alias("n"), F.min("at").alias("lo"), (F.max("at") + window).alias("hi"))
-    aligned = aligned.groupBy("key", "template_id").agg(F.max_by(F.struct("shift", "lo", "hi"), F.struct("n", -F.col("shift"))).alias("a"))
-    found = materialize(covered.join(aligned, ["key", "template_id"]).select("key", "template_id", "coverage", "a.*"), "benchmark_found")
+    aligned = hits.groupBy("key", "template_id", "n_windows", "shift").agg(F.count("*").alias("n"), F.min("at").alias("lo"), (F.max("at") + window).alias("hi"))
+    longest = aligned.groupBy("key", "template_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("longest"))
+    aligned = aligned.join(longest, ["key", "template_id"]).where((F.col("n") >= cover * F.col("n_windows")) | (F.col("shift") == F.col("longest")))
+    found = materialize(covered.join(aligned.drop("n_windows", "longest", "n"), ["key", "template_id"]).select(
+        "key", "template_id", "coverage", "shift", "lo", "hi"), "benchmark_found")
     texts = rows.join(found.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("template_id"), F.col("text").cast("string").alias("text")).join(
         found.select("template_id").distinct(), "template_id", "left_semi").groupBy("template_id").agg(F.max("text").alias("text"))
     asked = _slots(items, "template_id").select("template_id", F.col("at").alias("item_at"), F.col("kind").alias("item_kind"), F.col("value").alias("asked"))
     given = _slots(texts, "key")
+    one = ["key", "template_id", "shift"]
     pairs = found.join(asked, "template_id").where("item_at >= lo and item_at < hi").join(
         given, (given["key"] == found["key"]) & (F.col("item_at") + F.col("shift") == given["at"]) & (F.col("item_kind") == given["kind"])).select(
-        found["key"], "template_id", "item_kind", "asked", "value")
-    clash = pairs.groupBy("key", "template_id", "item_kind", "asked").agg(
+        found["key"], "template_id", "shift", "item_kind", "asked", "value")
+    clash = pairs.groupBy(*one, "item_kind", "asked").agg(
         (F.min("value") != F.max("value")).alias("clash"), F.max(F.col("value") != F.col("asked")).alias("other"))
-    clash = clash.groupBy("key", "template_id").agg(F.max("clash").alias("clash"), F.max("other").alias("other"))
-    judged = found.join(clash, ["key", "template_id"], "left").where("not coalesce(clash, false)")
-    kind = F.when(F.coalesce("other", F.lit(False)), "reparameterised").otherwise("verbatim")
-    return judged.join(members.select("template_id", "item_id"), "template_id").select(
-        F.when(F.col("key") != "", F.col("key").cast("long")).alias("doc_id"), "item_id", "coverage", kind.alias("kind"))
+    clash = clash.groupBy(*one).agg(F.max("clash").alias("clash"), F.max("other").alias("other"))
+    judged = found.join(clash, one, "left").where("not coalesce(clash, false)").groupBy("key", "template_id", "coverage").agg(
+        F.min(F.coalesce("other", F.lit(False))).alias("other"))
+    kind = F.when(F.col("other"), "reparameterised").otherwise("verbatim")
+    judged = judged.join(members.select("template_id", "item_id"), "template_id").select("key", "item_id", "coverage", kind.alias("kind"))
+    return rows.select("doc_id", "key").join(materialize(judged, "benchmark_judged"), "key").select(
+        "doc_id", "item_id", "coverage", "kind", F.col("key").alias("text_key"))
 
 
 def verdicts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, contaminated, items (sorted), coverage of the best item, kind."""
-    by = found.groupBy("doc_id").agg(
+    by = found.select("text_key", "item_id", "coverage", "kind").distinct().groupBy("text_key").agg(
         F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"), F.max("kind").alias("kind"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).alias("d")
-    joined = ids.join(by.alias("b"), F.expr("d.doc_id <=> b.doc_id"), "left")
-    return joined.select(
-        "d.doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
+    return rows.join(by, "text_key", "left").select(
+        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "kind")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    found = contaminated(docs, benchmark).select(F.col("text_key").alias("_key")).distinct()
     found = materialize(found, "contaminated")  # of known size: Spark sends it to the rows while it is small
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(found, text_key(F.col("text")) == F.col("_key"), "left_anti")
 
 
 def query(spark, sf_dir) -> DataFrame:

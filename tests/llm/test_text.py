@@ -197,3 +197,18 @@ def test_tokens_are_contract_words():
     text = "Ab  cD e\x1cf\tÉ\n"
     got = katz.tokenise(pa.chunked_array([pa.array([text, None])]))
     assert len(got.codes) == len(text.encode().lower().split()) + 2 and got.doc.tolist() == [0] * (len(got.codes) - 1) + [1]
+
+
+def test_every_alignment_and_every_row_is_judged(spark, make_docs):
+    item = "A farmer named Ann Miller has 12 red apples and gives 5 apples to her friend Bob so that 12 minus 5 apples are left for Ann Miller"
+    clash = item.replace("12 minus", "40 minus")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = prose(8, 40)
+    texts = [f"{clash} {other} {item}", f"{item} {other} {clash}", clash, item, other, item.replace("12", "31"), other, None, item]
+    docs = make_docs(texts, ids=[0, 1, 2, None, None, 5, 6, 7, 6])
+    found = decontaminate.contaminated(docs, items)
+    got = decontaminate.verdicts(docs, found)
+    assert sorted((str(r.doc_id), r.contaminated, r.kind) for r in got.collect()) == sorted([
+        ("0", True, "verbatim"), ("1", True, "verbatim"), ("2", False, None), ("None", True, "verbatim"), ("None", False, None),
+        ("5", True, "reparameterised"), ("6", False, None), ("7", False, None), ("6", True, "verbatim")])
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items).collect()) == ["2", "6", "7", "None"]
