@@ -158,3 +158,37 @@ def test_quantiles_put_nan_last(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), 3.0, -2.0)], "k string, v double")
     r = exact_quantiles(df, ["k"], "v", {"lo": 0.0, "third": 2 / 3}).first()
     assert (r["lo"], r["third"]) == (-2.0, 3.0)
+
+
+def test_positions_are_dense_over_all_parts(spark):
+    import random
+
+    from marketlab.operators import ordering
+    r = random.Random(2)
+    rows = [(r.randrange(40), r.choice("abc"), i) for i in range(500)] + [(None, "x", 500), (7, None, 501)]
+    df = spark.createDataFrame(rows, "a int, b string, n int").repartition(5)
+    got = ordering.with_position(df, ["a", "b"]).collect()
+    assert sorted(g["position"] for g in got) == list(range(502))
+    keys = [((g["a"] is not None, g["a"] or 0), (g["b"] is not None, g["b"] or "")) for g in sorted(got, key=lambda g: g["position"])]
+    assert keys == sorted(keys) and {g["n"] for g in got} == set(range(502))
+    assert ordering.with_position(df.limit(0), ["a"]).count() == 0
+
+
+def test_states_of_many_slices_are_merged_in_order(spark, monkeypatch):
+    from helpers import swaps
+    from marketlab.operators import ordering, replay
+    monkeypatch.setattr(replay, "FAN", 3)
+    hour = 3_600_000
+    ev = swaps(spark, [{"timestamp": (i * 7 % 50) * hour, "slot": i * 7 % 50, "candidate_id": c, "tx_signature": f"{c}{i}"} for c in "ab" for i in range(50)])
+    merged = ordering.merged_events(ev, spark.createDataFrame([], __import__("marketlab.schemas").schemas.LIQUIDITY_EVENTS))
+    step = lambda s, b: (s[0] + "".join(chr(65 + int(x)) for x in b["slot"]),)
+    got = replay.replay_fold(merged, ("",), step, lambda a, b: (a[0] + b[0],), "seen string", ["slot"], hour)
+    assert {r["candidate_id"]: r["seen"] for r in got.collect()} == dict.fromkeys("ab", "".join(chr(65 + x) for x in range(50)))
+
+
+def test_ambiguous_positions_are_told_exactly(spark):
+    from helpers import swaps
+    from marketlab.operators import quality
+    rows = [{"candidate_id": c, "slot": s, "tx_signature": t, "timestamp": 1} for c, s, t in
+            (("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x"), ("b", 1, "x"), ("c", None, "x"), ("c", None, "x"), (None, 1, "x"), (None, 1, "x"))]
+    assert sorted(r[0] for r in quality.ambiguous_ids(swaps(spark, rows)).collect()) == ["b", "c"]
