@@ -443,3 +443,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir) -> DataFrame:
     """op7: what is left of every document without repeated stretches of 200 bytes."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# All starts of 200 bytes, as 400 hexadecimal digits cut from pieces of a text, counted.
+ORACLE = """
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+starts AS (
+  SELECT row, b + j AS i, md5_number(substr(part, CAST(2 * j + 1 AS BIGINT), 400)) AS k
+  FROM (SELECT row, b, part, unnest(range(least(500, n - 199 - b))) AS j
+    FROM (SELECT row, n, b, substr(h, CAST(2 * b + 1 AS BIGINT), 1398) AS part
+      FROM (SELECT row, n, h, unnest(range(0, n - 199, 500)) AS b FROM texts WHERE n >= 200)))),
+again AS (SELECT row, i FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
+cut AS (SELECT row, i, CASE WHEN i - lag(i) OVER w <= 200 THEN 0 ELSE 1 END AS opens FROM again WINDOW w AS (PARTITION BY row ORDER BY i)),
+numbered AS (SELECT row, i, sum(opens) OVER (PARTITION BY row ORDER BY i) AS run FROM cut),
+runs AS (SELECT row, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY row, run),
+gaps AS (SELECT row, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS after FROM runs),
+kept AS (
+  SELECT row, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS last,
+    string_agg(substr(h, CAST(2 * after + 1 AS BIGINT), CAST(2 * (lo - after) AS BIGINT)), '' ORDER BY lo) AS left_over
+  FROM gaps JOIN texts USING (row) GROUP BY row)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(left_over, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row)
+"""

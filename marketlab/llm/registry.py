@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_schema_chat": chat.ORACLE,
+        "op7_merged_transforms": passages.ORACLE,
         "op10_multi_index": vectors.ORACLE,
         "op11_prefix_rollup": prefixes.ORACLE,
         "op13_position_index": spelling.ORACLE,

@@ -149,5 +149,5 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
 def test_every_operator_has_one_query():
     from marketlab.llm import registry
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(registry.oracle_sql()) <= set(names) and all(isinstance(s, str) for s in registry.oracle_sql().values())
