@@ -22,7 +22,7 @@ from marketlab.schemas import EVENT_ORDER, NEW_TOKEN
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIRST = "mint string, pool string, tx_signature string, event_index int, slot long, timestamp long"
-_COLUMNS = ["mint", "pool", *[c for c in ("tx_signature", "event_index", "slot")], "timestamp"]
+_COLUMNS = ["mint", "pool", "tx_signature", "event_index", "slot", "timestamp"]
 
 
 def _first_of_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
