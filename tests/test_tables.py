@@ -4,6 +4,7 @@ import json
 
 import pytest
 from helpers import candidates, frame, rows_of, swap_events
+from pyspark.sql import functions as F
 
 from marketlab import schemas
 from marketlab.operators import exits, joins, verify
@@ -265,3 +266,12 @@ def test_replaced_groups_show_their_newest_rows(spark, tmp_path):
     assert store.read("price_timeseries").columns == schemas.PRICE_TIMESERIES.names
     with pytest.raises(tables.DuplicateKey):
         store.replace(make(a=[(1, 1.0), (1, 2.0)]), "price_timeseries")
+
+
+def test_copies_of_a_salted_lookup_are_not_broadcast(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    lookup = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    joined = joins.salted_join(rows, lookup, "k", "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 1000
+    assert joined.where("x is null").select("k").distinct().count() == 2
