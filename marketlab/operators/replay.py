@@ -85,19 +85,33 @@ def replay_fold(merged: DataFrame, zero: tuple, step: Callable[[tuple, Events],
     rows_of = StructType([*StructType.fromDDL("candidate_id string, _at long").fields, *state.fields])
     parts = replay_apply(merged, fold, rows_of, list(dict.fromkeys(["timestamp", *columns])), slice_ms)
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        now = None
-        for part in rows[state.names].itertuples(index=False, name=None):
-            now = part if now is None else merge(now, part)
-        first = rows.iloc[0]
-        return pd.DataFrame([(first["candidate_id"], first["_at"], *now)], columns=rows_of.names)
-
-    # neighbouring slices first, FAN at a time, then neighbours of those: no task holds more states than that
-    for level in range(1, LEVELS):
-        block = F.expr(f"floor(_at / {FAN ** level})")
-        parts = parts.groupBy("candidate_id", block).applyInPandas(join, rows_of)
-    return parts.groupBy("candidate_id").applyInPandas(join, rows_of).drop("_at")
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Merges runs of rows with the same candidate and block, in the order of a sorted partition."""
+        key, at, now, done = None, None, None, []
+        for b in batches:
+            ids, blocks, first = b["candidate_id"].tolist(), b["_block"].tolist(), b["_at"].tolist()
+            for one, block, t, part in zip(ids, blocks, first, b[state.names].itertuples(index=False, name=None)):
+                if (one, block) == key:
+                    now = merge(now, part)
+                    continue
+                if key is not None:
+                    done.append((key[0], at, *now))
+                key, at, now = (one, block), t, part
+            if len(done) >= ROWS_PER_BATCH:
+                yield pd.DataFrame(done, columns=rows_of.names)
+                done = []
+        if key is not None:
+            done.append((key[0], at, *now))
+        if done:
+            yield pd.DataFrame(done, columns=rows_of.names)
+
+    # neighbouring slices first, FAN at a time, then neighbours of those: no run is longer than that,
+    # and a candidate with few slices costs no more than its rows
+    for level in range(1, LEVELS + 1):
+        block = F.expr(f"floor(_at / {FAN ** level})") if level < LEVELS else F.lit(0).cast("long")
+        parts = parts.withColumn("_block", block).repartition("candidate_id", "_block").sortWithinPartitions(
+            "candidate_id", "_block", "_at").mapInPandas(join, rows_of)
+    return parts.drop("_at")
 
 
 class _Groups:

@@ -2,10 +2,10 @@ import random
 import statistics
 
 import pytest
-from helpers import candidates, frame, rows_of
+from helpers import candidates, frame, rows_of, swaps
 
 from marketlab import schemas
-from marketlab.operators import metrics, ordering, quality, verdict
+from marketlab.operators import metrics, ordering, quality, replay, verdict
 from marketlab.operators.folds import Run, drawdown_and_streak
 from marketlab.operators.quantiles import exact_quantiles
 
@@ -192,3 +192,13 @@ def test_ambiguous_positions_are_told_exactly(spark):
     rows = [{"candidate_id": c, "slot": s, "tx_signature": t, "timestamp": 1} for c, s, t in
             (("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x"), ("b", 1, "x"), ("c", None, "x"), ("c", None, "x"), (None, 1, "x"), (None, 1, "x"))]
     assert sorted(r[0] for r in quality.ambiguous_ids(swaps(spark, rows)).collect()) == ["b", "c"]
+
+
+def test_a_fold_calls_python_by_batch_and_keeps_candidates_apart(spark):
+    hour = 3_600_000
+    rows = [{"candidate_id": f"c{i % 300:03d}", "timestamp": (i // 300) * 300 * hour, "slot": i} for i in range(900)]
+    merged = ordering.merged_events(swaps(spark, rows), frame(spark, schemas.LIQUIDITY_EVENTS, []))
+    add = lambda state, batch: (state[0] + "".join(f"{x}," for x in batch["slot"]),)
+    got = replay.replay_fold(merged, ("",), add, lambda a, b: (a[0] + b[0],), "seen string", ["slot"], hour)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a call for each candidate
+    assert rows_of(got, "candidate_id", "seen") == [(f"c{i:03d}", f"{i},{i + 300},{i + 600},") for i in range(300)]
