@@ -124,3 +124,10 @@ def test_normalise_only_missing(spark):
     done = price(spark, [(1, 1)])
     assert rows_of(series.only_missing(df, done), "candidate_id") == [("c2",)]
     assert series.only_missing(df, done, "recompute").count() == 2
+
+
+def test_known_candidates_are_not_broadcast_in_copies(spark):
+    ev = swaps(spark, [{"timestamp": 1}, {"timestamp": 2, "candidate_id": "c2"}])
+    left = series.only_missing(ev, spark.createDataFrame([("c2",)], "candidate_id string"))
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+    assert [r["candidate_id"] for r in left.collect()] == ["c1"]
