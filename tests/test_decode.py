@@ -177,3 +177,14 @@ def test_only_incomplete_events_meet_the_accounts(spark):
         ("t0", 3, "AAA", "key1"), ("t0", 6, encode(MINT), "key1"), ("t1", 3, "BBB", None)]
     only = frame(spark, schemas.ACCOUNTS, [{"pubkey": "key6", "data": account(NATIVE_BYTES)}, {"pubkey": "key5", "data": account(b"short")}])
     assert rows_of(decode.swap_events(first, only).where("event_index = 6"), "mint") == [(NATIVE,)]
+
+
+def test_accounts_are_not_broadcast_in_copies(spark):
+    logs = [f"Program {decode.AMM_PROGRAM} invoke [1]", f"Program {decode.CURVE_PROGRAM} invoke [1]", "Program log: Instruction: Sell"]
+    tx = frame(spark, schemas.TX_LOGS, [{"tx_signature": "t", "slot": 1, "block_time_s": 1, "logs": logs, "account_keys": list("abcdefg")}])
+    data = base64.b64encode(bytes([0] * 31 + [5] + [0] * 40)).decode()
+    accounts = spark.range(1).selectExpr("'g' AS pubkey", f"'{data}' AS data")
+    found = decode.swap_events(tx, accounts)
+    plan = found.select("mint")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_salt" in x]
+    assert found.count() == 1

@@ -128,6 +128,6 @@ def test_normalise_only_missing(spark):
 
 def test_known_candidates_are_not_broadcast_in_copies(spark):
     ev = swaps(spark, [{"timestamp": 1}, {"timestamp": 2, "candidate_id": "c2"}])
-    left = series.only_missing(ev, spark.createDataFrame([("c2",)], "candidate_id string"))
+    left = series.only_missing(ev, spark.range(2, 3).selectExpr("'c' || id AS candidate_id"))
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
     assert [r["candidate_id"] for r in left.collect()] == ["c1"]
