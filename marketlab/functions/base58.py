@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -10,6 +12,7 @@ from pyspark.sql.types import StringType
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
 
+@lru_cache(maxsize=65_536)  # the same keys come again and again
 def encode(data: bytes) -> str:
     """Big-endian number in base 58; every leading zero byte becomes a leading '1'."""
     number, digits = int.from_bytes(data, "big"), []

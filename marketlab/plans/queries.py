@@ -955,6 +955,9 @@ def q_replay_fold(d):
 
 # --- streaming ----------------------------------------------------------------------------
 
+FILES = 12  # of a block of transactions, so that no single task writes or reads all of it
+
+
 def fresh_folder(d: Dataset, name: str) -> str:
     return os.path.join(shared_dir(d.spark), f"{name}-{uuid.uuid4().hex}")
 
@@ -1014,13 +1017,14 @@ def q_stream_first_seen(d):
     return store.read("token_candidates").where("source = 'NEW_TOKEN'")
 
 
-def time_ordered(d: Dataset, events: DataFrame, name: str, n: int = 4) -> str:
-    """The events in n files that follow each other in time."""
+def time_ordered(d: Dataset, events: DataFrame, name: str, n: int = 4, files: int = 1) -> str:
+    """The events in n blocks that follow each other in time, each written as that many files side by side."""
     root = fresh_folder(d, name)
     top = events.agg(F.max("slot")).first()[0] + 1
     for k in range(n):
         inside = (F.col("slot") * n >= k * top) & (F.col("slot") * n < (k + 1) * top)
-        events.where(inside).coalesce(1).write.mode("append").parquet(root)
+        block = events.where(inside)
+        (block.coalesce(1) if files == 1 else block.repartition(files)).write.mode("append").parquet(root)
     return root
 
 
@@ -1165,7 +1169,7 @@ def q_stream_decoded(d):
     """Logs of two nodes in five micro-batches, decoded in one pass each, through the slot buffer."""
     store, root = live_store(d, "stream-decoded")
     first, second, accounts = node_logs_of(d)
-    streams = [live.table_stream(d.spark, time_ordered(d, tx, f"node{i}", 5), TX_LOGS, 1) for i, tx in enumerate((first, second))]
+    streams = [live.table_stream(d.spark, time_ordered(d, tx, f"node{i}", 5, FILES), TX_LOGS, FILES) for i, tx in enumerate((first, second))]
     buffer = live.SlotBuffer(d.spark, f"{root}/pending", live.RAW_EVENTS)
     live.LivePipeline(store, buffer, first_seen=False).run_logs(streams, f"{root}/checkpoint", once=True, accounts=accounts)
     return all_decoded(store.read("swap_events"), store.read("liquidity_events"))

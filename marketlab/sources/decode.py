@@ -271,12 +271,13 @@ def _exploded(tx: DataFrame, decoders: list[LogDecoder]) -> DataFrame:
     token accounts, for transactions that name the AMM program, have its accounts, and hold a
     liquidity event or a swap without a mint.
     """
-    found = tx.withColumn("_events", F.concat(*[d.found() for d in decoders]))
+    found = tx.select(*TX, "logs", "account_keys", F.concat(*[d.found() for d in decoders]).alias("_events"))
     amm = F.exists("logs", lambda line: line.contains(AMM_PROGRAM)) & (F.size("account_keys") >= 7)
     open_swap = F.exists("_events", lambda e: (e["kind"] == "swap") & (e["mint"] == "") & e["raw"].isNull())
     ask = F.when(amm, F.struct(_key(1).alias("pool"), _key(5).alias("a"), _key(6).alias("b")))
-    rows = found.select(*TX, F.when(open_swap, ask).alias("swap_ask"), ask.alias("liquidity_ask"),
-                        F.explode("_events").alias("e"))
+    asked = found.select(*TX, F.when(open_swap, ask).alias("swap_ask"), ask.alias("liquidity_ask"), "_events")
+    # explode would make the optimizer ask for the size of the array in a filter below, which decodes once more
+    rows = asked.select(*TX, "swap_ask", "liquidity_ask", F.explode_outer("_events").alias("e")).where("e is not null")
     rows = rows.select(*TX, "e.*", F.when(F.col("e.kind") == "swap", F.col("swap_ask"))
                        .otherwise(F.col("liquidity_ask")).alias("ask"))
     return rows.withColumn("mint", F.coalesce(base58("raw"), "mint")).drop("raw")

@@ -188,3 +188,11 @@ def test_accounts_are_not_broadcast_in_copies(spark):
     plan = found.select("mint")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "_salt" in x]
     assert found.count() == 1
+
+
+def test_a_transaction_is_decoded_once(spark):
+    tx = logs(spark, [{"logs": [ray(swap_data(0x0D, MINT, NATIVE_BYTES, 5))], "account_keys": [f"key{i}" for i in range(18)]}, {"logs": []}])
+    decoded = decode.events(tx)
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unbase64") == 1  # not once more in a filter that asks whether there are events
+    assert rows_of(decoded, "mint", "amount") == [(encode(MINT), 5.0)]
