@@ -31,6 +31,21 @@ def trade_id(candidate="candidate_id", strategy="strategy_id", scenario="scenari
                               _c(entry_time).cast("string")), 256)
 
 
+def packed(text: str | Column) -> Column:
+    """Any text as bytes: lower-hex digits take half their room behind a byte 01, other texts follow a byte 00."""
+    t = _c(text)
+    raw = F.unhex(t)
+    return F.when(F.lower(F.hex(raw)) == t, F.concat(F.unhex(F.lit("01")), raw)).otherwise(
+        F.concat(F.unhex(F.lit("00")), F.encode(t, "UTF-8")))
+
+
+def unpacked(data: str | Column) -> Column:
+    """The text that ``packed`` was given."""
+    d = _c(data)
+    rest = F.substring(d, 2, 2**31 - 1)
+    return F.when(F.hex(F.substring(d, 1, 1)) == "01", F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
+
+
 def strategy_id() -> Column:
     """Parameterised rule id from the columns of a rule table."""
     kind, entry = F.col("strategy_type"), F.col("entry_event_type")

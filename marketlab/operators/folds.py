@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+from marketlab.functions import ids
 from marketlab.functions.timecols import DAY_MS
 
 # total, highest and lowest prefix sum, deepest fall from a prefix inside the run;
@@ -57,11 +58,14 @@ class Run:
 
 
 def _local_runs(df: DataFrame, keys: list[str], time: str, tie: str, outcome: str) -> DataFrame:
-    """One run per (group, day)."""
+    """One run per (group, day); text ties move packed and are sorted as text."""
+    kind = df.schema[tie].dataType
+    moved = ids.packed(tie).alias(tie) if isinstance(kind, StringType) else F.col(tie)
+    order = ids.unpacked(tie) if isinstance(kind, (StringType, BinaryType)) else F.col(tie)
     ordered = (
         df.where(F.col(outcome).isNotNull())
-        .select(*keys, F.expr(f"floor({time} / {DAY_MS})").alias("part"), F.col(time), tie, F.col(outcome).cast("double").alias("x"))
-        .repartition(*keys, "part").sortWithinPartitions(*keys, "part", time, tie)
+        .select(*keys, F.expr(f"floor({time} / {DAY_MS})").alias("part"), F.col(time), moved, F.col(outcome).cast("double").alias("x"))
+        .repartition(*keys, "part").withColumn(tie, order).sortWithinPartitions(*keys, "part", time, tie)
         .select(*keys, "part", F.xxhash64(*keys, "part").alias("g"), "x")
     )
     kinds = dict(zip(SUMMARY, [DoubleType()] * 4 + [LongType()] * 4))

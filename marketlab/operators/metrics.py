@@ -80,9 +80,9 @@ def strategy_aggregates(trades: DataFrame, candidates: DataFrame, stage=material
     """The full aggregate table.
 
     The narrow classified trades are staged once and read by three aggregations: token-level
-    sums, rank selection, and the ordered fold.
+    sums, rank selection, and the ordered fold.  Trade ids are most of their bytes and move packed.
     """
-    grouped = stage(classified(trades, candidates), "classified-trades")
+    grouped = stage(classified(trades.withColumn("trade_id", ids.packed("trade_id")), candidates), "classified-trades")
     out = (
         basic_metrics(grouped)
         .join(exact_quantiles(grouped, KEYS, "outcome", PROBS), KEYS)
@@ -141,7 +141,7 @@ def data_summary(candidates: DataFrame, trades: DataFrame) -> DataFrame:
         of(ACTIVE_TOKEN).alias("active_token_candidates"),
         F.coalesce(F.min("discovered_at"), F.lit(0)).alias("date_range_start"),
         F.coalesce(F.max("discovered_at"), F.lit(0)).alias("date_range_end"))
-    n = trades.select("trade_id").distinct().agg(F.count(F.lit(1)).alias("total_trades"))
+    n = trades.select(ids.packed("trade_id").alias("trade_id")).distinct().agg(F.count(F.lit(1)).alias("total_trades"))
     return known.crossJoin(F.broadcast(n))  # one row each
 
 

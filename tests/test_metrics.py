@@ -5,6 +5,7 @@ import pytest
 from helpers import candidates, frame, rows_of, swaps
 
 from marketlab import schemas
+from marketlab.functions import ids
 from marketlab.operators import metrics, ordering, quality, replay, verdict
 from marketlab.operators.folds import Run, drawdown_and_streak
 from marketlab.operators.quantiles import exact_quantiles
@@ -202,3 +203,23 @@ def test_a_fold_calls_python_by_batch_and_keeps_candidates_apart(spark):
     got = replay.replay_fold(merged, ("",), add, lambda a, b: (a[0] + b[0],), "seen string", ["slot"], hour)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a call for each candidate
     assert rows_of(got, "candidate_id", "seen") == [(f"c{i:03d}", f"{i},{i + 300},{i + 600},") for i in range(300)]
+
+
+def test_trade_ids_move_packed(spark):
+    texts = ["ab" * 32, "AB" * 32, "", "t", "abc", "é", "0001", "zz" * 32, None]
+    back = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.packed("t").alias("p")).select(
+        "t", ids.unpacked("p").alias("u"), "p").collect()
+    assert all(r.t == r.u for r in back) and len({bytes(r.p) for r in back if r.p is not None}) == 8
+    assert len(back[0].p) == 33
+    # equal times: the order is that of the ids as text, digits and letters mixed
+    names = ["b0", "a1", "x", "0a", "Zz", "ff"]
+    x = [-0.3, 0.2, 0.4, -0.1, 0.5, -0.6]
+    t = frame(spark, schemas.TRADE_RECORDS, [
+        {"trade_id": n, "candidate_id": f"c{i}", "strategy_id": "TIME_EXIT_NEW_TOKEN_5ms", "scenario_id": "realistic",
+         "entry_signal_time": 7, "outcome": o, "outcome_class": "WIN"} for i, (n, o) in enumerate(zip(names, x))])
+    run = Run.of(np.array([o for _, o in sorted(zip(names, x))]))
+    seen = []
+    row = metrics.strategy_aggregates(t, known(spark, 6), lambda df, name: seen.append(df.schema) or df).first()
+    assert seen[0]["trade_id"].dataType.typeName() == "binary"
+    assert row["max_drawdown"] == pytest.approx(max(0.0, run.fall, -run.lo)) and row["max_consecutive_losses"] == run.best
+    assert metrics.data_summary(known(spark, 6), t.unionByName(t)).first()["total_trades"] == 6
