@@ -32,8 +32,9 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "yard", "yards",
          "lb", "lbs", "ton", "tons", "ml", "l", "liter", "liters", "s", "sec", "seconds", "min", "minute", "minutes", "h",
          "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar",
          "dollars", "euro", "euros", "cents", "usd", "eur", "gbp", "km/h", "mph", "m/s", "c", "f", "k", "w", "kw", "v", "hz")
-_NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
-_NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]*(?:[ '’-]\p{Lu}[\p{L}\p{M}]*)*"
+# Java repeats a group by recursion unless it is possessive: a run of thousands would overflow the stack and end the executor.
+_NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*+"
+_NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]*(?:[ '’-]\p{Lu}[\p{L}\p{M}]*)*+"
 _UNIT = rf"(?i)(?<={NUMBER}  ?)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 
 

@@ -212,3 +212,14 @@ def test_every_alignment_and_every_row_is_judged(spark, make_docs):
         ("0", True, "verbatim"), ("1", True, "verbatim"), ("2", False, None), ("None", True, "verbatim"), ("None", False, None),
         ("5", True, "reparameterised"), ("6", False, None), ("7", False, None), ("6", True, "verbatim")])
     assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, items).collect()) == ["2", "6", "7", "None"]
+
+
+def test_long_runs_of_numbers_and_names(spark, make_docs):
+    item = "A farmer named Ann Miller has 12 red apples and gives 5 apples to her friend Bob so that 7 apples are left"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    numbers, names = "1.2" + ",3" * 50_000, "say, " + "Ab " * 50_000
+    docs = make_docs([numbers, f"{names} and then. {item}", f"{numbers} {item}", item])
+    got = {r.doc_id: r.kind for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: "verbatim", 2: "verbatim", 3: "verbatim"}
+    one = docs.where("doc_id = 0").select(decontaminate.slot_values(F.col("text"))[decontaminate.NUMBER].alias("v")).first().v
+    assert one == [numbers]
