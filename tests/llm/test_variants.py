@@ -226,3 +226,33 @@ def test_toxicity_of_odd_documents(spark, odd_docs, make_docs):
     only = toxicity.train(docs, labels.where("toxic = 1"))
     assert {r.score for r in toxicity.classify(docs, only).collect()} == {1.0}
     assert {r.score for r in toxicity.classify(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
+
+
+def test_rows_beyond_the_sample_are_learned_from(spark, make_docs, monkeypatch):
+    """Two kinds of toxic texts, one of which the bounded part does not hold."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 6)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["plain", "word", "other", "thing"]) for _ in range(12)) for _ in range(400)]
+    toxic = {i: ("vile" if i % 40 == 0 else "nasty brute") for i in range(0, 400, 4)}
+    docs = make_docs([t + " " + toxic.get(i, "good") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
+    read = []
+    crossed = toxicity.crossed_counts
+    monkeypatch.setattr(toxicity, "crossed_counts", lambda *a: read.append(crossed(*a)) or read[0])
+    model = toxicity.train(docs, labels)
+    assert read[0][3].sum() == 400 and read[0][1].sum() == len(toxic)  # all rows fix the thresholds
+    part = toxicity.sample(toxicity._labelled(docs, labels))
+    held, total = toxicity.document_counts(toxicity._labelled(docs, labels))
+    start = toxicity.fit_network(part[0], part[1], toxicity.log_odds(held.sum(axis=0), total.sum(axis=0)))
+    words = np.frombuffer(b"vile nasty brute", np.uint8)
+    slots = toxicity.words_of(words, np.array([0, len(words)]))[0]
+    assert all((model.network.tables[k][slots[:, k]] != start.tables[k][slots[:, k]]).any() for k in range(3))
+    got = {x.doc_id: x.predicted for x in toxicity.classify(docs, model).collect()}
+    assert got == {i: int(i in toxic) for i in range(400)}
+
+
+def test_rows_of_parameters_come_back(spark):
+    net = toxicity._fresh(np.zeros((3, 1 << 16), np.float32), 1)
+    same = net.moved(np.zeros_like(net.rows()))
+    assert np.array_equal(same.rows(), net.rows()) and same.bias == net.bias and same.tables is not net.tables
+    assert toxicity.best_cut(np.array([0.9, 0.2]), np.array([2, 0]), np.array([2, 2])) == toxicity.best_cut(np.array([0.9, 0.9, 0.2, 0.2]), np.array([1, 1, 0, 0]))
