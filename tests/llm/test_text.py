@@ -223,3 +223,40 @@ def test_long_runs_of_numbers_and_names(spark, make_docs):
     assert got == {1: "verbatim", 2: "verbatim", 3: "verbatim"}
     one = docs.where("doc_id = 0").select(decontaminate.slot_values(F.col("text"))[decontaminate.NUMBER].alias("v")).first().v
     assert one == [numbers]
+
+
+@pytest.mark.parametrize("share", [2.0**-17, 0.02, 0.2, 2.0])
+def test_pairs_of_rare_words_count(spark, make_docs, monkeypatch, share):
+    """Whatever share of the words is rare, a pair has the discounted share of its own count."""
+    monkeypatch.setattr(katz, "SHARE", share)
+    texts = ["x y z " * 3, "x y q", "q r s", "a b a b a c", "q r", "z z", None] * 3 + ["r s t u", "u u x"]
+    docs = make_docs(texts)
+    model = katz.train(docs)
+    asked = make_docs([*texts, "x q new new y", "new", "s a t"])
+    got = {r.doc_id: r.score for r in katz.score(asked, model, F.lit(True)).collect()}
+    words, c = counts_of(texts)
+    pairs = Counter(p for ws in words for p in zip(["start", *ws[:-1]], ws))
+    n, ends = sum(c.values()), len(texts)
+    rare = {w for w in c if w is not None and c[w] < max(1, n * share)}
+    n_rare = sum(c[w] for w in rare)
+
+    def single(w):
+        if w is None:
+            return (ends + 1) / (n + 2)
+        return c[w] / (n + 2) if w in c and w not in rare else (n_rare + 1) / (n + 2) * (c[w] + 1) / (n_rare + len(rare) + 1)
+
+    d = katz.discounts(np.array([sum(x == r for x in pairs.values()) for r in range(1, katz.K + 2)]))
+    kept = {p: (d[x] if x <= katz.K else 1.0) * x for p, x in pairs.items()}
+
+    def pair(u, w):
+        mine = [p for p in pairs if p[0] == u]
+        if not mine:
+            return single(w)
+        total, some = sum(pairs[p] for p in mine), sum(kept[p] for p in mine)
+        total += total - some < 1e-9 * total
+        return kept[u, w] / total if (u, w) in pairs else (1 - some / total) / (1 - sum(single(p[1]) for p in mine)) * single(w)
+
+    for u in [*c, "start", b"new"]:
+        assert u is None or math.isclose(sum(pair(u, w) for w in [*c, b"new"]), 1)
+    for i, ws in enumerate(counts_of([*texts, "x q new new y", "new", "s a t"])[0]):
+        assert math.isclose(got[i], sum(math.log10(pair(u, w)) for u, w in zip(["start", *ws[:-1]], ws)), rel_tol=1e-9), i
