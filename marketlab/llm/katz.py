@@ -26,6 +26,7 @@ each; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -374,11 +375,13 @@ def train(docs: DataFrame) -> Katz:
 SENT = "bucket int, kind int, base long, keys binary, n binary, docs binary, reps binary, ids array<long>, held array<boolean>"
 
 
-def _entries(keys: np.ndarray, doc: np.ndarray, kind: int, base: int, buckets: int, owner: np.ndarray | None = None) -> list[tuple]:
-    """Entries (key, document, repetitions), one row for each bucket, that of the key or of its owner."""
+def _entries(keys: np.ndarray, doc: np.ndarray, kind: int, base: int, buckets: int, turn: tuple[int, int], owner: np.ndarray | None = None) -> list[tuple]:
+    """Entries (key, document, repetitions), one row for each bucket of this turn, that of the key or of its owner."""
+    b = _bucket(keys if owner is None else owner, buckets)
+    mine = b % turn[1] == turn[0]
+    b, keys, doc = b[mine], keys[mine], doc[mine]
     if not len(keys):
         return []
-    b = _bucket(keys if owner is None else owner, buckets)
     order = np.lexsort((doc, keys, b))
     b, keys, doc = b[order], keys[order], doc[order]
     at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
@@ -393,8 +396,12 @@ def _entries(keys: np.ndarray, doc: np.ndarray, kind: int, base: int, buckets: i
     return out
 
 
-def score(docs: DataFrame, model: Katz, held: Column) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score) of every row."""
+def score(docs: DataFrame, model: Katz, held: Column, turns: int = 1) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of every row.
+
+    With several ``turns`` each one sends the entries of its share of the buckets, and their shuffles need not
+    lie on disk at once; ``docs`` are read again for each, so they must be a stored table, whose rows keep their places.
+    """
     words, pairs, rare_pairs, buckets = model.words, model.pairs, model.rare, model.buckets
     model.words = model.pairs = model.rare = None  # not needed in the tasks
     base_log = np.log10(float(model.tokens) + model.types + 1)
@@ -402,7 +409,7 @@ def score(docs: DataFrame, model: Katz, held: Column) -> DataFrame:
     columns = [x.split()[0] for x in SENT.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
-    def local(t: pa.Table) -> pa.Table:
+    def local(t: pa.Table, turn: int) -> pa.Table:
         base = t["row"][0].as_py()
         x = tokenise(t["text"])
         cls = model.classes(x.hashes)
@@ -426,15 +433,16 @@ def score(docs: DataFrame, model: Katz, held: Column) -> DataFrame:
         part[known_u] += _log(model.weight[(keys[known_u] >> np.uint64(20)).astype(np.int64)])
         total = np.bincount(x.doc, weights=part - rare * rare_log, minlength=x.n_docs)
         own = np.c_[n, known, base_sum, total].astype(np.float64)
-        rows = [(int(base % buckets), 0, base, own.tobytes(), None, None, None, t["doc_id"].to_pylist(), t["held"].to_pylist())]
-        rows += _entries(w[rare], x.doc[rare], 1, base, buckets)
-        rows += _entries(keys[~hot & ~pair], x.doc[~hot & ~pair], 2, base, buckets)
-        rows += _entries(_pair_key(u[pair], w[pair]), x.doc[pair], 3, base, buckets, np.where(rare_u, u, w)[pair])
+        rows = []
+        if turn == 0:
+            rows.append((int(base % buckets), 0, base, own.tobytes(), None, None, None, t["doc_id"].to_pylist(), t["held"].to_pylist()))
+        rows += _entries(w[rare], x.doc[rare], 1, base, buckets, (turn, turns))
+        rows += _entries(keys[~hot & ~pair], x.doc[~hot & ~pair], 2, base, buckets, (turn, turns))
+        rows += _entries(_pair_key(u[pair], w[pair]), x.doc[pair], 3, base, buckets, (turn, turns), np.where(rare_u, u, w)[pair])
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(columns, kinds))})
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
     picked = picked.withColumn("row", F.monotonically_increasing_id())  # numbers of a piece are consecutive
-    sent = picked.mapInArrow(per_batch(local, nbytes=4_000_000), SENT)
 
     def tables(df: DataFrame, kind: int, keys: str = "keys", values: str = "counts") -> DataFrame:
         nothing = F.lit(None)
@@ -442,8 +450,7 @@ def score(docs: DataFrame, model: Katz, held: Column) -> DataFrame:
                          nothing.cast("binary").alias("docs"), nothing.cast("binary").alias("reps"), nothing.cast("array<long>").alias("ids"),
                          nothing.cast("array<boolean>").alias("held"))
 
-    everything = sent.unionByName(tables(words, -1)).unionByName(tables(pairs, -2)).unionByName(tables(rare_pairs, -3)).unionByName(
-        tables(rare_pairs, -4, "us", "cw"))
+    stored = tables(words, -1).unionByName(tables(pairs, -2)).unionByName(tables(rare_pairs, -3)).unionByName(tables(rare_pairs, -4, "us", "cw"))
 
     def answer(batches):
         """Rows of a bucket: its four tables first, then whole documents and entries, one row at a time."""
@@ -513,8 +520,14 @@ def score(docs: DataFrame, model: Katz, held: Column) -> DataFrame:
         if sums:
             yield from flush()
 
-    dealt = everything.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = dealt.mapInArrow(answer, "base long, sums binary, ids array<long>, held array<boolean>")
+    def answers_of(turn: int) -> DataFrame:
+        sent = picked.mapInArrow(per_batch(lambda t: local(t, turn), nbytes=4_000_000), SENT)
+        own = sent.unionByName(stored.where(F.col("bucket") % turns == turn))
+        dealt = own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        got = dealt.mapInArrow(answer, "base long, sums binary, ids array<long>, held array<boolean>")
+        return got if turns == 1 else materialize(got, "answers")
+
+    answers = reduce(DataFrame.unionByName, [answers_of(turn) for turn in range(turns)])
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         whole = rows[rows["ids"].notna()].iloc[0]
@@ -536,4 +549,4 @@ def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = id_remainder(F.col("doc_id"), 7) == 2
     model = train(docs.where(~held))
-    return score(docs, model, held).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return score(docs, model, held, turns=2).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -260,3 +260,10 @@ def test_pairs_of_rare_words_count(spark, make_docs, monkeypatch, share):
         assert u is None or math.isclose(sum(pair(u, w) for w in [*c, b"new"]), 1)
     for i, ws in enumerate(counts_of([*texts, "x q new new y", "new", "s a t"])[0]):
         assert math.isclose(got[i], sum(math.log10(pair(u, w)) for u, w in zip(["start", *ws[:-1]], ws)), rel_tol=1e-9), i
+
+
+def test_turns_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = katz.train(docs)
+    one, three = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in katz.score(docs, model, F.lit(True), n).collect()} for n in (1, 3))
+    assert one.keys() == three.keys() and all(np.allclose(one[i], three[i], rtol=1e-9) for i in one)
