@@ -15,9 +15,11 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
     Rows of one key are spread over ``salts`` tasks by the hash of ``spread``; the much
     smaller lookup is repeated once per salt.  Spark's size estimate does not see the repeats, so
     the copies are kept from being broadcast: they would pass the driver at ``salts`` times that size.
+    They are hashed in each task, and the rows stream past them unsorted: sorting the rows is what
+    would take a task's memory.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("shuffle_hash")
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 

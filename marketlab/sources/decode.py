@@ -284,11 +284,13 @@ def _exploded(tx: DataFrame, decoders: list[LogDecoder]) -> DataFrame:
 
 
 def events(tx_logs: DataFrame, accounts: DataFrame | None = None, start_ms: int | None = None,
-           end_ms: int | None = None, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+           end_ms: int | None = None, decoders: dict[str, Decoder] | None = None,
+           staged: bool = False) -> DataFrame:
     """Swaps and liquidity events of all registered programs, told apart by ``kind``; one scan.
 
     With ``accounts`` the decoded events are stored, and only those without a mint meet the
-    snapshots of the accounts.
+    snapshots of the accounts.  ``staged`` stores what is not stored yet, for callers that read the
+    events several times.
     """
     tx = usable(tx_logs, start_ms, end_ms)
     by_program = list((decoders or DECODERS).values())
@@ -306,7 +308,9 @@ def events(tx_logs: DataFrame, accounts: DataFrame | None = None, start_ms: int
                 F.col(amounts[0]).alias("amount"),
                 (F.col(amounts[1]) if amounts[1:] else F.lit(None).cast("double")).alias("quote"), F.expr(none).alias("ask")))
     out = reduce(DataFrame.unionByName, parts)
-    return out.drop("ask") if accounts is None else _filled(out, accounts)
+    if accounts is not None:
+        return _filled(out, accounts, staged)
+    return materialize(out.drop("ask"), "decoded") if staged else out.drop("ask")
 
 
 def _account_mints(accounts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -316,23 +320,26 @@ def _account_mints(accounts: DataFrame, asked: DataFrame) -> DataFrame:
         F.octet_length("d") >= 32).groupBy("acct").agg(F.max(F.substring("d", 1, 32)).alias("raw"))
 
 
-def _filled(decoded: DataFrame, accounts: DataFrame) -> DataFrame:
+def _filled(decoded: DataFrame, accounts: DataFrame, staged: bool = False) -> DataFrame:
     """Fill empty pools from the transaction and empty mints from account snapshots.
 
     Of the two token accounts the one that is not the wrapped native token wins, then the first.
-    Hot accounts are spread over salts.
+    A pair of accounts is looked up and written as text once; the events meet that one row,
+    hot pairs spread over salts.
     """
     decoded = materialize(decoded.withColumn("pool", F.coalesce(_empty_to_null(F.col("pool")), "ask.pool", "pool")), "decoded")
     names = [c for c in decoded.columns if c != "ask"]
     open_ = (F.col("mint") == "") & F.col("ask").isNotNull()
     whole = decoded.where(~open_).select(*names)
-    rest = decoded.where(open_).select("*", F.col("ask.a").alias("a"), F.col("ask.b").alias("b"))
-    mints = _account_mints(accounts, rest.select(F.explode(F.array("a", "b")).alias("acct")).distinct())
+    rest = decoded.where(open_).select(*names, F.struct("ask.a", "ask.b").alias("pair"))
+    pairs = rest.select("pair").distinct().select("pair", "pair.a", "pair.b")
+    mints = _account_mints(accounts, pairs.select(F.explode(F.array("a", "b")).alias("acct")).distinct())
     for c in ("a", "b"):
-        rest = salted_join(rest, mints.select(F.col("acct").alias(c), F.col("raw").alias(f"raw_{c}")), c, "tx_signature")
+        pairs = salted_join(pairs, mints.select(F.col("acct").alias(c), F.col("raw").alias(f"raw_{c}")), c, "pair")
     other = [F.when(F.hex(f"raw_{c}") != _NATIVE_HEX, F.col(f"raw_{c}")) for c in ("a", "b")]
-    rest = rest.withColumn("raw", F.coalesce(*other, "raw_a", "raw_b"))
-    return whole.unionByName(rest.withColumn("mint", F.coalesce(base58("raw"), "mint")).select(*names))
+    texts = pairs.select("pair", base58(F.coalesce(*other, "raw_a", "raw_b")).alias("text"))
+    rest = salted_join(rest, texts, "pair", "tx_signature").withColumn("mint", F.coalesce("text", "mint")).select(*names)
+    return whole.unionByName(materialize(rest, "filled") if staged else rest)
 
 
 def as_swaps(decoded: DataFrame) -> DataFrame:

@@ -196,3 +196,13 @@ def test_a_transaction_is_decoded_once(spark):
     plan = decoded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unbase64") == 1  # not once more in a filter that asks whether there are events
     assert rows_of(decoded, "mint", "amount") == [(encode(MINT), 5.0)]
+
+
+def test_a_pair_of_accounts_is_written_as_text_once(spark):
+    keys = [f"key{i}" for i in range(7)]
+    accounts = frame(spark, schemas.ACCOUNTS, [{"pubkey": "key5", "data": account(MINT + bytes(40))}, {"pubkey": "key6", "data": account(bytes(72))}])
+    df = logs(spark, [{"tx_signature": f"t{i}", "logs": [f"Program {AMM} invoke", ENTER, BUY, LEAVE], "account_keys": keys} for i in range(9)])
+    found = decode.swap_events(df, accounts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("ArrowEvalPython")  # text is written before the events are joined, not for each
+    assert rows_of(found, "tx_signature", "mint") == [(f"t{i}", encode(MINT)) for i in range(9)]

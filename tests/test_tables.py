@@ -275,3 +275,13 @@ def test_copies_of_a_salted_lookup_are_not_broadcast(spark):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 1000
     assert joined.where("x is null").select("k").distinct().count() == 2
+
+
+def test_rows_of_a_salted_join_are_not_sorted(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    lookup = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    for how, n in (("left", 1000), ("left_semi", 715), ("left_anti", 285), ("inner", 715)):
+        joined = joins.salted_join(rows, lookup, "k", "id", how)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+        assert joined.count() == n
