@@ -101,6 +101,12 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def any_repeated(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key occurs more than once: eight-byte hashes first, the keys themselves only if one of those does."""
+    hashes = df.select(F.xxhash64(*[F.expr(k) for k in keys]).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    return not hashes.where("n > 1").isEmpty() and not repeated_keys(df, keys).isEmpty()
+
+
 def existing_rows(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a batch whose key is already stored."""
     have = stored.select(*_key_columns(keys))
@@ -108,20 +114,57 @@ def existing_rows(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFram
         *_names(keys))
 
 
+def _hashed_keys(keys: list[str]) -> list[Column]:
+    """The key columns behind their hash, by which rows sort fast: keys often share their first bytes."""
+    return [F.xxhash64(*[F.expr(k) for k in keys]).alias("_h"), *_key_columns(keys)]
+
+
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the smallest row in column order, so reruns pick the same one."""
-    cols = df.columns
-    return df.groupBy(*_key_columns(keys)).agg(F.min(F.struct(*cols)).alias("r")).select(
-        *_names(keys), "r.*").select(*cols)
+    return new_rows(df, None, keys)
 
 
 def new_rows(df: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Batch rows to add: one per key, keys not stored yet."""
-    fresh = one_per_key(df, keys)
-    if stored is None:
-        return fresh
-    return fresh.select("*", *_key_columns(keys)).join(
-        stored.select(*_key_columns(keys)), _names(keys), "left_anti").drop(*_names(keys))
+    """Batch rows to add: one per key, keys not stored yet.
+
+    The rows move and sort once: the stored keys meet them where they were grouped.
+    """
+    cols = df.columns
+    fresh = df.groupBy(*_hashed_keys(keys)).agg(F.min(F.struct(*cols)).alias("r"))
+    if stored is not None:
+        fresh = fresh.join(stored.select(*_hashed_keys(keys)), ["_h", *_names(keys)], "left_anti")
+    return fresh.select("r.*").select(*cols)
+
+
+def _has_enums(table: str) -> bool:
+    return any(t == table for t, _ in ALLOWED_VALUES)
+
+
+class _Staged:
+    """Rows that were written and are not shown yet; dropped if the block around them fails."""
+
+    def __init__(self, store: TableStore, table: str, path: str, n: int, lo: int, hi: int):
+        self.store, self.table, self.path, self.n, self.lo, self.hi = store, table, path, n, lo, hi
+
+    def __enter__(self) -> _Staged:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.path is not None:
+            delete_path(self.store.spark, self.path)
+
+    def read(self) -> DataFrame:
+        schema = StructType([*TABLES[self.table].fields]).add("_version", "long")
+        return self.store.spark.read.schema(schema).parquet(self.path)
+
+    def show(self) -> int:
+        """One rename; returns the number of rows, none leave no folder."""
+        if self.n:
+            known = self.store._generations(self.table)
+            root = known[-1][2] if known else os.path.join(self.store.path(self.table), "g000000_v0")
+            move_path(self.store.spark, self.path, os.path.join(root, f"lo={self.lo}", f"hi={self.hi}", f"part={uuid.uuid4().hex}"))
+            self.path = None
+        return self.n
 
 
 class TableStore:
@@ -218,26 +261,28 @@ class TableStore:
         written first and become visible with the marks of their groups, so a run that breaks off
         in between leaves the old rows.
         """
-        keys, mark = REPLACED_BY[table], intermediates_mark()
-        try:
-            rows = materialize(conform(df, TABLES[table]), f"replace-{table}")
-            if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(rows, table).isEmpty():
-                raise InvalidRows(table)
-            if not repeated_keys(rows, UNIQUE_KEYS[table]).isEmpty():
-                raise DuplicateKey(f"{table}: key repeated within the batch")
-            if not self.exists(table):
-                make_folder(self.spark, os.path.join(self.path(table), "g000000_v0"))
-            version = 1 + self._last_version(table)
+        keys, version = REPLACED_BY[table], 1 + self._last_version(table)
+        number = F.lit(version).cast("long")
+        with self._staged(conform(df, TABLES[table]).withColumn("_version", number), table) as staged:
+            rows = staged.read()
+            self._check(rows, table)
             touched = rows.select(*keys)
             if groups is not None:
                 touched = touched.unionByName(groups.select(*keys))
-            self._commit(rows.withColumn("_version", F.lit(version).cast("long")), table)
-            staged = os.path.join(self.path(f"{table}.replaced"), f"_{uuid.uuid4().hex}")
-            touched.distinct().withColumn("_version", F.lit(version).cast("long")).write.parquet(staged)
-            move_path(self.spark, staged, os.path.join(self._marks_path(table), f"part={uuid.uuid4().hex}"))
+            marks = os.path.join(self.path(f"{table}.replaced"), f"_{uuid.uuid4().hex}")
+            touched.distinct().withColumn("_version", number).write.parquet(marks)
+            if not self.exists(table):
+                make_folder(self.spark, os.path.join(self.path(table), "g000000_v0"))
+            staged.show()
+            move_path(self.spark, marks, os.path.join(self._marks_path(table), f"part={uuid.uuid4().hex}"))
             return version
-        finally:
-            discard_intermediates(self.spark, mark)
+
+    def _check(self, rows: DataFrame, table: str) -> None:
+        """Rows of one write: allowed values only, and no key twice."""
+        if _has_enums(table) and not check_enums(rows, table).isEmpty():
+            raise InvalidRows(table)
+        if any_repeated(rows, UNIQUE_KEYS[table]):
+            raise DuplicateKey(f"{table}: key repeated within the batch")
 
     def _last_version(self, table: str) -> int:
         """The largest version in use, also by a write that broke off."""
@@ -270,23 +315,22 @@ class TableStore:
             delete_path(self.spark, os.path.join(self.path(f"{table}.replaced"), f"g{n:06d}"))
         return number
 
-    def _commit(self, rows: DataFrame, table: str) -> int:
-        """Write rows and show them with one rename; returns their number, none leave no folder."""
+    def _staged(self, rows: DataFrame, table: str) -> _Staged:
+        """Write rows where no reader looks."""
         seen, time = Observation(), TIME_OF.get(table)
         found = [F.count(F.lit(1)).alias("n")]
         if time:
             found += [F.min(time).alias("lo"), F.max(time).alias("hi")]
-        staged = os.path.join(self.path(table), f"_{uuid.uuid4().hex}")
-        rows.observe(seen, *found).write.parquet(staged)
+        path = os.path.join(self.path(table), f"_{uuid.uuid4().hex}")
+        rows.observe(seen, *found).write.parquet(path)
         got = seen.get
-        if not got["n"]:
-            delete_path(self.spark, staged)
-            return 0
         lo, hi = ((got[k] or 0) // DAY_MS for k in ("lo", "hi")) if time else (0, 0)
-        known = self._generations(table)
-        root = known[-1][2] if known else os.path.join(self.path(table), "g000000_v0")
-        move_path(self.spark, staged, os.path.join(root, f"lo={lo}", f"hi={hi}", f"part={uuid.uuid4().hex}"))
-        return got["n"]
+        return _Staged(self, table, path, got["n"], lo, hi)
+
+    def _commit(self, rows: DataFrame, table: str) -> int:
+        """Write rows and show them with one rename; returns their number, none leave no folder."""
+        with self._staged(rows, table) as staged:
+            return staged.show()
 
     def append_unique(self, df: DataFrame, table: str, on_conflict: str = "error",
                       staged: bool = False) -> dict[str, int]:
@@ -306,27 +350,25 @@ class TableStore:
     def _append(self, df: DataFrame, table: str, on_conflict: str, staged: bool) -> dict[str, int]:
         keys = UNIQUE_KEYS[table]
         batch, exists = conform(df, TABLES[table]), self.exists(table)
-        if not staged and (exists or on_conflict == "error"):
+        if on_conflict == "error":
+            with self._staged(self._versioned(batch, table), table) as written:  # checked where it was written
+                rows = written.read()
+                self._check(rows, table)
+                if exists and not existing_rows(rows, self._overlap(rows, table), keys).isEmpty():
+                    raise DuplicateKey(f"{table}: key already stored")
+                return {"stored": written.show(), "duplicates": 0}
+        if on_conflict != "skip":
+            raise ValueError(f"unknown on_conflict: {on_conflict}")
+        if not staged and exists and (table in PRUNE_BY or _has_enums(table)):
             # the checks and the write read the batch several times: compute it once
             batch = materialize(batch, f"batch-{table}")
         stored = self._overlap(batch, table) if exists else None
-        if any(t == table for t, _ in ALLOWED_VALUES) and not check_enums(batch, table).isEmpty():
+        if _has_enums(table) and not check_enums(batch, table).isEmpty():
             raise InvalidRows(table)
         seen = Observation()
         batch = batch.observe(seen, F.count(F.lit(1)).alias("n"))
-        if on_conflict == "error":
-            if not repeated_keys(batch, keys).isEmpty():
-                raise DuplicateKey(f"{table}: key repeated within the batch")
-            if stored is not None and not existing_rows(batch, stored, keys).isEmpty():
-                raise DuplicateKey(f"{table}: key already stored")
-            rows = batch
-        elif on_conflict == "skip":
-            rows = new_rows(batch, stored, keys)
-        else:
-            raise ValueError(f"unknown on_conflict: {on_conflict}")
-        added = self._write(rows, table)
-        total = added if on_conflict == "error" else seen.get["n"]
-        return {"stored": added, "duplicates": total - added}
+        added = self._write(new_rows(batch, stored, keys), table)
+        return {"stored": added, "duplicates": seen.get["n"] - added}
 
     def _overlap(self, batch: DataFrame, table: str) -> DataFrame:
         """The part of the stored table that can hold keys of the batch.
@@ -346,12 +388,15 @@ class TableStore:
         """Append stored rows that are known to be new (``new_rows``): no check, one write."""
         return self._write(conform(rows, TABLES[table]), table)
 
-    def _write(self, rows: DataFrame, table: str) -> int:
+    def _versioned(self, rows: DataFrame, table: str) -> DataFrame:
+        """Rows of now, not older than what was replaced."""
         marks = self._marks(table)
-        if marks is not None:  # rows of now, not older than what was replaced
-            version = marks.agg(F.max("_version")).first()[0]
-            rows = rows.withColumn("_version", F.lit(version).cast("long"))
-        return self._commit(rows, table)
+        if marks is None:
+            return rows
+        return rows.withColumn("_version", F.lit(marks.agg(F.max("_version")).first()[0]).cast("long"))
+
+    def _write(self, rows: DataFrame, table: str) -> int:
+        return self._commit(self._versioned(rows, table), table)
 
     def ingest(self, df: DataFrame, table: str, start: int | None = None, end: int | None = None,
                ts: str = "timestamp", on_conflict: str = "error") -> dict[str, int]:

@@ -73,20 +73,21 @@ class SlotBuffer:
         """Final events of this batch; the rest becomes pending.
 
         The highest slot seen so far is always in the pending set or in the batch, because
-        a slot at the head is never final; it is one aggregated row.
+        a slot at the head is never final.  It is one number, so both filters reach the reader.
         """
         name, known = f"{self.run}-{batch_id}", self._folders()
         own = [n for n, b in known if b == name]
         number = own[0] if own else (known[-1][0] + 1 if known else 0)
         before = [f for f in known if f[0] < number]
-        pool = self._read(before[-1] if before else None).unionByName(batch.select(*self.schema.names))
-        top = pool.agg(F.max("slot").alias("top"))
-        tagged = pool.crossJoin(F.broadcast(top))
-        held = tagged.where(F.col("slot") > F.col("top") - self.lag).drop("top")
-        held.write.mode("overwrite").parquet(self._path(number, name))
+        pool = batch.select(*self.schema.names)
+        if before:
+            pool = self._read(before[-1]).unionByName(pool)
+        top = pool.agg(F.max("slot")).first()[0]
+        final = F.lit(None if top is None else top - self.lag).cast("long")
+        pool.where(F.col("slot") > final).write.mode("overwrite").parquet(self._path(number, name))
         for old in before[:-2]:  # no retry reaches back that far
             delete_path(self.spark, self._path(*old))
-        return tagged.where(F.col("slot") <= F.col("top") - self.lag).drop("top")
+        return pool.where(F.col("slot") <= final)
 
     def drain(self) -> DataFrame:
         """Everything still pending, at shutdown; storing it twice changes nothing."""
@@ -276,26 +277,26 @@ class LivePipeline:
         """
         mark = intermediates_mark()
         try:
-            decoded = materialize(decode.events(batch, accounts), "decoded")
-            self.on_events(raw_events(decode.complete_swaps(decoded), decode.complete_liquidity(decoded)), batch_id)
+            decoded = decode.events(batch, accounts, staged=True)
+            self.on_events(raw_events(decode.complete_swaps(decoded), decode.complete_liquidity(decoded)), batch_id, staged=True)
         finally:
             discard_intermediates(self.store.spark, mark)
 
-    def on_events(self, batch: DataFrame, batch_id: int) -> None:
-        """Both kinds of events, as ``raw_events`` builds them."""
+    def on_events(self, batch: DataFrame, batch_id: int, staged: bool = False) -> None:
+        """Both kinds of events, as ``raw_events`` builds them; ``staged`` if they lie in a stored table already."""
         mark = intermediates_mark()
         try:
             if self.buffer is not None:
                 batch = self.buffer.release(batch, batch_id)
             # computed once, then stored in several tables
-            self.handle_events(materialize(batch, "released"), staged=True)
+            self.handle_events(batch if staged else materialize(batch, "released"), staged=True)
         finally:
             discard_intermediates(self.store.spark, mark)
 
     def handle_events(self, events: DataFrame, staged: bool = False) -> None:
         self.handle_swaps(events.where("kind = 'swap'"), staged)
         if not events.where("kind = 'liquidity'").isEmpty():
-            self.on_liquidity(events.where("kind = 'liquidity'"))
+            self.on_liquidity(events.where("kind = 'liquidity'"), staged=staged)
 
     def on_swaps(self, batch: DataFrame, batch_id: int) -> None:
         self.on_events(raw_events(batch, None), batch_id)
@@ -321,10 +322,13 @@ class LivePipeline:
     def _last_event(self) -> int | None:
         return self.store.last_time("swap_events")
 
-    def on_liquidity(self, batch: DataFrame, batch_id: int = 0) -> None:
+    def on_liquidity(self, batch: DataFrame, batch_id: int = 0, staged: bool = False) -> None:
         """Store liquidity events with the candidate that their mint has by now, if any."""
-        known = resolve_candidates(batch, self.store.read("token_candidates"))
-        self.store.append_unique(known, "liquidity_events", "skip")
+        if self.store.exists("token_candidates"):
+            batch, staged = resolve_candidates(batch, self.store.read("token_candidates")), False
+        else:  # nothing to look up
+            batch = batch.withColumn("candidate_id", F.nullif("candidate_id", F.lit("")))
+        self.store.append_unique(batch, "liquidity_events", "skip", staged)
 
     def on_candidate_swaps(self, batch: DataFrame, batch_id: int) -> None:
         """Swaps of known candidates: stored once; new ones are added to the volume buckets."""

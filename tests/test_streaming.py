@@ -336,3 +336,24 @@ def test_hour_sums_give_the_spikes_of_the_events(spark, tmp_path):
             hours.compact()
             assert hours.rows().groupBy().sum("n").first()[0] == len(rows)
     assert found[0] == found[1] != []
+
+
+def test_decoded_logs_are_stored_once_before_their_tables(spark, store, tmp_path, monkeypatch):
+    from marketlab.sources import decode, tables
+    names, stage = [], live.materialize
+
+    def noted(df, name):
+        names.append(name)
+        return stage(df, name)
+    for module in (live, decode, tables):
+        monkeypatch.setattr(module, "materialize", noted)
+    buffer = live.SlotBuffer(spark, str(tmp_path / "p"), live.RAW_EVENTS)
+    pipe = live.LivePipeline(store, buffer, first_seen=False)
+    accounts = frame(spark, schemas.ACCOUNTS, [{"pubkey": "none", "data": ""}])
+    for n, start in enumerate((0, 15)):
+        pipe.on_logs(curve_logs(spark, 20, start), n, accounts)
+    assert names == ["decoded", "filled"] * 2  # the second one holds only events that met the accounts
+    pipe.drain()
+    assert store.read("swap_events").count() == store.read("liquidity_events").count() == 35
+    released = buffer.release(live.raw_events(swap_events(spark, [{"timestamp": 1}]), None), 9)
+    assert "Join" not in released._jdf.queryExecution().optimizedPlan().toString()

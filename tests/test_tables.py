@@ -285,3 +285,15 @@ def test_rows_of_a_salted_join_are_not_sorted(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan and "Sort " not in plan
         assert joined.count() == n
+
+
+def test_rows_are_written_once_and_checked_there(spark, store, monkeypatch):
+    row = lambda c: frame(spark, schemas.PRICE_TIMESERIES, [{"candidate_id": c, "timestamp_ms": 1, "slot": 1, "price": 1.0, "volume": 1.0, "swap_count": 1}])
+    monkeypatch.setattr(tables, "materialize", lambda *_: pytest.fail("written twice"))
+    store.append_unique(row("a"), "price_timeseries")
+    store.replace(row("b"), "price_timeseries")
+    for write in (store.replace, store.append_unique):
+        with pytest.raises(tables.DuplicateKey):
+            write(row("c").union(row("c")), "price_timeseries")
+    assert rows_of(store.read("price_timeseries"), "candidate_id") == [("a",), ("b",)]
+    assert not [n for n in tables.list_names(spark, store.path("price_timeseries")) if n.startswith("_")]
