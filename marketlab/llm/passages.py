@@ -13,8 +13,11 @@ the intervals of suffixes that share LENGTH bytes.  No suffix is sorted again.
 
 Equal texts are one text with a number of copies, equal windows of a group one window with a list of
 places; both are combined before they are sent.  Texts are stored in buckets of their key, so they are
-moved once.  A group with very many different windows is cut by what follows and what precedes its anchor:
-a common stretch agrees on enough bytes of one side.
+moved once.  A group with very many windows is cut by context: the stretches around an anchor fall into
+PARTS classes by the bytes they hold before it, and those of a class agree on all but PART bytes to each
+side.  Anchors with more than SPREAD places are cut before they are sent, so that their windows are dealt by
+their contexts; the transforms are then built on the two sides alone, and a context that is still crowded is
+halved until the rest fits or stretches are equal.  A task holds one row of each different pair of sides.
 
 Defined cases: a null text is empty; texts below LENGTH bytes lose nothing; rows that repeat a text lose all
 of it from LENGTH bytes on; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read, and the
@@ -25,7 +28,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import uuid
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +44,11 @@ from marketlab.session import shared_dir
 
 LENGTH, GRAM, STEP = 200, 64, 50
 LEFT = LENGTH - GRAM  # bytes of a window before its anchor, and after the anchor's end
-CROWD = 20_000  # windows of a group above which it is cut by context
+PARTS = 4  # classes of the stretches around an anchor, by the bytes before it
+PART = LEFT // PARTS
+SPREAD = 5_000  # places of an anchor above which its windows are cut by context before they are sent
+CROWD = 3_000  # windows of a group above which it is cut by context
+BATCH = 1_000_000  # bytes of windows that are transformed at once
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _A, _B = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -117,11 +127,15 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("k8"), F.crc32(text).alias("k4")
 
 
+WINDOW, SIDES, KNOWN = 0, 1, 2  # kinds of rows that are dealt: a window, its sides by context, places that recur
 _PLACE = np.dtype([("k8", "<i8"), ("cp", "<u8")])  # cp: crc32 of the text in the upper half, a place in it below
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(k8, k4, hits array<struct<pos, h>>) of the texts that hold anchors which occur twice."""
+    """(k8, k4, hits array<struct<pos, h, many>>) of the texts that hold anchors which occur twice.
+
+    ``many``: the anchor has more than SPREAD places.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         body, at = binary_view(t["text"])
@@ -147,13 +161,14 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
         more = [np.frombuffer(r, _PLACE) for r in rest if r]
         times = [len(r) // _PLACE.itemsize if r else 0 for r in rest]
         extra = np.concatenate(more) if more else np.zeros(0, _PLACE)
-        h = t["h"].to_numpy()
+        h, many = t["h"].to_numpy(), t["many"].to_numpy()
         cp = np.r_[t["cp"].to_numpy().view(np.uint64), extra["cp"]]
         return pa.table({"k8": np.r_[t["k8"].to_numpy(), extra["k8"]], "k4": (cp >> np.uint64(32)).astype(np.int64),
-                         "pos": (cp & np.uint64(2**32 - 1)).astype(np.int64), "h": np.r_[h, np.repeat(h, times)]})
+                         "pos": (cp & np.uint64(2**32 - 1)).astype(np.int64), "h": np.r_[h, np.repeat(h, times)], "many": np.r_[many, np.repeat(many, times)]})
 
-    flat = twice.select("h", "k8", "cp", "rest").mapInArrow(per_batch(spread), "k8 long, k4 long, pos long, h long")
-    return flat.groupBy("k8", "k4").agg(F.collect_list(F.struct("pos", "h")).alias("hits"))
+    flat = twice.select("h", "k8", "cp", "rest", (F.col("n") > SPREAD).alias("many")).mapInArrow(
+        per_batch(spread), "k8 long, k4 long, pos long, h long, many boolean")
+    return flat.groupBy("k8", "k4").agg(F.collect_list(F.struct("pos", "h", "many")).alias("hits"))
 
 
 def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,31 +190,32 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndar
     return z, block
 
 
-def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], shard: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and places in them from which LENGTH bytes recur at the same place of another window of the group."""
+def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], shard: int = 300_000,
+                    length: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and places in them from which ``length`` bytes recur at the same place of another window of the group."""
     body = np.frombuffer(b"".join(w + b"\0" for w in windows), np.uint8)  # the extra byte ends the last of the strings
     at = np.r_[0, np.cumsum([len(w) + 1 for w in windows])]
     group, anchor = np.array(group, np.int64), np.array(anchor, np.int64)
     n = len(body)
     window = np.repeat(np.arange(len(group)), np.diff(at))
     place = np.arange(n) - at[window]
-    whole = np.arange(n) + STEP < at[window + 1]  # a full symbol starts here; elsewhere a string ends
-    salt = _mix(group[window].view(np.uint64) + _mix((place - anchor[window] + LENGTH).astype(np.uint64)))
+    whole = np.arange(n) + step < at[window + 1]  # a full symbol starts here; elsewhere a string ends
+    salt = _mix(group[window].view(np.uint64) + _mix((place - anchor[window] + length).astype(np.uint64)))
     h = np.zeros(n, np.uint64)
-    grams = rolling(body, STEP)
+    grams = rolling(body, step)
     h[:len(grams)] = grams
     h = _mix(h ^ salt) | np.uint64(1)
     h[~whole] = 0
-    rounds = LENGTH // STEP
+    rounds = length // step
     _, symbol, times = np.unique(h, return_inverse=True, return_counts=True)
     # a stretch recurs only if each of its symbols does: strings are cut where no such stretch is left
     again = (times > 1)[symbol] & whole
 
     def later(x: np.ndarray, k: int) -> np.ndarray:
-        return np.concatenate([x[k * STEP:], np.zeros(k * STEP, bool)]) if k else x
+        return np.concatenate([x[k * step:], np.zeros(k * step, bool)]) if k else x
 
     def earlier(x: np.ndarray, k: int) -> np.ndarray:
-        return np.concatenate([np.zeros(k * STEP, bool), x[:n - k * STEP]]) if k else x
+        return np.concatenate([np.zeros(k * step, bool), x[:n - k * step]]) if k else x
 
     # a symbol that is whole is followed by a place of its own window, so runs of them never leave it
     run = np.logical_and.reduce([later(again, k) for k in range(rounds)])
@@ -212,7 +228,7 @@ def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], s
 
     def ahead(idx: np.ndarray, k: int) -> np.ndarray:
         """Symbol k steps on; the end of a string where there is none."""
-        to = idx + k * STEP
+        to = idx + k * step
         return np.where(to < at[window[idx] + 1], symbol[np.minimum(to, n - 1)], 0)
 
     # shards are whole windows
@@ -226,7 +242,7 @@ def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], s
     for a, b in zip(cuts[:-1], cuts[1:]):
         idx = used[a:b]
         suffixes = idx[np.lexsort([ahead(idx, k) for k in range(rounds - 1, -1, -1)])]
-        before = np.where(place[suffixes] >= STEP, symbol[np.maximum(suffixes - STEP, 0)], 0)
+        before = np.where(place[suffixes] >= step, symbol[np.maximum(suffixes - step, 0)], 0)
         arrays.append(suffixes)
         transforms.append(before)
     z, block = merge_transforms(transforms, rounds)
@@ -238,6 +254,137 @@ def repeated_starts(windows: list[bytes], group: list[int], anchor: list[int], s
     return window[starts], place[starts]
 
 
+def _sides(window: bytes, anchor: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """A window by classes of its stretches: what all of a class hold, up to PART bytes to the left and right
+    of it, how many of these are left, and where they begin in the window.  Class i holds from i * PART to
+    (i + 1) * PART bytes before the anchor."""
+    after = len(window) - anchor - GRAM
+    for i in range(PARTS):
+        lo, hi = anchor - PART * i, anchor + LENGTH - PART * (i + 1)
+        left, right = min(lo, PART), min(len(window) - hi, PART)
+        if lo >= 0 and after >= LEFT - PART * (i + 1) and left + right >= PART:
+            yield window[lo:hi] + bytes((i,)), window[lo - left:lo] + window[hi:hi + right], left, lo - left
+
+
+def _line(outer: bytes, left: int) -> bytes:
+    """Both sides, each from the context outwards, and their lengths, in 2 * PART + 2 bytes."""
+    return outer[:left][::-1].ljust(PART, b"\0") + outer[left:].ljust(PART, b"\0") + bytes((left, len(outer) - left))
+
+
+def _collapsed(lines: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines by group: the first of each that are equal, for each the number of its first, and how many are equal."""
+    whole = np.ascontiguousarray(np.concatenate([lines, group.view(np.uint8).reshape(-1, 8)], axis=1))
+    _, first, same, times = np.unique(whole.view(f"S{whole.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    return first, same, times
+
+
+def _by_context(group: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Groups cut by the bytes of ``context``."""
+    out = np.empty(len(group), np.uint64)
+    for at in range(0, len(group), 50_000):
+        part = slice(at, at + 50_000)
+        out[part] = _mix((_BYTE[context[part]] * _powers(_BASE, context.shape[1])).sum(axis=1, dtype=np.uint64))
+    return _mix(out ^ _mix(group.view(np.uint64))).view(np.int64)
+
+
+def shared_sides(lines: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the least and the greatest number of bytes to the left that a stretch of PART bytes around
+    the context holds which recurs in another line of the group (greatest -1: none does)."""
+    first, same, times = _collapsed(lines, group)
+    lines, group = lines[first], group[first]
+    left, right = lines[:, -2].astype(np.int16), lines[:, -1].astype(np.int16)
+    least, most = np.where(times > 1, PART - right, PART + 1).astype(np.int16), np.where(times > 1, left, -1).astype(np.int16)
+
+    def transformed(picked: np.ndarray, ids: np.ndarray, l0: int, r0: int, width: int) -> None:
+        x = np.minimum(left[picked] - l0, width)
+        y = np.minimum(right[picked] - r0, width)
+        windows = [lines[j, l0:l0 + a][::-1].tobytes() + lines[j, PART + r0:PART + r0 + b].tobytes()
+                   for j, a, b in zip(picked.tolist(), x.tolist(), y.tolist())]
+        owner, starts = repeated_starts(windows, ids.tolist(), x.tolist(), length=width, step=width if width % 2 else width // 2)
+        before = (l0 + x[owner] - starts).astype(np.int16)
+        np.minimum.at(least, picked[owner], before)
+        np.maximum.at(most, picked[owner], before)
+
+    # stretches of ``width`` bytes around a context that goes on l0 bytes to the left and r0 to the right
+    todo = [(0, 0, PART, np.arange(len(lines)), group)]
+    while todo:
+        l0, r0, width, idx, ids = todo.pop()
+        _, ids, n = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(ids, kind="stable")
+        order = order[n[ids[order]] > 1]
+        idx, ids, size = idx[order], ids[order], n[ids[order]]
+        if not width:
+            least[idx], most[idx] = np.minimum(least[idx], l0), np.maximum(most[idx], l0)
+            continue
+        crowded = size > BATCH // (2 * width)
+        picked, own = idx[~crowded], ids[~crowded]
+        at = 0
+        while at < len(picked):
+            # whole groups; one fits
+            to = min(len(picked), at + BATCH // (2 * width))
+            if to < len(picked):
+                to = int(np.searchsorted(own, own[to]))
+            transformed(picked[at:to], own[at:to], l0, r0, width)
+            at = to
+        idx, ids = idx[crowded], ids[crowded].astype(np.int64)
+        if len(idx):
+            half = width // 2
+            more = right[idx] >= r0 + width - half
+            todo.append((l0, r0 + width - half, half, idx[more], _by_context(ids[more], lines[idx[more], PART + r0:PART + r0 + width - half])))
+            more = left[idx] >= l0 + half + 1
+            todo.append((l0 + half + 1, r0, width - half - 1, idx[more], _by_context(ids[more], lines[idx[more], l0:l0 + half + 1])))
+    return least[same], most[same]
+
+
+def _runs(places: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+    """Stretches of texts, counted from places in them."""
+    start = (places["cp"] & np.uint64(2**32 - 1)).astype(np.int64)
+    return {"k8": np.ascontiguousarray(places["k8"]), "k4": (places["cp"] >> np.uint64(32)).astype(np.int64), "lo": start + lo, "hi": start + hi}
+
+
+class _Crowds:
+    """Lines of whole contexts; a place goes with a line unless all of the line is known to recur."""
+
+    def __init__(self):
+        self.lines, self.places, self.group, self.known, self.kept = bytearray(), bytearray(), array("q"), bytearray(), 0
+
+    def __len__(self):
+        return len(self.known)
+
+    def add(self, group: int, outer: bytes, left: int, place: bytes) -> None:
+        self.lines += _line(outer, left)
+        self.places += place or bytes(_PLACE.itemsize)
+        self.group.append(group)
+        self.known.append(not place)
+
+    def _arrays(self):
+        return (np.frombuffer(bytes(self.lines), np.uint8).reshape(-1, 2 * PART + 2), np.frombuffer(bytes(self.places), _PLACE),
+                np.array(self.group, np.int64), np.frombuffer(bytes(self.known), bool))
+
+    def full(self) -> bool:
+        return len(self) > 2 * self.kept + 50_000
+
+    def collapse(self) -> dict[str, np.ndarray]:
+        """Keeps one of equal lines, and gives the runs of their places."""
+        lines, places, group, known = self._arrays()
+        first, same, times = _collapsed(lines, group)
+        own = (times > 1)[same] & ~known
+        left, right = lines[own, -2].astype(np.int64), lines[own, -1].astype(np.int64)
+        out = _runs(places[own], np.zeros(len(left), np.int64), left + right + LENGTH - PART)
+        known = known[first] | (times > 1)
+        self.lines, self.places = bytearray(lines[first].tobytes()), bytearray(places[first].tobytes())
+        self.group, self.known = array("q", group[first].tobytes()), bytearray(known.tobytes())
+        self.kept = len(self)
+        return out
+
+    def runs(self) -> dict[str, np.ndarray]:
+        lines, places, group, known = self._arrays()
+        least, most = shared_sides(lines, group)
+        own = (most >= 0) & ~known
+        left = lines[own, -2].astype(np.int64)
+        return _runs(places[own], left - most[own], left - least[own] + LENGTH)
+
+
 def _covered(windows: list[bytes], group: list[int], anchor: list[int], found: list[np.ndarray]) -> None:
     """Adds to ``found[i]`` the starts in window i that another window of its group shares."""
     owner, starts = repeated_starts(windows, group, anchor)
@@ -272,42 +419,35 @@ def _marks(groups: list[_Group]) -> dict[str, np.ndarray] | None:
     batch: list[int] = []
     size, i = 0, 0
 
-    def run(picked: list[int], ids: list[int] | None = None) -> None:
+    def run(picked: list[int]) -> None:
         if len(picked) > 1:
-            _covered([keys[j][0] for j in picked], ids or [group[j] for j in picked], [keys[j][1] for j in picked],
+            _covered([keys[j][0] for j in picked], [group[j] for j in picked], [keys[j][1] for j in picked],
                      sink := [[] for _ in picked])
             for j, s in zip(picked, sink):
                 found[j].extend(s)
 
+    def run_crowded(mine: list[int]) -> None:
+        contexts: dict[bytes, int] = {}
+        lines, owner, at, ids = bytearray(), [], [], []
+        for j in mine:
+            for context, outer, left, off in _sides(*keys[j]):
+                lines += _line(outer, left)
+                owner.append(j), at.append(off + left), ids.append(contexts.setdefault(context, len(contexts)))
+        least, most = shared_sides(np.frombuffer(bytes(lines), np.uint8).reshape(-1, 2 * PART + 2), np.array(ids, np.int64))
+        for k in np.flatnonzero(most >= 0).tolist():
+            found[owner[k]].append(at[k] - np.array([most[k], least[k]], np.int64))
+
     for g in groups:
         mine = list(range(i, i + len(g.places)))
         i += len(mine)
         if len(mine) < 2:
             continue
         if len(mine) > CROWD:
-            # a common stretch has at least half of LEFT bytes beside the anchor on one side
-            half = LEFT // 2
-            for side in (0, 1):
-                by: dict[bytes, list[int]] = {}
-                for j in mine:
-                    w, a = keys[j]
-                    context = w[max(0, a - half):a] if side == 0 else w[a + GRAM:a + GRAM + half]
-                    if len(context) == half:
-                        by.setdefault(context, []).append(j)
-                part, ids, total = [], [], 0
-                for n, same in enumerate(by.values()):
-                    if len(same) > 1:
-                        part += same
-                        ids += [n] * len(same)
-                        total += sum(len(keys[j][0]) for j in same)
-                        if total > 1_000_000:
-                            run(part, ids)
-                            part, ids, total = [], [], 0
-                run(part, ids)
+            run_crowded(mine)
             continue
         batch += mine
         size += g.size
-        if size > 1_000_000:
+        if size > BATCH:
             run(batch)
             batch, size = [], 0
     run(batch)
@@ -335,22 +475,33 @@ def repeated_stretches(texts: DataFrame) -> DataFrame:
         raw = body.tobytes()
         seen: dict[tuple, list] = {}
         k8, k4, hits = t["k8"].to_numpy(), t["k4"].to_numpy(), t["hits"].combine_chunks()
-        pos, h = (hits.flatten().field(x).to_numpy() for x in ("pos", "h"))
+        pos, h, many = (hits.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("pos", "h", "many"))
         ends = np.r_[0, np.cumsum(hits.value_lengths().to_numpy())]
         for i in range(t.num_rows):
             for j in range(ends[i], ends[i + 1]):
                 p = int(pos[j])
                 lo = max(0, p - LEFT)
                 window = raw[at[i] + lo:min(at[i] + p + LENGTH, at[i + 1])]
-                seen.setdefault((int(h[j]), window, p - lo), []).append((int(k8[i]), (int(k4[i]) << 32) | lo))
-        return pa.table({"h": pa.array([k[0] for k in seen], pa.int64()), "window": pa.array([k[1] for k in seen], pa.binary()),
-                         "anchor": pa.array([k[2] for k in seen], pa.int32()),
-                         "places": pa.array([np.array(v, _PLACE).tobytes() for v in seen.values()], pa.binary())})
+                seen.setdefault((int(h[j]), window, p - lo, bool(many[j])), []).append((int(k8[i]), (int(k4[i]) << 32) | lo))
+        rows = []
+        for (anchor, window, before, crowded), v in seen.items():
+            if not crowded:
+                rows.append((anchor, WINDOW, window, before, np.array(v, _PLACE).tobytes()))
+                continue
+            if len(v) > 1:  # all of it recurs here already
+                rows.append((v[0][0], KNOWN, b"", len(window), np.array(v, _PLACE).tobytes()))
+            for context, outer, left, off in _sides(window, before):
+                key = hashlib.blake2b(context, digest_size=8).digest()
+                place = struct.pack("<qQ", v[0][0], v[0][1] + off) if len(v) == 1 else b""
+                rows.append((struct.unpack("<q", key)[0], SIDES, outer, left, place))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+            (pa.int64(), pa.int8(), pa.binary(), pa.int32(), pa.binary()))], ["h", "kind", "window", "anchor", "places"])
 
     def gather(batches):
-        """Whole groups, as the rows come sorted by anchor, about a megabyte of windows at a time."""
+        """Whole groups, as the rows come sorted by anchor or context, about a megabyte of windows at a time."""
         ready: list[_Group] = []
-        size, now = 0, None
+        now, crowds, size, last = None, _Crowds(), 0, None
+        known: list[tuple[np.ndarray, int]] = []
 
         def flush():
             marks = _marks(ready)
@@ -359,22 +510,40 @@ def repeated_stretches(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(marks)
 
         for b in batches:
-            for h, w, a, p in zip(b["h"].to_pylist(), b["window"].to_pylist(), b["anchor"].to_pylist(), b["places"].to_pylist()):
+            for h, kind, w, a, p in zip(*(b[x].to_pylist() for x in ("h", "kind", "window", "anchor", "places"))):
+                if kind == KNOWN:
+                    known.append((np.frombuffer(p, _PLACE), a))
+                    continue
+                if kind == SIDES:
+                    if h != last and len(crowds) > BATCH // (2 * PART):
+                        yield pa.RecordBatch.from_pydict(crowds.runs())
+                        crowds = _Crowds()
+                    elif crowds.full():
+                        yield pa.RecordBatch.from_pydict(crowds.collapse())
+                    last = h
+                    crowds.add(h, w, a, p)
+                    continue
                 if now is None or h != now.h:
                     if now is not None:
                         ready.append(now)
                         size += now.size
-                        if size > 4_000_000:
+                        if size > 4 * BATCH:
                             yield from flush()
                             size = 0
                     now = _Group(h)
                 now.add(w, a, p)
+            if known:
+                places, n = np.concatenate([p for p, _ in known]), [len(p) for p, _ in known]
+                yield pa.RecordBatch.from_pydict(_runs(places, np.zeros(len(places), np.int64), np.repeat([a for _, a in known], n)))
+                known.clear()
         if now is not None:
             ready.append(now)
             yield from flush()
+        if len(crowds):
+            yield pa.RecordBatch.from_pydict(crowds.runs())
 
     joined = texts.select("k8", "k4", "text").join(repeated_anchors(texts), ["k8", "k4"])
-    windows = joined.mapInArrow(per_batch(cut, nbytes=2_000_000), "h long, window binary, anchor int, places binary")
+    windows = joined.mapInArrow(per_batch(cut, nbytes=2_000_000), "h long, kind byte, window binary, anchor int, places binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = windows.repartition(parts, "h").sortWithinPartitions("h")
     marks = sorted_.mapInArrow(gather, "k8 long, k4 long, lo long, hi long")

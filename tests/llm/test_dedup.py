@@ -149,6 +149,43 @@ def test_crowded_groups_are_cut_by_context(spark, make_docs, monkeypatch):
     assert cut == sorted(zip(*(passages._marks([group])[k].tolist() for k in ("k8", "lo", "hi")))) and cut
 
 
+def test_windows_of_crowded_anchors_are_dealt_by_context(spark, make_docs, monkeypatch):
+    p = prose(52, 60)
+    texts = [prose(300 + i, 40) + p[:230 + i % 3] + prose(400 + i % 7, 40) for i in range(24)]
+    texts += [prose(300 + i, 40)[-i:] + p[:150] + prose(400, 60) for i in range(1, 9)] + [p[20:200] + "é" * i for i in range(30)]
+    texts += [prose(500, 30) + "line again. " * (30 + i) for i in range(4)] + [texts[0], p, None, ""]
+    monkeypatch.setattr(passages, "SPREAD", 3)
+    for batch in (passages.BATCH, 200):  # with the second, tasks hand over contexts in small lots
+        monkeypatch.setattr(passages, "BATCH", batch)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in passages.digests(make_docs(texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == removed(texts)
+
+
+def test_a_crowded_context_is_transformed_in_bounded_batches(monkeypatch):
+    r = np.random.default_rng(3)
+    raw = [bytes(r.choice(np.frombuffer(b"ab", np.uint8), 336)) for _ in range(40)]
+    middle = raw[0][100:240]
+    windows = [w[:100] + middle + w[240:] for w in raw]
+    windows += [windows[i][:100 - i % 5] + raw[i + 1][100 - i % 5:100] + windows[i][100:] for i in range(30)]
+    keys = [(w, passages.LEFT) for w in windows]
+    starts = Counter((s, w[s:s + 200]) for w, _ in keys for s in range(137))
+    expected = [[s for s in range(137) if starts[(s, w[s:s + 200])] > 1] for w, _ in keys]
+    sizes = []
+    whole = passages.repeated_starts
+    monkeypatch.setattr(passages, "repeated_starts", lambda w, *a, **k: sizes.append(sum(map(len, w))) or whole(w, *a, **k))
+    monkeypatch.setattr(passages, "CROWD", 3)
+    for batch in (10**6, 1500, 300):
+        monkeypatch.setattr(passages, "BATCH", batch)
+        sizes.clear()
+        group = passages._Group(1)
+        for i, (w, a) in enumerate(keys):
+            group.add(w, a, np.array([(i, 0)], passages._PLACE).tobytes())
+        marks = passages._marks([group])
+        got = {k: (lo, hi) for k, lo, hi in zip(*(marks[x].tolist() for x in ("k8", "lo", "hi")))}
+        assert got == {i: (s[0], s[-1] + 200) for i, s in enumerate(expected) if s} and got
+        assert max(sizes, default=0) <= batch
+
+
 def test_interleave_needs_no_shard_order():
     windows = [prose(i % 4, 60).encode()[:330] for i in range(12)]
     whole = passages.repeated_starts(windows, [1] * 12, [100] * 12, shard=10**9)
