@@ -47,8 +47,8 @@ LEFT = LENGTH - GRAM  # bytes of a window before its anchor, and after the ancho
 PARTS = 4  # classes of the stretches around an anchor, by the bytes before it
 PART = LEFT // PARTS
 SPREAD = 5_000  # places of an anchor above which its windows are cut by context before they are sent
-CROWD = 3_000  # windows of a group above which it is cut by context
-BATCH = 1_000_000  # bytes of windows that are transformed at once
+CROWD = 1_500  # windows of a group above which it is cut by context
+BATCH = 500_000  # bytes of windows that are transformed at once
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _A, _B = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
